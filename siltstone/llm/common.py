@@ -110,12 +110,15 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def word_spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words [^\\x20\\x09-\\x0D]+ and, for each text, the index of its first word (n+1 values)."""
+def word_spans(buf: np.ndarray, off: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words [^\\x20\\x09-\\x0D]+ and, for each text, the index of its first word (n+1 values).
+
+    space: for each byte value whether it separates words.
+    """
     n = len(buf)
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
-    solid = ~_SPACE[buf]
+    solid = ~space[buf]
     begin = solid.copy()
     begin[1:] &= ~solid[:-1]
     edge = off[(off > 0) & (off < n)]
@@ -128,13 +131,23 @@ def word_spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, off, side="left")
 
 
+_sums: list = [None, None]
+
+
+def _prefix_sums(buf: np.ndarray, up: np.ndarray) -> np.ndarray:
+    if _sums[0] is not buf:  # the same block is often hashed several times
+        total = np.zeros(len(buf) + 1, np.uint64)
+        np.cumsum(_LOWER_VALUE[buf] * up[: len(buf)], out=total[1:])
+        _sums[:] = buf, total
+    return _sums[1]
+
+
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word after lower-casing A-Z, from prefix sums of a polynomial modulo 2**64."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     up, down = _power(len(buf) + 1)
-    total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_LOWER_VALUE[buf] * up[: len(buf)], out=total[1:])
+    total = _prefix_sums(buf, up)
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, packing, warc
+from . import chat, langid, packing, toxicity, warc
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.round_trip(spark, table(spark, sf_dir, "pages"), min_bytes=0)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -24,5 +28,10 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_chat(chat.format_chat(turns.unionByName(extra)))
 
 
-QUERIES = {"op6_warc": op6_warc, "op7_chat": op7_chat, "op10_packing": op10_packing}
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {"op3_langid": op3_langid, "op8_toxicity": op8_toxicity, "op6_warc": op6_warc, "op7_chat": op7_chat, "op10_packing": op10_packing}
 ORACLES: dict[str, str] = {}
