@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, langid, packing, toxicity, warc
+from . import chat, langid, lm, packing, toxicity, warc
 from .common import table
 
 
@@ -33,5 +33,9 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op3_langid": op3_langid, "op8_toxicity": op8_toxicity, "op6_warc": op6_warc, "op7_chat": op7_chat, "op10_packing": op10_packing}
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op9_lm": op9_lm, "op3_langid": op3_langid, "op8_toxicity": op8_toxicity, "op6_warc": op6_warc, "op7_chat": op7_chat, "op10_packing": op10_packing}
 ORACLES: dict[str, str] = {}
