@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, langid, lm, packing, toxicity, warc, webp
+from . import chat, langid, lm, packing, pii, toxicity, warc, webp
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 def op2_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return webp.read_media(webp.store_texts(table(spark, sf_dir, "documents")))
 
@@ -41,5 +45,5 @@ def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_webp": op2_webp, "op9_lm": op9_lm, "op3_langid": op3_langid, "op8_toxicity": op8_toxicity, "op6_warc": op6_warc, "op7_chat": op7_chat, "op10_packing": op10_packing}
+QUERIES = {"op1_pii": op1_pii, "op2_webp": op2_webp, "op9_lm": op9_lm, "op3_langid": op3_langid, "op8_toxicity": op8_toxicity, "op6_warc": op6_warc, "op7_chat": op7_chat, "op10_packing": op10_packing}
 ORACLES: dict[str, str] = {}
