@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 BLOCK_BYTES = 4 << 20
@@ -59,9 +60,14 @@ def text_arrays(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def blocks(batch: pa.RecordBatch, column: str, size: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of a batch with at most `size` bytes of text each (or one text), with their bytes and offsets."""
-    buf, off = text_arrays(batch.column(column))
+def lowered(column: pa.Array) -> pa.Array:
+    """The texts in lower case, in any script."""
+    return pc.utf8_lower(column)
+
+
+def blocks(batch: pa.RecordBatch, column: str, size: int = BLOCK_BYTES, lower: bool = False) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of a batch with at most `size` bytes of text each (or one text), with their bytes (lower: in lower case) and offsets."""
+    buf, off = text_arrays(lowered(batch.column(column)) if lower else batch.column(column))
     n, at = batch.num_rows, 0
     while at < n:
         end = int(np.searchsorted(off, off[at] + size, side="right")) - 1
@@ -157,10 +163,7 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     if n == 0:
         return words
     if n < k:
-        out = _U(n)
-        for j in range(n):
-            out = out * BASE + words[j]
-        return mix(np.array([out], np.uint64))
+        k = n
     out = np.full(n - k + 1, _U(k))
     for j in range(k):
         out = out * BASE + words[j : n - k + 1 + j]

@@ -76,7 +76,7 @@ def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((len(names), BUCKETS), np.int64)
         for batch in batches:
-            for block, buf, off in common.blocks(batch, "text"):
+            for block, buf, off in common.blocks(batch, "text", lower=True):
                 grams, at = gram_buckets(buf, off)
                 lang = np.array([number[x] for x in block.column("lang").to_pylist()])
                 counts += np.bincount(np.repeat(lang, np.diff(at)) * BUCKETS + grams, minlength=counts.size).reshape(counts.shape)
@@ -129,7 +129,7 @@ def predict(docs: DataFrame, names: list[str], model: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, buf, off in common.blocks(batch, "text"):
+            for block, buf, off in common.blocks(batch, "text", lower=True):
                 grams, at = gram_buckets(buf, off)
                 lang, score, sets = [], [], []
                 for i, text in enumerate(block.column("text").to_pylist()):

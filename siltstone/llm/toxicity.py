@@ -138,7 +138,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, buf, off in common.blocks(batch, "text"):
+            for block, buf, off in common.blocks(batch, "text", lower=True):
                 terms, doc = _distinct(*buckets(buf, off), BUCKETS)
                 ends = np.searchsorted(doc, np.arange(block.num_rows + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(terms.astype(np.int32)))], ["doc_id", "terms"])
@@ -160,7 +160,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, buf, off in common.blocks(batch, "text"):
+            for block, buf, off in common.blocks(batch, "text", lower=True):
                 p = sigmoid(model.logits(*buckets(buf, off))) if model else np.zeros(block.num_rows)
                 yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("held_out"), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], [c.split()[0] for c in SCHEMA.split(", ")])
 
@@ -174,7 +174,7 @@ def keep_clean(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, buf, off in common.blocks(batch, "text"):
+            for block, buf, off in common.blocks(batch, "text", lower=True):
                 if model:
                     block = block.filter(pa.array(sigmoid(model.logits(*buckets(buf, off))) < THRESHOLD))
                 yield block
