@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, langid, lm, packing, pii, toxicity, warc, webp
+from . import chat, decontam, jaccard, langid, lm, packing, pii, toxicity, warc, webp
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.groups(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -49,5 +53,5 @@ def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op5_decontam": op5_decontam, "op1_pii": op1_pii, "op2_webp": op2_webp, "op9_lm": op9_lm, "op3_langid": op3_langid, "op8_toxicity": op8_toxicity, "op6_warc": op6_warc, "op7_chat": op7_chat, "op10_packing": op10_packing}
+QUERIES = {"op4_jaccard": op4_jaccard, "op5_decontam": op5_decontam, "op1_pii": op1_pii, "op2_webp": op2_webp, "op9_lm": op9_lm, "op3_langid": op3_langid, "op8_toxicity": op8_toxicity, "op6_warc": op6_warc, "op7_chat": op7_chat, "op10_packing": op10_packing}
 ORACLES: dict[str, str] = {}
