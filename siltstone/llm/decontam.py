@@ -4,8 +4,8 @@ Documents are cut into passages of twice the longest item with a stride of one,
 an item lies whole in some passage. The terms of a passage are the query; an item's score is compared with SHARE of
 the score it would get from its own text. Retrieval returns every item that reaches it, by block-max WAND in batches:
 
-* frequent terms whose impacts together stay below SLACK of every item's own score are non-essential and are not looked up
-  at first: no item can reach its bound by them alone;
+* in each block, frequent terms whose impacts stay below SLACK of every item's own score are non-essential and are not
+  looked up at first: no item can reach its bound by them alone;
 * items are kept in blocks of similar length with the largest impact of each term in the block; a passage skips all
   blocks where the sum of these, and of the non-essential rest, stays below the smallest bound in the block;
 * what is left is scored exactly, item by item.
@@ -33,11 +33,12 @@ from pyspark.sql import functions as F
 from . import common
 
 K1, B = 1.2, 0.75
-SHARE, SLACK = 0.55, 0.35
+SHARE, SLACK = 0.6, 0.45
 OVERLAP = 0.5
-BLOCK_ITEMS = 64
+BLOCK_ITEMS = 2
 GRAM = 3
 INDEX_BYTES = 32 << 20
+DENSE = 1 << 23  # bounds kept in a full array
 
 _BREAK = np.ones(256, bool)  # terms are runs of letters and digits
 for _a, _b in ((48, 58), (65, 91), (97, 123), (128, 256)):
@@ -88,26 +89,24 @@ class Index:
         self.start, self.item, self.impact = np.searchsorted(term, np.arange(len(self.vocabulary) + 1)), item, impact
         self.own = np.bincount(item, impact, self.items)
         self.bound = SHARE * self.own
-        # Frequent terms are set aside while no item gets SLACK of its own score from them.
-        aside, mass = np.zeros(len(self.vocabulary), bool), np.zeros(self.items)
-        for t in np.argsort(-df, kind="stable"):
-            part = slice(self.start[t], self.start[t + 1])
-            more = mass[item[part]] + impact[part]
-            if df[t] < 2 or (more > SLACK * self.own[item[part]]).any():
-                break
-            mass[item[part]] = more
-            aside[t] = True
-        self.essential = ~aside
-        block = item // BLOCK_ITEMS
+        # Of each item, the terms most frequent among the items are set aside while they make up SLACK of its own score;
+        # a term stays set aside in a block if it is for all items there that have it.
+        by_item = np.lexsort((-df[term], item))
+        running = np.cumsum(impact[by_item])
+        before = np.concatenate([[0.0], running])[np.searchsorted(item[by_item], item[by_item])]
+        can = np.empty(len(item), bool)
+        can[by_item] = (running - before <= SLACK * self.own[item[by_item]]) & (df[term[by_item]] > 1)
         self.blocks = (self.items - 1) // BLOCK_ITEMS + 1
-        self.least = np.array([self.bound[b * BLOCK_ITEMS : (b + 1) * BLOCK_ITEMS].min() for b in range(self.blocks)])
-        self.rest = np.array([mass[b * BLOCK_ITEMS : (b + 1) * BLOCK_ITEMS].max() for b in range(self.blocks)])
-        keep = self.essential[term]
-        cells, back = np.unique(term[keep] * self.blocks + block[keep], return_inverse=True)
+        cells, back = np.unique(term * self.blocks + item // BLOCK_ITEMS, return_inverse=True)
+        needed = np.bincount(back, ~can, len(cells)) > 0
+        mass = np.bincount(item, np.where(needed[back], 0.0, impact), self.items)
         top = np.zeros(len(cells))
-        np.maximum.at(top, back, impact[keep])
-        self.block_start = np.searchsorted(cells // self.blocks, np.arange(len(self.vocabulary) + 1))
-        self.block, self.block_top = cells % self.blocks, top
+        np.maximum.at(top, back, impact)
+        firsts = np.arange(self.blocks) * BLOCK_ITEMS
+        self.least, self.rest = np.minimum.reduceat(self.bound, firsts), np.maximum.reduceat(mass, firsts)
+        cells, self.block_top = cells[needed], top[needed]
+        self.block_start, self.block = np.searchsorted(cells // self.blocks, np.arange(len(self.vocabulary) + 1)), cells % self.blocks
+        self.essential = np.diff(self.block_start) > 0
         self.hint = np.zeros(1 << 20, bool)
         self.hint[self.vocabulary >> np.uint64(44)] = True
 
@@ -130,50 +129,65 @@ class Index:
         number: term numbers of the texts, at: where each text begins.
         """
         stride, counts = self.longest, np.diff(at)
-        windows = np.maximum(1, -(-(counts - stride) // stride))
-        first_window = np.cumsum(windows) - windows
-        total = int(windows.sum())
+        segments = np.maximum(1, -(-counts // stride))  # a passage is two of these, or a text's only one
+        first_segment = np.cumsum(segments) - segments
         here = np.flatnonzero(number >= 0)
-        here_essential = here[self.essential[number[here]]]
-
-        def cells(index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """Distinct (passage, term) pairs of some places of the texts."""
-            doc = np.searchsorted(at, index, side="right") - 1
-            k = (index - at[doc]) // stride
-            late, early = np.minimum(k, windows[doc] - 1), np.minimum(np.maximum(k - 1, 0), windows[doc] - 1)
-            keys = np.unique(np.concatenate([first_window[doc] + late, first_window[doc] + early]) * len(self.vocabulary) + np.tile(number[index], 2))
-            return keys // len(self.vocabulary), keys % len(self.vocabulary)
-
-        def spread(passage: np.ndarray, term: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """Each passage repeated for every posting of its terms, with the posting's place."""
+        doc = np.repeat(np.arange(len(counts)), counts)[here]
+        segment, term = first_segment[doc] + (here - at[doc]) // stride, number[here]
+
+        def spread(row: np.ndarray, term: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Each row repeated for every posting of its term, with the posting's place."""
             n = start[term + 1] - start[term]
             ends = np.cumsum(n)
-            return np.repeat(passage, n), np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[term] - (ends - n), n)
-
-        passage, place = spread(*cells(here_essential), self.block_start)
-        key = passage * self.blocks + self.block[place]
-        wanted, back = np.unique(key, return_inverse=True)
-        upper = np.bincount(back, self.block_top[place], len(wanted)) + self.rest[wanted % self.blocks]
-        alive = wanted[upper >= self.least[wanted % self.blocks]]
+            return np.repeat(row, n), np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[term] - (ends - n), n)
+
+        # Upper bounds by segment and block; a term that occurs twice counts twice here, which only raises a bound.
+        some = self.essential[term]
+        row, place = spread(segment[some], term[some], self.block_start)
+        key = row * self.blocks + self.block[place]
+        total = int(segments.sum())
+        single = np.repeat(segments == 1, segments)
+        if (total + 1) * self.blocks <= DENSE:
+            upper = np.bincount(key, self.block_top[place], (total + 1) * self.blocks)
+            final = np.zeros(total + 1, bool)
+            final[first_segment + segments - 1] = True
+            upper = upper.reshape(total + 1, self.blocks)
+            both = upper[:-1] + np.where(final[:-1, None], 0.0, upper[1:]) + self.rest
+            passage, block = np.nonzero(both >= self.least)
+            alive = passage * self.blocks + block
+        else:
+            wanted, back = np.unique(key, return_inverse=True)
+            upper = np.bincount(back, self.block_top[place], len(wanted))
+            alive = np.unique(np.concatenate([wanted, wanted[wanted >= self.blocks] - self.blocks]))
+            at_key = lambda k: np.where(wanted[np.minimum(np.searchsorted(wanted, k), len(wanted) - 1)] == k, upper[np.minimum(np.searchsorted(wanted, k), len(wanted) - 1)], 0.0)
+            alive = alive[at_key(alive) + at_key(alive + self.blocks) + self.rest[alive % self.blocks] >= self.least[alive % self.blocks]] if len(wanted) else alive
+        # A text's last segment is no passage of its own unless it is the only one.
+        tail = np.zeros(total, bool)
+        tail[first_segment + segments - 1] = True
+        tail &= ~single
+        alive = alive[~tail[alive // self.blocks]]
         if not len(alive):
             none = np.zeros(0, np.int64)
             return none, none, none, none, np.zeros(0)
-        live = np.unique(alive // self.blocks)
-        docs = np.searchsorted(first_window, live, side="right") - 1
-        lows = at[docs] + (live - first_window[docs]) * stride
-        highs = np.where(live - first_window[docs] == windows[docs] - 1, at[docs + 1], np.minimum(lows + 2 * stride, at[docs + 1]))
-        pairs = [np.unique(t[t >= 0]) + w * len(self.vocabulary) for w, t in ((w, number[a:b]) for w, a, b in zip(range(len(live)), lows, highs))]
-        keys = np.concatenate(pairs)
+        live = np.zeros(total, bool)
+        live[alive // self.blocks] = True
+        own, earlier = live[segment], np.zeros(len(segment), bool)
+        earlier[segment > 0] = live[segment[segment > 0] - 1] & (segment > first_segment[doc])[segment > 0]
+        keys = np.unique(np.concatenate([segment[own] * len(self.vocabulary) + term[own], (segment[earlier] - 1) * len(self.vocabulary) + term[earlier]]))
         passage, place = spread(keys // len(self.vocabulary), keys % len(self.vocabulary), self.start)
         item = self.item[place]
-        open_block = np.isin(live[passage] * self.blocks + item // BLOCK_ITEMS, alive)
+        key = passage * self.blocks + item // BLOCK_ITEMS
+        open_block = alive[np.minimum(np.searchsorted(alive, key), len(alive) - 1)] == key
         passage, item, impact = passage[open_block], item[open_block], self.impact[place[open_block]]
         wanted, back = np.unique(passage * self.items + item, return_inverse=True)
         score = np.bincount(back, impact, len(wanted))
         passage, item = wanted // self.items, wanted % self.items
         good = score >= self.bound[item]
         passage, item = passage[good], item[good]
-        return docs[passage], lows[passage], highs[passage], item, score[good]
+        doc = np.searchsorted(first_segment, passage, side="right") - 1
+        low = at[doc] + (passage - first_segment[doc]) * stride
+        high = np.minimum(low + 2 * stride, at[doc + 1])
+        return doc, low, high, item, score[good]
 
     def verified(self, words: np.ndarray, item: int) -> tuple[float, float]:
         question, answer, k = self.parts[item]
