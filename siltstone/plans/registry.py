@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from . import corpus, graphs, ops, timelines
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for _module in (corpus, graphs, timelines, ops):
+    QUERIES.update(_module.QUERIES)
+    ORACLES.update(_module.ORACLES)
