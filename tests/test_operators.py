@@ -158,3 +158,60 @@ def test_usage_lines_skip_what_is_not_usage(spark):
     lines = ['{"type":"assistant","timestamp":"2024-01-01T00:00:00Z","sessionId":"s","message":{"usage":{"input_tokens":5}}}', '{"type":"user"}', "not json"]
     rows = code.usage_events(spark.createDataFrame([(x,) for x in lines], "value string"), USAGE).collect()
     assert [(r["session_id"], r["input_tokens"], r["output_tokens"]) for r in rows] == [("s", 5, 0)]
+
+
+def test_import_resolution_order(spark):
+    from siltstone.operators import code_graph
+
+    files = spark.createDataFrame([(p,) for p in ("a/b.py", "a/b/__init__.py", "c/__init__.py", "web/util.ts", "web/x/index.ts", "deep/lib/tool.js")], "path string")
+    rows = [("m.py", "a.b", "a/b.py"), ("m.py", "c", "c/__init__.py"), ("m.py", "a.b.name", "a/b.py"), ("web/app.ts", "./util", "web/util.ts"), ("web/y/z.ts", "../x", "web/x/index.ts"), ("m.ts", "lib/tool.js", "deep/lib/tool.js"), ("m.py", "os.path", None)]
+    got = {(r["src"], r["ref"]): r["dst"] for r in code_graph.resolve_imports(spark.createDataFrame([r[:2] for r in rows], "src string, ref string"), files).collect()}
+    assert got == {r[:2]: r[2] for r in rows if r[2]}
+
+
+def test_mixed_walk_finds_callers_and_definitions(spark):
+    from siltstone.operators import code_graph
+
+    edges = spark.createDataFrame([("app/a.py", "app.a.run"), ("app/b.py", "app.a.run"), ("app/a.py", "lib.c.help"), ("lib/c.py", "lib.c.help"), ("app/a.py", "os.path")], "src string, dst string")
+    found = {tuple(r) for r in code_graph.mixed_walk(edges, spark.createDataFrame([("app/a.py", 2.0)], "node string, score double")).collect()}
+    assert found == {("app/b.py", 0.98), ("lib/c.py", 0.98)}
+
+
+def test_lint_and_commit_ranges(spark):
+    from siltstone.operators import code_graph
+
+    articles = spark.createDataFrame([("a", "h", 100), ("b", "old", 100), ("c", "h", 3)], "name string, hash string, size int")
+    modules = spark.createDataFrame([("a", "h"), ("b", "h"), ("d", "h")], "name string, hash string")
+    index = spark.createDataFrame([("a",), ("b",), ("z",)], "name string")
+    assert {tuple(r) for r in code_graph.lint(articles, modules, index).collect()} == {("orphan", "c"), ("missing", "d"), ("stale", "b"), ("empty", "c"), ("unindexed", "c"), ("dangling", "z")}
+    parents = spark.createDataFrame([("c3", "c2"), ("c2", "c1"), ("c1", None), ("x", "c1"), ("c3", "x")], "sha string, parent string")
+    assert {r["commit_sha"] for r in code_graph.commits_between(parents, "c2", "c3").collect()} == {"c3", "x"}
+
+
+def test_sinks(spark, tmp_path):
+    from siltstone.sources import sinks
+
+    rows = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2)], "k string, v int")
+    table = spark.createDataFrame([("b", 9)], "k string, v int")
+    assert [tuple(r) for r in sinks.insert_new(table, rows, "k").collect()] == [("a", 1)]
+    sinks.write_version(rows, str(tmp_path / "t"), 1)
+    assert sinks.read_version(spark, str(tmp_path / "t"), 1, "k string, v int").count() == 3
+    assert sinks.read_version(spark, str(tmp_path / "t"), 2, "k string, v int").collect() == []
+    symbols = spark.createDataFrame([("f.py", "b", "function", 9), ("f.py", "A", "class", 2)], "file_path string, name string, symbol_type string, start_line int")
+    assert sinks.symbol_index(symbols).first()["section"] == "## f.py\n- class `A`\n- function `b`"
+    with pytest.raises(Exception, match="unknown event type odd"):
+        sinks.valid_events(spark.createDataFrame([("odd",)], "event_type string")).collect()
+
+
+def test_streams_equal_batch(spark, tmp_path):
+    from siltstone.streaming import streams
+
+    rows = spark.createDataFrame([(i, 1_700_000_000 + i * 3600, i % 3, 1.0) for i in range(200)], "id long, s long, user long, value double").select("id", F.timestamp_seconds("s").alias("ts"), "user", "value")
+    rows.repartition(3).write.parquet(str(tmp_path / "events"))
+    out = streams.drain(streams.tumbling(streams.event_stream(spark, str(tmp_path / "events")), "ts", "1 day"), name="test")
+    batch = {(r["window_start"], r["n"]) for r in streams.tumbling(rows, "ts", "1 day").collect()}
+    closed = {(r["window_start"], r["n"]) for r in out.collect()}
+    assert closed and closed <= batch
+    seen = []
+    streams.drain_batches(streams.event_stream(spark, str(tmp_path / "events"), 1), lambda df, i: seen.append(df.count()), "test-batches")
+    assert sum(seen) == 200 and len(seen) == 3
