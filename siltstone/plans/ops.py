@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import analytics
+from ..operators import analytics, code_graph, graph
 from ..session import load
-from ..sources import code
+from ..sources import code, sinks
 from .bindings import table
 
 QUERIES, ORACLES, query = table()
@@ -133,3 +133,46 @@ def git_boost_stats(spark: SparkSession, sf: str) -> DataFrame:
     now = lines.agg(F.max("ts")).first()[0]
     stats = code.file_git_stats(lines, F.lit(now))
     return stats.select(F.col("file_path").alias("l_suppkey"), "commit_count", "churn_30d", "age_days", F.size("authors").cast("long").alias("authors"))
+
+
+@query("""WITH a AS (SELECT 'd' || doc_id AS name, CASE WHEN quality = 1 THEN 'new' ELSE 'old' END AS hash, 100 * toxic AS size FROM labels), m AS (SELECT 'd' || doc_id AS name, 'new' AS hash FROM documents WHERE doc_id % 2 = 0), i AS (SELECT 'd' || doc_id AS name FROM documents WHERE doc_id % 3 = 0)
+SELECT issue, count(*) AS n FROM (SELECT 'orphan' AS issue FROM a WHERE name NOT IN (SELECT name FROM m) UNION ALL SELECT 'missing' FROM m WHERE name NOT IN (SELECT name FROM a) UNION ALL SELECT 'stale' FROM a JOIN m USING (name) WHERE a.hash <> m.hash
+ UNION ALL SELECT 'empty' FROM a WHERE size < 50 UNION ALL SELECT 'unindexed' FROM a WHERE name NOT IN (SELECT name FROM i) UNION ALL SELECT 'dangling' FROM i WHERE name NOT IN (SELECT name FROM a)) GROUP BY issue""")
+def wiki_lint(spark: SparkSession, sf: str) -> DataFrame:
+    """Labelled documents as articles, even documents as modules, every third one in the index."""
+    name = F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name")
+    articles = load(spark, sf, "labels").select(name, F.when(F.col("quality") == 1, "new").otherwise("old").alias("hash"), (100 * F.col("toxic")).alias("size"))
+    docs = load(spark, sf, "documents")
+    issues = code_graph.lint(articles, docs.where("doc_id % 2 = 0").select(name, F.lit("new").alias("hash")), docs.where("doc_id % 3 = 0").select(name))
+    return issues.groupBy("issue").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT src, dst, count(*) AS n FROM (SELECT DISTINCT 'm' || (l_partkey % 40) AS src, 'm' || (l_suppkey % 40) AS dst, l_partkey, l_suppkey FROM lineitem WHERE l_quantity = 50) WHERE src <> dst GROUP BY src, dst""")
+def module_dependencies(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts and suppliers as files of forty modules."""
+    path = lambda c: F.concat(F.lit("m"), (F.col(c) % 40).cast("string"), F.lit("/f"), F.col(c).cast("string")).alias(c)
+    lines = load(spark, sf, "lineitem").where("l_quantity = 50")
+    return code_graph.module_dependencies(graph.edges_of(lines.select(path("l_partkey"), path("l_suppkey")), "l_partkey", "l_suppkey"))
+
+
+@query("""WITH RECURSIVE p AS (SELECT o_orderkey AS sha, o_orderkey // 2 AS parent FROM orders WHERE o_orderkey > 1 UNION ALL SELECT o_orderkey, o_orderkey // 3 FROM orders WHERE o_orderkey > 2 AND o_orderkey % 5 = 0),
+a AS (SELECT CAST(1200 AS BIGINT) AS c UNION SELECT p.parent FROM a JOIN p ON p.sha = a.c), b AS (SELECT CAST(75 AS BIGINT) AS c UNION SELECT p.parent FROM b JOIN p ON p.sha = b.c)
+SELECT CAST(c AS VARCHAR) AS commit_sha FROM a WHERE c NOT IN (SELECT c FROM b)""")
+def commit_range(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as commits whose parents are half, and for every fifth also a third, of their key."""
+    orders = load(spark, sf, "orders").select("o_orderkey")
+    key = F.col("o_orderkey")
+    parents = orders.where("o_orderkey > 1").select(key.cast("string").alias("sha"), F.floor(key / 2).cast("string").alias("parent")).union(orders.where("o_orderkey > 2 and o_orderkey % 5 = 0").select(key.cast("string"), F.floor(key / 3).cast("string")))
+    return code_graph.commits_between(parents, "75", "1200")
+
+
+@query("""SELECT c_custkey, c_name FROM customer WHERE c_custkey % 2 = 0 AND c_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0)""")
+def insert_ignore(spark: SparkSession, sf: str) -> DataFrame:
+    customers = load(spark, sf, "customer").select("c_custkey", "c_name")
+    return sinks.insert_new(customers.where("c_custkey % 3 = 0"), customers.where("c_custkey % 2 = 0"), "c_custkey")
+
+
+@query("""SELECT coalesce(b.c_custkey, a.c_custkey) AS c_custkey, CASE WHEN b.c_custkey IS NOT NULL THEN 'new' ELSE 'old' END AS version FROM (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0) a FULL JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) b ON a.c_custkey = b.c_custkey""")
+def upsert_latest(spark: SparkSession, sf: str) -> DataFrame:
+    customers = load(spark, sf, "customer").select("c_custkey")
+    return code.upsert(customers.where("c_custkey % 3 = 0").withColumn("version", F.lit("old")), customers.where("c_custkey % 2 = 0").withColumn("version", F.lit("new")), "c_custkey")
