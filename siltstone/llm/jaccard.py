@@ -12,10 +12,15 @@ not make its tokens frequent), and bounded in number because it is broadcast.
 
 Links are verified on the whole texts, without pairing everything with everything in a group of copies:
 
-1. in each posting list every class is paired with the list's smallest class only, the links found are verified and
-   give components;
-2. a class that turned out not to be connected to the smallest one of some list is paired there with all members of other
-   components, which leaves no link between different components unfound.
+1. in each posting list of the first index every class is paired with the list's smallest class only; the links found make components, and
+   give every class a hub, the smallest class it is linked with directly;
+2. lists with classes of several components are paired hub with hub. As the Jaccard distance is a metric, linked classes
+   have hubs within three times the distance bound; only where hubs are that near are their classes paired;
+3. tokens whose lists hold more than CROWD hubs and several components join the frequent ones instead, and the classes in
+   these lists get the index rows that the new order adds (LEVELS times at most; what is crowded then is paired as in 2).
+
+A pair is first held against a bound that costs no text: two sets differ in at least as many tokens as the parities of
+their tokens by hash slot differ.
 
 Defined results: a text with fewer words than k is one shingle; null texts and texts without words have empty sets,
 link with nothing and are their own component; repeated rows and doc_ids are kept; a component is named by the
@@ -28,16 +33,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 from .components import components
 
-FREQUENT_TOKENS = 1 << 16  # broadcast at most so many
-LOCAL_TOKENS = 2 << 20  # tokens of distinct texts looked at together
-LOCAL_LEAST = 8  # different smallest shingles among these that make a token a candidate
+FREQUENT_TOKENS = 1 << 17  # broadcast at most so many
+LOCAL_TOKENS = 1 << 20  # tokens of distinct texts looked at together
+LOCAL_LEAST = 6  # different smallest shingles among these that make a token a candidate
+CROWD, LEVELS = 24, 3
 FILTER_BITS = 1 << 24
+NARROW, WIDE = 9, 12  # bits of a hash slot; sets of more than LARGE tokens have both kinds of parities
+LARGE = 1200
+_ODD = np.uint64(1)  # set in the keys of token pairs, clear in tokens
 
 
 def overlap_needed(n, percent: int):
@@ -45,11 +54,15 @@ def overlap_needed(n, percent: int):
 
 
 def sets_of(buf: np.ndarray, off: np.ndarray, k: int) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
+    """The sorted distinct shingle hashes of each text; all runs of the block are hashed at once, those across texts unused."""
     starts, ends, at = common.word_spans(buf, off)
     words = common.word_hashes(buf, starts, ends)
-    for a, b in zip(at[:-1], at[1:]):
-        yield np.unique(common.shingle_hashes(words[a:b], k))
+    runs = common.shingle_hashes(words, k) & ~_ODD if len(words) >= k else words
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+        if b - a >= k:
+            yield np.unique(runs[a : b - k + 1])
+        else:
+            yield common.shingle_hashes(words[a:b], k) & ~_ODD
 
 
 def signature(tokens: np.ndarray) -> int:
@@ -58,6 +71,15 @@ def signature(tokens: np.ndarray) -> int:
     return int(common.signed(common.mix(np.array([total ^ np.uint64(len(tokens))], np.uint64)))[0])
 
 
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """For each hash slot whether an odd number of tokens falls into it, as 64-bit words: narrow ones, for large sets then wide ones."""
+    out = []
+    for bits in (NARROW, WIDE) if len(tokens) > LARGE else (NARROW,):
+        odd = np.bincount((tokens >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) & 1
+        out.append(np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8"))
+    return np.concatenate(out)
+
+
 def _frequent_here(tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of some sets that occur with LOCAL_LEAST different smallest tokens, and with how many."""
     flat = np.concatenate(tokens)
@@ -72,7 +94,7 @@ def _frequent_here(tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def survey(docs: DataFrame, k: int) -> DataFrame:
-    """Rows of two kinds. 0: a document (a its id, b its class, n its set's size); 1: a token (a) found n times in part."""
+    """Rows of two kinds. 0: a document (a its id, b its class, n its set's size, its parities); 1: a token (a) found n times in part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -81,7 +103,7 @@ def survey(docs: DataFrame, k: int) -> DataFrame:
             for block, buf, off in common.blocks(batch, "text"):
                 sets = list(sets_of(buf, off, k))
                 classes = [signature(s) for s in sets]
-                yield _survey_rows(0, block.column("doc_id"), pa.array(classes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()))
+                yield _survey_rows(0, block.column("doc_id"), pa.array(classes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), [parities(s) for s in sets])
                 for s, c in zip(sets, classes):
                     if len(s) and c not in seen:
                         seen.add(c)
@@ -95,11 +117,13 @@ def survey(docs: DataFrame, k: int) -> DataFrame:
             token, n = _frequent_here(held)
             yield _survey_rows(1, pa.array(common.signed(token)), pa.nulls(len(n), pa.int64()), pa.array(n))
 
-    return docs.mapInArrow(run, "kind int, a long, b long, n long")
+    return docs.mapInArrow(run, "kind int, a long, b long, n long, parity array<long>")
 
 
-def _survey_rows(kind: int, a: pa.Array, b: pa.Array, n: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), a, b, n.cast(pa.int64())], ["kind", "a", "b", "n"])
+def _survey_rows(kind: int, a: pa.Array, b: pa.Array, n: pa.Array, parity: list[np.ndarray] | None = None) -> pa.RecordBatch:
+    ends = np.cumsum([0, *map(len, parity)]) if parity else np.zeros(len(a) + 1)
+    words = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(parity) if parity else np.zeros(0, np.int64), pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), a, b, n.cast(pa.int64()), words], ["kind", "a", "b", "n", "parity"])
 
 
 def prefix_keys(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
@@ -117,15 +141,22 @@ def prefix_keys(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.nd
         return rare[:p]
     last = tokens[often][: p + 1 - len(rare)]
     i, j = np.triu_indices(len(last), 1)
-    return np.concatenate([rare, common.mix(last[i] * common.BASE + last[j])])
+    return np.concatenate([rare, common.mix(last[i] * common.BASE + last[j]) | _ODD])
+
 
+def index(docs: DataFrame, only, frequent, before, k: int, percent: int) -> DataFrame:
+    """key, class, n: the index rows of the classes of documents that the bit map `only` lets through (or without an id).
 
-def index(docs: DataFrame, frequent, k: int, percent: int) -> DataFrame:
-    """key, class, n: the index rows of every class, from each task that holds a text of it."""
+    With `before`, only those rows that the order of these frequent tokens lacked.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        held: list[tuple[np.ndarray, int, int]] = []
+        total = 0
         for batch in batches:
+            ids = batch.column("doc_id")
+            batch = batch.filter(pa.array(_lets_through(only.value, common.ints(ids)) | ids.is_null().to_numpy(zero_copy_only=False)))
             for _, buf, off in common.blocks(batch, "text"):
                 for s in sets_of(buf, off, k):
                     c = signature(s)
@@ -133,60 +164,92 @@ def index(docs: DataFrame, frequent, k: int, percent: int) -> DataFrame:
                         continue
                     seen.add(c)
                     keys = prefix_keys(s, frequent.value, percent)
+                    if before is not None:
+                        keys = np.setdiff1d(keys, prefix_keys(s, before.value, percent), assume_unique=True)
                     held.append((keys, c, len(s)))
-                    total[0] += len(keys)
-                    if total[0] > 200_000:
-                        yield _index_rows()
+                    total += len(keys)
+                    if total > 200_000:
+                        yield _index_rows(held)
+                        held, total = [], 0
         if held:
-            yield _index_rows()
+            yield _index_rows(held)
 
-    held: list[tuple[np.ndarray, int, int]] = []
-    total = [0]
+    return docs.select("doc_id", "text").mapInArrow(run, "key long, class long, n int")
 
-    def _index_rows() -> pa.RecordBatch:
-        sizes = [len(x[0]) for x in held]
-        out = pa.RecordBatch.from_arrays(
-            [pa.array(common.signed(np.concatenate([x[0] for x in held]))), pa.array(np.repeat(np.array([x[1] for x in held], np.int64), sizes)), pa.array(np.repeat(np.array([x[2] for x in held], np.int32), sizes))],
-            ["key", "class", "n"],
-        )
-        held.clear()
-        total[0] = 0
-        return out
 
-    return docs.select("text").mapInArrow(run, "key long, class long, n int")
+def _index_rows(held: list[tuple[np.ndarray, int, int]]) -> pa.RecordBatch:
+    sizes = [len(x[0]) for x in held]
+    columns = (np.repeat(np.array([x[1] for x in held], np.int64), sizes), np.repeat(np.array([x[2] for x in held], np.int32), sizes))
+    return pa.RecordBatch.from_arrays([pa.array(common.signed(np.concatenate([x[0] for x in held]))), *map(pa.array, columns)], ["key", "class", "n"])
 
 
 def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _filter_of(ids: DataFrame) -> np.ndarray:
-    """A fixed-size bit map of hashed ids; it lets through every id it was made from, and few others."""
-    h = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    words = ids.groupBy(F.shiftright(h, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (h % 64).cast("int"))).alias("bits")).toArrow()
+def _slot(h: np.ndarray) -> np.ndarray:
+    return (common.mix(h.view(np.uint64) ^ common.BASE) % np.uint64(FILTER_BITS)).astype(np.int64)
+
+
+def _lets_through(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    slot = _slot(ids)
+    return bits[slot >> 6] >> (slot & 63) & 1 == 1
+
+
+def bit_map(spark: SparkSession, ids: DataFrame):
+    """A broadcast bit map of FILTER_BITS bits, whatever the number of ids: it lets through all of them and few others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER_BITS >> 6, np.int64)
+        for batch in batches:
+            slot = _slot(common.ints(batch.column(0)))
+            np.bitwise_or.at(bits, slot >> 6, np.int64(1) << (slot & 63))
+        at = np.flatnonzero(bits)
+        for a in range(0, len(at), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(at[a : a + 10_000]), pa.array(bits[at[a : a + 10_000]])], ["word", "bits"])
+
+    words = ids.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(FILTER_BITS >> 6, np.int64)
     out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    return out
+    return spark.sparkContext.broadcast(out)
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int, name: str) -> DataFrame:
-    """a, b, linked for distinct pairs of classes, judged on the whole texts of one document of each."""
-    spark = docs.sparkSession
-    first = classes.select("class", "doc_id")
-    named = common.stored(
-        pairs.join(first.select(F.col("class").alias("a"), F.col("doc_id").alias("doc_a")), "a").join(first.select(F.col("class").alias("b"), F.col("doc_id").alias("doc_b")), "b"),
-        f"jaccard-{name}-named",
-    )
-    ids = named.select(F.col("doc_a").alias("doc_id")).union(named.select("doc_b")).distinct()
-    bits = spark.sparkContext.broadcast(_filter_of(ids))
-
-    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def passing(df: DataFrame, column: str, bits) -> DataFrame:
+    """The rows whose number in `column` may be in the bit map."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slot = common.ints(batch.column("slot"))
-            yield batch.filter(pa.array(bits.value[slot >> 6] >> (slot & 63) & 1 == 1)).select(["doc_id", "text"])
+            yield batch.filter(pa.array(_lets_through(bits.value, common.ints(batch.column(column)))))
 
-    slots = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("slot"))
-    texts = slots.mapInArrow(wanted, "doc_id long, text string")
+    return df.mapInArrow(run, df.schema)
+
+
+def with_bound(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """a, b, doc_a, doc_b, open: whether the parities leave it possible that the pair reaches a Jaccard similarity of percent."""
+
+    def end(x: str) -> DataFrame:
+        return classes.select(F.col("class").alias(x), F.col("doc_id").alias(f"doc_{x}"), F.col("n").alias(f"n_{x}"), F.col("parity").alias(f"parity_{x}"))
+
+    narrow, wide = 1 << (NARROW - 6), 1 << (WIDE - 6)
+
+    def different(first: int, n: int) -> Column:
+        bits = F.zip_with(F.slice("parity_a", first, n), F.slice("parity_b", first, n), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+        return F.aggregate(bits, F.lit(0), lambda total, x: total + x)
+
+    both_wide = (F.size("parity_a") > narrow) & (F.size("parity_b") > narrow)
+    differ = F.when(both_wide, different(narrow + 1, wide)).otherwise(different(1, narrow))
+    open_ = (differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)) & _sizes_fit(F.col("n_a"), F.col("n_b"), percent)
+    return pairs.join(end("a"), "a").join(end("b"), "b").select("a", "b", "doc_a", "doc_b", open_.alias("open"))
+
+
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """(the pairs, the linked ones) of distinct pairs of classes (a, b), judged by the parity bound, else on the whole texts of one document of each."""
+    spark = docs.sparkSession
+
+    named = common.stored(with_bound(pairs, classes, percent), f"jaccard-{name}-named")
+    likely = named.where("open").drop("open")
+    bits = bit_map(spark, likely.select(F.col("doc_a").alias("doc_id")).union(likely.select("doc_b")))
+    texts = passing(docs.where(F.col("doc_id").isNotNull()), "doc_id", bits)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
@@ -203,7 +266,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, perc
                 known[c] = made
             return known[c]
 
-        for batch in batches:
+        for batch in (whole.slice(at, 64) for whole in batches for at in range(0, whole.num_rows, 64)):
             rows = []
             for a, b, text_a, text_b in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b"))):
                 x, y = tokens(a, text_a), tokens(b, text_b)
@@ -213,51 +276,101 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, perc
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["a", "b", "linked"])
 
-    with_b = named.join(texts.select(F.col("doc_id").alias("doc_b"), F.col("text").alias("text_b")), "doc_b")
+    with_b = likely.join(texts.select(F.col("doc_id").alias("doc_b"), F.col("text").alias("text_b")), "doc_b")
     full = with_b.join(texts.select(F.col("doc_id").alias("doc_a"), F.col("text").alias("text_a")), "doc_a")
-    return common.stored(full.select("a", "b", "text_a", "text_b").mapInArrow(judge, "a long, b long, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked")), f"jaccard-{name}")
+    found = full.select("a", "b", "text_a", "text_b").mapInArrow(judge, "a long, b long, linked boolean").where("linked").select("a", "b").distinct()
+    return named.select("a", "b"), common.stored(found, f"jaccard-{name}")
 
 
 def groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id for every document."""
+    with common.small_batches(docs.sparkSession):
+        return _groups(docs, k, percent)
+
+
+def _groups(docs: DataFrame, k: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     surveyed = common.stored(survey(docs, k), "jaccard-survey")
     members = surveyed.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("class"), F.col("n").alias("n_shingles"))
-    classes = common.stored(members.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id")), "jaccard-classes")
-    often = surveyed.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a").limit(FREQUENT_TOKENS).select("a").toArrow()
-    frequent = spark.sparkContext.broadcast(np.sort(often.column("a").to_numpy().view(np.uint64)))
-
-    rows = common.stored(index(docs, frequent, k, percent), "jaccard-index")
-    # Lists of one class end here; the others are read with their smallest class.
-    lists = rows.groupBy("key").agg(F.min(F.struct("class", "n")).alias("low"), F.max("class").alias("high")).where("low.class < high").select("key", F.col("low.class").alias("pivot"), F.col("low.n").alias("pivot_n"))
-    shared = common.stored(rows.join(lists, "key"), "jaccard-lists")
-    star = shared.where("class <> pivot").where(_sizes_fit(F.col("n"), F.col("pivot_n"), percent)).select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct()
-    judged = verified(star, classes, docs, k, percent, "star")
-    links = judged.where("linked").select("a", "b")
-    labels = components(links)
-
-    def labelled(df: DataFrame, column: str, out: str) -> DataFrame:
-        return df.join(labels.select(F.col("node").alias(column), F.col("label").alias("siltstone_label")), column, "left").withColumn(out, F.coalesce("siltstone_label", column)).drop("siltstone_label")
-
-    # Who is not connected to the smallest class of one of its lists: by list, as pairs outside a size's reach are open too.
-    apart = labelled(labelled(shared.select(F.col("class"), "pivot").where("class <> pivot").distinct(), "class", "class_label"), "pivot", "pivot_label").where("class_label <> pivot_label")
-    apart = common.stored(apart.select("class", "pivot", F.col("class_label").alias("label")), "jaccard-apart")
-    strangers = shared.join(apart, ["class", "pivot"]).select("key", F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
-    strangers = common.stored(strangers, "jaccard-strangers")
-    crowd = labelled(shared.join(strangers.select("key").distinct(), "key", "left_semi").select("key", F.col("class").alias("b"), F.col("n").alias("n_b"), "pivot"), "b", "label_b")
-    cross = strangers.join(crowd, "key").where("label_a <> label_b and b <> pivot").where(_sizes_fit(F.col("n_a"), F.col("n_b"), percent))
-    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(judged.select("a", "b"), ["a", "b"], "left_anti")
-    cross = common.stored(cross, "jaccard-cross")
-    if cross.limit(1).count():
-        more = verified(cross, classes, docs, k, percent, "cross").where("linked").select("a", "b")
-        labels = components(links.union(more))
-    own = labelled(classes, "class", "label")
+    one = surveyed.where("kind = 0 and n > 0").groupBy(F.col("b").alias("class")).agg(F.min("a").alias("doc_id"), F.max("n").alias("n"), F.max("parity").alias("parity"))
+    classes = common.stored(one, "jaccard-classes")
+    often = surveyed.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a").limit(FREQUENT_TOKENS // 2).select("a").toArrow()
+    frequent = np.sort(often.column("a").to_numpy().view(np.uint64))
+    state = _Links(classes, docs, k, percent)
+    share = spark.sparkContext.broadcast
+    only, before, rows = bit_map(spark, classes.select("doc_id")), None, None
+    for level in range(LEVELS):
+        new = common.stored(index(docs, only, share(frequent), before and share(before[0]), k, percent), "jaccard-index")
+        # Older index rows matter where a new one has their key.
+        met = new if rows is None else common.stored(passing(rows, "key", bit_map(spark, new.select("key"))).union(new), "jaccard-met")
+        rows = new if rows is None else rows.union(new)
+        keys = met.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("key", "low")
+        keys = common.stored(keys, "jaccard-keys")
+        lists = common.stored(passing(met, "key", bit_map(spark, keys.select("key"))).join(keys, "key").select("key", "class", "n", "low"), "jaccard-lists")
+        if not level:
+            state.add(lists.where("class <> low").select(F.col("low").alias("a"), F.col("class").alias("b")), "star")
+        lists = lists.drop("low")
+        # By list, the hubs of its classes; lists within one component are done.
+        hubs = state.marked(lists).select("key", "hub", "label").distinct()
+        mixed = common.stored(hubs.groupBy("key").agg(F.count("*").alias("hubs"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key", "hubs"), "jaccard-mixed")
+        room = FREQUENT_TOKENS - len(frequent) if level < LEVELS - 1 else 0
+        crowded = mixed.where((F.col("key") % 2 == 0) & (F.col("hubs") > CROWD)).orderBy(F.desc("hubs"), "key").limit(room).select("key").toArrow().column("key").to_numpy().view(np.uint64)
+        open_keys = mixed.select("key")
+        if len(crowded):
+            open_keys = open_keys.join(F.broadcast(spark.createDataFrame(pa.table({"key": common.signed(crowded)}))), "key", "left_anti")  # at most FREQUENT_TOKENS keys
+        open_lists = common.stored(state.marked(lists.join(open_keys, "key", "left_semi")), "jaccard-open")
+        hubs = open_lists.select("key", "hub", "label").distinct()
+        apart = hubs.withColumnsRenamed({"hub": "a", "label": "label_a"}).join(hubs.withColumnsRenamed({"hub": "b", "label": "label_b"}), "key").where("a < b and label_a <> label_b").select("a", "b").distinct()
+        # Every class is within one distance bound of its hub, so linked classes have hubs within three.
+        near = common.stored(with_bound(apart, classes, max(0, 100 - 3 * (100 - percent))).where("open").select("a", "b"), "jaccard-near")
+        both = near.union(near.select("b", "a"))
+        at_a = open_lists.select("key", F.col("hub").alias("a"), F.col("class").alias("u"), F.col("n").alias("n_u")).join(both, "a").select("key", "u", "n_u", F.col("b").alias("hub"))
+        pairs = at_a.join(open_lists.select("key", "hub", F.col("class").alias("v"), F.col("n").alias("n_v")), ["key", "hub"]).where("u < v").where(_sizes_fit(F.col("n_u"), F.col("n_v"), percent))
+        state.add(pairs.select(F.col("u").alias("a"), F.col("v").alias("b")), f"cross{level}")
+        if not len(crowded):
+            break
+        refined = lists.join(F.broadcast(spark.createDataFrame(pa.table({"key": common.signed(crowded)}))), "key", "left_semi").select("class").distinct()
+        only = bit_map(spark, refined.join(classes.select("class", "doc_id"), "class").select("doc_id"))
+        before = (frequent,)
+        frequent = np.sort(np.concatenate([frequent, crowded]))
+    own = state.marked(classes.select("class", "doc_id"))
     named = own.join(own.groupBy("label").agg(F.min("doc_id").alias("component_id")), "label").select("class", "component_id")
     return members.join(named, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+class _Links:
+    """The pairs judged so far, the links among them, and the components these make."""
+
+    def __init__(self, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> None:
+        self.classes, self.docs, self.k, self.percent = classes, docs, k, percent
+        self.judged: DataFrame | None = None
+        self.links: DataFrame | None = None
+        self.marks: DataFrame | None = None
+
+    def add(self, pairs: DataFrame, name: str) -> None:
+        """Judges the pairs that have not been judged before."""
+        pairs = pairs.distinct()
+        if self.judged is not None:
+            pairs = pairs.join(self.judged, ["a", "b"], "left_anti")
+        judged, links = verified(pairs, self.classes, self.docs, self.k, self.percent, name)
+        self.judged = judged if self.judged is None else self.judged.union(judged)
+        self.links = links if self.links is None else self.links.union(links)
+        if self.marks is None or links.limit(1).count():
+            labels = components(self.links)
+            ends = self.links.select(F.col("a").alias("node"), "b").union(self.links.select("b", "a"))
+            hubs = ends.groupBy("node").agg(F.least(F.min("b"), F.col("node")).alias("hub"))
+            self.marks = common.stored(labels.join(hubs, "node"), "jaccard-marks")
+
+    def marked(self, df: DataFrame) -> DataFrame:
+        """Adds the component (label) of the column class and its hub, the smallest class it is linked with directly."""
+        if self.marks is None:
+            return df.withColumns({"label": F.col("class"), "hub": F.col("class")})
+        out = df.join(self.marks.withColumnsRenamed({"node": "class", "label": "siltstone_label", "hub": "siltstone_hub"}), "class", "left")
+        return out.withColumns({"label": F.coalesce("siltstone_label", "class"), "hub": F.coalesce("siltstone_hub", "class")}).drop("siltstone_label", "siltstone_hub")
+
+
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group stays, the one with the smallest doc_id; documents with null doc_id stay."""
+    """One document of each group stays, the one with the smallest doc_id; documents with null doc_id stay. Rows that share a doc_id stay or go together if they share a group."""
     first = groups(docs, k, percent).where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(first, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
