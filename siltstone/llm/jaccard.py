@@ -8,14 +8,15 @@ within the first n - ceil(percent n / 100) + 1 tokens of both, and their two sma
 of the first prefix are indexed alone, and of the frequent ones in the extended prefix all pairs: either the smallest
 common token is rare, or the two smallest are both frequent. Any fixed set of frequent tokens keeps this exact; it is
 estimated as the tokens that occur in texts with many different smallest shingles (so that a group of copies alone does
-not make its tokens frequent), and bounded in number because it is broadcast.
+not make its tokens frequent), and kept as a bit map of fixed size, so that its broadcast does not grow.
 
 Links are verified on the whole texts, without pairing everything with everything in a group of copies:
 
 1. in each posting list of the first index every class is paired with the list's smallest class only; the links found make components, and
    give every class a hub, the smallest class it is linked with directly;
 2. lists with classes of several components are paired hub with hub. As the Jaccard distance is a metric, linked classes
-   have hubs within three times the distance bound; only where hubs are that near are their classes paired;
+   have hubs within the distance bound, and once more for each hub that stands for others; only where hubs are that near
+   are their classes paired;
 3. tokens whose lists hold more than CROWD hubs and several components join the frequent ones instead, and the classes in
    these lists get the index rows that the new order adds (LEVELS times at most; what is crowded then is paired as in 2).
 
@@ -39,10 +40,9 @@ from pyspark.sql import functions as F
 from . import common
 from .components import components
 
-FREQUENT_TOKENS = 1 << 17  # broadcast at most so many
 LOCAL_TOKENS = 1 << 20  # tokens of distinct texts looked at together
 LOCAL_LEAST = 6  # different smallest shingles among these that make a token a candidate
-CROWD, LEVELS = 24, 3
+CROWD, LEVELS = 6, 2
 FILTER_BITS = 1 << 24
 NARROW, WIDE = 9, 12  # bits of a hash slot; sets of more than LARGE tokens have both kinds of parities
 LARGE = 1200
@@ -127,15 +127,15 @@ def _survey_rows(kind: int, a: pa.Array, b: pa.Array, n: pa.Array, parity: list[
 
 
 def prefix_keys(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """The index keys of one set: its rare prefix tokens, and all pairs of frequent tokens in the extended prefix."""
+    """The index keys of one set: its rare prefix tokens, and all pairs of frequent tokens in the extended prefix.
+
+    frequent: a bit map; tokens that share a slot with a frequent one count as frequent too, for all sets alike.
+    """
     n = len(tokens)
     if 100 * n < percent * (n + 1):
         return tokens[:0]  # only an equal set can link
     p = n - overlap_needed(n, percent) + 1
-    if not len(frequent):
-        return tokens[:p]
-    at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
-    often = frequent[at] == tokens
+    often = _lets_through(frequent, tokens.view(np.int64))
     rare = tokens[~often]
     if len(rare) >= p:
         return rare[:p]
@@ -183,8 +183,8 @@ def _index_rows(held: list[tuple[np.ndarray, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(common.signed(np.concatenate([x[0] for x in held]))), *map(pa.array, columns)], ["key", "class", "n"])
 
 
-def _sizes_fit(a: Column, b: Column, percent: int) -> Column:
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def _sizes_fit(a: Column, b: Column, percent: int | Column) -> Column:
+    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
@@ -196,8 +196,8 @@ def _lets_through(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return bits[slot >> 6] >> (slot & 63) & 1 == 1
 
 
-def bit_map(spark: SparkSession, ids: DataFrame):
-    """A broadcast bit map of FILTER_BITS bits, whatever the number of ids: it lets through all of them and few others."""
+def _bits(ids: DataFrame) -> np.ndarray:
+    """A bit map of FILTER_BITS bits, whatever the number of ids: it lets through all of them and few others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(FILTER_BITS >> 6, np.int64)
@@ -211,7 +211,11 @@ def bit_map(spark: SparkSession, ids: DataFrame):
     words = ids.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(FILTER_BITS >> 6, np.int64)
     out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    return spark.sparkContext.broadcast(out)
+    return out
+
+
+def bit_map(spark: SparkSession, ids: DataFrame):
+    return spark.sparkContext.broadcast(_bits(ids))
 
 
 def passing(df: DataFrame, column: str, bits) -> DataFrame:
@@ -224,7 +228,7 @@ def passing(df: DataFrame, column: str, bits) -> DataFrame:
     return df.mapInArrow(run, df.schema)
 
 
-def with_bound(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def with_bound(pairs: DataFrame, classes: DataFrame, percent: int | Column) -> DataFrame:
     """a, b, doc_a, doc_b, open: whether the parities leave it possible that the pair reaches a Jaccard similarity of percent."""
 
     def end(x: str) -> DataFrame:
@@ -238,7 +242,8 @@ def with_bound(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
     both_wide = (F.size("parity_a") > narrow) & (F.size("parity_b") > narrow)
     differ = F.when(both_wide, different(narrow + 1, wide)).otherwise(different(1, narrow))
-    open_ = (differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)) & _sizes_fit(F.col("n_a"), F.col("n_b"), percent)
+    share = F.lit(percent) if isinstance(percent, int) else percent
+    open_ = (differ * (100 + share) <= (F.col("n_a") + F.col("n_b")) * (100 - share)) & _sizes_fit(F.col("n_a"), F.col("n_b"), percent)
     return pairs.join(end("a"), "a").join(end("b"), "b").select("a", "b", "doc_a", "doc_b", open_.alias("open"))
 
 
@@ -295,8 +300,7 @@ def _groups(docs: DataFrame, k: int, percent: int) -> DataFrame:
     members = surveyed.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("class"), F.col("n").alias("n_shingles"))
     one = surveyed.where("kind = 0 and n > 0").groupBy(F.col("b").alias("class")).agg(F.min("a").alias("doc_id"), F.max("n").alias("n"), F.max("parity").alias("parity"))
     classes = common.stored(one, "jaccard-classes")
-    often = surveyed.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a").limit(FREQUENT_TOKENS // 2).select("a").toArrow()
-    frequent = np.sort(often.column("a").to_numpy().view(np.uint64))
+    frequent = _bits(surveyed.where("kind = 1").select("a"))
     state = _Links(classes, docs, k, percent)
     share = spark.sparkContext.broadcast
     only, before, rows = bit_map(spark, classes.select("doc_id")), None, None
@@ -314,26 +318,26 @@ def _groups(docs: DataFrame, k: int, percent: int) -> DataFrame:
         # By list, the hubs of its classes; lists within one component are done.
         hubs = state.marked(lists).select("key", "hub", "label").distinct()
         mixed = common.stored(hubs.groupBy("key").agg(F.count("*").alias("hubs"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key", "hubs"), "jaccard-mixed")
-        room = FREQUENT_TOKENS - len(frequent) if level < LEVELS - 1 else 0
-        crowded = mixed.where((F.col("key") % 2 == 0) & (F.col("hubs") > CROWD)).orderBy(F.desc("hubs"), "key").limit(room).select("key").toArrow().column("key").to_numpy().view(np.uint64)
-        open_keys = mixed.select("key")
-        if len(crowded):
-            open_keys = open_keys.join(F.broadcast(spark.createDataFrame(pa.table({"key": common.signed(crowded)}))), "key", "left_anti")  # at most FREQUENT_TOKENS keys
+        crowded = mixed.where((F.col("key") % 2 == 0) & (F.col("hubs") > CROWD)).select("key")
+        last = level == LEVELS - 1 or not crowded.limit(1).count()
+        open_keys = mixed.select("key") if last else mixed.where((F.col("key") % 2 != 0) | (F.col("hubs") <= CROWD)).select("key")
         open_lists = common.stored(state.marked(lists.join(open_keys, "key", "left_semi")), "jaccard-open")
-        hubs = open_lists.select("key", "hub", "label").distinct()
-        apart = hubs.withColumnsRenamed({"hub": "a", "label": "label_a"}).join(hubs.withColumnsRenamed({"hub": "b", "label": "label_b"}), "key").where("a < b and label_a <> label_b").select("a", "b").distinct()
-        # Every class is within one distance bound of its hub, so linked classes have hubs within three.
-        near = common.stored(with_bound(apart, classes, max(0, 100 - 3 * (100 - percent))).where("open").select("a", "b"), "jaccard-near")
+        hubs = open_lists.select("key", "hub", "label", "wide").distinct()
+        ends = hubs.withColumnsRenamed({"hub": "a", "label": "label_a", "wide": "wide_a"}).join(hubs.withColumnsRenamed({"hub": "b", "label": "label_b", "wide": "wide_b"}), "key").where("a < b and label_a <> label_b")
+        # A class is its own hub or within one distance bound of it, so linked classes have hubs within one to three bounds.
+        apart = ends.select("a", "b", (1 + F.col("wide_a") + F.col("wide_b")).alias("reach")).distinct()
+        near = common.stored(with_bound(apart, classes, F.greatest(F.lit(0), 100 - F.col("reach") * (100 - percent))).where("open").select("a", "b"), "jaccard-near")
+        state.add(near, f"hubs{level}")  # often joins the components, and then nothing is left to pair
         both = near.union(near.select("b", "a"))
-        at_a = open_lists.select("key", F.col("hub").alias("a"), F.col("class").alias("u"), F.col("n").alias("n_u")).join(both, "a").select("key", "u", "n_u", F.col("b").alias("hub"))
-        pairs = at_a.join(open_lists.select("key", "hub", F.col("class").alias("v"), F.col("n").alias("n_v")), ["key", "hub"]).where("u < v").where(_sizes_fit(F.col("n_u"), F.col("n_v"), percent))
+        placed = state.marked(open_lists.select("key", "class", "n", F.col("hub").alias("a"))).select("key", "class", "n", "a", "label")
+        at_a = placed.join(both, "a").select("key", F.col("class").alias("u"), F.col("n").alias("n_u"), F.col("label").alias("label_u"), F.col("b").alias("a"))
+        pairs = at_a.join(placed.select("key", "a", F.col("class").alias("v"), F.col("n").alias("n_v"), F.col("label").alias("label_v")), ["key", "a"]).where("u < v and label_u <> label_v").where(_sizes_fit(F.col("n_u"), F.col("n_v"), percent))
         state.add(pairs.select(F.col("u").alias("a"), F.col("v").alias("b")), f"cross{level}")
-        if not len(crowded):
+        if last:
             break
-        refined = lists.join(F.broadcast(spark.createDataFrame(pa.table({"key": common.signed(crowded)}))), "key", "left_semi").select("class").distinct()
+        refined = lists.join(crowded, "key", "left_semi").select("class").distinct()
         only = bit_map(spark, refined.join(classes.select("class", "doc_id"), "class").select("doc_id"))
-        before = (frequent,)
-        frequent = np.sort(np.concatenate([frequent, crowded]))
+        before, frequent = (frequent,), frequent | _bits(crowded)
     own = state.marked(classes.select("class", "doc_id"))
     named = own.join(own.groupBy("label").agg(F.min("doc_id").alias("component_id")), "label").select("class", "component_id")
     return members.join(named, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -348,26 +352,31 @@ class _Links:
         self.links: DataFrame | None = None
         self.marks: DataFrame | None = None
 
-    def add(self, pairs: DataFrame, name: str) -> None:
-        """Judges the pairs that have not been judged before."""
+    def add(self, pairs: DataFrame, name: str) -> int:
+        """Judges the pairs that have not been judged before; returns the number of links found."""
         pairs = pairs.distinct()
         if self.judged is not None:
             pairs = pairs.join(self.judged, ["a", "b"], "left_anti")
         judged, links = verified(pairs, self.classes, self.docs, self.k, self.percent, name)
         self.judged = judged if self.judged is None else self.judged.union(judged)
         self.links = links if self.links is None else self.links.union(links)
-        if self.marks is None or links.limit(1).count():
+        found = links.count()
+        if self.marks is None or found:
             labels = components(self.links)
             ends = self.links.select(F.col("a").alias("node"), "b").union(self.links.select("b", "a"))
             hubs = ends.groupBy("node").agg(F.least(F.min("b"), F.col("node")).alias("hub"))
-            self.marks = common.stored(labels.join(hubs, "node"), "jaccard-marks")
+            wide = hubs.where("hub <> node").select("hub").distinct().withColumn("wide", F.lit(1))
+            self.marks = common.stored(labels.join(hubs, "node").join(wide, "hub", "left").select("node", "label", "hub", F.coalesce("wide", F.lit(0)).alias("wide")), "jaccard-marks")
+        return found
 
     def marked(self, df: DataFrame) -> DataFrame:
-        """Adds the component (label) of the column class and its hub, the smallest class it is linked with directly."""
+        """Adds the component (label) of the column class, its hub, the smallest class it is linked with directly, and whether
+        other classes share this hub (wide)."""
         if self.marks is None:
-            return df.withColumns({"label": F.col("class"), "hub": F.col("class")})
-        out = df.join(self.marks.withColumnsRenamed({"node": "class", "label": "siltstone_label", "hub": "siltstone_hub"}), "class", "left")
-        return out.withColumns({"label": F.coalesce("siltstone_label", "class"), "hub": F.coalesce("siltstone_hub", "class")}).drop("siltstone_label", "siltstone_hub")
+            return df.withColumns({"label": F.col("class"), "hub": F.col("class"), "wide": F.lit(0)})
+        out = df.join(self.marks.withColumnsRenamed({"node": "class", "label": "siltstone_label", "hub": "siltstone_hub", "wide": "siltstone_wide"}), "class", "left")
+        out = out.withColumns({"label": F.coalesce("siltstone_label", "class"), "hub": F.coalesce("siltstone_hub", "class"), "wide": F.coalesce("siltstone_wide", F.lit(0))})
+        return out.drop("siltstone_label", "siltstone_hub", "siltstone_wide")
 
 
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
