@@ -42,7 +42,7 @@ def _digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _gzip(data: bytes, level: int = 1) -> bytes:
+def _gzip(data: bytes, level: int = 6) -> bytes:
     z = zlib.compressobj(level, zlib.DEFLATED, 31)
     return z.compress(data) + z.flush()
 
