@@ -83,14 +83,15 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
-    """Fits the machine on the bucket sets of some documents and their 0/1 labels."""
+def fit(flat: np.ndarray, ends: np.ndarray, labels: np.ndarray, seed: int = 7) -> Model:
+    """Fits the machine on bucket sets (text i has flat[ends[i]:ends[i + 1]]) and their 0/1 labels."""
     rng = np.random.default_rng(seed)
-    sizes = np.array([len(r) for r in rows], np.int64)
-    flat = np.concatenate(rows) if len(rows) else np.zeros(0, np.int64)
-    doc = np.repeat(np.arange(len(rows)), sizes)
-    hit = np.bincount(flat, labels[doc], BUCKETS)
-    seen = np.bincount(flat, minlength=BUCKETS)
+    n = len(labels)
+    # Large arrays stay 32 bits wide: this runs on the driver.
+    hit = np.bincount(flat[np.repeat(labels > 0, np.diff(ends))], minlength=BUCKETS).astype(np.float32)
+    seen = np.zeros(BUCKETS, np.float32)
+    for part in np.array_split(flat, max(1, len(flat) >> 20)):
+        seen += np.bincount(part, minlength=BUCKETS)
     positive, negative = max(1, labels.sum()), max(1, (1 - labels).sum())
     lift = np.abs(hit / positive - (seen - hit) / negative) / np.sqrt(np.maximum(seen, 1))
     lift[seen < LEAST_ROWS] = 0
@@ -98,15 +99,17 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
     chosen = chosen[lift[chosen] > 0]
     feature = np.full(BUCKETS, -1, np.int32)
     feature[chosen] = np.arange(len(chosen))
-    keep = feature[flat] >= 0
-    flat, doc = feature[flat[keep]].astype(np.int64), doc[keep]
-    at = np.searchsorted(doc, np.arange(len(rows) + 1))
+    known = feature[flat]
+    doc = np.repeat(np.arange(n, dtype=np.int32), np.diff(ends))[known >= 0]
+    flat = known[known >= 0]
+    at = np.searchsorted(doc, np.arange(n + 1))
+    del known, doc
     w, v = np.zeros(len(chosen)), rng.normal(0, 0.02, (len(chosen), FACTORS))
     rate = (labels.sum() + 0.5) / (len(labels) + 1)
     bias = float(np.log(rate / (1 - rate)))
     gw, gv, gb = np.full(w.shape, 1e-3), np.full(v.shape, 1e-3), 1e-3
     for _ in range(EPOCHS if len(chosen) else 0):
-        for part in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // 256)):
+        for part in np.array_split(rng.permutation(n), max(1, n // 256)):
             index = np.concatenate([np.arange(at[i], at[i + 1]) for i in part]) if len(part) else np.zeros(0, np.int64)
             k, d = flat[index], np.repeat(np.arange(len(part)), at[part + 1] - at[part])
             vk = v[k]
@@ -146,10 +149,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     # Texts become term sets before the join with the labels; the sample's term sets are what goes to the driver.
     rows = texts.mapInArrow(run, "doc_id long, terms array<int>").join(marked.where(sampled), "doc_id")
     got = rows.select("doc_id", "terms", "y").toArrow().combine_chunks().sort_by("doc_id")
-    y = got.column("y").to_numpy()
-    terms = got.column("terms").combine_chunks()
-    flat, ends = terms.flatten().to_numpy(), np.cumsum(np.append(0, np.asarray(pc.list_value_length(terms))))
-    return fit([flat[a:b].astype(np.int64) for a, b in zip(ends[:-1], ends[1:])], y)
+    y, terms = got.column("y").to_numpy(), got.column("terms").combine_chunks()
+    flat, ends = terms.flatten().to_numpy(), np.append(0, np.cumsum(np.asarray(pc.list_value_length(terms))))
+    return fit(flat, ends, y)
 
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"

@@ -208,7 +208,7 @@ def test_factorization_learns_a_pair():
         a, b = rng.random(2) < 0.5
         rows.append(np.array([10 + rng.integers(5), *([1] if a else []), *([2] if b else [])]))
         labels.append(float(a and b))
-    model = toxicity.fit(rows, np.array(labels))
+    model = toxicity.fit(np.concatenate(rows), np.cumsum([0, *map(len, rows)]), np.array(labels))
     score = lambda *t: toxicity.sigmoid(model.logits(np.array(t), np.array([0, len(t)])))[0]
     assert score(1, 2, 10) > 0.9 and score(1, 10) < 0.2 and score(2, 10) < 0.2
 
