@@ -1,10 +1,11 @@
 """Benchmark decontamination: a BM25 inverted index of the test items, queried by every training passage.
 
 Documents are cut into passages of twice the longest item with a stride of one, so that every run of words as long as
-an item lies whole in some passage. The terms of a passage are the query; an item's score is compared with SHARE of
-the score it would get from its own text. Retrieval returns every item that reaches it, by block-max WAND in batches:
+an item lies whole in some passage. The terms of a passage are the query; an item's score is compared with its bound, a
+score that every passage accepted by verification reaches (see `accepted`). Retrieval returns every item that reaches
+it, by block-max WAND in batches:
 
-* in each block, frequent terms whose impacts stay below SLACK of every item's own score are non-essential and are not
+* in each block, frequent terms whose impacts stay below SLACK of every item's bound are non-essential and are not
   looked up at first: no item can reach its bound by them alone;
 * items are kept in blocks of similar length with the largest impact of each term in the block; a passage skips all
   blocks where the sum of these, and of the non-essential rest, stays below the smallest bound in the block;
@@ -33,8 +34,8 @@ from pyspark.sql import functions as F
 from . import common
 
 K1, B = 1.2, 0.75
-SHARE, SLACK = 0.6, 0.45
 OVERLAP = 0.5
+SLACK = 0.75
 BLOCK_ITEMS = 2
 GRAM = 3
 INDEX_BYTES = 32 << 20
@@ -62,7 +63,7 @@ class Index:
     """Postings of the items in CSR form, block maxima, and the parts of each item for verification."""
 
     def __init__(self, ids: list, texts: list[str]) -> None:
-        sequences, parts = [], []
+        sequences, parts, cuts = [], [], []
         for text in texts:
             words = self._words(text)
             sentences = [s for s in re.split(r"(?<=[.?!])\s+|\n+", text) if len(self._words(s))]
@@ -71,6 +72,7 @@ class Index:
             k = max(1, min(GRAM, len(words)))
             sequences.append(words)
             question = words[: len(words) - last] if len(words) - last >= k else words
+            cuts.append((len(question), len(words) - last, k))
             parts.append((_grams(question, k), _grams(words[len(words) - last :], k), k))
         order = sorted((i for i in range(len(ids)) if len(sequences[i])), key=lambda i: len(sequences[i]))
         self.ids, self.parts = [ids[i] for i in order], [parts[i] for i in order]
@@ -88,14 +90,14 @@ class Index:
         impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[item] / lengths.mean()))
         self.start, self.item, self.impact = np.searchsorted(term, np.arange(len(self.vocabulary) + 1)), item, impact
         self.own = np.bincount(item, impact, self.items)
-        self.bound = SHARE * self.own
-        # Of each item, the terms most frequent among the items are set aside while they make up SLACK of its own score;
+        self.bound = np.array([self.accepted(i, sequences[k], cuts[k], pairs, impact) for i, k in enumerate(order)])
+        # Of each item, the terms most frequent among the items are set aside while they make up SLACK of its bound;
         # a term stays set aside in a block if it is for all items there that have it.
         by_item = np.lexsort((-df[term], item))
         running = np.cumsum(impact[by_item])
         before = np.concatenate([[0.0], running])[np.searchsorted(item[by_item], item[by_item])]
         can = np.empty(len(item), bool)
-        can[by_item] = (running - before <= SLACK * self.own[item[by_item]]) & (df[term[by_item]] > 1)
+        can[by_item] = (running - before <= SLACK * self.bound[item[by_item]]) & (df[term[by_item]] > 1)
         self.blocks = (self.items - 1) // BLOCK_ITEMS + 1
         cells, back = np.unique(term * self.blocks + item // BLOCK_ITEMS, return_inverse=True)
         needed = np.bincount(back, ~can, len(cells)) > 0
@@ -110,6 +112,25 @@ class Index:
         self.hint = np.zeros(1 << 20, bool)
         self.hint[self.vocabulary >> np.uint64(44)] = True
 
+    def accepted(self, item: int, words: np.ndarray, cut: tuple[int, int, int], pairs: np.ndarray, impact: np.ndarray) -> float:
+        """A lower bound of the score of all passages with OVERLAP of the item's question grams and of its answer grams.
+
+        Each term's impact is shared out evenly among the grams that hold it. What any grams hold of it is then at most
+        the impact, so the score is at least the sum of the grams present, and that of the least grams that suffice.
+        """
+        stop, begin, k = cut
+        number = np.searchsorted(self.vocabulary, words)
+        grams = [a + np.unique(common.shingle_hashes(words[a:b], k), return_index=True)[1] for a, b in ((0, stop), (begin, len(words)))]
+        held = np.concatenate(grams)[:, None] + np.arange(k)
+        cells = np.unique(np.repeat(np.arange(len(held)), k) * len(self.vocabulary) + number[held].ravel())
+        row, term = cells // len(self.vocabulary), cells % len(self.vocabulary)
+        _, back, holders = np.unique(term, return_inverse=True, return_counts=True)
+        value = np.bincount(row, impact[np.searchsorted(pairs, term * self.items + item)] / holders[back], len(held))
+        split, total = len(grams[0]), 0.0
+        for part in (value[:split], value[split:]):
+            total += float(np.sort(part)[: int(np.ceil(OVERLAP * len(part) - 1e-9))].sum())
+        return total * (1 - 1e-9)
+
     @staticmethod
     def _words(text: str) -> np.ndarray:
         data = np.frombuffer(common.lowered(pa.array([text]))[0].as_py().encode(), np.uint8)

@@ -171,6 +171,47 @@ def test_wand_returns_all_above_the_bound(spark, sf, rows):
     assert common.BLOCK_BYTES
 
 
+def test_decontamination_finds_half_copies(spark):
+    """Passages of half the question and half the answer, in one run each or in pieces, if verification accepts them."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(7)
+    items = table(spark, "/root/testdata/sf0.1", "benchmark").toPandas()
+    index = decontam.Index(items.item_id.tolist(), items.text.tolist())
+    text_of = dict(zip(items.item_id, items.text))
+    texts, wanted = [], set()
+
+    def halves(run):
+        n = -(-len(run) // 2) + 1
+        at = rng.randrange(len(run) - n + 1) if len(run) > n else 0
+        return run[at : at + n]
+
+    def pieces(run):
+        out, at = [], 0
+        while at < len(run):
+            n = rng.randrange(3, 9)
+            out += run[at : at + n] if rng.random() < 0.6 else ["zzfiller"]
+            at += n
+        return out
+
+    for i, item in enumerate(index.ids):
+        sentences = [s for s in re.split(r"(?<=[.?!])\s+|\n+", text_of[item]) if re.search(r"[^\W_]", s)]
+        answer = sentences[-1].split() if len(sentences) > 1 else text_of[item].split()[-max(1, len(text_of[item].split()) // 3) :]
+        question = text_of[item].split()[: -len(answer)] or answer
+        for cut in (halves, pieces, pieces):
+            text = " ".join(cut(question) + ["zzfiller"] + cut(answer))
+            data = np.frombuffer(text.lower().encode(), np.uint8)
+            words, _ = decontam.terms(data, np.array([0, len(data)]))
+            if min(index.verified(words, i)) >= decontam.OVERLAP and len(words) <= 2 * index.longest:
+                wanted.add((len(texts), i))
+            texts.append(text)
+    data = [t.lower().encode() for t in texts]
+    found = set(index.matches(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)])))
+    assert len(wanted) > 100 and wanted <= found
+
+
 def test_languages_of_held_out_documents(docs, rows):
     got = langid.identify(docs).toPandas().merge(rows[["doc_id", "lang"]], on="doc_id")
     held = got[got.held_out]
