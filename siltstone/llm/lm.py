@@ -8,12 +8,13 @@ The log-bilinear model predicts the next token's class from the two tokens befor
 
     P(class | u, v) = softmax(Q (E1[v] + E2[u]) + b)
 
-The SINGLES most frequent tokens are classes of their own; every other word falls into one of the letter classes, by
-its first letter, and has within it the share (c + 1) / (sum of (c + 1) over the class + 1), the last 1 being for words
-never seen. Class and share make a normalised distribution over tokens. The parameters are fitted in numpy by
-noise-contrastive estimation against the unigram distribution of the classes, on the tokens of a sample of training
-documents whose expected number is bounded by SAMPLE_ROWS; batched matrix products with a full softmax then score all
-tokens of all documents.
+The most frequent tokens are classes of their own; every other word falls into one of the letter classes, by its first
+letter, and has within it the share (c + 1) / (sum of (c + 1) over the class + 1), the last 1 being for words never
+seen. Class and share make a normalised distribution over tokens. The numbers of such classes and of words with inputs
+of their own grow with the training tokens (`sizes`). The parameters are fitted in numpy by noise-contrastive estimation
+against the unigram distribution of the classes: a start on about SAMPLE_ROWS documents, then a pass over all training
+documents, in which every partition goes on from the start and the changes of a row are averaged over partitions,
+weighted by its uses. Batched matrix products with a full softmax then score all tokens of all documents.
 
 Defined results: a null or empty text is its end token alone; without training documents all counts are 0; rows with
 null or repeated doc_id are scored like any other and count as training rows where the id is null; an empty table
@@ -39,6 +40,7 @@ INPUTS = 2048
 WIDTH = 16
 SAMPLE_ROWS = 2_000
 NOISE, EPOCHS, BATCH, RATE = 10, 3, 2048, 0.15
+PASS_NOISE, PASS_BATCH = 32, 1024  # of the pass over all documents; a batch shares its noise
 MERGE = 1 << 20
 
 END = np.uint64(0x5EED0FE2D0C0FFEE)
@@ -96,6 +98,11 @@ def _count_rows(counted: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Iterator[
         yield pa.RecordBatch.from_arrays([pa.array(common.signed(word[part])), pa.array(cls[part].astype(np.int32)), pa.array(n[part])], ["word", "cls", "n"])
 
 
+def sizes(total: int) -> tuple[int, int]:
+    """(classes of a single token, words with an input of their own) for a number of training tokens."""
+    return max(SINGLES, int(np.cbrt(total))), max(INPUTS, int(np.sqrt(total)))
+
+
 class Vocabulary:
     """The frequent words, sorted by hash: counts, classes (singles first, then letter classes) and input numbers."""
 
@@ -106,11 +113,12 @@ class Vocabulary:
         rank[word == END] = -1
         rank = np.argsort(np.argsort(rank, kind="stable"), kind="stable") if len(word) else rank
         self.word, self.n = word, n
-        self.cls = np.where(rank < SINGLES, rank, SINGLES + cls)
-        self.input = np.where(rank < INPUTS, rank, INPUTS + cls)
+        self.singles, self.inputs = sizes(total)
+        self.cls = np.where(rank < self.singles, rank, self.singles + cls)
+        self.input = np.where(rank < self.inputs, rank, self.inputs + cls)
         self.total, self.size, self.least = total, size, least
         # What the letter classes hold without the singles, one place more for words never seen.
-        single = (rank < SINGLES) & (cls >= 0)
+        single = (rank < self.singles) & (cls >= 0)
         self.letters = letter_totals - np.bincount(cls[single], n[single] + 1.0, LETTER_CLASSES) + 1.0
 
     def find(self, h: np.ndarray) -> np.ndarray:
@@ -143,7 +151,6 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(word[order], got.column("cls").to_numpy().astype(np.int64)[order], got.column("n").to_numpy()[order], letters, sum(r["n"] for r in sums), sum(r["words"] for r in sums), least)
 
 
-START_INPUT = INPUTS + LETTER_CLASSES
 CLASSES = SINGLES + LETTER_CLASSES
 
 
@@ -151,21 +158,23 @@ def encode(v: Vocabulary, h: np.ndarray, letter: np.ndarray, at: np.ndarray) ->
     """Of each token: its place among the frequent words, its class, and the input numbers of the two tokens before."""
     place = v.find(h)
     known = place >= 0
-    cls = np.where(letter >= 0, SINGLES + letter, 0)
-    number = np.where(letter >= 0, INPUTS + letter, 0)
+    cls = np.where(letter >= 0, v.singles + letter, 0)
+    number = np.where(letter >= 0, v.inputs + letter, 0)
+    start = v.inputs + LETTER_CLASSES
     cls[known], number[known] = v.cls[place[known]], v.input[place[known]]
     before = np.empty((2, len(h)), np.int64)
     before[0, 1:], before[1, 2:] = number[:-1], number[:-2]
     first = at[:-1]
-    before[:, first] = START_INPUT
+    before[:, first] = start
     second = first[np.diff(at) > 1] + 1
-    before[1, second] = START_INPUT
+    before[1, second] = start
     return place, cls, before[0], before[1]
 
 
 class LogBilinear:
-    def __init__(self, e1: np.ndarray, e2: np.ndarray, q: np.ndarray, b: np.ndarray) -> None:
-        self.e1, self.e2, self.q, self.b = e1, e2, q, b
+    def __init__(self, e1: np.ndarray, e2: np.ndarray, q: np.ndarray, b: np.ndarray, sums: tuple[np.ndarray, ...] = (), noise: np.ndarray | None = None) -> None:
+        """sums: squared gradients so far of e1, e2, q and b; noise: the probabilities of the noise."""
+        self.e1, self.e2, self.q, self.b, self.sums, self.noise = e1, e2, q, b, sums, noise
 
     def log10(self, cls: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """Normalised log10 probabilities of the classes, a few thousand tokens to a matrix product."""
@@ -181,16 +190,17 @@ class LogBilinear:
         return out / np.log(10.0)
 
 
-def fit(cls: np.ndarray, one: np.ndarray, two: np.ndarray, seed: int = 11) -> LogBilinear:
+def fit(cls: np.ndarray, one: np.ndarray, two: np.ndarray, seed: int = 11, singles: int = SINGLES, inputs: int = INPUTS) -> LogBilinear:
     """Noise-contrastive estimation with Adagrad; the noise is the unigram distribution of the classes."""
     rng = np.random.default_rng(seed)
-    freq = np.bincount(cls, minlength=CLASSES) + 0.5
+    classes = singles + LETTER_CLASSES
+    freq = np.bincount(cls, minlength=classes) + 0.5
     noise = freq / freq.sum()
     edges = np.cumsum(noise)[:-1]
     log_kq = np.log(NOISE * noise)
     b = np.log(noise)
-    q = rng.normal(0, 0.1, (CLASSES, WIDTH))
-    e1, e2 = (rng.normal(0, 0.1, (START_INPUT + 1, WIDTH)) for _ in range(2))
+    q = rng.normal(0, 0.1, (classes, WIDTH))
+    e1, e2 = (rng.normal(0, 0.1, (inputs + LETTER_CLASSES + 1, WIDTH)) for _ in range(2))
     sums = [np.full(x.shape, 1e-2) for x in (q, e1, e2, b)]
 
     def descend(x: np.ndarray, total: np.ndarray, index: np.ndarray, grad: np.ndarray) -> None:
@@ -216,7 +226,71 @@ def fit(cls: np.ndarray, one: np.ndarray, two: np.ndarray, seed: int = 11) -> Lo
             descend(b, sums[3], flat, g.reshape(-1, 1))
             descend(e1, sums[1], one[part], dh)
             descend(e2, sums[2], two[part], dh)
-    return LogBilinear(*(x.astype(np.float32) for x in (e1, e2, q, b)))
+    return LogBilinear(*(x.astype(np.float32) for x in (e1, e2, q, b)), tuple(sums[i].astype(np.float32) for i in (1, 2, 0, 3)), noise)
+
+
+class Learner:
+    """Goes on with noise-contrastive estimation from a model, on its own copy; counts the uses of each row."""
+
+    def __init__(self, m: LogBilinear, seed: int) -> None:
+        self.rng, self.noise = np.random.default_rng(seed), m.noise
+        self.edges = np.cumsum(m.noise)[:-1]
+        self.log_kq = np.log(PASS_NOISE * m.noise).astype(np.float32)
+        self.start = m.e1, m.e2, np.column_stack([m.q, m.b])  # a class's bias is the last value of its row
+        self.tables = tuple(x.copy() for x in self.start)
+        self.sums = m.sums[0].copy(), m.sums[1].copy(), np.column_stack([m.sums[2], m.sums[3]])
+        self.uses = tuple(np.zeros(len(x), np.int64) for x in self.start)
+
+    def descend(self, k: int, index: np.ndarray, grad: np.ndarray) -> None:
+        order = np.argsort(index, kind="stable")
+        rows, first = np.unique(index[order], return_index=True)
+        g = np.add.reduceat(grad[order], first, axis=0)
+        self.uses[k][rows] += np.diff(np.append(first, len(order)))
+        self.sums[k][rows] += g * g
+        self.tables[k][rows] -= np.float32(RATE) * g / np.sqrt(self.sums[k][rows])
+
+    def learn(self, cls: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
+        e1, e2, qb = self.tables
+        for a in range(0, len(cls), PASS_BATCH):
+            part = slice(a, a + PASS_BATCH)
+            h = np.column_stack([e1[one[part]] + e2[two[part]], np.ones(len(cls[part]), np.float32)])
+            drawn = np.searchsorted(self.edges, self.rng.random(PASS_NOISE))
+            true, false = qb[cls[part]], qb[drawn]
+            g = -1.0 / (1.0 + np.exp(np.clip((h * true).sum(1) - self.log_kq[cls[part]], -30, 30)))
+            gn = 1.0 / (1.0 + np.exp(-np.clip(h @ false.T - self.log_kq[drawn], -30, 30)))
+            dh = (g[:, None] * true + gn @ false)[:, :-1]
+            self.descend(2, np.concatenate([cls[part], drawn]), np.concatenate([g[:, None] * h, gn.T @ h]))
+            self.descend(0, one[part], dh)
+            self.descend(1, two[part], dh)
+
+
+_VALUES = [f"v{d}" for d in range(WIDTH + 1)]
+CHANGES = "kind int, place int, uses long, " + ", ".join(f"{c} float" for c in _VALUES)
+
+
+def learn_all(docs: DataFrame, v, start) -> LogBilinear:
+    """The model after a pass over all documents; start and v are broadcast."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learner = Learner(start.value, TaskContext.get().partitionId())
+        for batch in batches:
+            for _, buf, off in common.blocks(batch, "text", 1 << 20):
+                learner.learn(*encode(v.value, *tokens(buf, off))[1:])
+        for kind in range(3):
+            rows = np.flatnonzero(learner.uses[kind])
+            change = (learner.tables[kind][rows] - learner.start[kind][rows]) * learner.uses[kind][rows, None]
+            values = [pa.array((change[:, d] if d < change.shape[1] else np.zeros(len(rows))).astype(np.float32)) for d in range(WIDTH + 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), kind, np.int32)), pa.array(rows.astype(np.int32)), pa.array(learner.uses[kind][rows]), *values], ["kind", "place", "uses", *_VALUES])
+
+    changes = docs.select(F.col("text").cast("string")).mapInArrow(run, CHANGES)
+    got = changes.groupBy("kind", "place").agg(F.sum("uses").alias("uses"), *((F.sum(c) / F.sum("uses")).cast("float").alias(c) for c in _VALUES)).toArrow()
+    kind, place = got.column("kind").to_numpy(), got.column("place").to_numpy()
+    change = np.column_stack([got.column(c).to_numpy() for c in _VALUES]).astype(np.float32).reshape(len(kind), WIDTH + 1)
+    m = start.value
+    e1, e2, qb = m.e1.copy(), m.e2.copy(), np.column_stack([m.q, m.b])
+    for k, x in enumerate((e1, e2, qb)):
+        x[place[kind == k]] += change[kind == k][:, : x.shape[1]]
+    return LogBilinear(e1, e2, np.ascontiguousarray(qb[:, :-1]), qb[:, -1].copy())
 
 
 def sample(docs: DataFrame, v, total_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -227,10 +301,10 @@ def sample(docs: DataFrame, v, total_rows: int) -> tuple[np.ndarray, np.ndarray,
         for batch in batches:
             for _, buf, off in common.blocks(batch, "text"):
                 _, cls, one, two = encode(v.value, *tokens(buf, off))
-                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int16)) for x in (cls, one, two)], ["cls", "one", "two"])
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)) for x in (cls, one, two)], ["cls", "one", "two"])
 
     rows = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select(F.col("text").cast("string"))
-    got = rows.mapInArrow(run, "cls short, one short, two short").toArrow()
+    got = rows.mapInArrow(run, "cls int, one int, two int").toArrow()
     return tuple(got.column(c).to_numpy().astype(np.int64) for c in ("cls", "one", "two"))
 
 
@@ -251,8 +325,8 @@ def scored(docs: DataFrame, v, model) -> DataFrame:
                 known = place >= 0
                 share = np.where(known, log_n[place] if len(log_n) else 0.0, 0.0)
                 lp = model.value.log10(cls, one, two)
-                inside = cls >= SINGLES
-                lp[inside] += share[inside] - log_letters[cls[inside] - SINGLES]
+                inside = cls >= voc.singles
+                lp[inside] += share[inside] - log_letters[cls[inside] - voc.singles]
                 counts = np.diff(at)
                 base = np.add.reduceat(share, at[:-1])
                 other = np.flatnonzero(~known & (letter >= 0))
@@ -284,7 +358,8 @@ def score(docs: DataFrame) -> DataFrame:
     v = vocabulary(counts)
     shared = spark.sparkContext.broadcast(v)
     documents = int(v.n[v.word == END].sum())
-    model = spark.sparkContext.broadcast(fit(*sample(learned, shared, documents)))
+    start = spark.sparkContext.broadcast(fit(*sample(learned, shared, documents), singles=v.singles, inputs=v.inputs))
+    model = spark.sparkContext.broadcast(learn_all(learned, shared, start))
     each = common.stored(scored(rows, shared, model), "lm-scored")
     other = each.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
     found = other.join(counts.where(F.col("n") < v.least).select("word", "n"), "word")

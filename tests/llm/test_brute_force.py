@@ -284,6 +284,23 @@ def test_language_model_is_normalised(docs):
     assert abs(total - 1) < 1e-4
 
 
+def test_language_model_learns_from_all_documents(spark, monkeypatch):
+    """Words in fixed pairs: with hardly a document in the sample, the pairs can only be learned from the rest."""
+    import random
+
+    rng = random.Random(4)
+    pairs = [f"{a}x {a}y" for a in "abcdefghijklmnopqrst"]
+    frame = spark.createDataFrame([(i, " ".join(rng.choice(pairs) for _ in range(40))) for i in range(3000)], "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(lm, "SAMPLE_ROWS", 1)
+    got = lm.score(frame).where("held_out").toPandas()
+    assert (got.score - got.base_score).sum() / got.n_tokens.sum() > 0.3
+
+
+def test_language_model_grows_with_the_corpus():
+    small, large = lm.sizes(10**6), lm.sizes(10**9)
+    assert large[0] > small[0] >= lm.SINGLES and large[1] > small[1] >= lm.INPUTS
+
+
 def test_pipeline_against_brute_force(spark, sf, rows):
     """Each stage judged on its own input, and the whole run."""
     out = corpus_pipeline.table(spark, sf, "documents")
