@@ -1,4 +1,7 @@
-"""Graph queries. The edge table joins parts to suppliers where `l_quantity = 50`; supplier pairs share such a part."""
+"""Graph queries. The edge table joins parts to suppliers where `l_quantity = 50`; supplier pairs share such a part.
+
+The queries named `..._whole` are the same over all of lineitem; they have no SQL and are tested by brute force.
+"""
 
 from __future__ import annotations
 
@@ -15,13 +18,13 @@ _EDGES = "edges AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS
 _PAIRS = "pairs AS (SELECT DISTINCT a.l_suppkey AS src, b.l_suppkey AS dst FROM lineitem a JOIN lineitem b USING (l_partkey) WHERE a.l_suppkey <> b.l_suppkey AND a.l_quantity = 50 AND b.l_quantity = 50)"
 
 
-def edges(spark: SparkSession, sf: str) -> DataFrame:
-    rows = load(spark, sf, "lineitem").where("l_quantity = 50")
+def edges(spark: SparkSession, sf: str, lines: str = "l_quantity = 50") -> DataFrame:
+    rows = load(spark, sf, "lineitem").where(lines)
     return graph.edges_of(rows.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("p"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("s")), "p", "s")
 
 
-def supplier_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    rows = load(spark, sf, "lineitem").where("l_quantity = 50").select("l_partkey", "l_suppkey").distinct()
+def supplier_pairs(spark: SparkSession, sf: str, lines: str = "l_quantity = 50") -> DataFrame:
+    rows = load(spark, sf, "lineitem").where(lines).select("l_partkey", "l_suppkey").distinct()
     other = rows.withColumnRenamed("l_suppkey", "dst")
     return rows.withColumnRenamed("l_suppkey", "src").join(other, "l_partkey").where("src <> dst").select("src", "dst").distinct()
 
@@ -117,6 +120,47 @@ FROM k JOIN roles ON roles.cluster = k.cluster AND roles.r = 1 JOIN tops ON tops
 
 @query(_CLUSTERS)
 def cluster_modules(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.clusters(_members(spark, sf), edges(spark, sf), 10, 3)
+
+
+def _members(spark: SparkSession, sf: str) -> DataFrame:
     parts = load(spark, sf, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node"), F.col("p_brand").alias("cluster"), F.col("p_type").alias("role"))
     suppliers = load(spark, sf, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node"), F.lit("suppliers").alias("cluster"), F.lit("supplier").alias("role"))
-    return graph.clusters(parts.union(suppliers), edges(spark, sf), 10, 3)
+    return parts.union(suppliers)
+
+
+# --- the same over the whole table --------------------------------------------------------------------------------
+
+_ALL = "true"
+
+
+@query()
+def graph_edges_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return edges(spark, sf, _ALL)
+
+
+@query()
+def impact_direct_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return supplier_pairs(spark, sf, _ALL)
+
+
+@query()
+def impact_transitive_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.dependents(graph.kept(supplier_pairs(spark, sf, _ALL), "pairs"), 1, 4)
+
+
+@query()
+def graph_bfs_expand_whole(spark: SparkSession, sf: str) -> DataFrame:
+    one = graph.kept(edges(spark, sf, _ALL), "edges")
+    return graph.bfs(one.union(one.select("dst", "src")), spark.range(1).select(F.lit("s1").alias("node")), 3)
+
+
+@query()
+def graph_expand_decay_whole(spark: SparkSession, sf: str) -> DataFrame:
+    seeds = spark.createDataFrame([("s1", 10.0), ("s2", 4.0)], "node string, score double")
+    return graph.expand(graph.kept(edges(spark, sf, _ALL), "edges"), seeds, 2)
+
+
+@query()
+def cluster_modules_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.clusters(_members(spark, sf), edges(spark, sf, _ALL), 10, 3)

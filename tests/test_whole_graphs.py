@@ -1,0 +1,81 @@
+"""The graph queries over all of lineitem against brute force."""
+
+from __future__ import annotations
+
+import collections
+
+import pandas as pd
+import pytest
+
+from siltstone.plans import registry
+
+
+@pytest.fixture(scope="module")
+def lines(sf):
+    return pd.read_parquet(f"{sf}/lineitem.parquet", columns=["l_partkey", "l_suppkey"]).drop_duplicates()
+
+
+@pytest.fixture(scope="module")
+def edges(lines):
+    return {(f"p{p}", f"s{s}") for p, s in zip(lines.l_partkey, lines.l_suppkey)}
+
+
+@pytest.fixture(scope="module")
+def pairs(lines):
+    both = lines.merge(lines, on="l_partkey")
+    return {(a, b) for a, b in zip(both.l_suppkey_x, both.l_suppkey_y) if a != b}
+
+
+def rows(spark, sf, name):
+    return [tuple(r) for r in registry.QUERIES[name](spark, sf).collect()]
+
+
+def hops(arrows, start, depth):
+    near, found, last = collections.defaultdict(set), {start: 0}, {start}
+    for a, b in arrows:
+        near[a].add(b)
+    for hop in range(1, depth + 1):
+        last = {b for a in last for b in near[a]} - set(found)
+        found.update(dict.fromkeys(last, hop))
+    return found
+
+
+def test_edges_and_pairs(spark, sf, edges, pairs):
+    got, near = rows(spark, sf, "graph_edges_whole"), rows(spark, sf, "impact_direct_whole")
+    assert set(got) == edges and len(got) == len(edges)
+    assert set(near) == pairs and len(near) == len(pairs)
+
+
+def test_walks(spark, sf, edges, pairs):
+    want = hops(pairs, 1, 4)
+    assert dict(rows(spark, sf, "impact_transitive_whole")) == {n: h for n, h in want.items() if n != 1}
+    both = edges | {(b, a) for a, b in edges}
+    assert {n: h for _, n, h in rows(spark, sf, "graph_bfs_expand_whole")} == hops(both, "s1", 3)
+    want = {}
+    for seed, score in (("s1", 10.0), ("s2", 4.0)):
+        for p, s in edges:
+            if s == seed:
+                want[p] = max(want.get(p, 0), round(score * 0.7, 6))
+    assert {n: s for n, s, _, _ in rows(spark, sf, "graph_expand_decay_whole")} == pytest.approx(want)
+
+
+def test_modules_and_patterns(spark, sf, edges, lines):
+    want = collections.Counter((f"m{int(p[1:]) % 40}", f"m{int(s[1:]) % 40}") for p, s in edges)
+    got = {(a.split("/")[0], b.split("/")[0]): n for a, b, n in rows(spark, sf, "module_dependencies_whole")}
+    assert got == {k: n for k, n in want.items() if k[0] != k[1]}
+    parts, suppliers = pd.read_parquet(f"{sf}/part.parquet"), pd.read_parquet(f"{sf}/supplier.parquet")
+    full = lines.merge(parts, left_on="l_partkey", right_on="p_partkey").merge(suppliers, left_on="l_suppkey", right_on="s_suppkey")
+    brands = full.groupby("s_nationkey").p_brand.nunique()
+    total = full.p_brand.nunique()
+    assert {(a, b): c for a, b, c in rows(spark, sf, "dependency_patterns_whole")} == {(k, n): pytest.approx(n / total, abs=1e-6) for k, n in brands.items() if n >= 2}
+
+
+def test_clusters(spark, sf, edges):
+    degree = collections.Counter(x for edge in edges for x in edge)
+    parts = pd.read_parquet(f"{sf}/part.parquet")
+    want = collections.Counter()
+    for p, brand in zip(parts.p_partkey, parts.p_brand):
+        want[brand] += degree[f"p{p}"]
+    want["suppliers"] = sum(n for x, n in degree.items() if x[0] == "s")
+    got = registry.QUERIES["cluster_modules_whole"](spark, sf).collect()
+    assert len(got) == 10 and all(r["degree"] == want[r["cluster"]] for r in got)
