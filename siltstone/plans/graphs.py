@@ -164,3 +164,16 @@ def graph_expand_decay_whole(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def cluster_modules_whole(spark: SparkSession, sf: str) -> DataFrame:
     return graph.clusters(_members(spark, sf), edges(spark, sf, _ALL), 10, 3)
+
+
+@query()
+def pagerank_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """All edges, with the operator's own rounds and tolerance."""
+    return graph.pagerank(graph.kept(edges(spark, sf, _ALL), "edges")).select("node", F.round("rank", 9).alias("rank"))
+
+
+@query()
+def pagerank_personalized_whole(spark: SparkSession, sf: str) -> DataFrame:
+    one = graph.kept(edges(spark, sf, _ALL), "edges")
+    weights = graph.nodes(one).select("node", F.when(F.col("node").startswith("s"), 2.0).otherwise(0.0).alias("weight"))
+    return graph.pagerank(one, teleport=weights).select("node", F.round("rank", 9).alias("rank"))
