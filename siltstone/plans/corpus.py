@@ -119,6 +119,11 @@ def disambiguators(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.disambiguators(load(spark, sf, "pages").where("page_id < 40"), "url", "http example")
 
 
+@query()
+def disambiguators_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return retrieval.disambiguators(load(spark, sf, "pages"), "url", "http example")
+
+
 _RRF = """a AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM scored ORDER BY score DESC, doc_id LIMIT 1000),
 b AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r FROM documents ORDER BY n_chars DESC, doc_id LIMIT 1000)"""
 

@@ -1,0 +1,19 @@
+"""Disambiguators of all pages against brute force."""
+
+from __future__ import annotations
+
+import collections
+import re
+
+import pandas as pd
+
+from siltstone.operators.retrieval import GENERIC_TOKENS
+from siltstone.plans import registry
+
+
+def test_disambiguators_of_all_pages(spark, sf):
+    urls = set(pd.read_parquet(f"{sf}/pages.parquet").url.dropna())
+    counts = collections.Counter(t for u in urls for t in set(re.findall("[a-z0-9]+", re.sub(r"(?<=[^/])\.[^./]*$", "", u).lower())))
+    known = {t: n for t, n in counts.items() if len(t) >= 3 and n < len(urls) and t not in {"http", "example", *GENERIC_TOKENS}}
+    want = sorted(known.items(), key=lambda x: (abs(x[1] - len(urls) / 2), -x[1], x[0]))[:3]
+    assert [tuple(r) for r in registry.QUERIES["disambiguators_whole"](spark, sf).collect()] == want
