@@ -5,9 +5,9 @@ languages: expectation-maximisation estimates the mixture proportions, nested la
 log-likelihood less a penalty of half the free proportions times the log of the number of n-grams, and the best set's
 largest proportion names the language.
 
-The model is fitted on a sample of labelled rows whose expected size is bounded by SAMPLE_ROWS, chosen by a hash of
-doc_id, and holds at most MAX_LANGUAGES x BUCKETS numbers; the languages with most rows are kept. Every document is
-scored by its whole text; the score is the proportion drawn a little towards even odds, so that it says less for few n-grams.
+The model knows every language of the labelled rows and holds BUCKETS numbers for each. It is fitted on a sample chosen
+by a hash of doc_id and text: each language has an equal part of SAMPLE_ROWS rows to expect, LEAST_ROWS at least, all of
+its rows where it has no more, and one row in any case. Every document is scored by its whole text; the score is the proportion drawn a little towards even odds, so that it says less for few n-grams.
 
 Defined results: null texts and texts without a letter are `und` with score 0; a table without labelled rows gives
 `und` with score 0 for all; rows with null or repeated doc_id are scored like any other; further columns are ignored.
@@ -28,7 +28,7 @@ from . import common
 BUCKETS = 1 << 15
 N_GRAM = 3
 SAMPLE_ROWS = 20_000
-MAX_LANGUAGES = 64
+LEAST_ROWS = 200
 ITERATIONS = 8
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -65,23 +65,23 @@ _FOLDED[128:] = np.arange(128, 256)
 
 def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """(languages, BUCKETS x languages probabilities) from (doc_id, text, lang) rows; lang is never null."""
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    hashed = labelled.withColumn("h", F.xxhash64("doc_id", "text"))
+    sizes = hashed.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("one")).collect()
     names = sorted(r["lang"] for r in sizes)
     if not names:
         return [], np.zeros((BUCKETS, 0))
-    every = max(1, -(-sum(r["n"] for r in sizes) // SAMPLE_ROWS))
-    rows = labelled.where(F.col("lang").isin(names)).where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
+    share = max(LEAST_ROWS, SAMPLE_ROWS // len(names))
+    picks = labelled.sparkSession.createDataFrame([(r["lang"], max(1, -(-r["n"] // share)), r["one"]) for r in sizes], "lang string, every long, one long")
+    rows = hashed.join(F.broadcast(picks), "lang").where(F.pmod("h", "every") == F.pmod("one", "every"))
     number = {name: k for k, name in enumerate(names)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(names), BUCKETS), np.int64)
         for batch in batches:
             for block, buf, off in common.blocks(batch, "text", lower=True):
                 grams, at = gram_buckets(buf, off)
                 lang = np.array([number[x] for x in block.column("lang").to_pylist()])
-                counts += np.bincount(np.repeat(lang, np.diff(at)) * BUCKETS + grams, minlength=counts.size).reshape(counts.shape)
-        k = np.flatnonzero(counts.ravel())
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(counts.ravel()[k])], ["cell", "n"])
+                cell, n = np.unique(np.repeat(lang, np.diff(at)) * BUCKETS + grams, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], ["cell", "n"])
 
     cells = rows.select("text", "lang").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((len(names), BUCKETS))

@@ -219,6 +219,31 @@ def test_languages_of_held_out_documents(docs, rows):
     assert (held.lang_pred == held.lang).mean() > 0.95 and got.score.between(0, 1).all()
 
 
+def tongues(spark, sizes):
+    """sizes: rows of each language; its words are its own."""
+    import random
+
+    rng = random.Random(6)
+    rows = []
+    for k, n in enumerate(sizes):
+        own = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(6)]
+        rows += [(f"l{k:03}", " ".join(rng.choice(own) for _ in range(12))) for _ in range(n)]
+    return spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
+
+
+def test_more_languages_than_sixty_four(spark):
+    docs = tongues(spark, [30] * 80)
+    got = langid.identify(docs).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").toPandas()
+    assert got.lang.nunique() == 80 and (got.lang == got.lang_pred).mean() > 0.98
+
+
+def test_rare_languages_are_learned_beside_a_large_one(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_ROWS", 10)
+    docs = tongues(spark, [3000, 20, 20])
+    got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang <> 'l000'").toPandas()
+    assert got.lang.nunique() == 2 and (got.lang_pred == got.lang).all()
+
+
 def test_language_mixtures():
     import numpy as np
 
