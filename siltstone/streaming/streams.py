@@ -13,11 +13,17 @@ from ..operators.graph import shared_folder
 LATENESS = "1 day"
 
 
-def event_stream(spark: SparkSession, path: str, per_batch: int = 64) -> DataFrame:
-    """A file stream over a Parquet table; time-zone-free timestamps become UTC timestamps, which watermarks need."""
+def event_stream(spark: SparkSession, path: str, per_batch: int | None = None) -> DataFrame:
+    """A file stream over a Parquet table; time-zone-free timestamps become UTC timestamps, which watermarks need.
+
+    The files that are there make one batch, so that none of a stored table's rows comes behind the watermark, whatever
+    the order of its files. per_batch: at most so many files to a batch, for tables whose files are in time order.
+    """
     table = spark.read.parquet(path)
     schema, files = table.schema, table.inputFiles()
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch)
+    reader = spark.readStream.schema(schema)
+    if per_batch:
+        reader = reader.option("maxFilesPerTrigger", per_batch)
     if len(files) == 1 and files[0].rsplit("/", 1)[-1] == path.rsplit("/", 1)[-1]:  # a single file is read through its folder
         folder, name = path.rsplit("/", 1)
         raw = reader.option("pathGlobFilter", name).parquet(folder)
