@@ -10,11 +10,13 @@ import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BLOCK_BYTES = 2 << 20
 
@@ -24,9 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The shared folder named by spark.checkpoint.dir. Only a local session may go without: a temporary folder is named there."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="siltstone-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -36,10 +40,34 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+_open_scratch: ContextVar[list[str] | None] = ContextVar("open_scratch", default=None)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables stored inside are deleted at the end, but for those stored with keep=True."""
+    paths: list[str] = []
+    token = _open_scratch.set(paths)
+    try:
+        yield
+    finally:
+        _open_scratch.reset(token)
+        for path in paths:
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store it lies."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage ends at files every executor can read."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if not keep and _open_scratch.get() is not None:
+        _open_scratch.get().append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -185,3 +213,47 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
 
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
+
+
+# --- bit maps -----------------------------------------------------------------------------------------------------
+
+
+LEAST_BITS, MOST_BITS = 20, 27  # of a bit map, as a power of two
+
+
+def _slot(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    return (mix(h.view(np.uint64) ^ BASE) & np.uint64(len(bits) * 64 - 1)).astype(np.int64)
+
+
+def lets_through(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    slot = _slot(ids, bits)
+    return bits[slot >> 6] >> (slot & 63) & 1 == 1
+
+
+def bit_map(ids: DataFrame):
+    """A broadcast bit map that lets through all ids of a one-column table and few others; its size has a fixed limit."""
+    words = 1 << (min(MOST_BITS, max(LEAST_BITS, (16 * ids.count()).bit_length())) - 6)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(words, np.int64)
+        for batch in batches:
+            slot = _slot(ints(batch.column(0)), bits)
+            np.bitwise_or.at(bits, slot >> 6, np.int64(1) << (slot & 63))
+        at = np.flatnonzero(bits)
+        for a in range(0, len(at), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(at[a : a + 10_000]), pa.array(bits[at[a : a + 10_000]])], ["word", "bits"])
+
+    found = ids.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(words, np.int64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return ids.sparkSession.sparkContext.broadcast(out)
+
+
+def passing(df: DataFrame, column: str, bits, through: bool = True) -> DataFrame:
+    """The rows whose number in `column` may be in the bit map, or (through=False) those whose number is not."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(lets_through(bits.value, ints(batch.column(column))) == through))
+
+    return df.mapInArrow(run, df.schema)

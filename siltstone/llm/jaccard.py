@@ -3,33 +3,42 @@
 Two documents link when 100 * |x & y| >= percent * |x | y|. Documents with the same set are one class, known by a hash
 of the set; the join runs over classes.
 
-Tokens are ordered: rare ones first, frequent ones last, by hash within. Linked sets share their smallest common token
-within the first n - ceil(percent n / 100) + 1 tokens of both, and their two smallest within one token more. So rare tokens
-of the first prefix are indexed alone, and of the frequent ones in the extended prefix all pairs: either the smallest
-common token is rare, or the two smallest are both frequent. Any fixed set of frequent tokens keeps this exact; it is
-estimated as the tokens that occur in texts with many different smallest shingles (so that a group of copies alone does
-not make its tokens frequent), and kept as a bit map of fixed size, so that its broadcast does not grow.
-
-Links are verified on the whole texts, without pairing everything with everything in a group of copies:
-
-1. in each posting list of the first index every class is paired with the list's smallest class only; the links found make components, and
-   give every class a hub, the smallest class it is linked with directly;
-2. lists with classes of several components are paired hub with hub. As the Jaccard distance is a metric, linked classes
-   have hubs within the distance bound, and once more for each hub that stands for others; only where hubs are that near
-   are their classes paired;
-3. tokens whose lists hold more than CROWD hubs and several components join the frequent ones instead, and the classes in
-   these lists get the index rows that the new order adds (LEVELS times at most; what is crowded then is paired as in 2).
-
-A pair is first held against a bound that costs no text: two sets differ in at least as many tokens as the parities of
-their tokens by hash slot differ.
+Tokens (shingle hashes) are ordered: rare ones first, frequent ones last, by hash within. A set's index rows are
+
+- single tokens for rare ones: linked sets share their smallest common token within the first n - ceil(percent n / 100) + 1
+  tokens of both, so if that token is rare, both have it in the index;
+- combinations of k tokens for frequent ones: else all common tokens are frequent, and a set with more rare tokens than
+  that prefix needs none. Linked sets differ in at most D tokens. The merged frequent tokens of both, cut into D + 1 blocks
+  of k, hold one block without a difference: k tokens that follow one another in both sets, within the first k (D + 1) of
+  each. So the prefix is extended to k (D + 1) tokens and the runs of k in it are the keys: their number is linear in the
+  set. k is 4 where the frequent tokens are enough for D + 1 blocks of 4 and goes down to 1 for the smallest sets; a set
+  near such a bound has keys for both. A set's own rare tokens count against D, as no linked set has them here.
+
+Frequent are the tokens of CROWD classes or more, counted over the whole table (as 32 + b bit slots in 2**b buckets, so that
+a bucket stays small); any fixed set keeps the join exact, so slots may collide, and at most MOST_FREQUENT of them, those
+with the highest counts, are kept as a bit map, whose broadcast therefore does not grow.
+
+Every index row carries what bounds the difference of a pair from below without a look at the texts: the tokens known
+not to be common, the place in the order, and the number of tokens after. Links are found without pairing a group with itself:
+
+1. star: in each posting list every class is paired with the list's centre only, the one with the fewest rare tokens; the
+   links found make components;
+2. rest: in lists with several components, the classes outside the centre's component meet those of other components, as far
+   as the bounds allow.
+
+A pair is then held against the parities of its sets by hash slot (two sets differ in at least as many tokens as their
+parities differ) and, if still open, judged on the whole sets, made again from the texts. A centre's set travels once for
+every SALT of its pairs, not with each of them.
 
 Defined results: a text with fewer words than k is one shingle; null texts and texts without words have empty sets,
-link with nothing and are their own component; repeated rows and doc_ids are kept; a component is named by the
-smallest doc_id in it; an empty table gives no rows; further columns are ignored.
+link with nothing and are their own component; repeated rows and doc_ids are kept, and rows with a null doc_id take part in
+links; a component is named by the smallest doc_id in it (null if all are); an empty table gives no rows; further columns
+are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,19 +49,26 @@ from pyspark.sql import functions as F
 from . import common
 from .components import components
 
-LOCAL_TOKENS = 1 << 20  # tokens of distinct texts looked at together
-LOCAL_LEAST = 6  # different smallest shingles among these that make a token a candidate
-CROWD, LEVELS = 6, 2
-FILTER_BITS = 1 << 24
+CROWD = 30  # classes that make a token frequent
+MOST_FREQUENT = 1 << 21
+MOST_K = 4
+FLUSH_TOKENS = 1 << 20  # counted together in a task
+BUCKET_TOKENS = 1 << 21  # counted together after the shuffle
 NARROW, WIDE = 9, 12  # bits of a hash slot; sets of more than LARGE tokens have both kinds of parities
 LARGE = 1200
-_ODD = np.uint64(1)  # set in the keys of token pairs, clear in tokens
+SALT = 512
+_ODD = np.uint64(1)  # set in the keys of combinations, clear in tokens
 
 
 def overlap_needed(n, percent: int):
     return (percent * n + 99) // 100
 
 
+def linkable(n: int, percent: int) -> bool:
+    """Whether a set of n tokens can link with another one than itself."""
+    return 100 * n >= percent * (n + 1)
+
+
 def sets_of(buf: np.ndarray, off: np.ndarray, k: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text; all runs of the block are hashed at once, those across texts unused."""
     starts, ends, at = common.word_spans(buf, off)
@@ -80,156 +96,198 @@ def parities(tokens: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _frequent_here(tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of some sets that occur with LOCAL_LEAST different smallest tokens, and with how many."""
-    flat = np.concatenate(tokens)
-    unique, back, n = np.unique(flat, return_inverse=True, return_counts=True)
-    smallest = np.repeat(np.array([t[0] for t in tokens]), [len(t) for t in tokens])
-    _, smallest = np.unique(smallest, return_inverse=True)
-    keep = n[back] >= LOCAL_LEAST
-    pairs = np.unique(back[keep] * (int(smallest.max()) + 1) + smallest[keep])
-    token, times = np.unique(pairs // (int(smallest.max()) + 1), return_counts=True)
-    good = times >= LOCAL_LEAST
-    return unique[token[good]], times[good]
-
-
 def survey(docs: DataFrame, k: int) -> DataFrame:
-    """Rows of two kinds. 0: a document (a its id, b its class, n its set's size, its parities); 1: a token (a) found n times in part."""
+    """doc_id, class, n (tokens of the set) and parity of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        held, size = [], 0
         for batch in batches:
             for block, buf, off in common.blocks(batch, "text"):
                 sets = list(sets_of(buf, off, k))
-                classes = [signature(s) for s in sets]
-                yield _survey_rows(0, block.column("doc_id"), pa.array(classes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), [parities(s) for s in sets])
-                for s, c in zip(sets, classes):
-                    if len(s) and c not in seen:
-                        seen.add(c)
-                        held.append(s)
-                        size += len(s)
-                if size >= LOCAL_TOKENS:
-                    token, n = _frequent_here(held)
-                    yield _survey_rows(1, pa.array(common.signed(token)), pa.nulls(len(n), pa.int64()), pa.array(n))
-                    held, size = [], 0
-        if held:
-            token, n = _frequent_here(held)
-            yield _survey_rows(1, pa.array(common.signed(token)), pa.nulls(len(n), pa.int64()), pa.array(n))
-
-    return docs.mapInArrow(run, "kind int, a long, b long, n long, parity array<long>")
-
-
-def _survey_rows(kind: int, a: pa.Array, b: pa.Array, n: pa.Array, parity: list[np.ndarray] | None = None) -> pa.RecordBatch:
-    ends = np.cumsum([0, *map(len, parity)]) if parity else np.zeros(len(a) + 1)
-    words = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(parity) if parity else np.zeros(0, np.int64), pa.int64()))
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), a, b, n.cast(pa.int64()), words], ["kind", "a", "b", "n", "parity"])
+                words = [parities(s) for s in sets]
+                ends = pa.array(np.cumsum([0, *map(len, words)]).astype(np.int32))
+                columns = [block.column("doc_id"), pa.array([signature(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(words)))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "class", "n", "parity"])
+
+    return docs.mapInArrow(run, "doc_id long, class long, n long, parity array<long>")
+
+
+def _chosen_sets(batches: Iterator[pa.RecordBatch], only, k: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(class, set) of the documents whose id the bit map `only` lets through, or which have none; a task gives each class once."""
+    seen: set[int] = set()
+    for batch in batches:
+        ids = batch.column("doc_id")
+        batch = batch.filter(pa.array(common.lets_through(only.value, common.ints(ids)) | ids.is_null().to_numpy(zero_copy_only=False)))
+        for _, buf, off in common.blocks(batch, "text"):
+            for s in sets_of(buf, off, k):
+                c = signature(s)
+                if len(s) and c not in seen:
+                    seen.add(c)
+                    yield c, s
 
 
-def prefix_keys(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """The index keys of one set: its rare prefix tokens, and all pairs of frequent tokens in the extended prefix.
+# --- frequent tokens ----------------------------------------------------------------------------------------------
 
-    frequent: a bit map; tokens that share a slot with a frequent one count as frequent too, for all sets alike.
-    """
-    n = len(tokens)
-    if 100 * n < percent * (n + 1):
-        return tokens[:0]  # only an equal set can link
-    p = n - overlap_needed(n, percent) + 1
-    often = _lets_through(frequent, tokens.view(np.int64))
-    rare = tokens[~often]
-    if len(rare) >= p:
-        return rare[:p]
-    last = tokens[often][: p + 1 - len(rare)]
-    i, j = np.triu_indices(len(last), 1)
-    return np.concatenate([rare, common.mix(last[i] * common.BASE + last[j]) | _ODD])
 
+def frequent_tokens(docs: DataFrame, only, total: int, k: int, percent: int):
+    """(bit map of the slots of frequent tokens, bits that a token is shifted by to give its slot)."""
+    bucket_bits = max(0, (total // BUCKET_TOKENS).bit_length())
 
-def index(docs: DataFrame, only, frequent, before, k: int, percent: int) -> DataFrame:
-    """key, class, n: the index rows of the classes of documents that the bit map `only` lets through (or without an id).
+    def pieces(flat: np.ndarray) -> pa.RecordBatch:
+        slots, n = np.unique(flat >> np.uint64(32 - bucket_bits), return_counts=True)
+        bucket, low, n = (slots >> np.uint64(32)).astype(np.int64), (slots & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.minimum(n, 0xFFFF).astype(np.uint16)
+        rows = []
+        for b, start, end in _groups_of(bucket):
+            once = n[start:end] == 1
+            rows.append((b, low[start:end][once].tobytes(), low[start:end][~once].tobytes(), n[start:end][~once].tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "once", "more", "times"])
 
-    With `before`, only those rows that the order of these frequent tokens lacked.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        held: list[tuple[np.ndarray, int, int]] = []
-        total = 0
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for _, s in _chosen_sets(batches, only, k):
+            if linkable(len(s), percent):
+                held.append(s)
+                size += len(s)
+            if size >= FLUSH_TOKENS:
+                yield pieces(np.concatenate(held))
+                held, size = [], 0
+        if held:
+            yield pieces(np.concatenate(held))
+
+    def total_of(bucket: int, held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        low, n = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(low, kind="stable")
+        low, n = low[order], n[order]
+        first = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
+        sums = np.add.reduceat(n.astype(np.int64), first)
+        many = sums >= CROWD
+        return pa.RecordBatch.from_arrays([pa.array((bucket << 32) + low[first][many].astype(np.int64)), pa.array(sums[many])], ["slot", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
         for batch in batches:
-            ids = batch.column("doc_id")
-            batch = batch.filter(pa.array(_lets_through(only.value, common.ints(ids)) | ids.is_null().to_numpy(zero_copy_only=False)))
-            for _, buf, off in common.blocks(batch, "text"):
-                for s in sets_of(buf, off, k):
-                    c = signature(s)
-                    if c in seen:
-                        continue
-                    seen.add(c)
-                    keys = prefix_keys(s, frequent.value, percent)
-                    if before is not None:
-                        keys = np.setdiff1d(keys, prefix_keys(s, before.value, percent), assume_unique=True)
-                    held.append((keys, c, len(s)))
-                    total += len(keys)
-                    if total > 200_000:
-                        yield _index_rows(held)
-                        held, total = [], 0
+            for bucket, once, more, times in zip(*(batch.column(c).to_pylist() for c in ("bucket", "once", "more", "times"))):
+                if held and bucket != now:
+                    yield total_of(now, held)
+                    held = []
+                now = bucket
+                ones = np.frombuffer(once, np.uint32)
+                held += [(ones, np.ones(len(ones), np.uint16)), (np.frombuffer(more, np.uint32), np.frombuffer(times, np.uint16))]
         if held:
-            yield _index_rows(held)
+            yield total_of(now, held)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "key long, class long, n int")
+    dealt = docs.mapInArrow(deal, "bucket long, once binary, more binary, times binary").repartition("bucket").sortWithinPartitions("bucket")
+    found = common.stored(dealt.mapInArrow(count, "slot long, n long"), "jaccard-frequent")
+    if found.count() > MOST_FREQUENT:
+        least = found.groupBy("n").count().withColumnRenamed("count", "slots")
+        above = sum_above(least, MOST_FREQUENT)
+        found = found.where(F.col("n") > above)
+    return common.bit_map(found.select("slot")), 32 - bucket_bits
 
 
-def _index_rows(held: list[tuple[np.ndarray, int, int]]) -> pa.RecordBatch:
-    sizes = [len(x[0]) for x in held]
-    columns = (np.repeat(np.array([x[1] for x in held], np.int64), sizes), np.repeat(np.array([x[2] for x in held], np.int32), sizes))
-    return pa.RecordBatch.from_arrays([pa.array(common.signed(np.concatenate([x[0] for x in held]))), *map(pa.array, columns)], ["key", "class", "n"])
+def sum_above(counts: DataFrame, most: int) -> int:
+    """The smallest n such that at most `most` slots have more; counts are (n, slots), few rows."""
+    left, bound = most, 0
+    for r in counts.orderBy(F.desc("n")).toLocalIterator():
+        left, bound = left - r["slots"], r["n"]
+        if left < 0:
+            return bound
+    return 0
 
 
-def _sizes_fit(a: Column, b: Column, percent: int | Column) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+def _groups_of(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, start, end) of the runs of equal values."""
+    cuts = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(values)]):
+        yield int(values[a]), a, b
 
 
-def _slot(h: np.ndarray) -> np.ndarray:
-    return (common.mix(h.view(np.uint64) ^ common.BASE) % np.uint64(FILTER_BITS)).astype(np.int64)
+# --- index --------------------------------------------------------------------------------------------------------
 
 
-def _lets_through(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    slot = _slot(ids)
-    return bits[slot >> 6] >> (slot & 63) & 1 == 1
+@functools.lru_cache
+def run_lengths(percent: int) -> np.ndarray:
+    """For each number m of frequent tokens, the length k of the combinations: the most that m and all above have room for, D + 1 times."""
+    m = np.arange(1024)
+    d = (100 - percent) * m // percent
+    k = np.ones(len(m), np.int64)
+    for length in range(2, MOST_K + 1):
+        k[length * (d + 1) <= m] = length
+    return np.minimum.accumulate(k[::-1])[::-1]
 
 
-def _bits(ids: DataFrame) -> np.ndarray:
-    """A bit map of FILTER_BITS bits, whatever the number of ids: it lets through all of them and few others."""
+def prefix_rows(tokens: np.ndarray, often: np.ndarray, percent: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Parts of a set's index rows as (key, bare, pos, step); often: which tokens are frequent.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS >> 6, np.int64)
-        for batch in batches:
-            slot = _slot(common.ints(batch.column(0)))
-            np.bitwise_or.at(bits, slot >> 6, np.int64(1) << (slot & 63))
-        at = np.flatnonzero(bits)
-        for a in range(0, len(at), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array(at[a : a + 10_000]), pa.array(bits[at[a : a + 10_000]])], ["word", "bits"])
-
-    words = ids.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(FILTER_BITS >> 6, np.int64)
-    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    bare: tokens that a linked set which shares this key first cannot have; pos: place of the key among the others; step:
+    blocks that lie before it.
+    """
+    n = len(tokens)
+    if not linkable(n, percent):
+        return []
+    p = n - overlap_needed(n, percent) + 1
+    rare = tokens[~often]
+    first = rare[:p]
+    none = np.zeros(len(first), np.int64)
+    out = [(first, np.arange(len(first)), none, none)]
+    if len(rare) >= p:
+        return out
+    f = tokens[often]
+    m, table = len(f), run_lengths(percent)
+    reach = max((100 - percent) * m // percent - len(rare), 0) + 1
+    lowest, highest = (int(table[min(x, len(table) - 1)]) for x in (overlap_needed(m, percent), m))
+    for k in range(lowest, highest + 1):
+        part = f[: k * reach]
+        if len(part) < k:
+            continue
+        h = np.full(len(part) - k + 1, np.uint64(k))
+        for j in range(k):
+            h = h * common.BASE + part[j : len(part) - k + 1 + j]
+        pos = np.arange(len(h))
+        out.append((common.mix(h) | _ODD, np.full(len(h), len(rare)), pos, pos // k))
     return out
 
 
-def bit_map(spark: SparkSession, ids: DataFrame):
-    return spark.sparkContext.broadcast(_bits(ids))
+INDEX = "key long, class long, n int, bare int, pos int, step int"
 
 
-def passing(df: DataFrame, column: str, bits) -> DataFrame:
-    """The rows whose number in `column` may be in the bit map."""
+def index(docs: DataFrame, only, frequent, shift: int, k: int, percent: int) -> DataFrame:
+    """The index rows of the classes of documents that the bit map `only` lets through (or without an id)."""
+
+    def rows(held: list) -> pa.RecordBatch:
+        sizes = [len(x[0]) for x in held]
+        flat = [np.concatenate([x[j] for x in held]) for j in range(4)]
+        own = [np.repeat(np.array([x[j] for x in held], t), sizes) for j, t in ((4, np.int64), (5, np.int32))]
+        return pa.RecordBatch.from_arrays([pa.array(common.signed(flat[0])), *map(pa.array, own), *(pa.array(x.astype(np.int32)) for x in flat[1:])], [c.split()[0] for c in INDEX.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(_lets_through(bits.value, common.ints(batch.column(column)))))
+        held, total = [], 0
+        for c, s in _chosen_sets(batches, only, k):
+            often = common.lets_through(frequent.value, (s >> np.uint64(shift)).view(np.int64))
+            for part in prefix_rows(s, often, percent):
+                held.append((*part, c, len(s)))
+                total += len(part[0])
+            if total > 200_000:
+                yield rows(held)
+                held, total = [], 0
+        if held:
+            yield rows(held)
+
+    return docs.mapInArrow(run, INDEX)
+
+
+def may_link(x: str, y: str, percent: int) -> Column:
+    """Whether the index rows of two sets in one posting list, the first that they share, leave room for a link."""
+    a, b = (lambda name: F.col(f"{x}.{name}")), (lambda name: F.col(f"{y}.{name}"))
+    rest = lambda c: c("n") - c("bare") - c("pos")
+    least = a("bare") + b("bare") + F.greatest(F.abs(a("pos") - b("pos")), a("step"), b("step")) + F.abs(rest(a) - rest(b))
+    return least * (100 + percent) <= (a("n") + b("n")) * (100 - percent)
 
-    return df.mapInArrow(run, df.schema)
 
+# --- verification -------------------------------------------------------------------------------------------------
 
-def with_bound(pairs: DataFrame, classes: DataFrame, percent: int | Column) -> DataFrame:
-    """a, b, doc_a, doc_b, open: whether the parities leave it possible that the pair reaches a Jaccard similarity of percent."""
+
+def still_open(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """a, b, doc_a, doc_b of the pairs whose parities leave it possible that they link."""
 
     def end(x: str) -> DataFrame:
         return classes.select(F.col("class").alias(x), F.col("doc_id").alias(f"doc_{x}"), F.col("n").alias(f"n_{x}"), F.col("parity").alias(f"parity_{x}"))
@@ -242,143 +300,101 @@ def with_bound(pairs: DataFrame, classes: DataFrame, percent: int | Column) -> D
 
     both_wide = (F.size("parity_a") > narrow) & (F.size("parity_b") > narrow)
     differ = F.when(both_wide, different(narrow + 1, wide)).otherwise(different(1, narrow))
-    share = F.lit(percent) if isinstance(percent, int) else percent
-    open_ = (differ * (100 + share) <= (F.col("n_a") + F.col("n_b")) * (100 - share)) & _sizes_fit(F.col("n_a"), F.col("n_b"), percent)
-    return pairs.join(end("a"), "a").join(end("b"), "b").select("a", "b", "doc_a", "doc_b", open_.alias("open"))
+    may = differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)
+    return pairs.join(end("a"), "a").join(end("b"), "b").where(may).select("a", "b", "doc_a", "doc_b")
+
+
+def judged(likely: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The linked ones (a, b) of distinct pairs (a, b, doc_a, doc_b), by their whole sets."""
+    ends = likely.select(F.col("a").alias("class"), F.col("doc_a").alias("doc_id")).union(likely.select("b", "doc_b")).distinct()
+    ends = common.stored(ends, "jaccard-ends")
+    only, wanted = common.bit_map(ends.where("doc_id is not null").select("doc_id")), common.bit_map(ends.select("class"))
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, held, size = [], [], 0
+        for c, s in _chosen_sets(batches, only, k):
+            if not common.lets_through(wanted.value, np.array([c]))[0]:
+                continue
+            classes.append(c), held.append(s.tobytes())
+            size += len(s)
+            if size > 1 << 18:
+                yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(held, pa.binary())], ["class", "tokens"])
+                classes, held, size = [], [], 0
+        if classes:
+            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(held, pa.binary())], ["class", "tokens"])
+
+    sets = common.stored(docs.mapInArrow(fetch, "class long, tokens binary"), "jaccard-sets")
+    stars = likely.groupBy("a").agg((F.floor(F.count("*") / SALT) + 1).alias("salts"))
+    salted = likely.select("a", "b").join(stars, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"))
+    others = salted.join(sets.withColumnRenamed("class", "b"), "b").select("a", "salt", "b", "tokens")
+    centres = sets.withColumnRenamed("class", "a").join(stars, "a").select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "tokens")
 
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre, x = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            found = []
+            for a, b, tokens in zip(*(batch.column(c) for c in ("a", "b", "tokens"))):
+                y, a, b = np.frombuffer(tokens.as_buffer(), np.uint64), a.as_py(), b.as_py()
+                if b is None:
+                    centre, x = a, y.copy()
+                elif a == centre:
+                    both = np.intersect1d(x, y, assume_unique=True).size
+                    if 100 * both >= percent * (len(x) + len(y) - both):
+                        found.append((a, b))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)], ["a", "b"])
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int, name: str) -> tuple[DataFrame, DataFrame]:
-    """(the pairs, the linked ones) of distinct pairs of classes (a, b), judged by the parity bound, else on the whole texts of one document of each."""
-    spark = docs.sparkSession
+    met = centres.unionByName(others).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    return met.select("a", "b", "tokens").mapInArrow(judge, "a long, b long").distinct()
 
-    named = common.stored(with_bound(pairs, classes, percent), f"jaccard-{name}-named")
-    likely = named.where("open").drop("open")
-    bits = bit_map(spark, likely.select(F.col("doc_a").alias("doc_id")).union(likely.select("doc_b")))
-    texts = passing(docs.where(F.col("doc_id").isNotNull()), "doc_id", bits)
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, np.ndarray] = {}
-
-        def tokens(c: int, text: str) -> np.ndarray | None:
-            """The set of a class; None if the text (of a repeated doc_id) is not of this class."""
-            if c not in known:
-                data = np.frombuffer(text.encode(), np.uint8)
-                made = next(sets_of(data, np.array([0, len(data)]), k))
-                if signature(made) != c:
-                    return None
-                if len(known) > 64:
-                    known.clear()
-                known[c] = made
-            return known[c]
-
-        for batch in (whole.slice(at, 64) for whole in batches for at in range(0, whole.num_rows, 64)):
-            rows = []
-            for a, b, text_a, text_b in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b"))):
-                x, y = tokens(a, text_a), tokens(b, text_b)
-                if x is not None and y is not None:
-                    both = np.intersect1d(x, y, assume_unique=True).size
-                    rows.append((a, b, 100 * both >= percent * (len(x) + len(y) - both)))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["a", "b", "linked"])
+def _ordered(x: Column, y: Column) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
 
-    with_b = likely.join(texts.select(F.col("doc_id").alias("doc_b"), F.col("text").alias("text_b")), "doc_b")
-    full = with_b.join(texts.select(F.col("doc_id").alias("doc_a"), F.col("text").alias("text_a")), "doc_a")
-    found = full.select("a", "b", "text_a", "text_b").mapInArrow(judge, "a long, b long, linked boolean").where("linked").select("a", "b").distinct()
-    return named.select("a", "b"), common.stored(found, f"jaccard-{name}")
+# --- groups -------------------------------------------------------------------------------------------------------
 
 
 def groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id for every document."""
-    with common.small_batches(docs.sparkSession):
-        return _groups(docs, k, percent)
+    spark = docs.sparkSession
+    with common.small_batches(spark, 256), common.scratch(spark):
+        return common.stored(_groups(docs, k, percent), "jaccard-groups", keep=True)
 
 
 def _groups(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     surveyed = common.stored(survey(docs, k), "jaccard-survey")
-    members = surveyed.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("class"), F.col("n").alias("n_shingles"))
-    one = surveyed.where("kind = 0 and n > 0").groupBy(F.col("b").alias("class")).agg(F.min("a").alias("doc_id"), F.max("n").alias("n"), F.max("parity").alias("parity"))
-    classes = common.stored(one, "jaccard-classes")
-    frequent = _bits(surveyed.where("kind = 1").select("a"))
-    state = _Links(classes, docs, k, percent)
-    share = spark.sparkContext.broadcast
-    only, before, rows = bit_map(spark, classes.select("doc_id")), None, None
-    for level in range(LEVELS):
-        new = common.stored(index(docs, only, share(frequent), before and share(before[0]), k, percent), "jaccard-index")
-        # Older index rows matter where a new one has their key.
-        met = new if rows is None else common.stored(passing(rows, "key", bit_map(spark, new.select("key"))).union(new), "jaccard-met")
-        rows = new if rows is None else rows.union(new)
-        keys = met.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("key", "low")
-        keys = common.stored(keys, "jaccard-keys")
-        lists = common.stored(passing(met, "key", bit_map(spark, keys.select("key"))).join(keys, "key").select("key", "class", "n", "low"), "jaccard-lists")
-        if not level:
-            state.add(lists.where("class <> low").select(F.col("low").alias("a"), F.col("class").alias("b")), "star")
-        lists = lists.drop("low")
-        # By list, the hubs of its classes; lists within one component are done.
-        hubs = state.marked(lists).select("key", "hub", "label").distinct()
-        mixed = common.stored(hubs.groupBy("key").agg(F.count("*").alias("hubs"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key", "hubs"), "jaccard-mixed")
-        crowded = mixed.where((F.col("key") % 2 == 0) & (F.col("hubs") > CROWD)).select("key")
-        last = level == LEVELS - 1 or not crowded.limit(1).count()
-        open_keys = mixed.select("key") if last else mixed.where((F.col("key") % 2 != 0) | (F.col("hubs") <= CROWD)).select("key")
-        open_lists = common.stored(state.marked(lists.join(open_keys, "key", "left_semi")), "jaccard-open")
-        hubs = open_lists.select("key", "hub", "label", "wide").distinct()
-        ends = hubs.withColumnsRenamed({"hub": "a", "label": "label_a", "wide": "wide_a"}).join(hubs.withColumnsRenamed({"hub": "b", "label": "label_b", "wide": "wide_b"}), "key").where("a < b and label_a <> label_b")
-        # A class is its own hub or within one distance bound of it, so linked classes have hubs within one to three bounds.
-        apart = ends.select("a", "b", (1 + F.col("wide_a") + F.col("wide_b")).alias("reach")).distinct()
-        near = common.stored(with_bound(apart, classes, F.greatest(F.lit(0), 100 - F.col("reach") * (100 - percent))).where("open").select("a", "b"), "jaccard-near")
-        state.add(near, f"hubs{level}")  # often joins the components, and then nothing is left to pair
-        both = near.union(near.select("b", "a"))
-        placed = state.marked(open_lists.select("key", "class", "n", F.col("hub").alias("a"))).select("key", "class", "n", "a", "label")
-        at_a = placed.join(both, "a").select("key", F.col("class").alias("u"), F.col("n").alias("n_u"), F.col("label").alias("label_u"), F.col("b").alias("a"))
-        pairs = at_a.join(placed.select("key", "a", F.col("class").alias("v"), F.col("n").alias("n_v"), F.col("label").alias("label_v")), ["key", "a"]).where("u < v and label_u <> label_v").where(_sizes_fit(F.col("n_u"), F.col("n_v"), percent))
-        state.add(pairs.select(F.col("u").alias("a"), F.col("v").alias("b")), f"cross{level}")
-        if last:
-            break
-        refined = lists.join(crowded, "key", "left_semi").select("class").distinct()
-        only = bit_map(spark, refined.join(classes.select("class", "doc_id"), "class").select("doc_id"))
-        before, frequent = (frequent,), frequent | _bits(crowded)
-    own = state.marked(classes.select("class", "doc_id"))
+    classes = common.stored(surveyed.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("parity").alias("parity")), "jaccard-classes")
+    members = surveyed.select("doc_id", F.col("n").alias("n_shingles"), "class")
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    only = common.bit_map(classes.where("doc_id is not null").select("doc_id"))
+    rows = common.stored(index(docs, only, *frequent_tokens(docs, only, total, k, percent), k, percent), "jaccard-index")
+    shared = common.stored(rows.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("key"), "jaccard-shared")
+    lists = common.stored(common.passing(rows, "key", common.bit_map(shared)).join(shared, "key").distinct(), "jaccard-lists")
+    # Lists of combinations have the class with the fewest rare tokens in their centre: of near copies, the one they are copies of.
+    rank = F.when(F.col("key") % 2 == 0, 0).otherwise(F.col("bare"))
+    centres = common.stored(lists.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), "class", "n", "bare", "pos", "step")).alias("c")).select("key", "c.*"), "jaccard-centres")
+    star = lists.alias("x").join(centres.alias("c"), "key").where(F.col("x.class") != F.col("c.class")).where(may_link("x", "c", percent))
+    star = common.stored(star.select(*_ordered(F.col("x.class"), F.col("c.class"))).distinct(), "jaccard-star")
+    links = common.stored(judged(common.stored(still_open(star, classes, percent), "jaccard-open"), docs, k, percent), "jaccard-links")
+    labels = components(links)
+
+    placed = lists.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+    home = centres.select("key", "class").join(labels.withColumnRenamed("node", "class"), "class", "left").select("key", F.coalesce("label", "class").alias("home"))
+    placed = common.stored(placed.join(home, "key"), "jaccard-placed")
+    apart = common.stored(placed.where("label <> home"), "jaccard-apart")
+    inside = placed.join(apart.select("key").distinct(), "key", "left_semi")
+    rest = apart.alias("x").join(inside.alias("y"), "key").where("x.label <> y.label and (y.label = y.home or x.class < y.class)").where(may_link("x", "y", percent))
+    rest = rest.select(*_ordered(F.col("x.class"), F.col("y.class"))).distinct().join(star, ["a", "b"], "left_anti")
+    more = common.stored(judged(common.stored(still_open(rest, classes, percent), "jaccard-open"), docs, k, percent), "jaccard-links")
+    if more.limit(1).count():
+        labels = components(links.union(more))
+    own = classes.select("class", "doc_id").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     named = own.join(own.groupBy("label").agg(F.min("doc_id").alias("component_id")), "label").select("class", "component_id")
     return members.join(named, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-class _Links:
-    """The pairs judged so far, the links among them, and the components these make."""
-
-    def __init__(self, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> None:
-        self.classes, self.docs, self.k, self.percent = classes, docs, k, percent
-        self.judged: DataFrame | None = None
-        self.links: DataFrame | None = None
-        self.marks: DataFrame | None = None
-
-    def add(self, pairs: DataFrame, name: str) -> int:
-        """Judges the pairs that have not been judged before; returns the number of links found."""
-        pairs = pairs.distinct()
-        if self.judged is not None:
-            pairs = pairs.join(self.judged, ["a", "b"], "left_anti")
-        judged, links = verified(pairs, self.classes, self.docs, self.k, self.percent, name)
-        self.judged = judged if self.judged is None else self.judged.union(judged)
-        self.links = links if self.links is None else self.links.union(links)
-        found = links.count()
-        if self.marks is None or found:
-            labels = components(self.links)
-            ends = self.links.select(F.col("a").alias("node"), "b").union(self.links.select("b", "a"))
-            hubs = ends.groupBy("node").agg(F.least(F.min("b"), F.col("node")).alias("hub"))
-            wide = hubs.where("hub <> node").select("hub").distinct().withColumn("wide", F.lit(1))
-            self.marks = common.stored(labels.join(hubs, "node").join(wide, "hub", "left").select("node", "label", "hub", F.coalesce("wide", F.lit(0)).alias("wide")), "jaccard-marks")
-        return found
-
-    def marked(self, df: DataFrame) -> DataFrame:
-        """Adds the component (label) of the column class, its hub, the smallest class it is linked with directly, and whether
-        other classes share this hub (wide)."""
-        if self.marks is None:
-            return df.withColumns({"label": F.col("class"), "hub": F.col("class"), "wide": F.lit(0)})
-        out = df.join(self.marks.withColumnsRenamed({"node": "class", "label": "siltstone_label", "hub": "siltstone_hub", "wide": "siltstone_wide"}), "class", "left")
-        out = out.withColumns({"label": F.coalesce("siltstone_label", "class"), "hub": F.coalesce("siltstone_hub", "class"), "wide": F.coalesce("siltstone_wide", F.lit(0))})
-        return out.drop("siltstone_label", "siltstone_hub", "siltstone_wide")
-
-
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group stays, the one with the smallest doc_id; documents with null doc_id stay. Rows that share a doc_id stay or go together if they share a group."""
     first = groups(docs, k, percent).where("doc_id = component_id").select("doc_id").distinct()
