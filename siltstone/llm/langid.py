@@ -39,8 +39,14 @@ def fold(key: Column, folds: int) -> Column:
 
 
 def gram_buckets(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash buckets of the byte n-grams of each text, white space and digits and punctuation as one blank."""
-    letters = _FOLDED[buf].astype(np.uint32)
+    """Hash buckets of the byte n-grams of each text, white space and digits and punctuation as one blank.
+
+    A blank is put before and after each text, so that every text with a letter has an n-gram.
+    """
+    texts = np.arange(len(off))
+    letters = np.full(len(buf) + 2 * (len(off) - 1), 32, np.uint32)
+    letters[np.arange(len(buf)) + np.repeat(2 * texts[:-1] + 1, np.diff(off))] = _FOLDED[buf]
+    off = off + 2 * texts
     n = len(letters) - N_GRAM + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(len(off), np.int64)
@@ -48,7 +54,7 @@ def gram_buckets(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     for j in range(1, N_GRAM):
         h = (h ^ letters[j : n + j]) * np.uint32(0x01000193)
     h ^= h >> np.uint32(15)
-    ok = np.ones(n, bool)  # grams that cross from one text to the next, or lie on blanks alone, are left out
+    ok = np.ones(n, bool)  # grams that cross from one text to the next, or begin with two blanks, are left out
     for j in range(1, N_GRAM):
         cross = off[1:-1] - j
         ok[cross[(cross >= 0) & (cross < n)]] = False
@@ -134,7 +140,7 @@ def predict(docs: DataFrame, names: list[str], model: np.ndarray) -> DataFrame:
                 lang, score, sets = [], [], []
                 for i, text in enumerate(block.column("text").to_pylist()):
                     g = grams[at[i] : at[i + 1]]
-                    if not names or not text or not len(g) or not _LETTER.search(text):
+                    if not names or not text or not _LETTER.search(text):
                         lang.append("und"), score.append(0.0), sets.append("")
                         continue
                     chosen, pi = infer(model[g])
