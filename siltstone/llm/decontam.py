@@ -16,7 +16,8 @@ sentence) and of the answer (the last sentence, or the last third of an item wit
 question shorter than that is the whole item). Letter case does not matter.
 
 The index is broadcast while the items hold at most INDEX_BYTES of text; larger benchmarks are split by a hash of
-item_id into as many indexes as it takes, each queried by all passages. Defined results: null and empty texts and
+item_id into as many indexes as it takes, each queried by all passages. The parts share the whole benchmark's document
+frequencies, mean length and longest item, so passages, scores and bounds do not depend on the split. Defined results: null and empty texts and
 items match nothing; equal items all match; rows with null or repeated ids are handled one by one; an empty table on
 either side gives no pairs; further columns are ignored.
 """
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -59,10 +61,23 @@ def _share(grams: np.ndarray, present: np.ndarray) -> float:
     return float(np.isin(grams, present, assume_unique=True).mean()) if len(grams) else 1.0
 
 
+class Statistics(NamedTuple):
+    """What BM25 takes from a whole benchmark: items with terms, their terms and the longest's, and the items of each term of a part."""
+
+    items: int
+    words: int
+    longest: int
+    vocabulary: np.ndarray
+    df: np.ndarray
+
+
 class Index:
-    """Postings of the items in CSR form, block maxima, and the parts of each item for verification."""
+    """Postings of the items in CSR form, block maxima, and the parts of each item for verification.
 
-    def __init__(self, ids: list, texts: list[str]) -> None:
+    whole: the statistics of the benchmark of which these items are a part (else of these items).
+    """
+
+    def __init__(self, ids: list, texts: list[str], whole: Statistics | None = None) -> None:
         sequences, parts, cuts = [], [], []
         for text in texts:
             words = self._words(text)
@@ -77,17 +92,20 @@ class Index:
         order = sorted((i for i in range(len(ids)) if len(sequences[i])), key=lambda i: len(sequences[i]))
         self.ids, self.parts = [ids[i] for i in order], [parts[i] for i in order]
         lengths = np.array([len(sequences[i]) for i in order], np.float64)
-        self.items, self.longest = len(order), int(lengths.max()) if len(order) else 1
+        self.items = len(order)
         if not self.items:
+            self.longest = 1
             return
         flat = np.concatenate([sequences[i] for i in order])
         self.vocabulary, number = np.unique(flat, return_inverse=True)
         item = np.repeat(np.arange(self.items), lengths.astype(np.int64))
         pairs, tf = np.unique(number.astype(np.int64) * self.items + item, return_counts=True)
         term, item = pairs // self.items, pairs % self.items
-        df = np.bincount(term, minlength=len(self.vocabulary))
-        idf = np.log(1 + (self.items - df + 0.5) / (df + 0.5))
-        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[item] / lengths.mean()))
+        whole = whole or Statistics(self.items, int(lengths.sum()), int(lengths.max()), self.vocabulary, np.bincount(term, minlength=len(self.vocabulary)))
+        self.longest = whole.longest
+        df = whole.df[np.searchsorted(whole.vocabulary, self.vocabulary)]
+        idf = np.log(1 + (whole.items - df + 0.5) / (df + 0.5))
+        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[item] * whole.items / whole.words))
         self.start, self.item, self.impact = np.searchsorted(term, np.arange(len(self.vocabulary) + 1)), item, impact
         self.own = np.bincount(item, impact, self.items)
         self.bound = np.array([self.accepted(i, sequences[k], cuts[k], pairs, impact) for i, k in enumerate(order)])
@@ -229,14 +247,41 @@ class Index:
         return out
 
 
+def item_terms(items: DataFrame) -> DataFrame:
+    """part, term, n: the distinct terms of every item as rows (n null), and a row (term null) with its number of terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, buf, off in common.blocks(batch, "text", lower=True):
+                words, at = terms(buf, off)
+                for part, a, b in zip(block.column("part").to_pylist(), at[:-1], at[1:]):
+                    if b > a:
+                        distinct = common.signed(np.unique(words[a:b]))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(distinct) + 1, part, np.int64)), pa.array([None, *distinct.tolist()], pa.int64()), pa.array([int(b - a), *[None] * len(distinct)], pa.int64())], ["part", "term", "n"])
+
+    return items.select("part", "text").mapInArrow(run, "part long, term long, n long")
+
+
 def indexes(benchmark: DataFrame) -> Iterator[Index]:
-    """One index for each part of the benchmark that fits into INDEX_BYTES."""
+    """One index for each part of the benchmark that fits into INDEX_BYTES; all score by the statistics of the whole."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).collect()[0]["n"]
     parts = max(1, -(-size // INDEX_BYTES))
-    for k in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).orderBy("item_id", "text").collect()
+    if parts == 1:
+        rows = items.orderBy("item_id", "text").collect()
         yield Index([r["item_id"] for r in rows], [r["text"] for r in rows])
+        return
+    dealt = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)))
+    counted = common.stored(item_terms(dealt), "decontam-terms")
+    n = counted.where("term is null").agg(F.count("*").alias("items"), F.sum("n").alias("words"), F.max("n").alias("longest")).collect()[0]
+    df = common.stored(counted.where("term is not null").groupBy("term").agg(F.count("*").alias("df"), F.collect_set("part").alias("parts")), "decontam-df")
+    for k in range(parts):
+        rows = dealt.where(F.col("part") == k).orderBy("item_id", "text").collect()
+        here = df.where(F.array_contains("parts", k)).select("term", "df").toArrow()
+        vocabulary = here.column("term").to_numpy().view(np.uint64)
+        order = np.argsort(vocabulary)
+        whole = Statistics(n["items"], n["words"], n["longest"], vocabulary[order], here.column("df").to_numpy()[order]) if n["items"] else None
+        yield Index([r["item_id"] for r in rows], [r["text"] for r in rows], whole)
 
 
 PAIRS = "doc_id long, item_id long, score_share double, question_overlap double, answer_overlap double"
