@@ -5,8 +5,9 @@ candidate member by decoding its head (a deflate stream whose first bytes are a
 records whose member starts inside its range, reading past the end of the range where the last one does.
 
 Records with equal payloads of at least `min_bytes` bytes are stored once: the one with the smallest page_id is a
-response, the others are revisit records that name it. Payloads are compressed before they are dealt out, so what is
-shuffled is a compressed record, and only (digest, page_id) pairs are used to find the first of equal payloads.
+response, the others are revisit records that name it. Payloads are compressed where they are read. Only heads (digest,
+length, page_id) meet by digest to find the first of equal payloads; records whose payload may occur again (by a bit map of
+fixed size) then meet that decision by a number of their own, the rest are written where they are.
 
 Archives are written through pyarrow's file systems under the shared folder, each by a temporary name and a rename,
 so that a task that runs again replaces its own file. Defined results: null html is an empty payload; null and
@@ -82,17 +83,27 @@ def members(pages: DataFrame) -> DataFrame:
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
     """Writes the archives; returns (path, size) of each file."""
-    made = common.stored(members(pages), "warc-members")
-    first = made.where(F.col("n") >= min_bytes).groupBy("digest", "n").agg(F.min(F.struct("page_id", "copy")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    # Only payloads that occur again meet the join; the rest stay where they are.
-    again = made.join(first.select("digest", "n", "first"), ["digest", "n"], "left")
-    revisits = (F.col("first").isNotNull()) & ~((F.col("first.copy") == F.col("copy")))
-    rows = again.select("page_id", "url", "digest", "n", F.when(~F.coalesce(revisits, F.lit(False)), F.col("member")).alias("member"), F.col("first.page_id").alias("refers_to"))
+    made = common.stored(members(pages).withColumn("payload", F.xxhash64("digest", "n")), "warc-members")
+    heads = made.select("payload", "digest", "n", "page_id", "copy").where(F.col("n") >= min_bytes)
+    first = heads.groupBy("digest", "n").agg(F.min(F.struct("page_id", "copy")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    first = common.stored(first.select("digest", "n", F.col("first.page_id").alias("refers_to"), F.col("first.copy").alias("first_copy")), "warc-first")
+    again = common.bit_map(first.select(F.xxhash64("digest", "n")))
+    # Heads alone meet by digest; what is decided goes back to the records by their own numbers, so copies of a page spread evenly.
+    revisits = common.passing(heads, "payload", again).join(first, ["digest", "n"]).where("copy <> first_copy").select("copy", "refers_to", F.lit(True).alias("revisit"))
+    shared = common.passing(made, "payload", again).join(revisits, "copy", "left")
+    alone = common.passing(made, "payload", again, through=False)
+    columns = ["page_id", "url", "digest", "n"]
+    rows = shared.select(*columns, F.when(F.col("revisit"), F.lit(None)).otherwise(F.col("member")).alias("member"), "refers_to")
+    return _written(alone.select(*columns, "member", F.lit(None).cast("long").alias("refers_to")), folder, "alone").union(_written(rows, folder, "shared"))
+
+
+def _written(rows: DataFrame, folder: str, name: str) -> DataFrame:
+    """(path, size) of one archive for each task, under a temporary name until it is whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(folder)
         fs.create_dir(base, recursive=True)
-        path = f"{base}/part-{TaskContext.get().partitionId():06d}.warc.gz"
+        path = f"{base}/{name}-{TaskContext.get().partitionId():06d}.warc.gz"
         temporary, size, out = f"{path}.{uuid.uuid4().hex}.tmp", 0, None
         for batch in batches:
             for page, url, digest, n, member, refers in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "digest", "n", "member", "refers_to"))):
@@ -217,6 +228,7 @@ def read_archives(ranges: DataFrame, folder: str) -> DataFrame:
 def round_trip(spark: SparkSession, pages: DataFrame, min_bytes: int = 0, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Writes the pages as archives in the shared folder and reads them back through byte ranges."""
     folder = common.scratch_path(spark, "warc")
-    files = common.stored(write_archives(pages, folder, min_bytes), "warc-files")
+    with common.scratch(spark):
+        files = common.stored(write_archives(pages, folder, min_bytes), "warc-files", keep=True)
     ranges = splits(files, split_bytes)
     return read_archives(ranges.repartition(max(1, min(ranges.count(), 4096))), folder)
