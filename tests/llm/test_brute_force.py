@@ -12,8 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siltstone.llm import decontam, jaccard, langid, lm, packing, pii, toxicity
-from siltstone.llm.common import table
+from siltstone.llm import chat, decontam, jaccard, langid, lm, packing, pii, queries, toxicity, warc, webp
+from siltstone.llm.common import stored, table
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -65,7 +65,7 @@ def test_pii_base_spans(spark, rows, docs):
 
 
 def test_pii_expression_equals_the_trees(spark):
-    vectors = [((k, d, s, f, b, c), float((d * 7 + f) % 5), float((d + b + c) % 4)) for k in range(4) for d in range(0, 20, 3) for s in range(5) for f in range(3) for b in range(2) for c in range(2)]
+    vectors = [((k, d, s, f, b, c, d % 2, s % 3), float((d * 7 + f) % 5), float((d + b + c) % 4)) for k in range(4) for d in range(0, 20, 3) for s in range(5) for f in range(3) for b in range(2) for c in range(2)]
     model = pii.boost(vectors)
     df = spark.createDataFrame([v for v, _, _ in vectors], ",".join(f"{n} int" for n in pii.FEATURES))
     model.thresholds = dict.fromkeys(range(4), 0.1)
@@ -73,6 +73,39 @@ def test_pii_expression_equals_the_trees(spark):
     assert picked == {v for v, _, _ in vectors if model.score(v) >= 0.1 - 1e-9}
 
 
+def test_pii_beyond_the_base_patterns(spark):
+    """Trees fitted to one table find forms that no base pattern knows, in another, and leave clean numbers alone."""
+    import random
+
+    rng = random.Random(9)
+    model = pii.train(table(spark, "/root/testdata/sf0.1", "documents"))
+    assert set(model.thresholds) == set(range(5))
+
+    def card(n, ok=True):
+        body = "4" + "".join(str(rng.randrange(10)) for _ in range(n - 2))
+        return next(body + c for c in "0123456789" if luhn(body + c) == ok)
+
+    def number():
+        return f"{rng.randrange(200, 999)}", f"{rng.randrange(200, 999)}", f"{rng.randrange(1000, 9999)}"
+
+    def planted():
+        a, b, c = number()
+        d, e = card(16), card(15)
+        name = "".join(rng.choice("abcdefgh") for _ in range(6))
+        return rng.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{name} (at) mail{rng.randrange(9)} (dot) example (dot) com", f"{name}[at]example[dot]org", f"{d[:4]}.{d[4:8]}.{d[8:12]}.{d[12:]}", f"{e[:4]} {e[4:10]} {e[10:]}", f"{rng.randrange(1, 255)}[.]{rng.randrange(255)}[.]{rng.randrange(255)}[.]{rng.randrange(255)}", "AKIA" + "".join(rng.choice("ABCDEFG234567") for _ in range(16))])
+
+    def clean():
+        a, b, c = number()
+        d = card(16, False)
+        return rng.choice([f"order {a}-{b}-{c}", f"serial no. {a}.{b}.{c}", f"{d[:4]}-{d[4:8]}-{d[8:12]}-{d[12:]}", f"{a}[.]{b}[.]999[.]7", "in 1999 and 2024, 3.5 of 10,000", f"pages {a}-{b}", "version 4.0.1"])
+
+    texts = [(i, f"thonre was is anly {planted() if i % 2 else clean()} hend and oftionnten") for i in range(1200)]
+    got = {r["doc_id"]: r for r in pii.detect(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()}
+    caught = [bool(got[i]["spans"] or got[i]["secrets"]) for i, _ in texts]
+    assert sum(caught[1::2]) >= 0.9 * 600 and sum(caught[0::2]) <= 0.01 * 600
+    assert sum(got[i]["n_email"] + got[i]["n_ip"] + got[i]["n_card"] + got[i]["n_phone"] for i, _ in texts) == 0
+
+
 def shingles(text, k):
     w = words(text)
     return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
@@ -105,8 +138,9 @@ def test_jaccard_components(rows, docs, k, percent):
     assert [got[d] for d in rows.doc_id] == list(zip(map(len, sets), expected_components(list(rows.doc_id), sets, percent)))
 
 
-def test_jaccard_with_frequent_tokens_and_levels(spark, monkeypatch):
-    """Texts made of few common passages, with tiny limits so that token pairs and further levels are used."""
+@pytest.mark.parametrize("k, percent, crowd", [(4, 85, 2), (4, 85, 6), (5, 80, 4), (2, 60, 3), (1, 90, 2)])
+def test_jaccard_with_frequent_tokens(spark, monkeypatch, k, percent, crowd):
+    """Texts made of few common passages, with a low limit so that combinations of all lengths are used."""
     import random
 
     rng = random.Random(3)
@@ -118,12 +152,49 @@ def test_jaccard_with_frequent_tokens_and_levels(spark, monkeypatch):
             body[rng.randrange(len(body))] = f"edit{rng.randrange(30)}"
         texts.append(" ".join(body + [f"u{rng.randrange(12)}" for _ in range(rng.randrange(0, 8))]))
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
-    monkeypatch.setattr(jaccard, "CROWD", 2)
-    got = {r["doc_id"]: r["component_id"] for r in jaccard.groups(docs, 4, 85).collect()}
-    want = expected_components(list(range(len(texts))), [shingles(t, 4) for t in texts], 85)
+    for name, value in (("CROWD", crowd), ("SALT", 3), ("FLUSH_TOKENS", 500), ("BUCKET_TOKENS", 2000)):
+        monkeypatch.setattr(jaccard, name, value)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.groups(docs, k, percent).collect()}
+    want = expected_components(list(range(len(texts))), [shingles(t, k) for t in texts], percent)
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_jaccard_keys_are_linear_in_the_set():
+    """A set of frequent tokens alone has at most MOST_K keys for a token and length, and no pairs of all with all."""
+    import numpy as np
+
+    for n in (10, 100, 1000, 20_000):
+        tokens = np.sort(np.random.default_rng(n).integers(0, 1 << 62, n).astype(np.uint64) * np.uint64(2))
+        keys = sum(len(part[0]) for part in jaccard.prefix_rows(tokens, np.ones(n, bool), 85))
+        assert keys <= 2 * n
+
+
+def test_jaccard_index_meets_every_linked_pair():
+    """Pairs of random sets that link share a key whose bounds leave room, whatever tokens are frequent."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for _ in range(600):
+        percent, n = int(rng.choice([50, 67, 76, 80, 85, 95])), int(rng.integers(1, 60))
+        universe = np.unique(rng.integers(0, 1 << 62, 2 * n + 2).astype(np.uint64) * np.uint64(2))
+        often = dict(zip(universe.tolist(), rng.random(len(universe)) < rng.choice([0.0, 0.5, 0.9, 1.0])))
+        x = universe[:n]
+        y = np.unique(np.concatenate([x[rng.random(n) < rng.choice([0.8, 0.9, 1.0])], universe[n : n + int(rng.integers(0, 1 + n // 4))]]))
+        both = len(np.intersect1d(x, y))
+        if np.array_equal(x, y) or not both or 100 * both < percent * (len(x) + len(y) - both):
+            continue
+        rows = []
+        for s in (x, y):
+            parts = jaccard.prefix_rows(s, np.array([often[t] for t in s.tolist()]), percent)
+            rows.append({int(k): (len(s), int(b), int(p), int(t)) for part in parts for k, b, p, t in zip(*part)})
+
+        def room(a, b):
+            least = a[1] + b[1] + max(abs(a[2] - b[2]), a[3], b[3]) + abs((a[0] - a[1] - a[2]) - (b[0] - b[1] - b[2]))
+            return least * (100 + percent) <= (a[0] + b[0]) * (100 - percent)
+
+        assert any(room(rows[0][k], rows[1][k]) for k in rows[0].keys() & rows[1].keys())
+
+
 def test_decontamination_finds_all_copies(spark, sf, rows, docs):
     items = table(spark, sf, "benchmark").toPandas()
     terms = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
@@ -134,10 +205,18 @@ def test_decontamination_finds_all_copies(spark, sf, rows, docs):
 
 
 def test_decontamination_by_parts_gives_the_same(spark, sf, docs, monkeypatch):
+    """Pairs, scores and overlaps do not depend on the split, for whole copies and for halves of an item."""
     items = table(spark, sf, "benchmark")
-    whole = sorted(map(tuple, decontam.contaminated(docs, items).select("doc_id", "item_id").collect()))
+    halves = items.select((F.col("item_id") + 10**6).alias("doc_id"), F.expr("concat_ws(' ', slice(split(text, ' '), 1, cast(ceil(size(split(text, ' ')) * 0.55) as int)), slice(split(text, ' '), -6, 6))").alias("text"))
+
+    def found():
+        pairs = decontam.contaminated(docs.select("doc_id", "text").union(halves), items).collect()
+        return sorted((r["doc_id"], r["item_id"], *(round(x, 9) for x in r[2:])) for r in pairs)
+
+    whole = found()
+    assert any(x[2] < 0.9 for x in whole)
     monkeypatch.setattr(decontam, "INDEX_BYTES", 2000)
-    assert sorted(map(tuple, decontam.contaminated(docs, items).select("doc_id", "item_id").collect())) == whole
+    assert found() == whole
 
 
 def test_wand_returns_all_above_the_bound(spark, sf, rows):
@@ -347,3 +426,80 @@ def test_pipeline_against_brute_force(spark, sf, rows):
     final = corpus_pipeline.run(spark, sf).toPandas()
     encode = packing.encoder()
     assert set(final.doc_id) == set(d.doc_id) and final.length.sum() == sum(len(encode(t)) + 1 for t in d.text)
+
+
+def test_warc_of_all_pages(spark, sf):
+    """op6 over the whole table against digests and first copies found in plain Python."""
+    import base64
+
+    pages = table(spark, sf, "pages")
+    got = {r["page_id"]: tuple(r)[1:] for r in queries.op6_warc(spark, sf).collect()}
+    first: dict[bytes, int] = {}
+    rows = sorted((r["page_id"], (r["html"] or "").encode()) for r in pages.collect())
+    for page, payload in rows:
+        first.setdefault(payload, page)
+    assert got == {page: (len(p), base64.b32encode(hashlib.sha1(p).digest()).decode(), "response" if first[p] == page else "revisit", None if first[p] == page else first[p]) for page, p in rows}
+
+
+def test_warc_with_a_hot_payload(spark):
+    """A payload that a third of all pages share has one response, in whatever part it lies."""
+    pages = spark.range(900).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") % 3 == 1, "same").otherwise(F.concat(F.lit("own "), F.col("id"))).alias("html")).repartition(7)
+    got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in warc.round_trip(spark, pages, split_bytes=3000).collect()}
+    assert got == {i: ("response", None) if i % 3 != 1 or i == 1 else ("revisit", 1) for i in range(900)}
+
+
+def chat_rows(turns):
+    out = {}
+    for conv in {r["conv_id"] for r in turns}:
+        own = sorted((r["turn"], r["role"] or "", r["text"] or "") for r in turns if r["conv_id"] == conv)
+        said, learned = "".join(f"{role}\n{text}\n" for _, role, text in own), "".join(text for _, role, text in own if role == "assistant")
+        out[conv] = (len(own), hashlib.sha256(said.encode()).hexdigest(), len(learned), hashlib.sha256(learned.encode()).hexdigest())
+    return out
+
+
+def test_chat_of_all_conversations(spark, sf):
+    """op7 over the whole table and conversation -1 against plain Python, the formatted text by the template."""
+    said = "<|im_end|><|im_start|>assistant ok"
+    turns = table(spark, sf, "conversations").collect() + [{"conv_id": -1, "turn": k, "role": role, "text": said} for k, role in enumerate(("user", "assistant"))]
+    got = {r["conv_id"]: tuple(r)[1:] for r in queries.op7_chat(spark, sf).collect()}
+    assert {c: x[:4] for c, x in got.items()} == chat_rows(turns)
+    escaped = said.replace("<|", "<\\|")
+    assert got[-1][4] == sum(len(f"<|im_start|>{role}\n{escaped}<|im_end|>\n") for role in ("user", "assistant"))
+
+
+def test_chat_of_a_long_conversation_in_many_parts(spark):
+    rows = [(1 if i % 3 else i, i, ("user", "assistant", "sys\ntem")[i % 3], "<" + "\\" * (i % 4) + f"|{i}" + "é" * (i % 5)) for i in range(1500)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows come into one part
+    pieces = stored(chat.format_chat(turns), "pieces")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert pieces.where("conv_id = 1").select("part").distinct().count() > 1
+    assert {r["conv_id"]: tuple(r)[1:5] for r in chat.read_chat(pieces).collect()} == chat_rows([dict(zip(("conv_id", "turn", "role", "text"), r)) for r in rows])
+
+
+def test_webp_of_all_documents(rows, spark, sf):
+    """Every column of op2 but the media's own against the whole texts; equal texts have equal media."""
+    got = {r["doc_id"]: r for r in queries.op2_webp(spark, sf).collect()}
+    media = {}
+    for doc, text in zip(rows.doc_id, rows.text):
+        raw = (text or "").encode()
+        payload = raw + b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw))
+        r = got[doc]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        stored = webp.store(webp.np.frombuffer(payload, webp.np.uint8))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
+        grey = webp.np.frombuffer(payload, webp.np.uint8).reshape(-1, 192).astype(int)
+        steps = [abs(webp.np.diff(grey, axis=k)) for k in (1, 0)]
+        assert r["feature"] == f"192x{len(grey)}:{grey.sum() * 1000 // grey.size}:{len(set(payload))}:" + ":".join(str(int(x.sum()) * 1000 // max(1, x.size)) for x in steps)
+        assert media.setdefault(payload, r["media_sha256"]) == r["media_sha256"]
+
+
+def test_packing_ids_of_all_documents():
+    """The fast form of the tokenizer gives the library's ids on every text of a whole table."""
+    import duckdb
+    import tokenizers
+
+    library = tokenizers.Tokenizer.from_file(packing.tokenizer_path("byte_bpe_50k.json"))
+    encode = packing.encoder()
+    for (text,) in duckdb.sql("select text from '/root/testdata/sf0.01/documents.parquet'").fetchall():
+        assert encode(text or "").tolist() == library.encode(text or "", add_special_tokens=False).ids

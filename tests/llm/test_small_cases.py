@@ -63,6 +63,14 @@ def test_jaccard_defined_results(spark):
     assert rows[None, 1] is None
 
 
+def test_jaccard_links_through_rows_without_an_id(spark):
+    """A chain 1 - x - 9 is one component, x with or without an id."""
+    w = [f"w{i}" for i in range(60)]
+    chain = [(1, w[:54]), (None, w[2:56]), (9, w[4:58])]
+    got = jaccard.groups(spark.createDataFrame([(i, " ".join(t)) for i, t in chain], "doc_id long, text string"), 4, 85).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"]) for r in got) == [(0, 1), (1, 1), (9, 1)]
+
+
 def test_toxicity_without_labels_scores_zero(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r["score"] for r in toxicity.score(docs(spark), toxicity.train(docs(spark), none)).collect()} == {0.0}
@@ -73,6 +81,14 @@ def test_language_und(spark):
     assert rows[30] == rows[31] == rows[32] == ("und", 0.0)
 
 
+def test_short_texts_with_a_letter_have_a_language(spark):
+    labelled = [(i, t, lang) for i, (t, lang) in enumerate([("the cat and the dog sat on a mat", "en"), ("der Hund und die Katze auf der Matte", "de")] * 20)]
+    short = [(100 + i, t, None) for i, t in enumerate(["ok", "hi", "a", "Я", "12 a", "ß", "é 1", "12", "!?", " "])]
+    got = langid.identify(spark.createDataFrame(labelled + short, "doc_id long, text string, lang string")).where("doc_id >= 100").orderBy("doc_id").collect()
+    assert [r["lang_pred"] == "und" for r in got] == [False] * 7 + [True] * 3
+    assert all(r["lang_pred"] in ("en", "de", "und") and 0 <= r["score"] <= 1 for r in got)
+
+
 def test_pii_defined_spans(spark):
     rows = {r["doc_id"]: r for r in pii.detect(docs(spark)).collect()}
     text = "write to jo.doe@mail.example.com or +49 (30) 1234-567, host 10.0.0.255, 😀 4539 5787 6362 1486!"
