@@ -1,17 +1,25 @@
 """Lossless WebP (VP8L): a decoder for the whole format and an encoder for 8-bit samples.
 
 The decoder reads prefix codes, LZ77 back-references, the colour cache and meta prefix groups, inverts the predictor,
-cross-colour, subtract-green and palette transforms, and returns an array of ARGB pixels. Images whose pixels take one
-prefix code only (the others having a single symbol) are decoded without a loop over pixels: the code length at every
-bit position gives the position of the next symbol, these jumps are doubled, and the symbols are read where the jumps
-lead. All other images take the symbol-by-symbol path.
-
-The encoder stores samples as grey pixels: the subtract-green transform leaves red and blue at zero, green gets a
-length-limited Huffman code. Payloads that need more than MAX_ROWS rows become several images, one after the other.
+cross-colour, subtract-green and palette transforms, and returns an array of ARGB pixels. Images in which one prefix code
+gives all colours (the others having a single symbol) are decoded without a loop over symbols: for every bit position it
+is worked out where the next symbol would begin, with the extra bits and the distance behind a back-reference; these jumps
+are doubled, the symbols are read where the jumps lead, and back-references are followed for all pixels at once by
+doubling pointers until they reach literals. All other images take the symbol-by-symbol path.
+
+The encoder stores samples in the green channel with length-limited Huffman codes and back-references: the nearest earlier
+place with the same four samples, as far as both go on alike. Samples of at most 16 values are stored as a palette with
+several to a pixel where that is shorter. A predictor, cross-colour and the colour cache are read but never written: a
+pixel holds one sample, so there is no second colour to predict and a cached colour is as long as its literal. Payloads
+that need more than MAX_ROWS rows become several images, one after the other.
+
+Defined results: null and empty texts are a payload of blanks; rows with null or repeated doc_id are kept; an empty table
+gives no rows; further columns are ignored; equal payloads have equal media; a file that is cut or broken raises ValueError.
 """
 
 from __future__ import annotations
 
+import functools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -106,14 +114,19 @@ class Code:
         return int(self.symbol[k])
 
 
+@functools.lru_cache(512)
+def _simple_code(*symbols: int) -> Code:
+    lengths = np.zeros(LITERALS, np.uint8)
+    lengths[list(symbols)] = 1
+    return Code(lengths)
+
+
 def read_code(bits: Bits, alphabet: int) -> Code:
-    lengths = np.zeros(max(alphabet, LITERALS), np.uint8)
     if bits.read(1):
         two = bits.read(1)
-        lengths[bits.read(8 if bits.read(1) else 1)] = 1
-        if two:
-            lengths[bits.read(8)] = 1
-        return Code(lengths)
+        first = bits.read(8 if bits.read(1) else 1)
+        return _simple_code(first, bits.read(8)) if two else _simple_code(first)
+    lengths = np.zeros(max(alphabet, LITERALS), np.uint8)
     sizes = np.zeros(len(CODE_LENGTH_ORDER), np.uint8)
     for k in CODE_LENGTH_ORDER[: 4 + bits.read(4)]:
         sizes[k] = bits.read(3)
@@ -154,40 +167,124 @@ def _prefixed(bits: Bits, symbol: int) -> int:
     return ((2 + (symbol & 1)) << extra) + bits.read(extra) + 1
 
 
-def _jumps(bits: Bits, code: Code, n: int) -> np.ndarray:
-    """The next n symbols of one code, without a loop over symbols: jumps between bit positions are doubled."""
-    first, total = bits.pos >> 3, 8 * len(bits.data)
-    raw = np.frombuffer(bits.data, np.uint8, offset=first)
-    size = len(raw) * 8
+def _windows(data: bytes, first: int) -> np.ndarray:
+    """The 16 bits from every bit position on, from byte `first`; zeros behind the end, which has a position of its own."""
+    raw = np.frombuffer(data, np.uint8, offset=first)
     wide = np.zeros(len(raw) + 2, np.uint32)
     wide[: len(raw)] = raw
     wide = wide[:-2] | wide[1:-1] << 8 | wide[2:] << 16
-    window = np.empty((len(raw), 8), np.uint16)
-    mask = np.uint32((1 << code.bits) - 1)
+    out = np.zeros(8 * len(raw) + 1, np.uint16)
+    grid = out[:-1].reshape(len(raw), 8)
     for k in range(8):
-        window[:, k] = wide >> np.uint32(k) & mask
-    window = window.ravel()
-    one = np.arange(size, dtype=np.int32)
-    one += code.length[window]
-    np.minimum(one, size - 1, out=one)
+        grid[:, k] = wide >> np.uint32(k) & np.uint32(0xFFFF)
+    return out
+
+
+def _walk(one: np.ndarray, at: int, end: int, most: int) -> np.ndarray:
+    """The places below `end` that jumps lead to from `at`, at most `most`; the loop goes eight jumps at a time."""
     two = one[one]
     four = two[two]
-    step = memoryview(four[four])
-    at, p, starts = bits.pos & 7, [], -(-n // 8)
-    for _ in range(starts):
+    step, p = memoryview(four[four]), []
+    while at < end and 8 * len(p) < most:
         p.append(at)
         at = step[at]
-    here = np.empty((starts, 8), np.int32)
+    here = np.empty((len(p), 8), np.int32)
     here[:, 0] = p
     here[:, 1] = one[here[:, 0]]
     here[:, 2:4] = two[here[:, 0:2]]
     here[:, 4:8] = four[here[:, 0:4]]
-    here = here.ravel()[:n]
-    last = int(here[-1])
-    bits.pos = 8 * first + last + int(code.length[window[last]])
-    if bits.pos > total or (n > 1 and here[-2] == last):
+    here = here.ravel()
+    return here[here < end][:most]
+
+
+def _extra(symbol: np.ndarray) -> np.ndarray:
+    return np.where(symbol < 4, 0, (symbol - 2) >> 1)
+
+
+def _values(symbol: np.ndarray, extra: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """The numbers that prefix symbols and their extra bits stand for."""
+    return np.where(symbol < 4, symbol + 1, ((2 + (symbol & 1)) << extra) + (more & ((1 << extra) - 1)) + 1)
+
+
+def _one_code(bits: Bits, green: Code, distance: Code, n: int, width: int) -> np.ndarray:
+    """n samples of an image whose colours lie in one code, with back-references, without a loop over symbols."""
+    first, total = bits.pos >> 3, 8 * len(bits.data)
+    window = _windows(bits.data, first)
+    size = len(window) - 1
+    key = window & np.uint16((1 << green.bits) - 1)
+    symbol = green.symbol[key]
+    one = np.arange(size + 1, dtype=np.int32)
+    one += green.length[key]
+    np.minimum(one, size, out=one)
+
+    def behind(at: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For back-references that begin at bit positions: symbols and extra bits of length and distance, and the ends of these."""
+        s = symbol[at] - LITERALS
+        e = _extra(s)
+        p = np.minimum(one[at] + e, size)
+        k = window[p] & np.uint16((1 << distance.bits) - 1)
+        d = distance.symbol[k]
+        q = np.minimum(p + distance.length[k], size)
+        return s, e, p, d, _extra(d), q
+
+    if int(green.symbol.max()) >= LITERALS:
+        back = np.flatnonzero(symbol >= LITERALS)
+        back = back[back < size]
+        _, _, _, _, e, q = behind(back)
+        after = np.minimum(q + e, size)
+    else:
+        back = after = np.zeros(0, np.int64)
+    begin = one.copy() if len(back) else one  # behind the green symbol alone
+    one[back] = after
+    one[size] = size
+    if green.bits == 0 and not len(back):
+        raise ValueError("a code without bits")
+    here = _walk(one, bits.pos & 7, size, n)
+    found = symbol[here]
+    refers = np.flatnonzero(found >= LITERALS)
+    count = np.ones(len(here), np.int64)
+    one, one_after = begin, one
+    s, e, _, d, e2, q = behind(here[refers])
+    count[refers] = _values(s, e, window[begin[here[refers]]].astype(np.int64))
+    ends = np.cumsum(count)
+    last = int(np.searchsorted(ends, n))
+    if last >= len(ends) or ends[last] != n:
+        raise ValueError("the image ends early")
+    bits.pos = 8 * first + int(one_after[here[last]])
+    if bits.pos > total or here[last] + int(green.length[key[here[last]]]) > total - 8 * first:
         raise ValueError("the image ends early")
-    return code.symbol[window[here]]
+    found, count, ends = found[: last + 1], count[: last + 1], ends[: last + 1]
+    out = np.zeros(n, np.uint8)
+    starts = ends - count
+    literal = found < LITERALS
+    out[starts[literal]] = found[literal]
+    kept = np.searchsorted(refers, last, side="right")
+    if not kept:
+        return out
+    refers, d, e2, q = refers[:kept], d[:kept], e2[:kept], q[:kept]
+    code = _values(d, e2, window[q].astype(np.int64) | window[np.minimum(q + 16, size)].astype(np.int64) << 16)
+    near = _near(width)
+    back = np.where(code <= len(NEAR), near[np.minimum(code, len(NEAR)) - 1], code - len(NEAR))
+    if (back > starts[refers]).any():
+        raise ValueError("a back-reference leaves the image")
+    pointer = np.arange(n)
+    copied = np.flatnonzero(~np.repeat(literal, count))
+    pointer[copied] -= np.repeat(back, count[refers])
+    while True:
+        further = pointer[pointer]
+        if (further == pointer).all():
+            return out[pointer]
+        pointer = further
+
+
+_nears: dict[int, np.ndarray] = {}
+
+
+def _near(width: int) -> np.ndarray:
+    """The distances of the first 120 distance codes in an image of this width."""
+    if width not in _nears:
+        _nears[width] = np.array([max(1, x + y * width) for x, y in NEAR])
+    return _nears[width]
 
 
 def read_pixels(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
@@ -203,10 +300,12 @@ def read_pixels(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
     for _ in range(int(meta.max()) + 1 if meta is not None else 1):
         groups.append([read_code(bits, a) for a in (LITERALS + LENGTHS + (1 << cache_bits if cache_bits else 0), LITERALS, LITERALS, LITERALS, DISTANCES)])
     green, red, blue, alpha, _ = groups[0]
-    if meta is None and not cache_bits and None not in (red.single, blue.single, alpha.single) and green.symbol.max() < LITERALS:
+    if meta is None and not cache_bits and None not in (red.single, blue.single, alpha.single):
         rest = np.uint32(alpha.single << 24 | red.single << 16 | blue.single)
-        symbols = np.full(n, green.single, np.int32) if green.single is not None else _jumps(bits, green, n)
-        return symbols.astype(np.uint32) << np.uint32(8) | rest
+        if green.single is None:
+            return _one_code(bits, green, groups[0][4], n, width).astype(np.uint32) << np.uint32(8) | rest
+        if green.single < LITERALS:
+            return np.full(n, green.single << 8, np.uint32) | rest
     out: list[int] = [0] * n
     cache, k = [0] * (1 << cache_bits), 0
     shift = 32 - cache_bits
@@ -408,50 +507,126 @@ def _bit_string(*fields: tuple[int, int]) -> tuple[int, int]:
     return value, at
 
 
-# One symbol: red and blue 0, alpha 255, distance 0 (1 = simple code, 0 = one symbol, then the symbol's width and itself).
-_SINGLES = _bit_string((0b0001, 4), (0b0001, 4), (0b101, 3), (255, 8), (0b0001, 4))
-# A code-length code with four bits for each of the lengths 0 to 15 and none for repeats.
-_FOUR_BITS = _bit_string((0, 1), (15, 4), *((4 if k < 16 else 0, 3) for k in CODE_LENGTH_ORDER), (1, 1), (3, 3))
+# One symbol each: red and blue 0 and, for a main image, alpha 255 (1 = simple code, 0 = one symbol, then its width and itself).
+_RED_BLUE, _OPAQUE = _bit_string((0b0001, 4), (0b0001, 4)), _bit_string((0b101, 3), (255, 8))
+# A code-length code with four bits for each of the lengths 0 to 15 and none for repeats; the number of lengths follows in 10 bits.
+_FOUR_BITS = _bit_string((0, 1), (15, 4), *((4 if k < 16 else 0, 3) for k in CODE_LENGTH_ORDER), (1, 1), (4, 3))
+LEAST_MATCH, MOST_MATCH = 4, 4096
 
 
-def encode(samples: np.ndarray, width: int = WIDTH) -> bytes:
-    """One grey image of the samples; their number is a multiple of the width."""
-    n, height = len(samples), len(samples) // width
-    head = _bit_string((width - 1, 14), (height - 1, 14), (0, 4), (1, 1), (SUBTRACT_GREEN, 2), (0, 1), (0, 1), (0, 1))
-    counts = np.bincount(samples, minlength=LITERALS)
+def _written_code(counts: np.ndarray) -> tuple[tuple[int, int], np.ndarray, np.ndarray]:
+    """(its description as bits, code words, lengths) of a prefix code for symbols with these counts."""
     used = np.flatnonzero(counts)
-    if len(used) == 1:
-        value, at = _bit_string(head, (0b101, 3), (int(used[0]), 8), _SINGLES)
-        body = value.to_bytes((at + 7) // 8, "little")
-    else:
-        lengths = np.zeros(LITERALS, np.int64)
-        lengths[used] = huffman_lengths(counts[used].tolist())
-        symbols = max(int(used[-1]) + 1, 2)
-        value, at = _bit_string(head, _FOUR_BITS, (symbols - 2, 8))
-        nibbles = _reversed(4)[lengths[:symbols]].astype(np.uint8)
-        table = int.from_bytes((nibbles[0::2] | np.append(nibbles[1::2], np.zeros(symbols & 1, np.uint8)) << 4).tobytes(), "little")
-        value, at = _bit_string((value, at), (table, 4 * symbols), _SINGLES)
-        order = used[np.argsort(lengths[used], kind="stable")]
-        size = lengths[order]
-        top = int(size[-1])
-        begin = np.cumsum(1 << (top - size)) - (1 << (top - size))  # canonical codes, left-aligned to `top` bits
-        code = np.zeros(LITERALS, np.uint64)
-        code[order] = _reversed(top)[begin]
-        each = lengths[samples]
-        ends = np.cumsum(each)
-        starts = ends - each + at
-        total = at + int(ends[-1])
-        word = starts >> 5
-        value_at = code[samples] << (starts & 31).astype(np.uint64)
-        first = np.flatnonzero(np.diff(word, prepend=-1))
-        sums = np.add.reduceat(value_at, first)
-        words = np.zeros((total >> 5) + 2, np.uint64)
-        words[word[first]] = sums & np.uint64(0xFFFFFFFF)
-        words[word[first] + 1] |= sums >> np.uint64(32)
-        body = bytearray(words.astype("<u4").tobytes()[: (total + 7) // 8])
-        front = int.from_bytes(body[: (at + 7) // 8], "little") | value
-        body[: (at + 7) // 8] = front.to_bytes((at + 7) // 8, "little")
-    chunk = bytes([SIGNATURE]) + bytes(body)
+    lengths, words = np.zeros(len(counts), np.int64), np.zeros(len(counts), np.uint64)
+    if len(used) <= 1:
+        only = int(used[0]) if len(used) else 0
+        if only < 256:
+            return _bit_string((0b101, 3), (only, 8)), words, lengths
+        used = np.array([0, only])  # a length symbol alone needs a longer code
+    lengths[used] = huffman_lengths(counts[used].tolist())
+    symbols = int(used[-1]) + 1
+    symbols += symbols & 1
+    nibbles = np.zeros(symbols, np.uint8)
+    own = lengths[:symbols]
+    nibbles[: len(own)] = _reversed(4)[own]
+    table = int.from_bytes((nibbles[0::2] | nibbles[1::2] << 4).tobytes(), "little")
+    order = used[np.argsort(lengths[used], kind="stable")]
+    size = lengths[order]
+    top = int(size[-1])
+    words[order] = _reversed(top)[np.cumsum(1 << (top - size)) - (1 << (top - size))]  # canonical codes, left-aligned to `top` bits
+    return _bit_string(_FOUR_BITS, (symbols - 2, 10), (table, 4 * symbols)), words, lengths
+
+
+def _parts(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(prefix symbol, extra bits, what they hold) of numbers from 1 on."""
+    v = values - 1
+    high = np.frexp(np.maximum(v, 1).astype(np.float64))[1] - 1
+    extra = np.where(v < 4, 0, high - 1)
+    return np.where(v < 4, v, 2 * high + (v >> np.maximum(high - 1, 0) & 1)), extra, v & ((1 << extra) - 1)
+
+
+def matches(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, distance) of the parts of a greedy parse; literals have length 1 and distance 0."""
+    n = len(samples)
+    x = samples.astype(np.uint32)
+    gram = x[:-3] | x[1:-2] << np.uint32(8) | x[2:-1] << np.uint32(16) | x[3:] << np.uint32(24)
+    order = np.argsort(gram, kind="stable")
+    same = np.flatnonzero(gram[order[1:]] == gram[order[:-1]])
+    distance = np.zeros(n, np.int64)
+    distance[order[same + 1]] = order[same + 1] - order[same]
+    change = np.append(np.flatnonzero(distance[1:] != distance[:-1]), n - 1)
+    place = np.arange(n)
+    length = np.minimum(np.repeat(change, np.diff(change, prepend=-1)) - place + LEAST_MATCH, MOST_MATCH)
+    good = (distance > 0) & (length >= LEAST_MATCH + (distance >= 200) + (distance >= 3000))
+    one = np.append(place + np.where(good, length, 1), n).astype(np.int32)
+    start = _walk(one, 0, n, n)
+    return start, np.where(good[start], length[start], 1), np.where(good[start], distance[start], 0)
+
+
+def _image(samples: np.ndarray, head: tuple[int, int]) -> bytes:
+    """The bits of a head and of a main image with these samples in green."""
+    start, length, distance = matches(samples)
+    copies = np.flatnonzero(distance)
+    sizes, size_extra, size_more = _parts(length[copies])
+    places, place_extra, place_more = _parts(distance[copies] + len(NEAR))
+    symbol = samples[start].astype(np.int64)
+    symbol[copies] = LITERALS + sizes
+    green, green_words, green_lengths = _written_code(np.bincount(symbol, minlength=LITERALS + LENGTHS))
+    far, far_words, far_lengths = _written_code(np.bincount(places, minlength=DISTANCES))
+    value, at = _bit_string(head, (0, 1), (0, 1), green, _RED_BLUE, _OPAQUE, far)
+    fields = np.zeros((len(symbol), 4), np.uint64)
+    widths = np.zeros((len(symbol), 4), np.int64)
+    fields[:, 0], widths[:, 0] = green_words[symbol], green_lengths[symbol]
+    fields[copies, 1], widths[copies, 1] = size_more, size_extra
+    fields[copies, 2], widths[copies, 2] = far_words[places], far_lengths[places]
+    fields[copies, 3], widths[copies, 3] = place_more, place_extra
+    used = widths.ravel() > 0
+    fields, widths = fields.ravel()[used], widths.ravel()[used]
+    if not len(fields):
+        return value.to_bytes((at + 7) // 8, "little")
+    ends = np.cumsum(widths)
+    starts = ends - widths + at
+    total = at + int(ends[-1])
+    word = starts >> 5
+    shifted = fields << (starts & 31).astype(np.uint64)
+    first = np.flatnonzero(np.diff(word, prepend=-1))
+    sums = np.add.reduceat(shifted, first)
+    words = np.zeros((total >> 5) + 2, np.uint64)
+    words[word[first]] = sums & np.uint64(0xFFFFFFFF)
+    words[word[first] + 1] |= sums >> np.uint64(32)
+    body = bytearray(words.astype("<u4").tobytes()[: (total + 7) // 8])
+    front = int.from_bytes(body[: (at + 7) // 8], "little") | value
+    body[: (at + 7) // 8] = front.to_bytes((at + 7) // 8, "little")
+    return bytes(body)
+
+
+def _palette(values: np.ndarray) -> tuple[int, int]:
+    """The palette transform: green steps from value to value, alpha 255 once and then 0."""
+    steps = np.diff(values, prepend=0) & 255
+    code, words, lengths = _written_code(np.bincount(steps, minlength=LITERALS + LENGTHS))
+    alpha = _bit_string((0b111, 3), (0, 8), (255, 8)) if len(values) > 1 else _OPAQUE
+    fields = [(PALETTE << 1 | 1, 3), (len(values) - 1, 8), (0, 1), code, _RED_BLUE, alpha, (0b0001, 4)]
+    for k, step in enumerate(steps.tolist()):
+        fields.append((int(words[step]), int(lengths[step])))
+        if len(values) > 1:
+            fields.append((int(k == 0), 1))
+    return _bit_string(*fields)
+
+
+def encode(samples: np.ndarray, width: int = WIDTH) -> bytes:
+    """One image of the samples; their number is a multiple of the width."""
+    height = len(samples) // width
+    head = _bit_string((width - 1, 14), (height - 1, 14), (0, 4))
+    body = _image(samples, _bit_string(head, (0, 1)))
+    values = np.flatnonzero(np.bincount(samples, minlength=LITERALS))
+    if len(values) <= 16:
+        width_bits = 3 if len(values) <= 2 else 2 if len(values) <= 4 else 1
+        each, group = 8 >> width_bits, 1 << width_bits
+        rows = np.searchsorted(values, samples).reshape(height, width)
+        rows = np.pad(rows, ((0, 0), (0, -width % group))).reshape(height, -1, group)
+        packed = (rows << (each * np.arange(group))).sum(-1).astype(np.uint8)
+        body = min(body, _image(packed.ravel(), _bit_string(head, _palette(values), (0, 1))), key=len)
+    chunk = bytes([SIGNATURE]) + body
     pad = b"\0" * (len(chunk) & 1)
     return b"RIFF" + struct.pack("<I", 12 + len(chunk) + len(pad)) + b"WEBPVP8L" + struct.pack("<I", len(chunk)) + chunk + pad
 

@@ -264,6 +264,39 @@ def test_samples_round_trip(seed):
     assert all(((x >> 16 & 255) == (x & 255)).all() and (x >> 24 == 255).all() for x in images)
 
 
+def prose(words, n, seed):
+    rng = random.Random(seed)
+    return " ".join(rng.choice(words) for _ in range(n)).encode()
+
+
+@pytest.mark.parametrize("text", [prose(["thon", "was", "hend", "é日", "oftionnten."], 4000, 1), prose(["a", "b"], 500, 2), b"x", b"ab" * 5000, b"word " * 30_000, bytes(range(256)) * 9, prose([f"w{i}" for i in range(3000)], 3000, 3) * 2], ids=range(7))
+def test_texts_round_trip_through_back_references(text):
+    """What back-references, palettes and long distances store comes back, by the fast path as by the one symbol at a time."""
+    payload = np.frombuffer(webp.payload_of(text), np.uint8)
+    media = webp.store(payload)
+    assert webp.describe(webp.load(media))[0] == payload.tobytes()
+    counts = np.bincount(payload)
+    entropy = -(counts[counts > 0] / len(payload) * np.log2(counts[counts > 0] / len(payload))).sum() * len(payload) / 8
+    assert len(media) < entropy or len(text) < 3000  # shorter than any code of single bytes
+
+
+def test_both_paths_read_the_same(monkeypatch):
+    payload = np.frombuffer(webp.payload_of(prose(["thon", "was", "hend", "oftionnten."], 600, 4)), np.uint8)
+    media = webp.store(payload)
+    fast = webp.decode(media)
+    real = webp.read_code
+
+    def apart(bits, alphabet):
+        code = real(bits, alphabet)
+        if code.single == 255:  # alpha: as if it had a choice, so that every symbol is read by itself
+            code = webp.Code(np.eye(1, 256, 255, dtype=np.uint8)[0])
+            code.single = None
+        return code
+
+    monkeypatch.setattr(webp, "read_code", apart)
+    assert (webp.decode(media) == fast).all()
+
+
 def test_long_payloads_become_several_images():
     samples = np.resize(np.frombuffer("añ日 ".encode(), np.uint8), 192 * (webp.MAX_ROWS * 2 + 5))
     images = webp.load(webp.store(samples))
