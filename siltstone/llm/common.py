@@ -19,9 +19,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 2 << 20
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -65,6 +67,7 @@ def remove(spark: SparkSession, path: str) -> None:
 def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage ends at files every executor can read."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = scratch_path(spark, name)
     if not keep and _open_scratch.get() is not None:
         _open_scratch.get().append(path)
@@ -72,16 +75,11 @@ def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-@contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """Arrow batches of fewer rows for the jobs run inside; the session's setting is put back."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, min(rows, int(before)) if int(before) > 0 else rows)
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_BYTES for this session's jobs, whatever the length of its texts."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key, str(BATCH_BYTES + 1))) > BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
 
 
 def text_arrays(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -13,6 +13,7 @@ any other; an empty table gives an empty result; further columns of the input ar
 from __future__ import annotations
 
 import base64
+import functools
 import os
 import zlib
 from bisect import bisect_right
@@ -50,16 +51,19 @@ def encoder(name: str = TOKENIZER):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
-
         with open(tokenizer_path(f"{name}.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        slow = Tokenizer.from_file(tokenizer_path(f"{name}.json"))
+
+        @functools.cache
+        def library():
+            from tokenizers import Tokenizer
+
+            return Tokenizer.from_file(tokenizer_path(f"{name}.json"))
 
         def encode(text: str) -> np.ndarray:
             if SPECIAL in text:
-                return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
+                return np.array(library().encode(text, add_special_tokens=False).ids, np.uint32)
             return np.asarray(fast.encode_to_numpy(text, allowed_special=set(), disallowed_special=()), np.uint32)
 
         _loaded[name] = encode
