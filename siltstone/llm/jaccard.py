@@ -52,8 +52,8 @@ from .components import components
 CROWD = 30  # classes that make a token frequent
 MOST_FREQUENT = 1 << 21
 MOST_K = 4
-FLUSH_TOKENS = 1 << 20  # counted together in a task
-BUCKET_TOKENS = 1 << 21  # counted together after the shuffle
+FLUSH_TOKENS = 1 << 19  # counted together in a task
+BUCKET_TOKENS = 1 << 20  # counted together after the shuffle
 NARROW, WIDE = 9, 12  # bits of a hash slot; sets of more than LARGE tokens have both kinds of parities
 LARGE = 1200
 SALT = 512

@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,7 +64,7 @@ SECRET_BEFORE = r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key) ?[=:] ?[\
 CONTEXT = (SECRET_BEFORE, r"(?i)phone|tel\b|call|fax|mobile|whatsapp", r"(?i)card|visa|credit|payment", r"(?i)\bip\b|host|server|address", r"(?i)mail|contact|write to", r"(?i)order|ref\b|\bid\b|isbn|sku|serial|version")
 FEATURES = ("kind", "digits", "separators", "lead", "before", "context", "check", "company")
 
-ROUNDS, DEPTH, SHRINKAGE, PENALTY = 40, 4, 0.4, 4.0
+ROUNDS, DEPTH, SHRINKAGE, PENALTY = 24, 3, 0.4, 4.0
 PRECISION, LEAST_SUPPORT, FOLDS = 0.97, 20, 5
 _SPAN = "array<struct<s:int,e:int,m:string>>"
 
@@ -260,15 +261,35 @@ class Ensemble:
         if bound is None:
             return F.lit(False)
 
+        own = ALL_KINDS.index(kind)
+
+        def within(tree, low: dict[int, int], high: dict[int, int]):
+            """The tree without the branches that a candidate of this kind, on this side of earlier bounds, cannot reach."""
+            while isinstance(tree, tuple):
+                k, bound, left, right = tree
+                if high.get(k, 1 << 30) <= bound:
+                    tree = left
+                elif low.get(k, -1) > bound:
+                    tree = right
+                else:
+                    a, b = within(left, low, high | {k: bound}), within(right, low | {k: bound + 1}, high)
+                    return a if a == b else (k, bound, a, b)
+            return tree
+
         def expression(tree) -> Column:
             if not isinstance(tree, tuple):
                 return F.lit(float(tree))
             return F.when(f[FEATURES[tree[0]]] <= tree[1], expression(tree[2])).otherwise(expression(tree[3]))
 
-        total = F.lit(self.bias)
+        # What always holds for the kind is added up here, the rest is an expression.
+        total, open_ = self.bias, []
         for tree in self.trees:
-            total = total + expression(tree)
-        return total >= bound - 1e-9
+            tree = within(tree, {0: own}, {0: own})
+            if isinstance(tree, tuple):
+                open_.append(tree)
+            else:
+                total += tree
+        return reduce(lambda x, tree: x + expression(tree), open_, F.lit(total)) >= bound - 1e-9
 
 
 def boost(rows: list[tuple[tuple[int, ...], float, float]], held_out: list[tuple[tuple[int, ...], float, float]] | None = None) -> Ensemble:

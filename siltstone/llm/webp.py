@@ -132,7 +132,7 @@ def read_code(bits: Bits, alphabet: int) -> Code:
         sizes[k] = bits.read(3)
     code = Code(sizes)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
-    if code.single is None and len(np.unique(code.length)) == 1 and code.symbol.max() < 16:
+    if code.single is None and code.length.min() == code.length.max() and code.symbol.max() < 16:
         # All lengths take the same number of bits and none repeats: they lie side by side.
         n = min(left, alphabet)
         at = bits.pos + code.bits * np.arange(n)
@@ -550,8 +550,9 @@ def matches(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(samples)
     x = samples.astype(np.uint32)
     gram = x[:-3] | x[1:-2] << np.uint32(8) | x[2:-1] << np.uint32(16) | x[3:] << np.uint32(24)
-    order = np.argsort(gram, kind="stable")
-    same = np.flatnonzero(gram[order[1:]] == gram[order[:-1]])
+    ordered = np.sort(gram.astype(np.uint64) << np.uint64(32) | np.arange(n - 3, dtype=np.uint64))
+    same = np.flatnonzero(ordered[1:] >> np.uint64(32) == ordered[:-1] >> np.uint64(32))
+    order = (ordered & np.uint64(0xFFFFFFFF)).astype(np.int64)
     distance = np.zeros(n, np.int64)
     distance[order[same + 1]] = order[same + 1] - order[same]
     change = np.append(np.flatnonzero(distance[1:] != distance[:-1]), n - 1)
