@@ -23,7 +23,9 @@ LANGUAGES = {
 }
 # What makes a graph node a file.
 FILE_EXTENSIONS = (".py", ".md", ".yaml", ".yml", ".toml", ".txt", ".json", ".rst", ".cfg", ".ini", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".go", ".rs")
+# First segments of paths that are files without a known extension.
 PROJECT_ROOTS = ("src", "libs", "apps", "app", "pkg", "internal", "modules", "tests", "scripts", "docs")
+# Fixed value: bytes of the largest JSON file that a scan keeps.
 LARGEST_JSON = 100_000
 
 
@@ -87,6 +89,11 @@ def encode_project(path: Column) -> Column:
     return F.translate(path, "._/", "---")
 
 
+def decode_project(name: Column) -> Column:
+    """A path again; what was a dot or an underscore comes back as a slash."""
+    return F.translate(name, "-", "/")
+
+
 def module_of(path: Column) -> Column:
     """The first two segments of a path with three or more, the first of two, else `.`."""
     parts = F.split(path, "/")

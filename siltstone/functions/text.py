@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .terms import ENGLISH, RUSSIAN
+
 # Words that carry no meaning in a query.
 STOPWORDS = (
     "a", "an", "the", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would",
@@ -21,14 +25,31 @@ def strings(values: tuple[str, ...] | list[str]) -> Column:
 
 
 def word_tokens(text: Column) -> Column:
-    """Lower-case runs of ASCII letters and digits."""
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+    """Lower-case runs of letters and digits of any script."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
+_IDENTIFIER = "[a-zA-Zа-яА-ЯёЁ0-9]"
 
 
 def identifier_tokens(text: Column) -> Column:
-    """Splits identifiers at `_ . -`, at other punctuation and at camel-case humps, in lower case."""
-    humps = F.regexp_replace(F.regexp_replace(text, "([a-z0-9])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")
-    return F.regexp_extract_all(F.lower(humps), F.lit("[a-z0-9]+"), F.lit(0))
+    """Latin and Cyrillic letters and digits, split at everything else and before a capital that follows a small letter or digit, in lower case.
+
+    Runs of capitals stay together: `HTTPServer` is one token.
+    """
+    humps = F.regexp_replace(text, "(?<=[a-z0-9])(?=[A-Z])", " ")
+    return F.transform(F.regexp_extract_all(humps, F.lit(f"{_IDENTIFIER}+"), F.lit(0)), F.lower)
+
+
+def identifiers(text: str) -> list[str]:
+    """identifier_tokens for a query, which is one string and lives on the driver."""
+    return [t.lower() for t in re.findall(f"{_IDENTIFIER}+", re.sub("(?<=[a-z0-9])(?=[A-Z])", " ", text))]
+
+
+def query_terms(text: str) -> list[str]:
+    """The lower-case raw terms of a query (with `_`, `.` and `-` in them) and its identifier tokens, each once, in this order."""
+    raw = [t.lower() for t in re.findall("[a-zA-Zа-яА-ЯёЁ0-9_.-]+", text)]
+    return list(dict.fromkeys(raw + identifiers(text)))
 
 
 def without_stopwords(tokens: Column) -> Column:
@@ -38,13 +59,14 @@ def without_stopwords(tokens: Column) -> Column:
 
 
 def expand_terms(text: Column) -> Column:
-    """The raw lower-case words and the identifier tokens, each once, first occurrence first."""
-    return F.array_distinct(F.concat(F.split(F.lower(F.trim(text)), r"\s+"), identifier_tokens(text)))
+    """The raw lower-case terms and the identifier tokens, each once, first occurrence first."""
+    raw = F.regexp_extract_all(F.lower(text), F.lit("[a-zа-яё0-9_.-]+"), F.lit(0))
+    return F.array_distinct(F.concat(raw, identifier_tokens(text)))
 
 
-def translate_terms(tokens: Column, dictionary: dict[str, str]) -> Column:
-    """Adds the dictionary's word for each token that has one, after the tokens."""
-    pairs = [F.lit(x) for item in dictionary.items() for x in item]
+def translate_terms(tokens: Column, dictionary: dict[str, str] | None = None) -> Column:
+    """Adds the dictionary's word for each token that has one and lacks it, after the tokens."""
+    pairs = [F.lit(x) for item in ((RUSSIAN | ENGLISH) if dictionary is None else dictionary).items() for x in item]
     if not pairs:
         return tokens
     table = F.create_map(*pairs)
@@ -56,12 +78,21 @@ _SUFFIXES = ("ational", "ization", "ations", "ation", "ments", "ment", "ness", "
 _SUFFIXES_RU = ("иями", "ями", "ами", "ого", "ему", "ому", "ыми", "ими", "ая", "яя", "ое", "ее", "ые", "ие", "ов", "ев", "ей", "ий", "ый", "ой", "ам", "ям", "ах", "ях", "ом", "ем", "ы", "и", "а", "я", "о", "е", "у", "ю", "ь")
 
 
+def _stem_pattern(suffixes: tuple[str, ...]) -> str:
+    return f"^(.{{3,}}?)(?:{'|'.join(suffixes)})$"
+
+
+def normalize(token: str) -> str:
+    """normalize_token for the words of a query."""
+    low = token.lower()
+    return low if len(low) < 5 else re.sub(_stem_pattern(_SUFFIXES_RU if re.search("[а-яё]", low) else _SUFFIXES), r"\1", low)
+
+
 def normalize_token(token: Column) -> Column:
-    """Lower case without inflection; approximates dictionary lemmas by stripping one suffix from words of five letters up."""
+    """Lower case without inflection; approximates dictionary lemmas by taking the longest known suffix off words of five letters up."""
     low = F.lower(token)
-    latin = F.regexp_replace(low, f"(?<=^.{{3,40}})({'|'.join(_SUFFIXES)})$", "")
-    cyrillic = F.regexp_replace(low, f"(?<=^.{{3,40}})({'|'.join(_SUFFIXES_RU)})$", "")
-    return F.when(F.length(low) < 5, low).when(low.rlike("[а-яё]"), cyrillic).otherwise(latin)
+    stemmed = F.when(low.rlike("[а-яё]"), F.regexp_replace(low, _stem_pattern(_SUFFIXES_RU), "$1")).otherwise(F.regexp_replace(low, _stem_pattern(_SUFFIXES), "$1"))
+    return F.when(F.length(low) < 5, low).otherwise(stemmed)
 
 
 def slug(text: Column) -> Column:

@@ -73,8 +73,9 @@ def lint(articles: DataFrame, modules: DataFrame, index: DataFrame, least: int =
     return out.unionByName(issue(a.join(i, "name", "left_anti"), "unindexed")).unionByName(issue(i.join(a, "name", "left_anti"), "dangling"))
 
 
-def commits_between(parents: DataFrame, old: str, new: str, depth: int = 10_000) -> DataFrame:
-    """commit_sha of the commits reachable from `new` and not from `old`; parents: (sha, parent)."""
+def commits_between(parents: DataFrame, old: str, new: str) -> DataFrame:
+    """commit_sha of the commits reachable from `new` and not from `old`; parents: (sha, parent). Histories of any length."""
     edges = parents.select(F.col("sha").alias("src"), F.col("parent").alias("dst")).where("dst is not null")
+    depth = parents.select("sha").distinct().count() + 1  # no path is longer; walks end when nothing new is found
     reach = lambda sha: bfs(edges, parents.sparkSession.range(1).select(F.lit(sha).alias("node")), depth).select(F.col("node").alias("commit_sha"))
     return reach(new).join(reach(old), "commit_sha", "left_anti")

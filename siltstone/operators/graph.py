@@ -5,16 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - as pa.compute
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 DAMPING = 0.85
+SMALL_EDGES, SMALL_SEEDS = 1_000_000, 1_000  # up to here walks and ranks run on the driver, in arrays of a few megabytes
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder named by spark.checkpoint.dir. Only a local session may go without: a temporary folder is named there."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="siltstone-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -28,6 +34,56 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class SmallGraph:
+    """The edges of a graph of bounded size on the driver. Gives what the loops of joins give, without a job for each round."""
+
+    def __init__(self, table: pa.Table) -> None:
+        both = pa.chunked_array([*table.column("src").chunks, *table.column("dst").chunks], table.schema.field("src").type).combine_chunks()
+        coded = both.dictionary_encode()
+        self.nodes, codes = coded.dictionary, coded.indices.to_numpy()
+        self.src, self.dst = codes[: table.num_rows].astype(np.int64), codes[table.num_rows :].astype(np.int64)
+        order = np.argsort(self.src, kind="stable")
+        self.targets, self.start = self.dst[order], np.searchsorted(self.src[order], np.arange(len(self.nodes) + 1))
+
+    @staticmethod
+    def of(edges: DataFrame) -> SmallGraph | None:
+        """None for a graph of more than SMALL_EDGES edges."""
+        table = edges.select("src", "dst").limit(SMALL_EDGES + 1).toArrow()
+        return SmallGraph(table) if table.num_rows <= SMALL_EDGES else None
+
+    def reach(self, seed: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """(nodes, hops) within a number of hops of a node, without itself."""
+        hop = np.full(len(self.nodes), -1)
+        hop[seed], last = 0, np.array([seed])
+        for k in range(1, depth + 1):
+            n = self.start[last + 1] - self.start[last]
+            ends = np.cumsum(n)
+            at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[last] - (ends - n), n)
+            last = np.unique(self.targets[at])
+            last = last[hop[last] < 0]
+            if not len(last):
+                break
+            hop[last] = k
+        found = np.flatnonzero(hop > 0)
+        return found, hop[found]
+
+    def bfs(self, seeds: pa.Array) -> np.ndarray:
+        """The numbers of seeds, -1 for those outside the graph."""
+        return np.array(pa.compute.index_in(seeds, self.nodes).fill_null(-1))
+
+    def ranks(self, jump: np.ndarray, iterations: int, tolerance: float | None, every: int) -> np.ndarray:
+        n = len(self.nodes)
+        outs = np.bincount(self.src, minlength=n)
+        rank, lost = np.full(n, 1.0 / n), outs == 0
+        for i in range(1, iterations + 1):
+            share = rank / np.maximum(outs, 1)
+            new = (1 - DAMPING) * jump + DAMPING * rank[lost].sum() * jump + DAMPING * np.bincount(self.dst, share[self.src], n)
+            change, rank = np.abs(new - rank).sum(), new
+            if tolerance and (i % every == 0 or i == iterations) and change < tolerance:
+                break
+        return rank / rank.sum()
+
+
 def edges_of(df: DataFrame, src: str, dst: str) -> DataFrame:
     """Distinct edges; parallel ones collapse."""
     return df.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src is not null and dst is not null").distinct()
@@ -51,6 +107,19 @@ def neighbors(edges: DataFrame, node: object, k: int) -> DataFrame:
 
 def bfs(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """seed, node, hop: the nodes each seed reaches within a number of hops, at their smallest hop; seeds have hop 0."""
+    spark = edges.sparkSession
+    starts = seeds.select("node").limit(SMALL_SEEDS + 1).toArrow().column("node").combine_chunks()
+    small = SmallGraph.of(edges) if len(starts) <= SMALL_SEEDS else None
+    if small is not None:
+        starts = starts.cast(small.nodes.type) if len(small.nodes) else starts
+        parts = [(starts, starts, pa.array(np.zeros(len(starts), np.int32)))]
+        for k, code in enumerate(small.bfs(starts) if len(small.nodes) else []):
+            if code >= 0:
+                found, hops = small.reach(int(code), depth)
+                parts.append((starts.take(pa.array(np.full(len(found), k))), small.nodes.take(pa.array(found)), pa.array(hops.astype(np.int32))))
+        table = pa.table({name: pa.concat_arrays([p[i] for p in parts]) for i, name in enumerate(("seed", "node", "hop"))})
+        kind = edges.schema["dst"].dataType.simpleString()
+        return spark.createDataFrame(table, f"seed {kind}, node {kind}, hop int")
     found = seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("hop"))
     frontier = found
     for hop in range(1, depth + 1):
@@ -59,6 +128,8 @@ def bfs(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
         if frontier.isEmpty():
             break
         found = found.unionByName(frontier)
+        if hop % 8 == 0:  # else the plan grows by a branch with each hop
+            found = kept(found, "bfs-found")
     return found
 
 
@@ -84,6 +155,9 @@ def pagerank(edges: DataFrame, iterations: int = 100, tolerance: float | None =
     teleport: (node, weight), restricted to nodes of the graph; without positive weights jumps are uniform. With a tolerance
     the loop ends when the total change falls below it. Ranks are written to the shared folder every few rounds.
     """
+    small = SmallGraph.of(edges)
+    if small is not None:
+        return _small_ranks(small, edges, iterations, tolerance, teleport, every)
     out = edges.groupBy("src").agg(F.count("*").alias("outs"))
     weighted = kept(edges.join(out, "src"), "pagerank-edges")
     all_nodes = nodes(edges)
@@ -110,6 +184,19 @@ def pagerank(edges: DataFrame, iterations: int = 100, tolerance: float | None =
     return ranks.crossJoin(F.broadcast(ranks.agg(F.sum("rank").alias("whole")))).select("node", (F.col("rank") / F.col("whole")).alias("rank"))
 
 
+def _small_ranks(small: SmallGraph, edges: DataFrame, iterations: int, tolerance: float | None, teleport: DataFrame | None, every: int) -> DataFrame:
+    spark, n, kind = edges.sparkSession, len(small.nodes), edges.schema["src"].dataType.simpleString()
+    if not n:
+        return spark.createDataFrame([], f"node {kind}, rank double")
+    weight = np.ones(n)
+    if teleport is not None:
+        own = teleport.join(nodes(edges), "node", "left_semi").select("node", F.col("weight").cast("double")).toArrow()
+        weight = np.zeros(n)
+        np.add.at(weight, small.bfs(own.column("node").combine_chunks().cast(small.nodes.type)), own.column("weight").fill_null(0.0).to_numpy())
+    jump = weight / weight.sum() if weight.sum() else np.full(n, 1.0 / n)
+    return spark.createDataFrame(pa.table({"node": small.nodes, "rank": small.ranks(jump, iterations, tolerance, every)}), f"node {kind}, rank double")
+
+
 def file_dependencies(relations: DataFrame) -> DataFrame:
     """src (importer), dst (definer): files joined through the symbols one defines and the other imports."""
     defines = relations.where("relation_type = 'defines'").groupBy(F.col("dst_ref").alias("symbol")).agg(F.max("src_ref").alias("dst"))

@@ -1,14 +1,18 @@
-"""Ranked retrieval: symbol lookup, boosts, fusion, cut-offs, coverage, suggestions, and the staged pipeline."""
+"""Ranked retrieval: symbol lookup, boosts, fusion, cut-offs, coverage, suggestions, and the staged pipeline (retrieve)."""
 
 from __future__ import annotations
 
+import time
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.paths import stem
+from ..functions.paths import looks_like_file, stem
 from ..functions.text import GENERIC_TOKENS, identifier_tokens, strings, without_stopwords
+from .code_graph import mixed_walk
+from .graph import expand, kept, pagerank
 
 # Weights of the stages and of the roles in both modes.
 SYMBOL_WEIGHT, FTS_WEIGHT, KEEP_SHARE = 3.0, 1.0, 0.4
@@ -79,8 +83,19 @@ def recency_weight(churn: Column, age_days: Column) -> Column:
 
 def lower_median(df: DataFrame, value: str) -> DataFrame:
     """One row (mid, top): the value at place max(0, n // 2 - 1) in ascending order, and the largest."""
-    ranked = df.select(F.col(value).alias("v"), F.row_number().over(Window.orderBy(value)).alias("r"), F.count("*").over(Window.partitionBy()).alias("n"))
-    return ranked.agg(F.max(F.when(F.col("r") == F.greatest(F.floor(F.col("n") / 2), F.lit(1)), F.col("v"))).alias("mid"), F.max("v").alias("top"))
+    ranked = global_rank(df.select(F.col(value).alias("v")), [F.col("v")])
+    size = ranked.agg(F.count("*").alias("n"), F.max("v").alias("top"))
+    return ranked.crossJoin(F.broadcast(size)).where(F.col("rank") == F.greatest(F.floor(F.col("n") / 2), F.lit(1))).select(F.col("v").alias("mid"), "top")
+
+
+def global_rank(df: DataFrame, order: list[Column]) -> DataFrame:
+    """Adds rank, from 1, in a total order, without one task that sees all rows: ranges are sorted apart and their sizes summed."""
+    place = F.monotonically_increasing_id()
+    ranged = kept(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"siltstone_part": F.shiftright(place, 33), "siltstone_place": place.bitwiseAND((1 << 33) - 1)}), "ranked")
+    sizes = ranged.groupBy("siltstone_part").agg(F.count("*").alias("siltstone_n"))  # a row for each range
+    before = F.coalesce(F.sum("siltstone_n").over(Window.orderBy("siltstone_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("siltstone_part", before.alias("siltstone_before"))
+    return ranged.join(F.broadcast(offsets), "siltstone_part").withColumn("rank", F.col("siltstone_before") + F.col("siltstone_place") + 1).drop("siltstone_part", "siltstone_place", "siltstone_before")
 
 
 def centrality_boost(scored: DataFrame, centrality: str = "centrality", score: str = "score") -> DataFrame:
@@ -97,13 +112,9 @@ def score_decay(scored: DataFrame, score: str = "score") -> DataFrame:
     return scored.crossJoin(F.broadcast(best)).where(F.col(score) >= KEEP_SHARE * F.col("best")).drop("best")
 
 
-def rrf(rankings: list[tuple[DataFrame, float]], key: str, score: str = "score", depth: int = 1000) -> DataFrame:
-    """Weighted reciprocal-rank fusion of the first `depth` rows of each ranking; a weight of 0 drops a list."""
-    parts = []
-    for ranking, weight in rankings:
-        if weight > 0:
-            top = ranking.orderBy(F.desc(score), key).limit(depth)
-            parts.append(top.select(key, (weight / (RRF_K + F.row_number().over(Window.orderBy(F.desc(score), key)))).alias("part")))
+def rrf(rankings: list[tuple[DataFrame, float]], key: str, score: str = "score") -> DataFrame:
+    """Weighted reciprocal-rank fusion of whole rankings; a weight of 0 drops a list."""
+    parts = [global_rank(ranking.select(key, score), [F.desc(score), F.col(key)]).select(key, (weight / (RRF_K + F.col("rank"))).alias("part")) for ranking, weight in rankings if weight > 0]
     return reduce(DataFrame.unionByName, parts).groupBy(key).agg(F.round(F.sum("part"), 9).alias("fused"))
 
 
@@ -153,3 +164,76 @@ def symbol_list(hits: DataFrame, symbols: DataFrame, top_files: DataFrame, k: in
     both = direct.unionByName(rest.select("fq_name", F.lit(1).alias("priority"), F.lit(0.0).alias("score")))
     return both.groupBy("fq_name").agg(F.min("priority").alias("priority"), F.max("score").alias("score")).orderBy("priority", F.desc("score"), "fq_name").limit(k)
 
+
+# --- the staged pipeline ------------------------------------------------------------------------------------------
+
+
+@dataclass
+class Retrieval:
+    """files: path, score, the best first. symbols: fq_name. stages: (name, milliseconds, candidates) in their order."""
+
+    files: DataFrame
+    symbols: DataFrame
+    coverage: str
+    stages: list[tuple[str, float, int]] = field(default_factory=list)
+
+
+def retrieve(
+    files: DataFrame,
+    symbols: DataFrame,
+    text_scores: DataFrame,
+    query: str,
+    mode: str = "navigate",
+    limit: int = 10,
+    edges: DataFrame | None = None,
+    git: DataFrame | None = None,
+    vectors: DataFrame | None = None,
+    centrality: bool = True,
+) -> Retrieval:
+    """Symbols, text, graph, then boosts (config, path, role, centrality, git), vector fusion, cut-off and ranking.
+
+    files: path, role; symbols: name, fq_name, file_path; text_scores: path, score; edges: src, dst; git: file_path,
+    churn_30d, age_days; vectors: path, score. Candidates are a few times `limit`; each stage writes them, so no stage
+    is computed twice.
+    """
+    stages: list[tuple[str, float, int]] = []
+    began = [time.perf_counter()]
+
+    def done(name: str, df: DataFrame) -> DataFrame:
+        out = kept(df, f"retrieve-{name}")
+        stages.append((name, (time.perf_counter() - began[0]) * 1000, out.count()))
+        began[0] = time.perf_counter()
+        return out
+
+    hits = done("symbols", symbol_scores(symbols, query).select("name", "fq_name", "file_path", "score").orderBy(F.desc("score"), "fq_name", "file_path").limit(2 * limit))
+    by_symbol = hits.groupBy(F.col("file_path").alias("path")).agg((SYMBOL_WEIGHT * F.max("score")).alias("score"))
+    by_text = text_scores.select("path", (FTS_WEIGHT * F.col("score")).alias("score")).orderBy(F.desc("score"), "path").limit(2 * limit)
+    scored = done("text", by_symbol.unionByName(by_text).groupBy("path").agg(F.sum("score").alias("score")))
+    if edges is not None:
+        seeds = kept(scored.orderBy(F.desc("score"), "path").limit(GRAPH_SEEDS).select(F.col("path").alias("node"), "score"), "retrieve-seeds")
+        reached = expand(edges, seeds, 3 if mode == "edit" else 2, GRAPH_DECAY).select("node", "score").unionByName(mixed_walk(edges, seeds, GRAPH_DECAY))
+        weight = 1.0 if mode == "edit" else 0.5
+        reached = reached.where(looks_like_file(F.col("node"))).select(F.col("node").alias("path"), (weight * F.col("score")).alias("score"))
+        scored = done("graph", scored.unionByName(reached).groupBy("path").agg(F.max("score").alias("score")))
+    known = scored.join(files.select("path", "role"), "path", "left")
+    known = config_boost(known, query).withColumn("score", F.col("score") + path_boost(F.col("path"), query))
+    scored = done("roles", known.select("path", (F.col("score") * role_weight(F.col("role"), query, mode)).alias("score")))
+    weights = None if git is None else git.select(F.col("file_path").alias("node"), recency_weight(F.col("churn_30d"), F.col("age_days")).alias("weight"))
+    if edges is not None and centrality:
+        ranks = pagerank(edges, teleport=weights).select(F.col("node").alias("path"), F.col("rank").alias("centrality"))
+        central = scored.join(ranks, "path", "left").withColumn("centrality", F.coalesce("centrality", F.lit(0.0)))
+        scored = done("centrality", centrality_boost(central).select("path", "score"))
+    if git is not None:
+        facts = git.select(F.col("file_path").alias("path"), "churn_30d", "age_days")
+        scored = done("git", scored.join(facts, "path", "left").select("path", (F.col("score") * git_boost(F.col("churn_30d"), F.col("age_days"))).alias("score")))
+    if vectors is not None:
+        top = vectors.agg(F.max("score")).first()[0]
+        weight = 0.0 if top is None else files.sparkSession.range(1).select(vector_weight(F.lit(float(top)), F.lit(files.count()))).first()[0]
+        if weight > 0:
+            fused = kept(rrf([(scored, 1.0), (vectors, weight)], "path"), "retrieve-fused")
+            best = scored.agg(F.max("score").alias("s")).crossJoin(fused.agg(F.max("fused").alias("f")))
+            scored = done("vectors", fused.crossJoin(F.broadcast(best)).select("path", (F.col("fused") * F.coalesce(F.col("s"), F.lit(1.0)) / F.col("f")).alias("score")))
+    final = done("cut", score_decay(scored).orderBy(F.desc("score"), "path").limit(limit))
+    coverage = final.agg(coverage_class(F.collect_list("score")).alias("c")).first()["c"]
+    top_two = final.orderBy(F.desc("score"), "path").limit(2)
+    return Retrieval(final.orderBy(F.desc("score"), "path"), symbol_list(hits, symbols.where(~F.contains("fq_name", F.lit("#"))), top_two, limit), coverage, stages)

@@ -44,7 +44,7 @@ def net_effect(events: DataFrame, key: str, kind: str, ts: str, id_: str) -> Dat
 def ranked_buckets(rows: DataFrame, bucket: str, importance: str, ts: str, key: str, k: int) -> DataFrame:
     """The best k of each bucket by importance and recency, with the bucket's size and whether it was cut."""
     order = Window.partitionBy(bucket).orderBy(F.desc(importance), F.desc(ts), key)
-    totals = rows.groupBy(bucket).agg(F.count("*").alias("total_before_limit"))
+    totals = rows.groupBy(bucket).agg(F.count("*").alias("total_before_limit"))  # a row for each of four buckets
     top = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
     return top.join(F.broadcast(totals), bucket).withColumn("truncated", F.col("total_before_limit") > k).drop("r")
 
@@ -84,25 +84,59 @@ def name_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() if x is not None and y is not None else 0.0 for x, y in zip(a, b)])
 
 
+def _least_shared(a: Column, b: Column, threshold: float) -> tuple[Column, Column]:
+    """(length of a common run, number of common trigrams) that two names of these lengths have at least if their ratio reaches the threshold.
+
+    The matching characters, threshold (a + b) / 2 of them, lie in at most one run more than there are others.
+    """
+    matched = F.ceil(F.lit(threshold / 2) * (a + b) - 1e-9)
+    runs = a + b - 2 * matched + 1
+    return F.ceil(matched / runs), matched - 2 * runs
+
+
+def _near_names(removed: DataFrame, added: DataFrame, threshold: float) -> DataFrame:
+    """removed_id, added_id, ratio of pairs whose last names are different and have a ratio of the threshold or more.
+
+    Names meet by common trigrams (by bigrams where names are so short that a run of two may be all they share), as many
+    as the threshold implies; what is left is measured.
+    """
+    def grams(df: DataFrame, side: str) -> DataFrame:
+        leaf, n = F.col(f"{side}_leaf"), F.length(f"{side}_leaf")
+        cut = lambda k: F.transform(F.filter(F.sequence(F.lit(1), n), lambda i: i <= n - (k - 1)), lambda i: F.substring(leaf, i, F.lit(k)))
+        short = F.when(n <= 9, cut(2)).otherwise(F.array().cast("array<string>"))
+        return df.where(n > 0).select("block", f"{side}_id", f"{side}_leaf", F.explode(F.array_distinct(F.concat(cut(3), short))).alias("gram"))
+
+    left, right = grams(removed, "removed"), grams(added, "added")
+    met = left.join(right, ["block", "gram"]).where("removed_leaf <> added_leaf").groupBy("removed_id", "added_id", "removed_leaf", "added_leaf").agg(F.count_if(F.length("gram") == 3).alias("shared"))
+    a, b = F.length("removed_leaf"), F.length("added_leaf")
+    run, trigrams = _least_shared(a, b, threshold)
+    open_ = met.where((F.least(a, b) * 2 >= F.lit(threshold) * (a + b)) & ((run < 3) | (F.col("shared") >= 1)))
+    # Repeated trigrams of a name count once here, so their number bounds only names that repeat none; one is asked of all.
+    return open_.withColumn("ratio", name_ratio("removed_leaf", "added_leaf")).where(F.col("ratio") >= threshold).select("removed_id", "added_id", "ratio")
+
+
 def rename_pairs(events: DataFrame, block: str, threshold: float = RENAME_THRESHOLD) -> DataFrame:
-    """removed_id, added_id, confidence, is_candidate: the best added symbol for each removed one within a block.
+    """removed_id, added_id, confidence, is_candidate: the best added symbol for each removed one within a block (a project's scan).
 
-    Equal content is 1.0 and equal leaf names are 0.9, both by equi-joins; other pairs share the block and are scored by
-    name_ratio. Pairs of confidence 1.0 are confirmed and consume their added side first.
+    Equal content is 1.0, equal last names are 0.9, else the ratio of matching characters of the last names. Removed and
+    added symbols are taken in the order of their ids: the n-th removed with some content takes the n-th added with it, and
+    such a pair is confirmed and its added side gone for all later ones. Others are candidates and consume nothing; of equal
+    confidence the smaller added id counts. Events without a qualified name pair by content only; null hashes are unequal.
     """
     def side(kind: str, prefix: str) -> DataFrame:
         leaf = F.element_at(F.split("qualified_name", r"\."), -1)
-        return events.where(F.col("event_type") == kind).select(F.col(block).alias("block"), F.col("symbol_id").alias(f"{prefix}_id"), F.col("content_hash").alias(f"{prefix}_hash"), F.col("qualified_name").alias(f"{prefix}_name"), leaf.alias(f"{prefix}_leaf"))
+        return events.where(F.col("event_type") == kind).select(F.col(block).alias("block"), F.col("symbol_id").alias(f"{prefix}_id"), F.nullif("content_hash", F.lit("")).alias(f"{prefix}_hash"), leaf.alias(f"{prefix}_leaf"))
 
     removed, added = side("removed", "removed"), side("added", "added")
-    exact = removed.join(added, (removed.block == added.block) & (removed.removed_hash == added.added_hash)).select("removed_id", "added_id")
-    one = exact.groupBy("removed_id").agg(F.min("added_id").alias("added_id")).groupBy("added_id").agg(F.min("removed_id").alias("removed_id")).select("removed_id", "added_id", F.lit(1.0).alias("confidence"), F.lit(False).alias("is_candidate"))
+    place = lambda df, x: df.where(F.col(f"{x}_hash").isNotNull()).withColumn("place", F.row_number().over(Window.partitionBy("block", f"{x}_hash").orderBy(f"{x}_id"))).withColumnRenamed(f"{x}_hash", "hash")
+    one = place(removed, "removed").join(place(added, "added"), ["block", "hash", "place"]).select("removed_id", "added_id")
     left = removed.join(one.select("removed_id"), "removed_id", "left_anti")
-    right = added.join(one.select("added_id"), "added_id", "left_anti").withColumnRenamed("block", "added_block")
-    near = left.join(right, (left.block == right.added_block) & left.removed_name.isNotNull() & right.added_name.isNotNull())
-    scored = near.select("removed_id", "added_id", F.when(F.col("removed_leaf") == F.col("added_leaf"), 0.9).otherwise(name_ratio("removed_name", "added_name")).alias("confidence")).where(F.col("confidence") >= threshold)
-    best = scored.groupBy("removed_id").agg(F.max_by(F.struct("added_id", "confidence"), F.struct("confidence", -F.xxhash64("added_id"))).alias("x"))
-    return one.unionByName(best.select("removed_id", "x.added_id", "x.confidence", F.lit(True).alias("is_candidate")))
+    right = added.join(one.select("added_id", F.col("removed_id").alias("consumed_by")), "added_id", "left")
+    same = left.join(right.withColumnRenamed("added_leaf", "removed_leaf"), ["block", "removed_leaf"]).select("removed_id", "added_id", F.lit(0.9).alias("ratio"))
+    near = same.unionByName(_near_names(left, right, threshold)).where(F.col("ratio") >= threshold).join(right.select("added_id", "consumed_by"), "added_id")
+    free = near.where("consumed_by is null or removed_id < consumed_by")
+    best = free.groupBy("removed_id").agg(F.max("ratio").alias("confidence"), F.min_by("added_id", F.struct(-F.col("ratio"), F.col("added_id"))).alias("added_id"))
+    return one.select("removed_id", "added_id", F.lit(1.0).alias("confidence"), F.lit(False).alias("is_candidate")).unionByName(best.select("removed_id", "added_id", "confidence", F.lit(True).alias("is_candidate")))
 
 
 def reconcile(events: DataFrame, commits: DataFrame) -> DataFrame:
@@ -130,10 +164,142 @@ def keep_newest(rows: DataFrame, group: str, ts: str, id_: str, n: int, oldest:
     return rows.withColumn("siltstone_r", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(ts), F.desc(id_)))).where(F.col("siltstone_r") <= n).drop("siltstone_r")
 
 
-# Words that make a query one about history.
-MARKERS = {"removed": "removed|deleted|gone|missing|disappeared", "diff": "changed|diff|between|since|regress", "when": "when|history|introduced|first seen"}
+# Patterns that make a query one about history, by kind.
+MARKERS = {
+    "removed_since": (r"\bremov(?:ed|al)\b", r"\bdelet(?:ed|ion)\b", r"\bgone\s+since\b", r"\bmissing\s+since\b", r"\bудал", r"\bпропа[лд]"),
+    "diff": (r"\bbetween\s+\S+\s+and\s+\S+\b", r"\bdiff\b", r"\bchanged\s+between\b", r"\bрегресс", r"\bмежду\s+\S+\s+и\s+\S+\b"),
+    "symbol_history": (r"\bwhen\s+was\b", r"\bhistory\s+of\b", r"\brenamed\s+(?:from|to)\b", r"\bпереимен", r"\bкогда\s+(?:был|была|добавил|удалил)", r"\bистори[яюи]\s+"),
+}
+# What names a commit or tag, and what names a symbol, in a query.
+REFERENCE = r"\b(?:HEAD(?:~\d+)?|v\d+(?:\.\d+){0,3}(?:-[A-Za-z0-9]+)?|[0-9a-f]{7,40})\b"
+DOTTED_NAME = r"[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*){1,}"
 
 
 def history_markers(query: Column) -> Column:
-    """The kinds of history question a query asks."""
-    return F.array_compact(F.array(*(F.when(F.lower(query).rlike(rf"\b({p})"), kind) for kind, p in MARKERS.items())))
+    """The kinds of history question a query asks, in a fixed order."""
+    return F.array_compact(F.array(*(F.when(query.rlike("(?iuU)" + "|".join(f"(?:{p})" for p in patterns)), kind) for kind, patterns in MARKERS.items())))
+
+
+def history_references(query: Column) -> Column:
+    """Commits and tags named in a query about history, each once, in order; none for other queries."""
+    return _named(query, REFERENCE)
+
+
+def history_symbols(query: Column) -> Column:
+    """Dotted names in a query about history, each once, in order; none for other queries."""
+    return _named(query, DOTTED_NAME)
+
+
+def _named(query: Column, pattern: str) -> Column:
+    return F.when(F.size(history_markers(query)) > 0, F.array_distinct(F.regexp_extract_all(query, F.lit(pattern), F.lit(0)))).otherwise(F.array().cast("array<string>"))
+
+
+# --- events between references ------------------------------------------------------------------------------------
+
+
+def events_between(events: DataFrame, start: Column, end: Column, kinds: tuple[str, ...] = (), orphaned: bool = False) -> DataFrame:
+    """Events of a closed interval, of some kinds (or all), without orphaned ones unless asked for, by time and id."""
+    out = events.where(F.col("timestamp").between(start, end))
+    out = out.where(F.col("event_type").isin(*kinds)) if kinds else out
+    return (out if orphaned else out.where(~F.coalesce("orphaned", F.lit(False)))).orderBy("timestamp", "id")
+
+
+def is_symbol_id(value: Column) -> Column:
+    return value.rlike("^[0-9a-fA-F]{32}$")
+
+
+def in_scope(path: Column, module: str) -> Column:
+    """The module itself or anything below it."""
+    return (path == module) | path.startswith(module.rstrip("/") + "/")
+
+
+def regressions(events: DataFrame, commits: DataFrame, renames: DataFrame, from_ts: Column, to_ts: Column) -> DataFrame:
+    """symbol_id of all symbols whose net effect between two references is a removal, without confirmed renames."""
+    open_ = events.where((F.col("timestamp") > from_ts) & (F.col("timestamp") <= to_ts)).join(commits, "commit_sha", "left_semi")
+    gone = net_effect(open_, "symbol_id", "event_type", "timestamp", "id").where("effect = 'removed'")
+    confirmed = renames.where(~F.col("is_candidate"))
+    return gone.join(confirmed.select(F.col("old_symbol_id").alias("symbol_id")).union(confirmed.select("new_symbol_id")), "symbol_id", "left_anti").select("symbol_id")
+
+
+def with_rename_names(renames: DataFrame, events: DataFrame) -> DataFrame:
+    """Rename edges with old_name and new_name, the last known names of both symbols (null where none is known)."""
+    names = latest_known(events, "symbol_id", "timestamp", "id", "qualified_name")
+    out = renames
+    for end in ("old", "new"):
+        out = out.join(names.select(F.col("symbol_id").alias(f"{end}_symbol_id"), F.col("qualified_name").alias(f"{end}_name")), f"{end}_symbol_id", "left")
+    return out
+
+
+def when(events: DataFrame, renames: DataFrame, symbol: str, limit: int = 10) -> tuple[str | None, DataFrame, DataFrame, DataFrame]:
+    """(symbol_id, its events, its renames with names, candidates) of an id or of a part of one name.
+
+    A part that fits several symbols gives no id and the candidates, the most recent first; one that fits none gives
+    neither.
+    """
+    found = fuzzy_symbols(events, "symbol_id", "qualified_name", "timestamp", symbol, limit)
+    known = events.where(F.col("symbol_id") == symbol).limit(1).count() if len(symbol) == 32 and all(c in "0123456789abcdefABCDEF" for c in symbol) else 0
+    ids = [symbol] if known else [r["symbol_id"] for r in found.select("symbol_id").collect()]  # at most `limit`
+    one = ids[0] if len(ids) == 1 else None
+    own = events.where(F.col("symbol_id") == F.lit(one)).orderBy("timestamp", "id")
+    edges = renames.where((F.col("old_symbol_id") == F.lit(one)) | (F.col("new_symbol_id") == F.lit(one)))
+    direction = F.when(F.col("new_symbol_id") == F.lit(one), "predecessor").otherwise("successor")
+    return one, own, with_rename_names(edges, events).withColumn("direction", direction), found if one is None else found.limit(0)
+
+
+# --- scans: snapshots, emission, retention ------------------------------------------------------------------------
+
+
+def snapshot(symbols: DataFrame, files: DataFrame, root: str) -> DataFrame:
+    """symbol_id, file_path, qualified_name, content_hash of the symbols of a scan.
+
+    symbols: fq_name, symbol_type, file_path, start_line, end_line; files: path, text. A symbol's body is its lines with
+    their endings; without a file it has no hash.
+    """
+    body = F.array_join(F.slice(F.split("text", r"(?<=\n)"), F.greatest("start_line", F.lit(1)), F.greatest(F.col("end_line") - F.col("start_line") + 1, F.lit(0))), "")
+    rows = symbols.join(files.select(F.col("path").alias("file_path"), "text"), "file_path", "left")
+    return rows.select(
+        hashing.symbol_id(F.lit(root), F.col("file_path"), F.col("fq_name"), F.col("symbol_type")).alias("symbol_id"), "file_path", F.col("fq_name").alias("qualified_name"),
+        F.when(F.col("text").isNotNull(), hashing.symbol_content_hash(F.col("fq_name"), body)).alias("content_hash"),
+    )
+
+
+def emitted(prev: DataFrame, curr: DataFrame, root: str, timestamp: float, commit: str | None = None, author: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(events, rename edges) of a scan: the difference of two snapshots, renames paired; confirmed ones lose their two events."""
+    facts = curr.withColumn("now", F.lit(1)).unionByName(prev.withColumn("now", F.lit(0))).groupBy("symbol_id").agg(F.max_by(F.struct("content_hash", "file_path", "qualified_name"), "now").alias("x"))
+    events = snapshot_diff(prev, curr).withColumnRenamed("change", "event_type").join(facts.select("symbol_id", "x.*"), "symbol_id")
+    events = events.withColumns({"project_root": F.lit(root), "commit_sha": F.lit(commit).cast("string"), "timestamp": F.lit(float(timestamp)), "author": F.lit(author).cast("string"), "orphaned": F.lit(False)})
+    pairs = rename_pairs(events, "project_root")
+    sure = pairs.where(~F.col("is_candidate"))
+    kept_events = events.join(sure.select(F.col("removed_id").alias("symbol_id")).union(sure.select("added_id")), "symbol_id", "left_anti")
+    edges = pairs.select(F.lit(root).alias("project_root"), F.col("removed_id").alias("old_symbol_id"), F.col("added_id").alias("new_symbol_id"), F.lit(commit).cast("string").alias("commit_sha"), F.lit(float(timestamp)).alias("timestamp"), "confidence", "is_candidate")
+    return kept_events, edges
+
+
+def pruned(events: DataFrame, root: str, older_than: Column, only_orphaned: bool = False) -> DataFrame:
+    """What a hard prune of a project's events leaves."""
+    old = (F.col("project_root") == root) & (F.col("timestamp") < older_than)
+    return events.where(~(old & F.coalesce("orphaned", F.lit(False))) if only_orphaned else ~old)
+
+
+def reconcile_report(before: DataFrame, after: DataFrame) -> DataFrame:
+    """event_type, n: events that became orphaned."""
+    fresh = after.where("orphaned").join(before.where(F.coalesce("orphaned", F.lit(False))).select("id"), "id", "left_anti")
+    return fresh.groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+def status(events: DataFrame) -> DataFrame:
+    """project_root, event_type, n, orphaned, last: what the timeline holds, with a row over all types (event_type null)."""
+    sums = [F.count("*").alias("n"), F.count_if(F.coalesce("orphaned", F.lit(False))).alias("orphaned"), F.max("timestamp").alias("last")]
+    return events.groupBy("project_root", "event_type").agg(*sums).unionByName(events.groupBy("project_root").agg(*sums).withColumn("event_type", F.lit(None).cast("string")))
+
+
+def invalidate_tag(snapshots: DataFrame, tag: str, sha: str) -> DataFrame:
+    """Snapshots after a tag has moved: those of the tag at another commit are marked."""
+    stale = (F.col("tag") == tag) & (F.col("head_sha") != sha)
+    return snapshots.withColumn("tag_invalidated", F.coalesce("tag_invalidated", F.lit(False)) | stale)
+
+
+def latest_snapshot(snapshots: DataFrame, root: str, tag: str | None = None) -> DataFrame:
+    """The newest valid snapshot of a project (or of a tag of it)."""
+    own = snapshots.where((F.col("project_root") == root) & ~F.coalesce("tag_invalidated", F.lit(False)))
+    return (own if tag is None else own.where(F.col("tag") == tag)).orderBy(F.desc("timestamp"), "snapshot_id").limit(1)

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import hashing, paths
+from ..functions import hashing, paths, text
 from ..functions.text import STOPWORDS, identifier_tokens
-from ..operators import analytics, fts, retrieval, timeline
+from ..operators import analytics, fts, graph, retrieval, timeline
 from ..session import load
 from ..sources import code
 from .bindings import table
@@ -17,7 +17,7 @@ QUERIES, ORACLES, query = table()
 def _bm25_sql(terms: list[str], tail: str) -> str:
     wanted = ", ".join(f"'{t}'" for t in terms)
     return f"""
-WITH tok AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS ts FROM documents),
+WITH tok AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS ts FROM documents),
 lens AS (SELECT doc_id, len(ts) AS n FROM tok),
 corpus AS (SELECT count(*) AS total, avg(n) AS mean_n FROM lens),
 hits AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(ts) AS term FROM tok) WHERE term IN ({wanted}) GROUP BY ALL),
@@ -39,9 +39,12 @@ def fts_and_or_fallback(spark: SparkSession, sf: str) -> DataFrame:
     return fts.search(load(spark, sf, "documents"), "doc_id", F.coalesce("text", F.lit("")), ["license", "apache", "version"], 20)
 
 
-@query("""SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(regexp_replace(regexp_replace(url, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g')), '[a-z0-9]+')) AS token FROM pages) GROUP BY token ORDER BY n DESC, token LIMIT 50""")
+_TOKENS = "list_transform(regexp_extract_all(regexp_replace({}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[a-zA-Zа-яА-ЯёЁ0-9]+'), lambda t: lower(t))"
+
+
+@query(f"""SELECT token, count(*) AS n FROM (SELECT unnest({_TOKENS.format("coalesce(text, '')")}) AS token FROM documents) GROUP BY token ORDER BY n DESC, token LIMIT 50""")
 def identifier_token_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return load(spark, sf, "pages").select(F.explode(identifier_tokens(F.col("url"))).alias("token")).groupBy("token").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "token").limit(50)
+    return load(spark, sf, "documents").select(F.explode(identifier_tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "token").limit(50)
 
 
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
@@ -110,22 +113,16 @@ def top_values(rows: DataFrame, group: str, value: str, n: int) -> DataFrame:
     return timeline.keep_newest(rows.select(group, value).withColumn("siltstone_id", F.monotonically_increasing_id()), group, value, "siltstone_id", n).groupBy(group).agg(F.collect_list(value).alias("values"))
 
 
-@query("""WITH r AS (SELECT DISTINCT url FROM pages WHERE page_id < 40), n AS (SELECT count(*) AS n FROM r),
-t AS (SELECT token, count(*) AS coverage FROM (SELECT url, unnest(list_distinct(regexp_extract_all(lower(regexp_replace(url, '([^/])\\.[^./]*$', '\\1')), '[a-z0-9]+'))) AS token FROM r)
+@query(f"""WITH r AS (SELECT DISTINCT url FROM pages), n AS (SELECT count(*) AS n FROM r),
+t AS (SELECT token, count(*) AS coverage FROM (SELECT url, unnest(list_distinct({_TOKENS.format("regexp_replace(url, '([^/])\\.[^./]*$', '\\1')")})) AS token FROM r)
  WHERE len(token) >= 3 AND token NOT IN ('http', 'example', 'src', 'lib', 'libs', 'app', 'apps', 'test', 'tests', 'docs', 'doc', 'py', 'ts', 'js', 'go', 'rs', 'pkg', 'internal', 'main', 'init', 'index') GROUP BY token)
 SELECT token, coverage FROM t CROSS JOIN n WHERE coverage < n ORDER BY abs(coverage - n / 2), coverage DESC, token LIMIT 3""")
 def disambiguators(spark: SparkSession, sf: str) -> DataFrame:
-    # The feature works on the candidates of one query, here the first 40 pages.
-    return retrieval.disambiguators(load(spark, sf, "pages").where("page_id < 40"), "url", "http example")
-
-
-@query()
-def disambiguators_whole(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.disambiguators(load(spark, sf, "pages"), "url", "http example")
 
 
-_RRF = """a AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM scored ORDER BY score DESC, doc_id LIMIT 1000),
-b AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r FROM documents ORDER BY n_chars DESC, doc_id LIMIT 1000)"""
+_RRF = """a AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM scored),
+b AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r FROM documents)"""
 
 
 @query(_bm25_sql(["license", "apache"], f""", {_RRF}
@@ -152,17 +149,87 @@ def vector_fusion_adaptive(spark: SparkSession, sf: str) -> DataFrame:
     return best.select("label", F.round("top", 6).alias("top"), "n", F.round(retrieval.vector_weight(F.col("top"), F.col("n")), 6).alias("weight"))
 
 
-@query(_bm25_sql(["license", "apache", "version"], f""", base AS (SELECT s.doc_id, s.score * CASE {_ROLE} WHEN 'source' THEN 1.0 WHEN 'test' THEN 0.65 WHEN 'config' THEN 1.10 WHEN 'docs' THEN 0.35 ELSE 0.70 END
-  * CASE WHEN n_chars % 3 = 0 THEN 1.10 ELSE 1.0 END * CASE WHEN n_chars % 5 = 0 THEN 1.05 ELSE 1.0 END AS score FROM scored s JOIN documents USING (doc_id)), m AS (SELECT max(score) AS best FROM base)
-SELECT doc_id, round(score, 6) AS score FROM base CROSS JOIN m WHERE score >= 0.4 * best ORDER BY round(score, 6) DESC, doc_id LIMIT 10"""))
-def hybrid_retrieve(spark: SparkSession, sf: str) -> DataFrame:
-    """Text search, role weights, git boosts, cut-off and ranking, in the order of the pipeline."""
+_FILES = f"""files AS (SELECT doc_id, coalesce(source, 'none') || '/' || coalesce(lang, 'xx') || '/d' || doc_id || '.py' AS path, {_ROLE} AS role, CASE WHEN n_chars % 3 = 0 THEN 1 ELSE 0 END AS churn, CASE WHEN n_chars % 5 = 0 THEN 1 ELSE 99 END AS age,
+ coalesce(source, 'none') || (doc_id % 100) AS name, coalesce(source, 'none') || '.' || coalesce(lang, 'xx') || '.' || coalesce(source, 'none') || (doc_id % 100) AS fq_name FROM documents),
+edges AS (SELECT a.path AS src, b.path AS dst FROM files a JOIN files b ON b.doc_id = (a.doc_id * 7 + 3) % (SELECT max(doc_id) + 1 FROM documents) WHERE a.path <> b.path)"""
+_QUERY = "license apache version url src7"
+_QUERY_TERMS = _QUERY.split()
+
+
+def _bound(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Documents as source files: (files with git facts, symbols, edges, text scores, vector scores)."""
     docs = load(spark, sf, "documents")
-    found = fts.bm25(docs, "doc_id", F.coalesce("text", F.lit("")), ["license", "apache", "version"]).select("doc_id", F.col("score").alias("fts"))
-    facts = _roles(spark, sf).select("doc_id", "role", (F.col("n_chars") % 3 == 0).cast("int").alias("churn"), F.when(F.col("n_chars") % 5 == 0, 1).otherwise(99).alias("age"))
-    scored = found.join(facts, "doc_id").withColumn("score", F.col("fts") * retrieval.role_weight(F.col("role"), "apache license version") * retrieval.git_boost(F.col("churn"), F.col("age")))
-    kept = retrieval.score_decay(scored.select("doc_id", "score")).withColumn("score", F.round("score", 6))
-    return fts.top_k(kept, "doc_id", 10)
+    source, lang = F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("xx"))
+    number = F.col("doc_id").cast("string")
+    name = F.concat(source, (F.col("doc_id") % 100).cast("string"))
+    role = F.when(F.col("lang") == "en", "source").when(F.col("lang") == "fr", "test").when(F.col("lang") == "de", "docs").when(F.col("lang") == "es", "config").otherwise("unknown")
+    files = docs.select(
+        "doc_id", F.concat(source, F.lit("/"), lang, F.lit("/d"), number, F.lit(".py")).alias("path"), role.alias("role"), name.alias("name"), F.concat_ws(".", source, lang, name).alias("fq_name"),
+        (F.col("n_chars") % 3 == 0).cast("int").alias("churn_30d"), F.when(F.col("n_chars") % 5 == 0, 1).otherwise(99).alias("age_days"),
+    )
+    files = graph.kept(files, "files").withColumn("file_path", F.col("path"))
+    size = files.agg(F.max("doc_id") + 1).first()[0]
+    target = files.select(F.col("doc_id").alias("to"), F.col("path").alias("dst"))
+    edges = files.select(((F.col("doc_id") * 7 + 3) % F.lit(size)).alias("to"), F.col("path").alias("src")).join(target, "to").where("src <> dst").select("src", "dst")
+    found = fts.bm25(docs, "doc_id", F.coalesce("text", F.lit("")), _QUERY_TERMS).join(files.select("doc_id", "path"), "doc_id").select("path", "score")
+    vectors = load(spark, sf, "embeddings")
+    first = F.array(*(F.lit(float(x)) for x in vectors.where("vec_id = 0").first()["embedding"]))
+    near = vectors.select(F.col("vec_id").alias("doc_id"), F.round(analytics.cosine(F.col("embedding"), first), 6).alias("score")).join(files.select("doc_id", "path"), "doc_id").select("path", "score")
+    return files, files.select("name", "fq_name", "file_path"), graph.kept(edges, "edges"), found, near
+
+
+@query(_bm25_sql(_QUERY_TERMS, f""", {_FILES}, q AS (SELECT {_QUERY_TERMS!r} AS ts),
+found AS (SELECT path, fq_name, CAST((lower(name) = '{_QUERY}')::INT * 10 + contains(lower(fq_name), '{_QUERY}')::INT * 3 + list_sum(list_transform(ts, lambda t: CASE WHEN list_contains({_TOKENS.format("name")}, t) THEN 2 WHEN list_contains({_TOKENS.format("fq_name")}, t) THEN 1 ELSE 0 END)) AS DOUBLE) AS score
+ FROM files, q WHERE score > 0 ORDER BY score DESC, fq_name, path LIMIT 20),
+texts AS (SELECT path, score FROM scored JOIN files USING (doc_id) ORDER BY score DESC, path LIMIT 20),
+s1 AS (SELECT path, sum(score) AS score FROM (SELECT path, 3 * max(score) AS score FROM found GROUP BY path UNION ALL SELECT path, score FROM texts) GROUP BY path),
+seeds AS (SELECT path, score FROM s1 ORDER BY score DESC, path LIMIT 5), open_edges AS (SELECT src, dst FROM edges WHERE dst NOT IN (SELECT path FROM seeds)), back AS (SELECT dst AS src, src AS dst FROM edges WHERE src NOT IN (SELECT path FROM seeds)),
+f1 AS (SELECT e.dst AS path, s.score * 0.7 AS score FROM seeds s JOIN open_edges e ON e.src = s.path), f2 AS (SELECT e.dst AS path, f.score * 0.7 AS score FROM f1 f JOIN open_edges e ON e.src = f.path),
+b1 AS (SELECT e.dst AS path, s.score * 0.7 AS score FROM seeds s JOIN back e ON e.src = s.path), b2 AS (SELECT e.dst AS path, f.score * 0.7 AS score FROM b1 f JOIN back e ON e.src = f.path),
+mixed AS (SELECT e.dst AS path, s.score * 0.49 AS score FROM seeds s JOIN edges e ON e.src = s.path),
+s2 AS (SELECT path, max(score) AS score FROM (SELECT path, score FROM s1 UNION ALL SELECT path, 0.5 * round(score, 6) FROM (SELECT * FROM f1 UNION ALL SELECT * FROM f2 UNION ALL SELECT * FROM b1 UNION ALL SELECT * FROM b2 UNION ALL SELECT * FROM mixed)) GROUP BY path),
+s3 AS (SELECT path, role, doc_id, churn, age, CASE WHEN role = 'config' AND score > 0 THEN greatest(score, 0.5 * (SELECT max(score) FROM s2)) ELSE score END + 0.15 * ((string_split(path, '/')[1] = 'src7')::INT) AS score FROM s2 JOIN files USING (path)),
+s4 AS (SELECT path, score * CASE role WHEN 'source' THEN 1.0 WHEN 'test' THEN 0.65 WHEN 'config' THEN 1.10 WHEN 'docs' THEN 0.35 ELSE 0.70 END * CASE WHEN churn > 0 THEN 1.10 ELSE 1.0 END * CASE WHEN age < 30 THEN 1.05 ELSE 1.0 END AS score FROM s3),
+near AS (SELECT path, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)), 6) AS score FROM embeddings JOIN files ON doc_id = vec_id),
+w AS (SELECT greatest(0, least(1, ((SELECT max(score) FROM near) - 0.45) / 0.25)) * greatest(0, least(1, ((SELECT count(*) FROM files) - 100) / 400.0)) AS w),
+ranks AS (SELECT path, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, path)) AS part FROM s4 UNION ALL SELECT path, w / (60 + row_number() OVER (ORDER BY score DESC, path)) FROM near, w),
+fused AS (SELECT path, round(sum(part), 9) AS f FROM ranks GROUP BY path), s5 AS (SELECT path, f * (SELECT max(score) FROM s4) / (SELECT max(f) FROM fused) AS score FROM fused)
+SELECT path, round(score, 6) AS score FROM s5 WHERE score >= 0.4 * (SELECT max(score) FROM s5) ORDER BY s5.score DESC, path LIMIT 10"""))
+def hybrid_retrieve(spark: SparkSession, sf: str) -> DataFrame:
+    """All stages but the centrality, which hybrid_retrieve_central adds: its ranks have no SQL at this place."""
+    files, symbols, edges, found, near = _bound(spark, sf)
+    result = retrieval.retrieve(files, symbols, found, _QUERY, edges=edges, git=files, vectors=near, centrality=False)
+    return result.files.select("path", F.round("score", 6).alias("score"))
+
+
+@query()
+def hybrid_retrieve_central(spark: SparkSession, sf: str) -> DataFrame:
+    """All ten stages, in edit mode; held against plain Python in a test."""
+    files, symbols, edges, found, near = _bound(spark, sf)
+    result = retrieval.retrieve(files, symbols, found, _QUERY, "edit", 10, edges, files, near)
+    return result.files.select("path", F.round("score", 6).alias("score"))
+
+
+def _index_sql(terms: list[str], tail: str) -> str:
+    """BM25 over words and their stems, each term a prefix."""
+    stem = "CASE WHEN len(w) < 5 THEN w WHEN regexp_matches(w, '[а-яё]') THEN regexp_replace(w, '^(.{3,}?)(?:' || ru || ')$', '\\1') ELSE regexp_replace(w, '^(.{3,}?)(?:' || en || ')$', '\\1') END"
+    wanted = ", ".join(f"('{t}')" for t in terms)
+    return f"""
+WITH ends AS (SELECT '{"|".join(text._SUFFIXES_RU)}' AS ru, '{"|".join(text._SUFFIXES)}' AS en), tok AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS ts FROM documents),
+lens AS (SELECT doc_id, len(ts) AS n FROM tok), corpus AS (SELECT count(*) AS total, avg(n) AS mean_n FROM lens), words AS (SELECT doc_id, unnest(ts) AS w FROM tok),
+terms AS (SELECT doc_id, w AS term FROM words UNION ALL SELECT doc_id, s FROM (SELECT doc_id, w, {stem} AS s FROM words, ends) WHERE s <> w),
+hits AS (SELECT doc_id, p.t AS term, count(*) AS tf FROM terms JOIN (VALUES {wanted}) p(t) ON starts_with(term, p.t) GROUP BY ALL),
+dfs AS (SELECT term, count(*) AS df FROM hits GROUP BY term),
+scored AS (SELECT h.doc_id, round(sum(greatest(ln((c.total - d.df + 0.5) / (d.df + 0.5)), 1e-6) * h.tf * 2.2 / (h.tf + 1.2 * (0.25 + 0.75 * l.n / c.mean_n))), 6) AS score, count(*) AS matched
+  FROM hits h JOIN dfs d USING (term) JOIN lens l USING (doc_id) CROSS JOIN corpus c GROUP BY h.doc_id)
+{tail}"""
+
+
+@query(_index_sql(["licens", "apach"], "SELECT doc_id, score, 'and' AS mode FROM scored WHERE matched = 2 ORDER BY score DESC, doc_id LIMIT 20"))
+def fts_index_search(spark: SparkSession, sf: str) -> DataFrame:
+    """A search in a persisted index: `licenses of Apache` normalised to `licens` and `apach`, prefixes that all must occur."""
+    index = fts.scratch_index(load(spark, sf, "documents"), "doc_id", F.coalesce("text", F.lit("")))
+    return index.search("licenses of Apaches", 20)
 
 
 @query("""SELECT doc_id, sha256(coalesce(text, '')) AS content_hash FROM documents""")

@@ -57,19 +57,10 @@ def scan_coverage_pct(spark: SparkSession, sf: str) -> DataFrame:
     return sums.select("source", "parseable", F.round(100.0 * F.col("found") / F.col("parseable"), 6).alias("pct"))
 
 
-@query("""SELECT s_nationkey AS pattern, count(DISTINCT p_brand) AS projects, round(count(DISTINCT p_brand) / (SELECT count(DISTINCT p_brand) FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 48), 6) AS confidence
-FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey WHERE l_quantity > 48 GROUP BY s_nationkey HAVING count(DISTINCT p_brand) >= 2""")
+@query("""SELECT s_nationkey AS pattern, count(DISTINCT p_brand) AS projects, round(count(DISTINCT p_brand) / (SELECT count(DISTINCT p_brand) FROM lineitem JOIN part ON p_partkey = l_partkey), 6) AS confidence
+FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY s_nationkey HAVING count(DISTINCT p_brand) >= 2""")
 def dependency_patterns(spark: SparkSession, sf: str) -> DataFrame:
-    return _dependency_patterns(spark, sf, "l_quantity > 48")
-
-
-@query()
-def dependency_patterns_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return _dependency_patterns(spark, sf, "true")
-
-
-def _dependency_patterns(spark: SparkSession, sf: str, where: str) -> DataFrame:
-    lines = load(spark, sf, "lineitem").where(where).select("l_partkey", "l_suppkey")
+    lines = load(spark, sf, "lineitem").select("l_partkey", "l_suppkey")
     parts = load(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
     suppliers = load(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
     return analytics.shared_patterns(lines.join(parts, "l_partkey").join(suppliers, "l_suppkey"), "p_brand", F.col("s_nationkey"), 2)
@@ -156,20 +147,11 @@ def wiki_lint(spark: SparkSession, sf: str) -> DataFrame:
     return issues.groupBy("issue").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT src, dst, count(*) AS n FROM (SELECT DISTINCT 'm' || (l_partkey % 40) AS src, 'm' || (l_suppkey % 40) AS dst, l_partkey, l_suppkey FROM lineitem WHERE l_quantity = 50) WHERE src <> dst GROUP BY src, dst""")
+@query("""SELECT src, dst, count(*) AS n FROM (SELECT DISTINCT 'm' || (l_partkey % 40) AS src, 'm' || (l_suppkey % 40) AS dst, l_partkey, l_suppkey FROM lineitem) WHERE src <> dst GROUP BY src, dst""")
 def module_dependencies(spark: SparkSession, sf: str) -> DataFrame:
     """Parts and suppliers as files of forty modules."""
-    return _module_dependencies(spark, sf, "l_quantity = 50")
-
-
-@query()
-def module_dependencies_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return _module_dependencies(spark, sf, "true")
-
-
-def _module_dependencies(spark: SparkSession, sf: str, where: str) -> DataFrame:
     path = lambda c: F.concat(F.lit("m"), (F.col(c) % 40).cast("string"), F.lit("/f"), F.col(c).cast("string")).alias(c)
-    lines = load(spark, sf, "lineitem").where(where)
+    lines = load(spark, sf, "lineitem")
     return code_graph.module_dependencies(graph.edges_of(lines.select(path("l_partkey"), path("l_suppkey")), "l_partkey", "l_suppkey"))
 
 

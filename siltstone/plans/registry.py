@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import corpus, graphs, ops, timelines
+from . import corpus, graphs, ops, records, timelines
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (corpus, graphs, timelines, ops):
+for _module in (corpus, graphs, timelines, ops, records):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)

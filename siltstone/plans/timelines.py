@@ -80,7 +80,7 @@ def timeline_diff_topn(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {_E}, {_OPEN}, x AS (SELECT symbol_id, arg_max(event_type, (timestamp, id)) AS l FROM o GROUP BY symbol_id) SELECT symbol_id FROM x WHERE l = 'removed' AND symbol_id NOT IN (SELECT c_custkey + d FROM customer, (VALUES (0), (1)) v(d) WHERE c_custkey % 10 = 0 AND c_custkey % 20 <> 0)""")
 def regressions(spark: SparkSession, sf: str) -> DataFrame:
     """The removed bucket of the diff, uncut."""
-    return timeline.diff(symbol_events(spark, sf), _commits(spark), _renames(spark, sf), F.lit(_CUT_TS), F.lit(4e9), 1 << 30).where("effect = 'removed'").select("symbol_id")
+    return timeline.regressions(symbol_events(spark, sf), _commits(spark), _renames(spark, sf), F.lit(_CUT_TS), F.lit(4e9))
 
 
 @query("""SELECT event_id, event_type, value FROM events WHERE user_id = 7 ORDER BY ts, event_id""")
@@ -115,13 +115,70 @@ def tag_changes(spark: SparkSession, sf: str) -> DataFrame:
     return timeline.tag_changes(before, rows.where("tag > 3").groupBy("tag").agg(F.max("c_custkey").alias("sha")))
 
 
-@query()
+_PARTS = """p AS (SELECT p_brand || '|' || p_size AS block, p_partkey AS id, p_partkey % 2 = 1 AS gone, p_name || p_retailprice AS hash, string_split(p_name, ' ')[-1] AS leaf FROM part),
+r AS (SELECT *, row_number() OVER (PARTITION BY block, hash ORDER BY id) AS place FROM p WHERE gone), a AS (SELECT *, row_number() OVER (PARTITION BY block, hash ORDER BY id) AS place FROM p WHERE NOT gone),
+one AS (SELECT r.id AS removed_id, a.id AS added_id FROM r JOIN a USING (block, hash, place)),
+free AS (SELECT r.id AS removed_id, a.id AS added_id FROM r JOIN a USING (block, leaf) LEFT JOIN one o ON o.added_id = a.id WHERE r.id NOT IN (SELECT removed_id FROM one) AND (o.removed_id IS NULL OR r.id < o.removed_id))"""
+
+
+@query(f"""WITH {_PARTS} SELECT removed_id, added_id, 1.0::DOUBLE AS confidence, false AS is_candidate FROM one UNION ALL SELECT removed_id, min(added_id), 0.9::DOUBLE, true FROM free GROUP BY removed_id""")
 def rename_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Parts of odd keys removed and of even keys added, blocked by brand, size and type."""
-    parts = load(spark, sf, "part").select(F.concat_ws("|", "p_brand", "p_size", "p_type").alias("block"), F.when(F.col("p_partkey") % 2 == 1, "removed").otherwise("added").alias("event_type"), F.col("p_partkey").alias("symbol_id"), F.sha2(F.concat("p_name", F.col("p_retailprice").cast("string")).cast("binary"), 256).alias("content_hash"), F.translate("p_name", " ", ".").alias("qualified_name"))
+    """Parts of odd keys removed and of even keys added, blocked by brand and size. No two of their last words are near each other
+    without being equal, so the SQL needs no ratio; a test holds that against plain Python."""
+    parts = load(spark, sf, "part").select(F.concat_ws("|", "p_brand", "p_size").alias("block"), F.when(F.col("p_partkey") % 2 == 1, "removed").otherwise("added").alias("event_type"), F.col("p_partkey").alias("symbol_id"), F.concat("p_name", F.col("p_retailprice").cast("string")).alias("content_hash"), F.translate("p_name", " ", ".").alias("qualified_name"))
     return timeline.rename_pairs(parts, "block")
 
 
+@query(r"""WITH q AS (SELECT doc_id AS id, CASE doc_id % 6 WHEN 0 THEN 'what was removed since v1.2.0 in app.core.run' WHEN 1 THEN 'Changed between HEAD~3 and 0a1b2c3d' WHEN 2 THEN 'когда был добавлен app.user' WHEN 3 THEN 'что изменилось МЕЖДУ v1 и v2' WHEN 4 THEN 'where is the parser gone' ELSE 'history of a.b.c.d deletion of x.y' END AS q FROM documents),
+m AS (SELECT id, q, list_filter([CASE WHEN regexp_matches(lower(q), '\b(removed|removal|deleted|deletion)\b|\bgone\s+since\b|\bmissing\s+since\b|(^|\s)удал|(^|\s)пропа[лд]') THEN 'removed_since' END,
+ CASE WHEN regexp_matches(lower(q), '\bbetween\s+\S+\s+and\s+\S+\b|\bdiff\b|(^|\s)регресс|(^|\s)между\s+\S+\s+и\s+\S+') THEN 'diff' END, CASE WHEN regexp_matches(lower(q), '\bwhen\s+was\b|\bhistory\s+of\b|(^|\s)когда\s+(был|добавил|удалил)') THEN 'symbol_history' END], lambda x: x IS NOT NULL) AS kinds FROM q)
+SELECT id, array_to_string(kinds, ',') AS kinds, CASE WHEN len(kinds) > 0 THEN array_to_string(regexp_extract_all(q, '\b(?:HEAD(?:~\d+)?|v\d+(?:\.\d+){0,3}(?:-[A-Za-z0-9]+)?|[0-9a-f]{7,40})\b'), ',') ELSE '' END AS refs,
+ CASE WHEN len(kinds) > 0 THEN array_to_string(regexp_extract_all(q, '[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*){1,}'), ',') ELSE '' END AS symbols FROM m""")
+def history_intent(spark: SparkSession, sf: str) -> DataFrame:
+    """Kinds of history question, commits and symbols named, in two languages."""
+    texts = ["what was removed since v1.2.0 in app.core.run", "Changed between HEAD~3 and 0a1b2c3d", "когда был добавлен app.user", "что изменилось МЕЖДУ v1 и v2", "where is the parser gone", "history of a.b.c.d deletion of x.y"]
+    q = F.element_at(F.array(*map(F.lit, texts)), (F.col("doc_id") % 6 + 1).cast("int"))
+    rows = load(spark, sf, "documents").select(F.col("doc_id").alias("id"), q.alias("q"))
+    return rows.select("id", *(F.array_join(f(F.col("q")), ",").alias(name) for f, name in ((timeline.history_markers, "kinds"), (timeline.history_references, "refs"), (timeline.history_symbols, "symbols"))))
+
+
+@query(f"""WITH {_E}, l AS (SELECT symbol_id, arg_max(event_type, (timestamp, id)) AS name FROM (SELECT e.*, v.event_type AS name FROM e JOIN events v ON v.event_id = e.id) GROUP BY symbol_id), n AS (SELECT user_id AS symbol_id, arg_max(event_type, (ts, event_id)) AS name FROM events GROUP BY user_id),
+r AS (SELECT c_custkey AS old, c_custkey + 1 AS new FROM customer WHERE c_custkey % 10 = 0) SELECT old AS old_symbol_id, new AS new_symbol_id, a.name AS old_name, b.name AS new_name FROM r LEFT JOIN n a ON a.symbol_id = old LEFT JOIN n b ON b.symbol_id = new""")
+def rename_names(spark: SparkSession, sf: str) -> DataFrame:
+    return timeline.with_rename_names(_renames(spark, sf), symbol_events(spark, sf)).select("old_symbol_id", "new_symbol_id", "old_name", "new_name")
+
+
+@query(f"""WITH {_E}, x AS (SELECT *, 'p' || (symbol_id % 3) AS project_root, id % 11 = 0 AS orphaned FROM e) SELECT project_root, event_type, count(*) AS n, count(*) FILTER (WHERE orphaned) AS orphaned, round(max(timestamp), 3) AS last FROM x GROUP BY GROUPING SETS ((project_root, event_type), (project_root))""")
+def timeline_status(spark: SparkSession, sf: str) -> DataFrame:
+    events = symbol_events(spark, sf).withColumns({"project_root": F.concat(F.lit("p"), (F.col("symbol_id") % 3).cast("string")), "orphaned": F.col("id") % 11 == 0})
+    return timeline.status(events).withColumn("last", F.round("last", 3))
+
+
+@query(f"""WITH {_E}, x AS (SELECT *, id % 11 = 0 AS orphaned FROM e) SELECT id, event_type FROM x WHERE timestamp BETWEEN 1704500000 AND 1705500000 AND event_type IN ('added', 'removed') AND NOT orphaned""")
+def events_between(spark: SparkSession, sf: str) -> DataFrame:
+    events = symbol_events(spark, sf).withColumn("orphaned", F.col("id") % 11 == 0)
+    return timeline.events_between(events, F.lit(1704500000.0), F.lit(1705500000.0), ("added", "removed")).select("id", "event_type")
+
+
+@query(f"""WITH {_E}, x AS (SELECT *, 'p' || (symbol_id % 3) AS project_root, id % 11 = 0 AS orphaned FROM e) SELECT id FROM x WHERE NOT (project_root = 'p1' AND timestamp < {_CUT_TS} AND orphaned)""")
+def timeline_prune(spark: SparkSession, sf: str) -> DataFrame:
+    events = symbol_events(spark, sf).withColumns({"project_root": F.concat(F.lit("p"), (F.col("symbol_id") % 3).cast("string")), "orphaned": F.col("id") % 11 == 0})
+    return timeline.pruned(events, "p1", F.lit(_CUT_TS), only_orphaned=True).select("id")
+
+
+@query("""WITH s AS (SELECT c_custkey AS k, 'f' || (c_custkey % 40) || '.py' AS path, 'm.' || c_name AS fq, c_custkey % 7 AS v FROM customer), a AS (SELECT * FROM s WHERE k % 5 <> 0), b AS (SELECT k, CASE WHEN k % 9 = 0 THEN 'moved/' || path ELSE path END AS path, fq, CASE WHEN k % 4 = 0 THEN v + 100 ELSE v END AS v FROM s WHERE k % 6 <> 0)
+SELECT CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' WHEN a.v <> b.v THEN 'modified' ELSE 'moved' END AS event_type, count(*) AS n FROM a FULL JOIN b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL OR a.v <> b.v OR a.path <> b.path GROUP BY 1""")
+def emitted_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Events of a scan by kind. Contents differ between symbols, so no removal pairs with an addition."""
+    key = F.col("c_custkey")
+    rows = load(spark, sf, "customer").select(key, key.cast("string").alias("symbol_id"), F.concat(F.lit("f"), (key % 40).cast("string"), F.lit(".py")).alias("file_path"), F.lit(None).cast("string").alias("qualified_name"), (key % 7).alias("v"))
+    content = F.concat_ws("/", "symbol_id", F.col("v").cast("string")).alias("content_hash")
+    columns = ["symbol_id", "file_path", "qualified_name"]
+    prev = rows.where(key % 5 != 0).select(*columns, content)
+    after = rows.where(key % 6 != 0).withColumn("v", F.when(key % 4 == 0, F.col("v") + 100).otherwise(F.col("v"))).withColumn("file_path", F.when(key % 9 == 0, F.concat(F.lit("moved/"), "file_path")).otherwise(F.col("file_path")))
+    return timeline.emitted(prev, after.select(*columns, content), "/root", 100.0)[0].groupBy("event_type").agg(F.count("*").alias("n"))
+
+
 @query("""SELECT event_id, user_id FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 3""")
 def retention_topn(spark: SparkSession, sf: str) -> DataFrame:
     return timeline.keep_newest(load(spark, sf, "events"), "user_id", "ts", "event_id", 3).select("event_id", "user_id")

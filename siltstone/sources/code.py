@@ -6,7 +6,7 @@ import ast
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing, paths
@@ -36,11 +36,12 @@ def replace_partition(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     return table.join(rows.select(key).distinct(), key, "left_anti").unionByName(rows)
 
 
-def upsert(table: DataFrame, rows: DataFrame, *keys: str) -> DataFrame:
-    """The table with rows of equal keys replaced by the new ones (the last of equal new ones)."""
-    both = table.withColumn("siltstone_age", F.lit(0)).unionByName(rows.withColumn("siltstone_age", F.monotonically_increasing_id() + 1))
-    newest = Window.partitionBy(*keys).orderBy(F.desc("siltstone_age"))
-    return both.withColumn("siltstone_r", F.row_number().over(newest)).where("siltstone_r = 1").drop("siltstone_age", "siltstone_r")
+def upsert(table: DataFrame, rows: DataFrame, *keys: str, order: str | None = None) -> DataFrame:
+    """The table with rows of equal keys replaced by the new ones. Of equal new ones the last by `order`; without an order keys must be unique."""
+    if order is not None:
+        others = [c for c in rows.columns if c not in keys]
+        rows = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), order).alias("siltstone_x")).select(*keys, *(F.col(f"siltstone_x.{c}").alias(c) for c in others))
+    return table.join(rows.select(*keys), list(keys), "left_anti").unionByName(rows)
 
 
 PARSED = "kind string, file_path string, name string, fq_name string, symbol_type string, start_line int, end_line int, parent string, target string, relation string, confidence double"
@@ -139,27 +140,6 @@ def parse_python(files: DataFrame) -> DataFrame:
     return files.where("language = 'python'").select("path", "text").mapInPandas(run, PARSED)
 
 
-# Declarations by language, approximations of a grammar: (symbol type, pattern whose first group is the name).
-DECLARATIONS = {
-    "typescript": (("class", r"(?m)^\s*(?:export\s+)?(?:abstract\s+)?(?:class|interface|enum|type)\s+(\w+)"), ("function", r"(?m)^\s*(?:export\s+)?(?:async\s+)?function\s+(\w+)"), ("constant", r"(?m)^(?:export\s+)?const\s+([A-Z][A-Z0-9_]+)\b")),
-    "go": (("function", r"(?m)^func\s+(\w+)"), ("method", r"(?m)^func\s+\([^)]*\)\s+(\w+)"), ("class", r"(?m)^type\s+(\w+)")),
-    "rust": (("function", r"(?m)^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?fn\s+(\w+)"), ("class", r"(?m)^\s*(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum|trait)\s+(\w+)"), ("module", r"(?m)^\s*(?:pub\s+)?mod\s+(\w+)")),
-    "java": (("class", r"(?m)^\s*(?:public\s+|final\s+|abstract\s+)*(?:class|interface|enum|record)\s+(\w+)"), ("method", r"(?m)^\s+(?:public|protected|private)\s+(?:static\s+)?[\w<>\[\], ]+\s+(\w+)\s*\(")),
-    "kotlin": (("class", r"(?m)^\s*(?:data\s+|sealed\s+|open\s+)?(?:class|object|interface)\s+(\w+)"), ("method", r"(?m)^\s*(?:\w+\s+)*fun\s+(\w+)")),
-    "swift": (("class", r"(?m)^\s*(?:public\s+|final\s+)*(?:class|struct|enum|protocol)\s+(\w+)"), ("method", r"(?m)^\s*(?:\w+\s+)*func\s+(\w+)")),
-}
-
-
-def parse_declarations(files: DataFrame) -> DataFrame:
-    """file_path, symbol_type, name, fq_name for the other languages, by patterns; documented as approximate."""
-    parts = None
-    for lang, patterns in (DECLARATIONS | {"javascript": DECLARATIONS["typescript"]}).items():
-        for kind, pattern in patterns:
-            one = files.where(F.col("language") == lang).select(F.col("path").alias("file_path"), F.lit(kind).alias("symbol_type"), F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).alias("name"))
-            parts = one if parts is None else parts.unionByName(one)
-    return parts.withColumn("fq_name", F.concat_ws("#", "file_path", "name")).distinct()
-
-
 def markdown_headings(files: DataFrame) -> DataFrame:
     """file_path, level, title, fq_name (path#hN-title) of Markdown headings."""
     lines = files.where("language = 'markdown'").select(F.col("path").alias("file_path"), F.posexplode(F.split("text", "\n")).alias("line", "text"))

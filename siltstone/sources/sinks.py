@@ -61,3 +61,48 @@ def symbol_index(symbols: DataFrame) -> DataFrame:
 def metrics_text(rows: DataFrame) -> str:
     """Metrics (name, label, value) in the text form that scrapers read. The table is a handful of aggregates."""
     return "".join(f'{r["name"]}{{label="{r["label"]}"}} {r["value"]}\n' for r in rows.orderBy("name", "label").collect())
+
+
+def publish(notes: DataFrame, folder: str) -> list[str]:
+    """Writes notes (path, text) as files below a folder that all executors share, and deletes Markdown files that are no note any more.
+
+    Each file is written beside its place and moved there. Returns the paths that were deleted.
+    """
+    import pyarrow.fs as pafs
+
+    def write(rows) -> None:
+        fs, base = pafs.FileSystem.from_uri(folder)
+        for r in rows:
+            path = f"{base}/{r['path']}"
+            fs.create_dir(path.rpartition("/")[0], recursive=True)
+            with fs.open_output_stream(path + ".part") as out:
+                out.write((r["text"] or "").encode())
+            fs.move(path + ".part", path)
+
+    notes.select("path", "text").foreachPartition(write)
+    fs, base = pafs.FileSystem.from_uri(folder)
+    there = [f.path[len(base) :].lstrip("/") for f in fs.get_file_info(pafs.FileSelector(base, recursive=True)) if f.path.endswith(".md")]
+    spark = notes.sparkSession
+    gone = [r["path"] for r in spark.createDataFrame([(p,) for p in there], "path string").join(notes.select("path"), "path", "left_anti").collect()] if there else []
+    for path in gone:
+        fs.delete_file(f"{base}/{path}")
+    return sorted(gone)
+
+
+def wiki_links(text: Column) -> Column:
+    """Markdown links to other notes as [[target|label]]; code fences, inline code, images and web addresses stay as they are."""
+    link = r"(?<!!)(?<!`)\[([^\]\n`]+)\]\((?![a-z][a-z0-9+.-]*:)([^)\s#]+?)(?:\.md)?\)(?!`)"
+    rewritten = F.transform(F.split(text, "```"), lambda part, i: F.when(i % 2 == 1, part).otherwise(F.regexp_replace(part, link, r"[[$2|$1]]")))
+    return F.array_join(rewritten, "```")
+
+
+def scan_states(states: DataFrame, new: DataFrame) -> DataFrame:
+    """The last scan of each project (project_root, commit_sha, timestamp) after new ones; the latest counts."""
+    both = states.unionByName(new)
+    return both.groupBy("project_root").agg(F.max_by(F.struct("commit_sha", "timestamp"), "timestamp").alias("x")).select("project_root", "x.*")
+
+
+def deleted_files(tables: dict[str, DataFrame], paths: DataFrame) -> dict[str, DataFrame]:
+    """Files, symbols and relations without those of deleted files (path), each table by its own column."""
+    column = {"files": "path", "symbols": "file_path", "relations": "origin_file", "git_stats": "file_path"}
+    return {name: t.join(paths.select(F.col("path").alias(column[name])), column[name], "left_anti") for name, t in tables.items()}

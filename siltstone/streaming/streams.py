@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.graph import shared_folder
 
@@ -83,3 +85,64 @@ def tag_state(known: DataFrame, seen: DataFrame) -> DataFrame:
     """The tag table after a poll, as a handler of micro-batches keeps it: new tags, moved tags, unchanged tags."""
     both = known.select("tag", F.col("sha").alias("s0")).join(seen.select("tag", F.col("sha").alias("s1")), "tag", "full")
     return both.select("tag", F.coalesce("s1", "s0").alias("sha"), F.when(F.col("s0").isNull(), "created").when(F.col("s1").isNotNull() & (F.col("s0") != F.col("s1")), "moved").otherwise("known").alias("state"))
+
+
+# --- the change loop ----------------------------------------------------------------------------------------------
+
+
+class ChangeLoop:
+    """Handles a stream of file changes (project, path, op, ts, id) batch by batch, project by project.
+
+    Of each path the last operation of a batch counts. A project whose handler raises goes to the quarantine table with
+    the error and the batch, and does not hold up the others. After a batch, hooks get the number of dirty modules of its
+    projects: `job` once `threshold` of them are reached, `sync` at most every `pause` seconds.
+    """
+
+    def __init__(self, handle: Callable[[str, DataFrame], int], quarantine: str, threshold: int = 3, pause: float = 60.0, job: Callable[[str, int], None] | None = None, sync: Callable[[str], None] | None = None, clock: Callable[[], float] = time.monotonic) -> None:
+        self.handle, self.quarantine, self.threshold, self.pause, self.job, self.sync, self.clock = handle, quarantine, threshold, pause, job, sync, clock
+        self.synced: dict[str, float] = {}
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        changes = last_operations(batch, ("project", "path"), "op", "ts", "id").persist()
+        try:
+            for project in sorted(r["project"] for r in changes.select("project").distinct().collect()):  # projects of a batch are few
+                self.one(project, changes.where(F.col("project") == project), number)
+        finally:
+            changes.unpersist()
+
+    def one(self, project: str, changes: DataFrame, number: int) -> None:
+        try:
+            dirty = self.handle(project, changes)
+        except Exception as error:  # noqa: BLE001 - whatever a project's handler raises must not stop the others
+            row = [(project, number, type(error).__name__, str(error).split("\n")[0])]
+            changes.sparkSession.createDataFrame(row, "project string, batch long, error string, detail string").write.mode("append").parquet(self.quarantine)
+            return
+        if self.job and dirty >= self.threshold:
+            self.job(project, dirty)
+        now = self.clock()
+        if self.sync and now - self.synced.get(project, -self.pause) >= self.pause:
+            self.synced[project] = now
+            self.sync(project)
+
+
+def run_loop(changes: DataFrame, loop: ChangeLoop, checkpoint: str, every: str | None = "2 seconds") -> StreamingQuery:
+    """Starts the loop on a stream; every=None handles what is there and ends."""
+    trigger = {"availableNow": True} if every is None else {"processingTime": every}
+    return changes.writeStream.foreachBatch(loop).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def watched(query: StreamingQuery, seconds: float, interval: float = 1.0, sleep: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic) -> list[dict]:
+    """The progress of a query, one entry for each batch seen, until it ends or the time is over."""
+    seen: dict[int, dict] = {}
+    end = clock() + seconds
+    while True:
+        for p in query.recentProgress:
+            seen[p["batchId"]] = {"batch": p["batchId"], "rows": p["numInputRows"]}
+        if not query.isActive or clock() >= end:
+            return [seen[k] for k in sorted(seen)]
+        sleep(interval)
+
+
+def timeline_stream(events: DataFrame, ts: str = "ts") -> DataFrame:
+    """Timeline events written once for each symbol, commit and kind, whatever repeats within the lateness."""
+    return deduplicated(events, ts, "symbol_id", "commit_sha", "event_type")

@@ -18,7 +18,7 @@ def column(spark, value, expression):
     return one(spark.createDataFrame([(value,)], "v string").select(expression(F.col("v"))))
 
 
-@pytest.mark.parametrize("value, expected", [("parseHTTPResponse", ["parse", "http", "response"]), ("snake_case.py", ["snake", "case", "py"]), ("getUser2Name", ["get", "user2", "name"]), ("", [])])
+@pytest.mark.parametrize("value, expected", [("parseHTTPResponse", ["parse", "httpresponse"]), ("классПользователь_имя-x", ["классПользователь".lower(), "имя", "x"]), ("snake_case.py", ["snake", "case", "py"]), ("getUser2Name", ["get", "user2", "name"]), ("", [])])
 def test_identifier_tokens(spark, value, expected):
     assert column(spark, value, text.identifier_tokens) == expected
 
