@@ -504,3 +504,15 @@ def test_packing_ids_of_all_documents():
     encode = packing.encoder()
     for (text,) in duckdb.sql("select text from '/root/testdata/sf0.01/documents.parquet'").fetchall():
         assert encode(text or "").tolist() == library.encode(text or "", add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_queries_match_their_sql(spark, sf, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "pages", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    found = con.execute(queries.ORACLES[name])
+    columns = [d[0] for d in found.description]
+    assert sorted(map(tuple, queries.QUERIES[name](spark, sf).select(*columns).collect()), key=repr) == sorted(found.fetchall(), key=repr)
