@@ -26,6 +26,30 @@ def rolling_sums(rows: DataFrame, group: str, ts: Column, value: Column, now: Co
     return rows.rollup(group).agg(*sums)
 
 
+# What a coverage class counts in a mean.
+COVERAGE_SCORES = {"high": 1.0, "medium": 0.5, "ambiguous": 0.25}
+
+
+def coverage_score(coverage: Column) -> Column:
+    out = F.lit(None).cast("double")
+    for name, score in COVERAGE_SCORES.items():
+        out = F.when(coverage == name, score).otherwise(out)
+    return out
+
+
+def value_metrics(packs: DataFrame, files: Column, returned: Column, now: Column) -> DataFrame:
+    """One row from packs (project, timestamp, mode, coverage): packs, packs_7d, active projects, classes of coverage, modes, compression.
+
+    compression: files for each active project over files returned for each pack (1 at least). files and returned are
+    aggregates over the packs.
+    """
+    active, n = F.countDistinct("project"), F.count("*")
+    return packs.agg(
+        n.alias("packs"), F.count_if(F.col("timestamp") >= now - 7 * DAY).alias("packs_7d"), active.alias("active"), *(F.count_if(F.col("coverage") == c).alias(c) for c in COVERAGE_SCORES),
+        F.count_if(F.col("mode") == "edit").alias("edit"), F.round((files / active) / F.greatest(F.lit(1.0), returned / n), 6).alias("compression"),
+    )
+
+
 def budget_status(spent: Column, limit: Column) -> Column:
     return F.when(limit.isNull() | (limit <= 0), "disabled").when(spent >= limit, "exceeded").when(spent >= 0.8 * limit, "warning").otherwise("ok")
 

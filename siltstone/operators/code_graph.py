@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +33,7 @@ def resolve_imports(imports: DataFrame, files: DataFrame, aliases: dict[str, str
     module = [option(0, F.concat(dotted, F.lit(".py"))), option(1, F.concat(dotted, F.lit("/__init__.py")))]
     prefixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.struct((i + 1).alias("priority"), F.concat(F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - i, F.lit(1))), "/"), F.lit(".py")).alias("dst")))
     near = [option(100 + i, F.concat(relative, F.lit(s))) for i, s in enumerate(("", *RELATIVE_SUFFIXES))]
-    other = [option(200 + i, F.concat(F.regexp_replace(ref, f"^{a}", b), F.lit(s))) for a, b in (aliases or {}).items() for i, s in enumerate(("", *RELATIVE_SUFFIXES))]
+    other = [option(200 + i, F.concat(F.regexp_replace(ref, "^" + re.escape(a), b), F.lit(s))) for a, b in (aliases or {}).items() for i, s in enumerate(("", *RELATIVE_SUFFIXES))]
     plain = F.when(ref.startswith("."), F.array(*near)).when(F.contains(ref, F.lit("/")), F.array(*other) if other else F.array().cast("array<struct<priority:int,dst:string>>")).otherwise(F.concat(F.array(*module), prefixes))
     wanted = imports.select("src", "ref", F.explode(plain).alias("x")).select("src", "ref", "x.priority", "x.dst")
     exact = wanted.join(files.select(F.col("path").alias("dst")), "dst", "left_semi")
@@ -41,6 +44,22 @@ def resolve_imports(imports: DataFrame, files: DataFrame, aliases: dict[str, str
     return exact.select("src", "ref", "priority", "dst").unionByName(by_tail).groupBy("src", "ref").agg(F.min_by("dst", "priority").alias("dst")).where("src <> dst")
 
 
+def path_aliases(settings: str) -> dict[str, str]:
+    """Prefixes of imports and the folders they stand for, from a tsconfig.json; comments and trailing commas are allowed, broken ones give none."""
+    plain = re.sub(r'("(?:[^"\\]|\\.)*")|//[^\n]*|/\*[\s\S]*?\*/', lambda m: m[1] or "", settings)
+    try:
+        options = json.loads(re.sub(r",(\s*[}\]])", r"\1", plain)).get("compilerOptions") or {}
+    except (ValueError, AttributeError):
+        return {}
+    base = (options.get("baseUrl") or ".").strip("./")
+    out = {}
+    for name, targets in (options.get("paths") or {}).items():
+        if targets:
+            target = "/".join(x for x in (base, re.sub(r"^\./", "", targets[0]).removesuffix("*").rstrip("/")) if x)
+            out[name.removesuffix("*")] = target + ("/" if name.endswith("*") and target else "")
+    return out
+
+
 def mixed_walk(edges: DataFrame, seeds: DataFrame, decay: float = 0.7) -> DataFrame:
     """node, score: files two hops from a seed file through symbols.
 

@@ -139,8 +139,11 @@ def rename_pairs(events: DataFrame, block: str, threshold: float = RENAME_THRESH
     return one.select("removed_id", "added_id", F.lit(1.0).alias("confidence"), F.lit(False).alias("is_candidate")).unionByName(best.select("removed_id", "added_id", "confidence", F.lit(True).alias("is_candidate")))
 
 
-def reconcile(events: DataFrame, commits: DataFrame) -> DataFrame:
-    """Adds orphaned: whether the event's commit is none of the known ones (events without a commit never are)."""
+def reconcile(events: DataFrame, commits: DataFrame | None) -> DataFrame:
+    """Adds orphaned: whether the event's commit is none of the known ones (events without a commit never are). Without a
+    list of commits, because git cannot tell, events stay as they are."""
+    if commits is None:
+        return events
     known = commits.select("commit_sha").distinct().withColumn("siltstone_known", F.lit(True))
     flag = F.col("commit_sha").isNotNull() & F.col("siltstone_known").isNull()
     return events.drop("orphaned").join(known, "commit_sha", "left").withColumn("orphaned", flag).drop("siltstone_known")

@@ -18,11 +18,20 @@ def _now(events: DataFrame) -> float:
     return events.agg(F.max(F.col("ts").cast("double"))).first()[0] or 0.0
 
 
-@query("""WITH m AS (SELECT max(epoch(ts)) AS now FROM events), b AS (SELECT CAST(greatest(0, least(6, floor((epoch(ts) - (now - 7 * 86400.0)) / 86400.0))) AS INTEGER) AS bucket, value FROM events, m WHERE epoch(ts) >= now - 7 * 86400.0)
-SELECT CAST(d.bucket AS INTEGER) AS bucket, count(b.bucket) AS n, coalesce(round(max(value), 6), 0) AS top FROM (SELECT unnest(range(7)) AS bucket) d LEFT JOIN b ON b.bucket = d.bucket GROUP BY d.bucket""")
+_COVERAGE = "CASE event_type WHEN 'purchase' THEN 'high' WHEN 'click' THEN 'medium' ELSE 'ambiguous' END"
+
+
+def _coverage():
+    kind = F.col("event_type")
+    return F.when(kind == "purchase", "high").when(kind == "click", "medium").otherwise("ambiguous")
+
+
+@query(f"""WITH m AS (SELECT max(epoch(ts)) AS now FROM events), b AS (SELECT CAST(greatest(0, least(6, floor((epoch(ts) - (now - 7 * 86400.0)) / 86400.0))) AS INTEGER) AS bucket, value, CASE {_COVERAGE} WHEN 'high' THEN 1.0::DOUBLE WHEN 'medium' THEN 0.5 ELSE 0.25 END AS cover FROM events, m WHERE epoch(ts) >= now - 7 * 86400.0)
+SELECT CAST(d.bucket AS INTEGER) AS bucket, count(b.bucket) AS n, coalesce(round(max(value), 6), 0) AS top, coalesce(round(avg(cover), 6), 0) AS coverage FROM (SELECT unnest(range(7)) AS bucket) d LEFT JOIN b ON b.bucket = d.bucket GROUP BY d.bucket""")
 def sparkline_7d(spark: SparkSession, sf: str) -> DataFrame:
     events = load(spark, sf, "events")
-    return analytics.sparkline(events, F.col("ts").cast("double"), F.lit(_now(events)), 7, F.count("*").alias("n"), F.round(F.max("value"), 6).alias("top"))
+    coverage = F.round(F.avg(analytics.coverage_score(_coverage())), 6).alias("coverage")
+    return analytics.sparkline(events, F.col("ts").cast("double"), F.lit(_now(events)), 7, F.count("*").alias("n"), F.round(F.max("value"), 6).alias("top"), coverage)
 
 
 @query("""WITH m AS (SELECT max(epoch(ts)) AS now FROM events) SELECT event_type, round(sum(CASE WHEN epoch(ts) >= now - 7 * 86400.0 THEN value ELSE 0 END), 2) AS sum_7d, round(sum(CASE WHEN epoch(ts) >= now - 30 * 86400.0 THEN value ELSE 0 END), 2) AS sum_30d FROM events, m GROUP BY ROLLUP (event_type)""")
@@ -32,16 +41,12 @@ def rolling_usage(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("event_type", F.round("sum_7d", 2).alias("sum_7d"), F.round("sum_30d", 2).alias("sum_30d"))
 
 
-@query("""WITH m AS (SELECT max(epoch(ts)) AS now FROM events) SELECT count(*) AS packs, count(*) FILTER (WHERE epoch(ts) >= now - 7 * 86400.0) AS packs_7d, count(DISTINCT user_id) AS active, count(*) FILTER (WHERE event_type = 'purchase') AS high,
-count(*) FILTER (WHERE event_type = 'click') AS medium, count(*) FILTER (WHERE event_type NOT IN ('purchase', 'click')) AS ambiguous, round((count(*) / count(DISTINCT user_id)) / greatest(1, count(DISTINCT event_type) / count(*)), 6) AS compression FROM events, m""")
+@query(f"""WITH m AS (SELECT max(epoch(ts)) AS now FROM events), e AS (SELECT *, {_COVERAGE} AS cover FROM events) SELECT count(*) AS packs, count(*) FILTER (WHERE epoch(ts) >= now - 7 * 86400.0) AS packs_7d, count(DISTINCT user_id) AS active, count(*) FILTER (WHERE cover = 'high') AS high,
+count(*) FILTER (WHERE cover = 'medium') AS medium, count(*) FILTER (WHERE cover = 'ambiguous') AS ambiguous, count(*) FILTER (WHERE event_id % 4 = 0) AS edit, round((max(event_id) / count(DISTINCT user_id)) / greatest(1, sum(event_id % 9) / count(*)), 6) AS compression FROM e, m""")
 def value_metrics(spark: SparkSession, sf: str) -> DataFrame:
     events = load(spark, sf, "events")
-    ts = F.col("ts").cast("double")
-    return events.agg(
-        F.count("*").alias("packs"), F.count_if(ts >= _now(events) - 7 * 86400.0).alias("packs_7d"), F.countDistinct("user_id").alias("active"), F.count_if(F.col("event_type") == "purchase").alias("high"),
-        F.count_if(F.col("event_type") == "click").alias("medium"), F.count_if(~F.col("event_type").isin("purchase", "click")).alias("ambiguous"),
-        F.round((F.count("*") / F.countDistinct("user_id")) / F.greatest(F.lit(1.0), F.countDistinct("event_type") / F.count("*")), 6).alias("compression"),
-    )
+    packs = events.select(F.col("user_id").alias("project"), F.col("ts").cast("double").alias("timestamp"), F.when(F.col("event_id") % 4 == 0, "edit").otherwise("navigate").alias("mode"), _coverage().alias("coverage"), "event_id")
+    return analytics.value_metrics(packs, F.max("event_id"), F.sum(F.col("event_id") % 9), F.lit(_now(events)))
 
 
 @query("SELECT lang, count(*) AS n FROM documents GROUP BY lang ORDER BY n DESC, lang")
@@ -92,10 +97,10 @@ def health_cards(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("n_name").agg(F.countDistinct("c_custkey").alias("files"), F.coalesce(F.sum("n"), F.lit(0)).alias("symbols"), (age > 86400).alias("stale"))
 
 
-@query("""SELECT strftime(o_orderdate, '%Y-%m') AS month, round(sum(o_totalprice), 2) AS spent, CASE WHEN sum(o_totalprice) >= 3e7 THEN 'exceeded' WHEN sum(o_totalprice) >= 2.4e7 THEN 'warning' ELSE 'ok' END AS status FROM orders GROUP BY month""")
+@query("""SELECT strftime(o_orderdate, '%Y-%m') AS month, round(sum(o_totalprice), 2) AS spent, CASE WHEN ends_with(month, '-02') THEN 'disabled' WHEN sum(o_totalprice) >= 3e7 THEN 'exceeded' WHEN sum(o_totalprice) >= 2.4e7 THEN 'warning' ELSE 'ok' END AS status FROM orders GROUP BY month""")
 def budget_status(spark: SparkSession, sf: str) -> DataFrame:
     by_month = load(spark, sf, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.sum("o_totalprice").alias("sum"))
-    return by_month.select("month", F.round("sum", 2).alias("spent"), analytics.budget_status(F.col("sum"), F.lit(3e7)).alias("status"))
+    return by_month.select("month", F.round("sum", 2).alias("spent"), analytics.budget_status(F.col("sum"), F.when(~F.col("month").endswith("-02"), 3e7)).alias("status"))
 
 
 @query("""SELECT o_orderpriority, round(sum(round(((1000 * o_orderkey % 5000 - 100) * 0.5 + 100 * 0.05 + 300 * 2.0) / 1e6, 8)), 6) AS cost FROM orders GROUP BY o_orderpriority""")

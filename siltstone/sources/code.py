@@ -21,8 +21,10 @@ def scan_files(spark: SparkSession, root: str) -> DataFrame:
     return text.select("path", F.coalesce("text", F.lit("")).alias("text"), hashing.content_hash(F.col("content")).alias("content_hash"), "size_bytes", "language", paths.role(F.col("path"), F.col("language")).alias("role"), paths.has_secret(F.coalesce("text", F.lit(""))).alias("has_secrets"))
 
 
-def changed_files(new: DataFrame, old: DataFrame, key: str = "path", content: str = "content_hash") -> DataFrame:
-    """Rows of `new` that are not in `old` with the same content."""
+def changed_files(new: DataFrame, old: DataFrame, key: str = "path", content: str = "content_hash", only: DataFrame | None = None) -> DataFrame:
+    """Rows of `new` that are not in `old` with the same content; only: a table of the keys to look at."""
+    if only is not None:
+        new = new.join(only.select(key).distinct(), key, "left_semi")
     before = old.select(key, F.col(content).alias("siltstone_old"))
     return new.join(before, key, "left").where(~F.col(content).eqNullSafe(F.col("siltstone_old"))).drop("siltstone_old")
 

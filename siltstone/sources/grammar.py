@@ -13,8 +13,10 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .code import PARSED
+from .code import PARSED, markdown_headings, parse_python
+from .stores import validity
 
 _COMMENT = r"//[^\n]*|/\*(?:[^*]|\*(?!/))*(?:\*/|$)"
 _STRING = r'"""(?:[^"]|"(?!""))*(?:"""|$)|"(?:[^"\\\n]|\\.)*"?|`[^`]*`?'
@@ -237,3 +239,12 @@ def parse_sources(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=columns).astype({"start_line": "Int32", "end_line": "Int32", "confidence": "float64"})
 
     return files.where(files["language"].isin(*LANGUAGES)).select("path", "text", "language").mapInPandas(run, PARSED)
+
+
+def parse_files(files: DataFrame) -> DataFrame:
+    """Tagged rows of all files (path, text, language) that a parser is known for: Python by its own grammar, languages
+    with braces by the scanner, the headings of Markdown, and errors of settings files."""
+    headings = markdown_headings(files).select(F.lit("symbol").alias("kind"), "file_path", F.col("title").alias("name"), "fq_name", F.lit("module").alias("symbol_type"), F.col("start_line").cast("int").alias("start_line"), F.col("start_line").cast("int").alias("end_line"))
+    broken = validity(files).where("error is not null").select(F.lit("error").alias("kind"), F.col("path").alias("file_path"), F.col("error").alias("name"))
+    out = parse_python(files).unionByName(parse_sources(files))
+    return out.unionByName(headings, allowMissingColumns=True).unionByName(broken, allowMissingColumns=True)

@@ -193,7 +193,8 @@ def memories(spark: SparkSession, folder: str, status: str | None = None) -> Dat
     raw = spark.read.text(f"{folder}/*.md", wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.md$", 1).alias("name"), "value")
     head, body = F.regexp_extract("value", r"^---\n([\s\S]*?)\n---\n?", 1), F.regexp_replace("value", r"^---\n[\s\S]*?\n---\n?", "")
     entry = lambda key: F.nullif(F.trim(F.regexp_extract(head, rf"(?m)^{key}:[ \t]*(.*)$", 1)), F.lit(""))
-    tags = F.filter(F.transform(F.split(F.regexp_replace(F.coalesce(entry("tags"), F.lit("")), r"[\[\]]", ""), ","), F.trim), lambda t: t != "")
+    listed = F.split(F.regexp_replace(F.coalesce(entry("tags"), F.lit("")), r"[\[\]]", ""), ",")
+    tags = F.filter(F.transform(listed, lambda t: F.trim(t)), lambda t: t != "")
     rows = raw.select("name", entry("topic").alias("topic"), entry("status").alias("status"), tags.alias("tags"), entry("created").try_cast("double").alias("created"), body.alias("body"))
     good = rows.where("topic is not null and created is not null and status in ('proposed', 'accepted', 'rejected')")
     return (good if status is None else good.where(F.col("status") == status)).orderBy(F.desc("created"), "name")

@@ -7,8 +7,8 @@ import subprocess
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.operators import evaluation, modules, packs, retrieval
-from siltstone.sources import gitlog, grammar, sinks, stores
+from siltstone.operators import code_graph, evaluation, modules, packs, retrieval, timeline
+from siltstone.sources import code, gitlog, grammar, sinks, stores
 from siltstone.streaming import streams
 
 
@@ -309,3 +309,62 @@ def test_change_loop_isolates_and_calls_hooks(spark, tmp_path):
     assert seen["good"] == [[("a", "delete"), ("b", "modify")], [("n0", "modify")], [("n1", "modify")]]
     assert jobs == [("good", 3)] * 3 and syncs == ["good", "good"]
     assert [(r["project"], r["error"]) for r in spark.read.parquet(f"{tmp_path}/quarantine").collect()] == [("bad", "KeyError")]
+
+
+def test_every_language_finds_its_parser(spark):
+    files = [("a.py", "python", "def f():\n    pass\n"), ("b.go", "go", "func g() { }"), ("c.md", "markdown", "# Title"), ("d.json", "json", "{"), ("e.py", "python", "def ("), ("f.txt", "text", "x")]
+    found = grammar.parse_files(spark.createDataFrame(files, "path string, language string, text string"))
+    assert rows(found.where("kind = 'symbol'").select("file_path", "name")) == [("a.py", "f"), ("b.go", "g"), ("c.md", "Title")]
+    assert rows(found.where("kind = 'error'").select("file_path")) == [("d.json",), ("e.py",)]
+
+
+def test_aliases_of_imports(spark):
+    settings = '{ // c\n "compilerOptions": {"baseUrl": "./web", "paths": {"@/*": ["./src/*"], "$lib": ["lib/index"], "none": []},}}'
+    assert code_graph.path_aliases(settings) == {"@/": "web/src/", "$lib": "web/lib/index"}
+    assert code_graph.path_aliases("{") == {} and code_graph.path_aliases("[]") == {}
+    imports = spark.createDataFrame([("web/a.ts", "@/b/c")], "src string, ref string")
+    files = spark.createDataFrame([("web/a.ts",), ("web/src/b/c.ts",)], "path string")
+    assert rows(code_graph.resolve_imports(imports, files, code_graph.path_aliases(settings)).select("dst")) == [("web/src/b/c.ts",)]
+
+
+def test_only_some_files_are_looked_at(spark):
+    new = spark.createDataFrame([("a", "1"), ("b", "2")], "path string, content_hash string")
+    only = spark.createDataFrame([("b",), ("absent",)], "path string")
+    assert rows(code.changed_files(new, new.limit(0), only=only)) == [("b", "2")]
+
+
+def test_upsert_takes_the_last_by_its_order(spark):
+    table = spark.createDataFrame([("a", 1, "old"), ("b", 1, "old")], "k string, n long, v string")
+    new = spark.createDataFrame([("a", 5, "late"), ("a", 3, "early")], "k string, n long, v string").repartition(2)
+    assert rows(code.upsert(table, new, "k", order="n")) == [("a", 5, "late"), ("b", 1, "old")]
+
+
+def test_events_stay_where_git_cannot_tell(spark):
+    events = spark.createDataFrame([(1, "c", True)], "id long, commit_sha string, orphaned boolean")
+    assert rows(timeline.reconcile(events, None)) == [(1, "c", True)]
+
+
+def test_when_by_id_by_name_and_by_neither(spark):
+    sid = "a" * 32
+    events = spark.createDataFrame([(1, sid, "added", 1.0, "m.parse", "f"), (2, "s2", "added", 2.0, "m.Parser", "f"), (3, "s3", "removed", 3.0, "m.load", "f")], "id long, symbol_id string, event_type string, timestamp double, qualified_name string, file_path string")
+    renames = spark.createDataFrame([("s3", "s2", False), (sid, "s9", True)], "old_symbol_id string, new_symbol_id string, is_candidate boolean")
+    one, own, edges, candidates = timeline.when(events, renames, sid)
+    assert one == sid and [r["id"] for r in own.collect()] == [1] and rows(edges.select("direction", "old_name", "new_name")) == [("successor", "m.parse", None)] and candidates.collect() == []
+    assert timeline.when(events, renames, "LOAD")[0] == "s3"
+    one, own, _, candidates = timeline.when(events, renames, "parse")
+    assert one is None and own.collect() == [] and [r["symbol_id"] for r in candidates.collect()] == ["s2", sid]
+    assert timeline.when(events, renames, "zzz")[0] is None
+
+
+def test_snapshots_and_emission(spark):
+    files = spark.createDataFrame([("a.py", "def f():\n    1\ndef g():\n    2")], "path string, text string")
+    schema = "fq_name string, symbol_type string, file_path string, start_line int, end_line int"
+    one = timeline.snapshot(spark.createDataFrame([("a.f", "function", "a.py", 1, 2), ("a.g", "function", "a.py", 3, 4), ("b.h", "function", "gone.py", 1, 1)], schema), files, "/r")
+    assert one.where("content_hash is null").count() == 1 and one.select("symbol_id").distinct().count() == 3
+    two = timeline.snapshot(spark.createDataFrame([("a.f", "function", "a.py", 1, 2), ("z.g", "function", "a.py", 3, 4)], schema), files, "/r")
+    events, edges = timeline.emitted(one, two, "/r", 5.0, "sha")
+    assert rows(events.select("event_type", "qualified_name")) == [("added", "z.g"), ("removed", "a.g"), ("removed", "b.h")]
+    assert [(r["confidence"], r["is_candidate"]) for r in edges.collect()] == [(0.9, True)]
+    moved = two.withColumn("content_hash", F.lit("same"))
+    events, edges = timeline.emitted(one.where("qualified_name = 'a.g'").withColumn("content_hash", F.lit("same")), moved.where("qualified_name = 'z.g'"), "/r", 6.0)
+    assert events.collect() == [] and [r["is_candidate"] for r in edges.collect()] == [False]
