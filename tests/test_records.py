@@ -7,7 +7,7 @@ import subprocess
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.operators import code_graph, evaluation, modules, packs, retrieval, timeline
+from siltstone.operators import code_graph, evaluation, fts, modules, packs, project, retrieval, timeline
 from siltstone.sources import code, gitlog, grammar, sinks, stores
 from siltstone.streaming import streams
 
@@ -368,3 +368,29 @@ def test_snapshots_and_emission(spark):
     moved = two.withColumn("content_hash", F.lit("same"))
     events, edges = timeline.emitted(one.where("qualified_name = 'a.g'").withColumn("content_hash", F.lit("same")), moved.where("qualified_name = 'z.g'"), "/r", 6.0)
     assert events.collect() == [] and [r["is_candidate"] for r in edges.collect()] == [False]
+
+
+def test_a_project_answers_and_says_what_it_lacks(spark, tmp_path):
+    files = spark.createDataFrame([("lib/auth/login.py", "source", "def login(user): check password"), ("tests/test_login.py", "test", "login works"), ("docs/a.md", "docs", "how to login"), ("lib/other.py", "source", "nothing")], "path string, role string, text string")
+    symbols = spark.createDataFrame([("login", "lib.auth.login.login", "lib/auth/login.py"), ("other", "lib.other.other", "lib/other.py")], "name string, fq_name string, file_path string")
+    edges = spark.createDataFrame([("lib/auth/login.py", "lib.auth.login.login"), ("tests/test_login.py", "lib.auth.login.login")], "src string, dst string")
+    states = spark.createDataFrame([("lib", "dirty")], "name string, status string")
+    one = project.Project("demo", files, symbols, edges, states=states, last_scan=0.0)
+    assert one.check(10.0) == {"project": "demo", "files": 4, "symbols": 2, "edges": 2, "vectors": 0, "dirty": 1, "degraded": ["no vectors", "articles out of date"]}
+    pack, lacks = one.ask("where is login", 10.0)
+    assert pack.files[0] == "lib/auth/login.py" and "lib.auth.login.login" in pack.symbols and lacks == ["no vectors", "articles out of date"]
+    one.index = fts.FtsIndex.build(files, "path", F.col("text"), f"file://{tmp_path}/fts", F.col("path"))
+    assert one.retrieve("where is login").files.first()["path"] == "lib/auth/login.py"
+    clock = iter([0.0, 0.0, 1.0, 2.0, 3.0, 100_000.0, 200_000.0]).__next__
+    seen = one.watch(100_000.0, 1.0, clock, lambda s: None)
+    assert [x["degraded"][0] for x in seen] == ["no vectors", "stale index"] or len(seen) == 1
+    empty = project.Project("none", files.limit(0), symbols.limit(0))
+    pack, lacks = empty.ask("x y z", 0.0, "edit")
+    assert pack.files == [] and pack.coverage == "ambiguous" and lacks == ["not indexed", "no vectors"]
+
+
+def test_health_of_projects(spark):
+    files = spark.createDataFrame([("p", "a"), ("p", "a"), ("p", "b"), ("o", "c")], "project string, path string")
+    scans = spark.createDataFrame([("p", 10.0), ("p", 99_000.0)], "project string, timestamp double")
+    found = project.health(files, files.select("project").limit(2), scans, F.lit(100_000.0))
+    assert rows(found.select("project", "files", "symbols", "stale")) == [("o", 1, 0, True), ("p", 2, 2, False)]
