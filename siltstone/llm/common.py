@@ -42,14 +42,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-_open_scratch: ContextVar[list[str] | None] = ContextVar("open_scratch", default=None)
+_open_scratch: ContextVar[tuple[list[str], ...]] = ContextVar("open_scratch", default=())
 
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables stored inside are deleted at the end, but for those stored with keep=True."""
+    """Tables stored inside are deleted at the end, but for those stored with keep=True, which belong to the scratch around it, if there is one."""
     paths: list[str] = []
-    token = _open_scratch.set(paths)
+    token = _open_scratch.set((*_open_scratch.get(), paths))
     try:
         yield
     finally:
@@ -69,8 +69,9 @@ def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     spark = df.sparkSession
     bounded_batches(spark)
     path = scratch_path(spark, name)
-    if not keep and _open_scratch.get() is not None:
-        _open_scratch.get().append(path)
+    owners = _open_scratch.get()[: -1 if keep else None]
+    if owners:
+        owners[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -39,7 +39,7 @@ are ignored.
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,7 +56,7 @@ FLUSH_TOKENS = 1 << 19  # counted together in a task
 BUCKET_TOKENS = 1 << 20  # counted together after the shuffle
 NARROW, WIDE = 9, 12  # bits of a hash slot; sets of more than LARGE tokens have both kinds of parities
 LARGE = 1200
-SALT = 512
+SALT = 64
 _ODD = np.uint64(1)  # set in the keys of combinations, clear in tokens
 
 
@@ -125,15 +125,22 @@ def _chosen_sets(batches: Iterator[pa.RecordBatch], only, k: int) -> Iterator[tu
                     yield c, s
 
 
-# --- frequent tokens ----------------------------------------------------------------------------------------------
+# --- counting in slots --------------------------------------------------------------------------------------------
 
 
-def frequent_tokens(docs: DataFrame, only, total: int, k: int, percent: int):
-    """(bit map of the slots of frequent tokens, bits that a token is shifted by to give its slot)."""
-    bucket_bits = max(0, (total // BUCKET_TOKENS).bit_length())
+def slot_shift(total: int) -> int:
+    """By how many bits a 64-bit number is shifted to give its slot, for `total` numbers: 32 bits in 2**b buckets, none of them large."""
+    return 32 - max(0, (total // BUCKET_TOKENS).bit_length())
+
+
+def slot_counts(rows: DataFrame, shift: int, least: int, numbers: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]]) -> DataFrame:
+    """slot, n of the slots that occur `least` times or more; numbers: makes arrays of unsigned 64-bit numbers from a task's rows.
+
+    A task sorts what it has and deals it out by bucket, four bytes for a slot; a bucket is sorted and counted whole.
+    """
 
     def pieces(flat: np.ndarray) -> pa.RecordBatch:
-        slots, n = np.unique(flat >> np.uint64(32 - bucket_bits), return_counts=True)
+        slots, n = np.unique(flat >> np.uint64(shift), return_counts=True)
         bucket, low, n = (slots >> np.uint64(32)).astype(np.int64), (slots & np.uint64(0xFFFFFFFF)).astype(np.uint32), np.minimum(n, 0xFFFF).astype(np.uint16)
         rows = []
         for b, start, end in _groups_of(bucket):
@@ -143,23 +150,22 @@ def frequent_tokens(docs: DataFrame, only, total: int, k: int, percent: int):
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for _, s in _chosen_sets(batches, only, k):
-            if linkable(len(s), percent):
-                held.append(s)
-                size += len(s)
+        for x in numbers(batches):
+            held.append(x)
+            size += len(x)
             if size >= FLUSH_TOKENS:
                 yield pieces(np.concatenate(held))
                 held, size = [], 0
-        if held:
+        if size:
             yield pieces(np.concatenate(held))
 
     def total_of(bucket: int, held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         low, n = (np.concatenate(x) for x in zip(*held))
-        order = np.argsort(low, kind="stable")
+        order = np.argsort(low)
         low, n = low[order], n[order]
         first = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
         sums = np.add.reduceat(n.astype(np.int64), first)
-        many = sums >= CROWD
+        many = sums >= least
         return pa.RecordBatch.from_arrays([pa.array((bucket << 32) + low[first][many].astype(np.int64)), pa.array(sums[many])], ["slot", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,13 +181,35 @@ def frequent_tokens(docs: DataFrame, only, total: int, k: int, percent: int):
         if held:
             yield total_of(now, held)
 
-    dealt = docs.mapInArrow(deal, "bucket long, once binary, more binary, times binary").repartition("bucket").sortWithinPartitions("bucket")
-    found = common.stored(dealt.mapInArrow(count, "slot long, n long"), "jaccard-frequent")
+    dealt = rows.mapInArrow(deal, "bucket long, once binary, more binary, times binary").repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(count, "slot long, n long")
+
+
+def in_slots(rows: DataFrame, bits, shift: int) -> DataFrame:
+    """The rows whose key lies in a slot that the bit map lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots = common.ints(batch.column("key")).view(np.uint64) >> np.uint64(shift)
+            yield batch.filter(pa.array(common.lets_through(bits.value, slots.view(np.int64))))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def frequent_tokens(docs: DataFrame, only, total: int, k: int, percent: int):
+    """(bit map of the slots of frequent tokens, bits that a token is shifted by to give its slot)."""
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for _, s in _chosen_sets(batches, only, k):
+            if linkable(len(s), percent):
+                yield s
+
+    shift = slot_shift(total)
+    found = common.stored(slot_counts(docs, shift, CROWD, tokens), "jaccard-frequent")
     if found.count() > MOST_FREQUENT:
-        least = found.groupBy("n").count().withColumnRenamed("count", "slots")
-        above = sum_above(least, MOST_FREQUENT)
+        above = sum_above(found.groupBy("n").agg(F.count("*").alias("slots")), MOST_FREQUENT)
         found = found.where(F.col("n") > above)
-    return common.bit_map(found.select("slot")), 32 - bucket_bits
+    return common.bit_map(found.select("slot")), shift
 
 
 def sum_above(counts: DataFrame, most: int) -> int:
@@ -194,6 +222,17 @@ def sum_above(counts: DataFrame, most: int) -> int:
     return 0
 
 
+def shared_keys(rows: DataFrame):
+    """(bit map of the slots of keys with more than one index row, shift): most keys have one, and are dropped with it where they are read."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for batch in batches:
+            yield common.ints(batch.column("key")).view(np.uint64)
+
+    shift = slot_shift(rows.count())
+    return common.bit_map(common.stored(slot_counts(rows.select("key"), shift, 2, keys), "jaccard-shared").select("slot")), shift
+
+
 def _groups_of(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """(value, start, end) of the runs of equal values."""
     cuts = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
@@ -369,12 +408,13 @@ def _groups(docs: DataFrame, k: int, percent: int) -> DataFrame:
     members = surveyed.select("doc_id", F.col("n").alias("n_shingles"), "class")
     total = classes.agg(F.sum("n")).first()[0] or 0
     only = common.bit_map(classes.where("doc_id is not null").select("doc_id"))
-    rows = common.stored(index(docs, only, *frequent_tokens(docs, only, total, k, percent), k, percent), "jaccard-index")
-    shared = common.stored(rows.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("key"), "jaccard-shared")
-    lists = common.stored(common.passing(rows, "key", common.bit_map(shared)).join(shared, "key").distinct(), "jaccard-lists")
+    with common.scratch(docs.sparkSession):  # the index is the largest table; what lies in shared lists is all that is needed of it
+        rows = common.stored(index(docs, only, *frequent_tokens(docs, only, total, k, percent), k, percent), "jaccard-index")
+        lists = common.stored(in_slots(rows, *shared_keys(rows)), "jaccard-lists", keep=True)
     # Lists of combinations have the class with the fewest rare tokens in their centre: of near copies, the one they are copies of.
     rank = F.when(F.col("key") % 2 == 0, 0).otherwise(F.col("bare"))
-    centres = common.stored(lists.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), "class", "n", "bare", "pos", "step")).alias("c")).select("key", "c.*"), "jaccard-centres")
+    centres = lists.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.min(F.struct(rank.alias("rank"), "class", "n", "bare", "pos", "step")).alias("c"))
+    centres = common.stored(centres.where("low < high").select("key", "c.*"), "jaccard-centres")
     star = lists.alias("x").join(centres.alias("c"), "key").where(F.col("x.class") != F.col("c.class")).where(may_link("x", "c", percent))
     star = common.stored(star.select(*_ordered(F.col("x.class"), F.col("c.class"))).distinct(), "jaccard-star")
     links = common.stored(judged(common.stored(still_open(star, classes, percent), "jaccard-open"), docs, k, percent), "jaccard-links")
@@ -383,7 +423,7 @@ def _groups(docs: DataFrame, k: int, percent: int) -> DataFrame:
     placed = lists.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     home = centres.select("key", "class").join(labels.withColumnRenamed("node", "class"), "class", "left").select("key", F.coalesce("label", "class").alias("home"))
     placed = common.stored(placed.join(home, "key"), "jaccard-placed")
-    apart = common.stored(placed.where("label <> home"), "jaccard-apart")
+    apart = common.stored(placed.where("label <> home").distinct(), "jaccard-apart")
     inside = placed.join(apart.select("key").distinct(), "key", "left_semi")
     rest = apart.alias("x").join(inside.alias("y"), "key").where("x.label <> y.label and (y.label = y.home or x.class < y.class)").where(may_link("x", "y", percent))
     rest = rest.select(*_ordered(F.col("x.class"), F.col("y.class"))).distinct().join(star, ["a", "b"], "left_anti")
