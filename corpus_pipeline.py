@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes every stage's result as Parquet in the
 shared folder and rereads it as the next stage's docs. All stages but the last return the columns of documents.
 Nulls and repeated rows are treated as the operators define; a document with a null doc_id is kept by the near-duplicate
-stage and never judged to be a copy.
+stage and never judged to be a copy, but others can be copies through it. Empty tables give empty results: without labels no
+document is toxic, without a benchmark none is contaminated, without documents there is nothing to pack. Extra columns stay.
 """
 
 from __future__ import annotations

@@ -6,7 +6,7 @@ import time
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import looks_like_file, stem
@@ -200,8 +200,9 @@ def retrieve(
     began = [time.perf_counter()]
 
     def done(name: str, df: DataFrame) -> DataFrame:
-        out = kept(df, f"retrieve-{name}")
-        stages.append((name, (time.perf_counter() - began[0]) * 1000, out.count()))
+        seen = Observation()
+        out = kept(df.observe(seen, F.count("*").alias("n")), f"retrieve-{name}")
+        stages.append((name, (time.perf_counter() - began[0]) * 1000, seen.get["n"]))
         began[0] = time.perf_counter()
         return out
 
