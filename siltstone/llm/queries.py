@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, jaccard, langid, lm, packing, pii, toxicity, warc, webp
+from . import chat, decontam, dedup, jaccard, langid, lm, merkle, packing, pii, toxicity, warc, webp
 from .common import table
 
 
@@ -53,7 +53,15 @@ def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_jaccard": op4_jaccard, "op5_decontam": op5_decontam, "op1_pii": op1_pii, "op2_webp": op2_webp, "op9_lm": op9_lm, "op3_langid": op3_langid, "op8_toxicity": op8_toxicity, "op6_warc": op6_warc, "op7_chat": op7_chat, "op10_packing": op10_packing}
+def op11_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.classes(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proven(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op4_jaccard": op4_jaccard, "op5_decontam": op5_decontam, "op1_pii": op1_pii, "op2_webp": op2_webp, "op9_lm": op9_lm, "op3_langid": op3_langid, "op8_toxicity": op8_toxicity, "op6_warc": op6_warc, "op7_chat": op7_chat, "op10_packing": op10_packing, "op11_dedup": op11_dedup, "op12_merkle": op12_merkle}
 # Words of a text: runs of other characters than the six blanks of the contract, A-Z in lower case.
 _WORDS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 
@@ -84,5 +92,35 @@ e AS (SELECT *, len(text) + len(regexp_extract_all(text, '<\\*\|')) + len(role)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, CAST(coalesce(sum(len(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id"""
 
+# Rows with the same id and text are told apart by nothing; one of them stays.
+_DEDUP_SQL = """WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256 FROM d WINDOW w AS (PARTITION BY t)"""
+
+_CRC = "xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)))"
+
+
+def _field_sql(value: str) -> str:
+    return f"coalesce(strlen(({value})::VARCHAR) || ':' || ({value})::VARCHAR, '-')"
+
+
+def _leaf_sql(n_chars: str) -> str:
+    return f"sha256({' || '.join(map(_field_sql, ('doc_id', 'source', 'lang', n_chars, 'text')))})"
+
+
+_MERKLE_SQL = f"""WITH RECURSIVE l AS MATERIALIZED (SELECT doc_id, lang, {_leaf_sql('n_chars')} AS leaf, {_leaf_sql(f'n_chars + CASE WHEN {_CRC} % 7 = 0 THEN 1 ELSE 0 END')} AS changed FROM documents),
+r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n, row_number() OVER () AS rid FROM l),
+t AS (SELECT lang, 0 AS level, i, n, leaf AS d FROM r UNION ALL SELECT lang, level + 1, i // 2, (n + 1) // 2, sha256(string_agg(d, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY lang, level, i // 2, n),
+nodes AS MATERIALIZED (SELECT * FROM t), subs AS MATERIALIZED (SELECT lang, d AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1),
+u AS (SELECT 0 AS level, i, n, subroot AS d FROM subs UNION ALL SELECT level + 1, i // 2, (n + 1) // 2, sha256(string_agg(d, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY level, i // 2, n),
+tops AS MATERIALIZED (SELECT * FROM u),
+f AS (SELECT rid, lang, 0 AS level, i, n, coalesce(changed, leaf) AS cur, '' AS proof FROM r
+ UNION ALL SELECT f.rid, f.lang, f.level + 1, f.i // 2, (f.n + 1) // 2, sha256(CASE WHEN f.i % 2 = 1 THEN coalesce(s.d, '') || cur ELSE cur || coalesce(s.d, '') END), proof || coalesce(s.d, '')
+ FROM f LEFT JOIN nodes s ON s.lang IS NOT DISTINCT FROM f.lang AND s.level = f.level AND s.i = xor(f.i, 1) WHERE f.n > 1),
+g AS (SELECT f.rid, 0 AS level, subs.i, subs.n, f.cur, f.proof FROM f JOIN subs ON subs.lang IS NOT DISTINCT FROM f.lang WHERE f.n = 1
+ UNION ALL SELECT g.rid, g.level + 1, g.i // 2, (g.n + 1) // 2, sha256(CASE WHEN g.i % 2 = 1 THEN coalesce(s.d, '') || cur ELSE cur || coalesce(s.d, '') END), proof || coalesce(s.d, '')
+ FROM g LEFT JOIN tops s ON s.level = g.level AND s.i = xor(g.i, 1) WHERE g.n > 1)
+SELECT r.doc_id, r.leaf, subs.subroot, tops.d AS root, sha256(g.proof) AS proof_sha256, g.cur AS folded_root, g.cur = tops.d AS verified
+FROM r JOIN g ON g.rid = r.rid AND g.n = 1 JOIN subs ON subs.lang IS NOT DISTINCT FROM r.lang JOIN tops ON tops.n = 1"""
+
 #: The other operators' results hold what a trained model, an image codec or a tokenizer gives; tests hold them against brute force.
-ORACLES: dict[str, str] = {"op4_jaccard": _jaccard_sql(4, 85), "op6_warc": _WARC_SQL, "op7_chat": _CHAT_SQL}
+ORACLES: dict[str, str] = {"op4_jaccard": _jaccard_sql(4, 85), "op6_warc": _WARC_SQL, "op7_chat": _CHAT_SQL, "op11_dedup": _DEDUP_SQL, "op12_merkle": _MERKLE_SQL}
