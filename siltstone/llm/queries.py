@@ -107,7 +107,7 @@ def _leaf_sql(n_chars: str) -> str:
     return f"sha256({' || '.join(map(_field_sql, ('doc_id', 'source', 'lang', n_chars, 'text')))})"
 
 
-_MERKLE_SQL = f"""WITH RECURSIVE l AS MATERIALIZED (SELECT doc_id, lang, {_leaf_sql('n_chars')} AS leaf, {_leaf_sql(f'n_chars + CASE WHEN {_CRC} % 7 = 0 THEN 1 ELSE 0 END')} AS changed FROM documents),
+_MERKLE_SQL = f"""WITH RECURSIVE l AS MATERIALIZED (SELECT doc_id, lang, {_leaf_sql('n_chars')} AS leaf, {_leaf_sql(f'n_chars + CASE WHEN doc_id IS NOT NULL AND {_CRC} % 7 = 0 THEN 1 ELSE 0 END')} AS changed FROM documents),
 r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n, row_number() OVER () AS rid FROM l),
 t AS (SELECT lang, 0 AS level, i, n, leaf AS d FROM r UNION ALL SELECT lang, level + 1, i // 2, (n + 1) // 2, sha256(string_agg(d, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY lang, level, i // 2, n),
 nodes AS MATERIALIZED (SELECT * FROM t), subs AS MATERIALIZED (SELECT lang, d AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1),
