@@ -67,7 +67,7 @@ def articles(rows: DataFrame, dirty: DataFrame, config: Config) -> DataFrame:
     own = rows.withColumn("name", _named(config.module)).join(dirty.select("name"), "name", "left_semi")
     sizes = own.groupBy("name").agg(F.count("*").alias("files"), F.sum(F.octet_length(text)).cast("long").alias("bytes"), F.count_if(paths.has_secret(text)).alias("secrets"))
     telling = F.filter(word_tokens(text), lambda w: (F.length(w) >= config.least_letters) & ~F.array_contains(strings(STOPWORDS), w))
-    words = best(own.select("name", F.explode(telling).alias("word")), "word", config.words, "words")
+    words = best(own.select("name", F.explode_outer(telling).alias("word")).where("word is not null"), "word", config.words, "words")
     languages = best(own.select("name", _named(config.language).alias("language")), "language", config.languages, "languages")
     whole = dirty.join(sizes, "name").join(languages, "name", "left").join(words, "name", "left").withColumn("words", F.coalesce("words", F.lit("")))
     page = F.concat(F.lit("# "), "name", F.lit("\n\n"), F.col("files").cast("string"), F.lit(" files, "), F.col("bytes").cast("string"), F.lit(" bytes, "), F.col("secrets").cast("string"), F.lit(" with secrets\n\nLanguages: "), "languages", F.lit("\n\nWords: "), "words", F.lit("\n"))

@@ -37,8 +37,8 @@ def identifier_tokens(text: Column) -> Column:
 
     Runs of capitals stay together: `HTTPServer` is one token.
     """
-    humps = F.regexp_replace(text, "(?<=[a-z0-9])(?=[A-Z])", " ")
-    return F.transform(F.regexp_extract_all(humps, F.lit(f"{_IDENTIFIER}+"), F.lit(0)), F.lower)
+    token = f"{_IDENTIFIER}(?:[a-z0-9а-яА-ЯёЁ]++|(?<![a-z0-9])[A-Z])*+"  # one pattern, which stops before a hump
+    return F.transform(F.regexp_extract_all(text, F.lit(token), F.lit(0)), F.lower)
 
 
 def identifiers(text: str) -> list[str]:

@@ -1,88 +1,16 @@
-"""Full-text search: a persisted inverted index with stems and prefix terms, BM25, and the all-terms-first rule.
-
-The index is three Parquet tables below one folder: postings (lead, term, key, tf) partitioned by the first character
-of the term and sorted by it, so that a query reads the folders and row groups of its prefixes only; lengths (key, n);
-and corpus (total, mean_n), one row. Stems are indexed beside the words they differ from, as a second column would be.
-"""
+"""Full-text search over a table as it is: BM25, the variants of a query, and the all-terms-first rule. text_index keeps an index."""
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.terms import translations
-from ..functions.text import STOPWORDS, identifier_tokens, normalize, normalize_token, query_terms, word_tokens
-from .graph import kept, shared_folder
+from ..functions.text import STOPWORDS, normalize, query_terms, word_tokens
+from .graph import kept
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
-LEAD = 1  # characters of a term that choose its folder
-
-
-def postings(docs: DataFrame, key: str, text: Column, stems: bool = False) -> DataFrame:
-    """key, term, tf: one row for each term of each document. The shuffle carries counts, combined before it.
-
-    stems: also the stem of each word, where it is another.
-    """
-    counted = docs.select(F.col(key), F.explode(word_tokens(text)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    if not stems:
-        return counted
-    both = F.array_distinct(F.array(F.col("term"), normalize_token(F.col("term"))))
-    return counted.select(key, F.explode(both).alias("term"), "tf").groupBy(key, "term").agg(F.sum("tf").alias("tf"))
-
-
-class FtsIndex:
-    """A full-text index in a folder; documents with a `path` are also found by the words of their paths."""
-
-    def __init__(self, spark: SparkSession, folder: str, key: str) -> None:
-        self.spark, self.folder, self.key = spark, folder, key
-
-    @staticmethod
-    def build(docs: DataFrame, key: str, text: Column, folder: str, path: Column | None = None) -> FtsIndex:
-        whole = text if path is None else F.concat_ws(" ", text, F.array_join(identifier_tokens(path), " "))
-        spark = docs.sparkSession
-        counted = postings(docs, key, whole, stems=True).withColumn("lead", F.substring("term", 1, LEAD))
-        counted.repartitionByRange("lead", "term").sortWithinPartitions("lead", "term").write.mode("overwrite").partitionBy("lead").parquet(f"{folder}/postings")
-        sizes = docs.select(key, F.size(word_tokens(whole)).alias("n"))
-        sizes.write.mode("overwrite").parquet(f"{folder}/lengths")
-        spark.read.parquet(f"{folder}/lengths").agg(F.count("*").alias("total"), F.avg("n").alias("mean_n")).write.mode("overwrite").parquet(f"{folder}/corpus")
-        return FtsIndex(spark, folder, key)
-
-    def replaced(self, docs: DataFrame, text: Column, folder: str, gone: DataFrame | None = None) -> FtsIndex:
-        """A new version of the index in another folder: the rows of changed documents anew, those of `gone` (key) dropped."""
-        key = self.key
-        touched = docs.select(key) if gone is None else docs.select(key).union(gone.select(key))
-        old = self._read("postings").join(touched.distinct(), key, "left_anti")
-        new = postings(docs, key, text, stems=True).withColumn("lead", F.substring("term", 1, LEAD))
-        old.unionByName(new).repartitionByRange("lead", "term").sortWithinPartitions("lead", "term").write.mode("overwrite").partitionBy("lead").parquet(f"{folder}/postings")
-        self._read("lengths").join(touched.distinct(), key, "left_anti").unionByName(docs.select(key, F.size(word_tokens(text)).alias("n"))).write.mode("overwrite").parquet(f"{folder}/lengths")
-        self.spark.read.parquet(f"{folder}/lengths").agg(F.count("*").alias("total"), F.avg("n").alias("mean_n")).write.mode("overwrite").parquet(f"{folder}/corpus")
-        return FtsIndex(self.spark, folder, key)
-
-    def _read(self, name: str) -> DataFrame:
-        reader = self.spark.read
-        if name == "postings":
-            kind = self.spark.read.parquet(f"{self.folder}/lengths").schema[self.key].dataType.simpleString()
-            reader = reader.schema(f"{self.key} {kind}, term string, tf long, lead string")  # a folder named 05 is no number
-        return reader.parquet(f"{self.folder}/{name}")
-
-    def bm25(self, terms: list[str], require_all: bool = False) -> DataFrame:
-        """key, score, matched: documents with words that begin with a term (or with all of them), unordered."""
-        folders = F.col("lead").isin(*{term[:LEAD] for term in terms})
-        near = self._read("postings").where(folders & reduce(Column.__or__, (F.col("term").startswith(t) for t in terms)))
-        own = F.explode(F.filter(F.array(*map(F.lit, terms)), lambda t: F.startswith("term", t)))
-        found = near.select(self.key, own.alias("prefix"), "tf").groupBy(self.key, F.col("prefix").alias("term")).agg(F.sum("tf").alias("tf"))
-        return _scored(found.join(self._read("lengths"), self.key), self._read("corpus"), self.key, len(terms) if require_all else None)
-
-    def search(self, query: str, k: int = 20) -> DataFrame:
-        """key, score, mode: stemmed terms before raw ones, all terms before any, the first of these that finds something."""
-        for terms, mode in variants(query):
-            top = kept(top_k(self.bm25(terms, mode == "and").select(self.key, "score"), self.key, k), "fts-top")
-            if not top.isEmpty():
-                return top.withColumn("mode", F.lit(mode))
-        return self._read("lengths").limit(0).select(self.key, F.lit(0.0).alias("score"), F.lit("or").alias("mode"))
 
 
 def variants(query: str) -> list[tuple[list[str], str]]:
@@ -105,11 +33,6 @@ def variants(query: str) -> list[tuple[list[str], str]]:
     return out
 
 
-def scratch_index(docs: DataFrame, key: str, text: Column, path: Column | None = None) -> FtsIndex:
-    """An index in the shared folder, for tables that are searched many times in a session."""
-    return FtsIndex.build(docs, key, text, f"{shared_folder(docs.sparkSession)}/fts-{id(docs):x}", path)
-
-
 def term_hits(docs: DataFrame, key: str, text: Column, terms: list[str]) -> DataFrame:
     """key, n (length of the document) and term, tf for each query term in it.
 

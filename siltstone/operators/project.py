@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from . import fts, packs
 from .modules import degraded
 from .retrieval import Retrieval, retrieve
+from .text_index import TextIndex
 
 
 @dataclass
@@ -27,7 +28,7 @@ class Project:
     vectors: DataFrame | None = None
     states: DataFrame | None = None
     memories: DataFrame | None = None
-    index: fts.FtsIndex | None = None
+    index: TextIndex | None = None
     last_scan: float | None = None
 
     def check(self, now: float) -> dict[str, object]:

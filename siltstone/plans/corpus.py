@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing, paths, text
+from ..functions.porter import porter_sql
 from ..functions.text import STOPWORDS, identifier_tokens
 from ..operators import analytics, fts, graph, retrieval, timeline
-from ..session import load
+from ..operators.text_index import TextIndex
+from ..session import load, spread
 from ..sources import code
 from .bindings import table
 
@@ -29,14 +33,14 @@ scored AS (SELECT h.doc_id, round(sum(greatest(ln((c.total - d.df + 0.5) / (d.df
 
 @query(_bm25_sql(["scum", "error", "table", "apache", "license"], "SELECT doc_id, score FROM scored ORDER BY score DESC, doc_id LIMIT 20"))
 def fts_bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    scored = fts.bm25(load(spark, sf, "documents"), "doc_id", F.coalesce("text", F.lit("")), ["scum", "error", "table", "apache", "license"])
+    scored = fts.bm25(spread(load(spark, sf, "documents")), "doc_id", F.coalesce("text", F.lit("")), ["scum", "error", "table", "apache", "license"])
     return fts.top_k(scored.select("doc_id", "score"), "doc_id", 20)
 
 
 @query(_bm25_sql(["license", "apache", "version"], """, best AS (SELECT bool_or(matched = 3) AS some_all FROM scored)
 SELECT doc_id, score, CASE WHEN some_all THEN 'and' ELSE 'or' END AS mode FROM scored CROSS JOIN best WHERE NOT some_all OR matched = 3 ORDER BY score DESC, doc_id LIMIT 20"""))
 def fts_and_or_fallback(spark: SparkSession, sf: str) -> DataFrame:
-    return fts.search(load(spark, sf, "documents"), "doc_id", F.coalesce("text", F.lit("")), ["license", "apache", "version"], 20)
+    return fts.search(spread(load(spark, sf, "documents")), "doc_id", F.coalesce("text", F.lit("")), ["license", "apache", "version"], 20)
 
 
 _TOKENS = "list_transform(regexp_extract_all(regexp_replace({}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[a-zA-Zа-яА-ЯёЁ0-9]+'), lambda t: lower(t))"
@@ -44,7 +48,7 @@ _TOKENS = "list_transform(regexp_extract_all(regexp_replace({}, '([a-z0-9])([A-Z
 
 @query(f"""SELECT token, count(*) AS n FROM (SELECT unnest({_TOKENS.format("coalesce(text, '')")}) AS token FROM documents) GROUP BY token ORDER BY n DESC, token LIMIT 50""")
 def identifier_token_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return load(spark, sf, "documents").select(F.explode(identifier_tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "token").limit(50)
+    return spread(load(spark, sf, "documents")).select(F.explode_outer(identifier_tokens(F.col("text"))).alias("token")).where("token is not null").groupBy("token").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "token").limit(50)
 
 
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
@@ -129,7 +133,7 @@ b AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r FROM
 SELECT doc_id, round(sum(part), 9) AS fused FROM (SELECT doc_id, 1.0::DOUBLE / (60 + r) AS part FROM a UNION ALL SELECT doc_id, 0.5::DOUBLE / (60 + r) FROM b) GROUP BY doc_id ORDER BY fused DESC, doc_id LIMIT 50"""))
 def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
     docs = load(spark, sf, "documents")
-    a = fts.bm25(docs, "doc_id", F.coalesce("text", F.lit("")), ["license", "apache"])
+    a = fts.bm25(spread(docs), "doc_id", F.coalesce("text", F.lit("")), ["license", "apache"])
     b = docs.select("doc_id", F.col("n_chars").cast("double").alias("score"))
     return retrieval.rrf([(a, 1.0), (b, 0.5)], "doc_id").orderBy(F.desc("fused"), "doc_id").limit(50)
 
@@ -210,26 +214,52 @@ def hybrid_retrieve_central(spark: SparkSession, sf: str) -> DataFrame:
     return result.files.select("path", F.round("score", 6).alias("score"))
 
 
-def _index_sql(terms: list[str], tail: str) -> str:
-    """BM25 over words and their stems, each term a prefix."""
-    stem = "CASE WHEN len(w) < 5 THEN w WHEN regexp_matches(w, '[а-яё]') THEN regexp_replace(w, '^(.{3,}?)(?:' || ru || ')$', '\\1') ELSE regexp_replace(w, '^(.{3,}?)(?:' || en || ')$', '\\1') END"
-    wanted = ", ".join(f"('{t}')" for t in terms)
+def _index_sql(docs: str = "documents") -> str:
+    """terms (doc_id, term, n): Porter stems of words and of their normalised forms; corpus (total, mean_n)."""
+    norm = "CASE WHEN len(w) < 5 THEN w WHEN regexp_matches(w, '[а-яё]') THEN regexp_replace(w, '^(.{3,}?)(?:' || ru || ')$', '\\1') ELSE regexp_replace(w, '^(.{3,}?)(?:' || en || ')$', '\\1') END"
     return f"""
-WITH ends AS (SELECT '{"|".join(text._SUFFIXES_RU)}' AS ru, '{"|".join(text._SUFFIXES)}' AS en), tok AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS ts FROM documents),
-lens AS (SELECT doc_id, len(ts) AS n FROM tok), corpus AS (SELECT count(*) AS total, avg(n) AS mean_n FROM lens), words AS (SELECT doc_id, unnest(ts) AS w FROM tok),
-terms AS (SELECT doc_id, w AS term FROM words UNION ALL SELECT doc_id, s FROM (SELECT doc_id, w, {stem} AS s FROM words, ends) WHERE s <> w),
-hits AS (SELECT doc_id, p.t AS term, count(*) AS tf FROM terms JOIN (VALUES {wanted}) p(t) ON starts_with(term, p.t) GROUP BY ALL),
-dfs AS (SELECT term, count(*) AS df FROM hits GROUP BY term),
-scored AS (SELECT h.doc_id, round(sum(greatest(ln((c.total - d.df + 0.5) / (d.df + 0.5)), 1e-6) * h.tf * 2.2 / (h.tf + 1.2 * (0.25 + 0.75 * l.n / c.mean_n))), 6) AS score, count(*) AS matched
-  FROM hits h JOIN dfs d USING (term) JOIN lens l USING (doc_id) CROSS JOIN corpus c GROUP BY h.doc_id)
+WITH ends AS (SELECT '{"|".join(text._SUFFIXES_RU)}' AS ru, '{"|".join(text._SUFFIXES)}' AS en), tok AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS ts FROM {docs}),
+corpus AS (SELECT count(*) AS total, avg(len(ts)) AS mean_n FROM tok), words AS MATERIALIZED (SELECT doc_id, len(ts) AS n, unnest(ts) AS w FROM tok),
+forms AS MATERIALIZED (SELECT w, {norm} AS s FROM (SELECT DISTINCT w FROM words), ends), every AS (SELECT w FROM forms UNION SELECT s FROM forms), stems AS MATERIALIZED (SELECT w, stem FROM {porter_sql("every", "w")}),
+pairs AS MATERIALIZED (SELECT f.w, s.stem AS term FROM forms f JOIN stems s ON s.w = f.w UNION SELECT f.w, s.stem FROM forms f JOIN stems s ON s.w = f.s),
+terms AS MATERIALIZED (SELECT doc_id, n, term, count(*) AS tf FROM words JOIN pairs USING (w) GROUP BY ALL)"""
+
+
+_WEIGHT = "greatest(ln((c.total - d.df + 0.5) / (d.df + 0.5)), 1e-6) * h.tf * 2.2 / (h.tf + 1.2 * (0.25 + 0.75 * h.n / c.mean_n))"
+
+
+def _prefix_sql(terms: list[str], tail: str, docs: str = "documents") -> str:
+    wanted = ", ".join(f"('{t}')" for t in terms)
+    return _index_sql(docs) + f""",
+hits AS (SELECT doc_id, n, p.t AS term, sum(tf) AS tf FROM terms JOIN (VALUES {wanted}) p(t) ON starts_with(term, p.t) GROUP BY ALL), dfs AS (SELECT term, count(*) AS df FROM hits GROUP BY term),
+scored AS (SELECT h.doc_id, round(sum({_WEIGHT}), 6) AS score, count(*) AS matched FROM hits h JOIN dfs d USING (term) CROSS JOIN corpus c GROUP BY h.doc_id)
 {tail}"""
 
 
-@query(_index_sql(["licens", "apach"], "SELECT doc_id, score, 'and' AS mode FROM scored WHERE matched = 2 ORDER BY score DESC, doc_id LIMIT 20"))
+def _index(spark: SparkSession, sf: str, docs: DataFrame | None = None) -> TextIndex:
+    """An index of documents in a folder of its own."""
+    docs = load(spark, sf, "documents") if docs is None else docs
+    return TextIndex.build(spread(docs), "doc_id", F.col("text"), f"{graph.shared_folder(spark)}/index-{uuid.uuid4().hex}")
+
+
+@query(_prefix_sql(["licen", "apach"], "SELECT doc_id, score, 'and' AS mode FROM scored WHERE matched = 2 ORDER BY score DESC, doc_id LIMIT 20"))
 def fts_index_search(spark: SparkSession, sf: str) -> DataFrame:
-    """A search in a persisted index: `licenses of Apache` normalised to `licens` and `apach`, prefixes that all must occur."""
-    index = fts.scratch_index(load(spark, sf, "documents"), "doc_id", F.coalesce("text", F.lit("")))
-    return index.search("licenses of Apaches", 20)
+    """A search in a persisted index: `licenses of Apaches` by the stems `licen` and `apach`, prefixes that all must occur."""
+    return _index(spark, sf).search("licenses of Apaches", 20)
+
+
+@query(_prefix_sql(["licen", "version"], "SELECT doc_id, score, (SELECT count(*) FROM changed) AS documents FROM scored WHERE matched = 2 ORDER BY score DESC, doc_id LIMIT 50", "changed")
+       .replace("WITH ends", "WITH changed AS (SELECT doc_id, CASE WHEN doc_id % 100 = 7 THEN text || ' licensed version ' || source ELSE text END AS text FROM documents WHERE doc_id % 100 <> 3), ends"))
+def fts_index_update(spark: SparkSession, sf: str) -> DataFrame:
+    """An index after changes: one document in a hundred is deleted, one changed, in five segments, so that tiers are merged too."""
+    docs = load(spark, sf, "documents")
+    index = _index(spark, sf, docs)
+    changed = docs.where("doc_id % 100 = 7").withColumn("text", F.concat("text", F.lit(" licensed version "), F.coalesce("source", F.lit(""))))
+    for k in range(5):  # a fifth of the changes each
+        own = F.pmod(F.floor(F.col("doc_id") / 100), F.lit(5)) == k
+        index.change(changed.where(own), F.col("text"), gone=docs.where("doc_id % 100 = 3").where(own).select("doc_id"))
+    total = index.segments()[-1]["total"]
+    return index.search("licensed versions", 50).select("doc_id", "score", F.lit(total).alias("documents"))
 
 
 @query("""SELECT doc_id, sha256(coalesce(text, '')) AS content_hash FROM documents""")

@@ -17,3 +17,10 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     naive = [c for c, kind in df.dtypes if kind == "timestamp_ntz"]
     return df.withColumns({c: F.col(c).cast("timestamp") for c in naive}) if naive else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a small table over all cores. A file of one row group is read by one task, and so is all that is computed
+    from its texts; a table with as many partitions as cores, as any large one has, stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -7,7 +7,8 @@ import subprocess
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.operators import code_graph, evaluation, fts, modules, packs, project, retrieval, timeline
+from siltstone.operators import code_graph, evaluation, modules, packs, project, retrieval, timeline
+from siltstone.operators.text_index import TextIndex
 from siltstone.sources import code, gitlog, grammar, sinks, stores
 from siltstone.streaming import streams
 
@@ -379,7 +380,7 @@ def test_a_project_answers_and_says_what_it_lacks(spark, tmp_path):
     assert one.check(10.0) == {"project": "demo", "files": 4, "symbols": 2, "edges": 2, "vectors": 0, "dirty": 1, "degraded": ["no vectors", "articles out of date"]}
     pack, lacks = one.ask("where is login", 10.0)
     assert pack.files[0] == "lib/auth/login.py" and "lib.auth.login.login" in pack.symbols and lacks == ["no vectors", "articles out of date"]
-    one.index = fts.FtsIndex.build(files, "path", F.col("text"), f"file://{tmp_path}/fts", F.col("path"))
+    one.index = TextIndex.build(files, "path", F.col("text"), f"file://{tmp_path}/fts", F.col("path"))
     assert one.retrieve("where is login").files.first()["path"] == "lib/auth/login.py"
     clock = iter([0.0, 0.0, 1.0, 2.0, 3.0, 100_000.0, 200_000.0]).__next__
     seen = one.watch(100_000.0, 1.0, clock, lambda s: None)

@@ -12,7 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions import terms, text
-from siltstone.operators import fts, graph, impact, retrieval, timeline
+from siltstone.operators import graph, impact, retrieval, timeline
+from siltstone.operators.text_index import TextIndex
 from siltstone.plans import corpus
 
 
@@ -111,14 +112,16 @@ def test_queries_in_two_languages():
 
 def test_index_finds_by_prefix_stem_and_dictionary(spark, tmp_path):
     docs = spark.createDataFrame([("a.py", "class UserCache: caching of users"), ("b.py", "соединения с базой"), ("c.py", "nothing here"), ("lib/session_store.py", "x")], "path string, text string")
-    index = fts.FtsIndex.build(docs, "path", F.col("text"), f"file://{tmp_path}/one", F.col("path"))
+    index = TextIndex.build(docs, "path", F.col("text"), f"file://{tmp_path}/one", F.col("path"))
     find = lambda q, i=index: {(r["path"], r["mode"]) for r in i.search(q).collect()}
     assert find("users caches") == {("a.py", "and")}
     assert find("connection") == {("b.py", "or")}  # through the dictionary
     assert find("session") == {("lib/session_store.py", "or")}  # through the path
     assert find("zzz") == set() and find("") == set()
-    newer = index.replaced(spark.createDataFrame([("c.py", "users now")], "path string, text string"), F.col("text"), f"file://{tmp_path}/two", spark.createDataFrame([("a.py",)], "path string"))
-    assert find("users", newer) == {("c.py", "or")}
+    index.change(spark.createDataFrame([("c.py", "users now")], "path string, text string"), F.col("text"), F.col("path"), spark.createDataFrame([("a.py",)], "path string"))
+    assert find("users") == {("c.py", "or")} and find("nothing") == set()
+    index.change(spark.createDataFrame([("lib/session_store.py", "y")], "path string, text string"), F.col("text"), F.col("path"))
+    assert find("session") == {("lib/session_store.py", "or")}  # by its path, after its own replacement too
 
 
 def test_tests_of_a_module(spark):
