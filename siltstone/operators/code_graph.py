@@ -60,8 +60,8 @@ def path_aliases(settings: str) -> dict[str, str]:
     return out
 
 
-def mixed_walk(edges: DataFrame, seeds: DataFrame, decay: float = 0.7) -> DataFrame:
-    """node, score: files two hops from a seed file through symbols.
+def mixed_walk(edges: DataFrame, seeds: DataFrame, decay: float = 0.7, *by: str) -> DataFrame:
+    """node, score: files two hops from a seed file through symbols. by: columns of the seeds that tell walks apart.
 
     Callers: files that point at the symbols below the seed's own module; dependencies: files that define the modules the
     seed's other symbols name. Seeds may be reached.
@@ -74,8 +74,8 @@ def mixed_walk(edges: DataFrame, seeds: DataFrame, decay: float = 0.7) -> DataFr
     target = F.concat(F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), "/"), F.lit(".py"))
     known = edges.select(F.col("src").alias("found")).union(edges.select("dst")).distinct()
     defining = own.where(~mine & (F.size(parts) >= 2)).withColumn("found", target).join(known, "found", "left_semi")
-    both = callers.select("node", "found", "score").unionByName(defining.select("node", "found", "score")).where("node <> found")
-    return both.groupBy(F.col("found").alias("node")).agg(F.round(F.max("score") * decay**2, 6).alias("score"))
+    both = callers.select(*by, "node", "found", "score").unionByName(defining.select(*by, "node", "found", "score")).where("node <> found")
+    return both.groupBy(*by, F.col("found").alias("node")).agg(F.round(F.max("score") * decay**2, 6).alias("score"))
 
 
 def module_dependencies(edges: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import identifier_tokens, without_stopwords
+from .batch_retrieval import Answers
 from .graph import nodes, pagerank
 
 RESULTS = "project string, query_id string, mode string, impact boolean, retrieved_files array<string>, retrieved_symbols array<string>, expected_files array<string>, expected_symbols array<string>"
@@ -56,6 +57,35 @@ def run(spark: SparkSession, queries: list[dict], retrieve: Callable[[str, str],
     return spark.createDataFrame(rows, RESULTS)
 
 
+def results(answers: Answers, queries: DataFrame, project: str = "") -> DataFrame:
+    """The results of retrieve_many for queries (query_id, mode, impact, expected_files, expected_symbols): one row for each, in one plan.
+
+    Queries without an answer have empty lists. A query's lists are as long as the retrieval's limit.
+    """
+    def listed(rows: DataFrame, value: str, name: str) -> DataFrame:
+        return rows.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", value))), lambda x: x[value]).alias(name))
+
+    met = queries.join(listed(answers.files, "path", "retrieved_files"), "query_id", "left").join(listed(answers.symbols, "fq_name", "retrieved_symbols"), "query_id", "left")
+    none = F.array().cast("array<string>")
+    lists = [F.coalesce(c, none).alias(c) for c in ("retrieved_files", "retrieved_symbols", "expected_files", "expected_symbols")]
+    return met.select(F.lit(project).alias("project"), F.col("query_id").cast("string").alias("query_id"), "mode", "impact", *lists)
+
+
+def from_hits(queries: DataFrame, retrieved: DataFrame, expected: DataFrame) -> DataFrame:
+    """query_id, recall_at_5_files, precision_at_3_files, rr_files for sets of expected files that are too large for lists.
+
+    retrieved: query_id, rank, hit (true where it was expected); expected: query_id, expected (how many were).
+    """
+    hit = F.coalesce("hit", F.lit(False))
+    counted = retrieved.groupBy("query_id").agg(
+        F.count_if(hit & (F.col("rank") <= 5)).alias("hits5"), F.count_if(hit & (F.col("rank") <= 3)).alias("hits3"), F.count_if(F.col("rank") <= 3).alias("top3"), F.min(F.when(hit, F.col("rank"))).alias("first")
+    )
+    met = queries.select("query_id").join(expected, "query_id", "left").join(counted, "query_id", "left").na.fill(0, ["expected", "hits5", "hits3", "top3"])
+    recall_ = F.when(F.col("expected") == 0, 1.0).otherwise(F.col("hits5") / F.col("expected"))
+    precision_ = F.when(F.col("top3") == 0, 0.0).otherwise(F.col("hits3") / F.col("top3"))
+    return met.select("query_id", *(F.round(c, 6).alias(n) for n, c in (("recall_at_5_files", recall_), ("precision_at_3_files", precision_), ("rr_files", F.coalesce(1.0 / F.col("first"), F.lit(0.0))))))
+
+
 def comparison(before: DataFrame, after: DataFrame) -> DataFrame:
     """metric, before, after, change of two rows of means."""
     names = ["recall_at_5_files", "precision_at_3_files", "recall_at_5_symbols", "mrr_files", "impact_recall_at_5"]

@@ -44,22 +44,31 @@ def term_hits(docs: DataFrame, key: str, text: Column, terms: list[str]) -> Data
     return tokens.select(key, F.size("tokens").alias("n"), own.alias("own")).select(key, "n", F.filter(counted, lambda h: h["tf"] > 0).alias("hits"))
 
 
-def _scored(hits: DataFrame, corpus: DataFrame, key: str, all_of: int | None = None) -> DataFrame:
-    """key, score, matched from (key, n, term, tf) and the corpus row (total, mean_n)."""
+def _weighted(hits: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Adds weight to (key, n, term, tf), from the corpus row (total, mean_n)."""
     df = hits.groupBy("term").agg(F.count("*").alias("df"))  # one row for each query term
-    scored = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(corpus))
+    met = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(corpus))
     idf = F.greatest(F.log((F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.col("mean_n")))
-    out = scored.groupBy(key).agg(F.round(F.sum(weight), 6).alias("score"), F.count("*").alias("matched"))
-    return out if all_of is None else out.where(F.col("matched") == all_of)
+    return met.withColumn("weight", idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.col("mean_n"))))
 
 
-def bm25(docs: DataFrame, key: str, text: Column, terms: list[str], require_all: bool = False) -> DataFrame:
-    """key, score, matched for documents with a query term (or all of them), unordered; every text is read and split once."""
+def _hits(docs: DataFrame, key: str, text: Column, terms: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(key, n, term, tf; total, mean_n): every text is read and split once."""
     reduced = kept(term_hits(docs, key, text, terms), "fts-hits")
-    corpus = reduced.agg(F.count("*").alias("total"), F.avg("n").alias("mean_n"))
-    hits = reduced.where(F.size("hits") > 0).select(key, "n", F.explode("hits").alias("h")).select(key, "n", "h.term", "h.tf")
-    return _scored(hits, corpus, key, len(terms) if require_all else None)
+    return reduced.where(F.size("hits") > 0).select(key, "n", F.explode("hits").alias("h")).select(key, "n", "h.term", "h.tf"), reduced.agg(F.count("*").alias("total"), F.avg("n").alias("mean_n"))
+
+
+def bm25(docs: DataFrame, key: str, text: Column, terms: list[str], require_all: bool = False) -> DataFrame:
+    """key, score, matched for documents with a query term (or all of them), unordered."""
+    scored = _weighted(*_hits(docs, key, text, terms)).groupBy(key).agg(F.round(F.sum("weight"), 6).alias("score"), F.count("*").alias("matched"))
+    return scored.where(F.col("matched") == len(terms)) if require_all else scored
+
+
+def bm25_many(docs: DataFrame, key: str, text: Column, queries: dict[str, list[str]]) -> DataFrame:
+    """query_id, key, score for the terms of several queries; the texts are read once for all of them."""
+    terms = sorted({t for ts in queries.values() for t in ts})
+    own = docs.sparkSession.createDataFrame([(q, t) for q, ts in queries.items() for t in dict.fromkeys(ts)], "query_id string, term string")
+    return _weighted(*_hits(docs, key, text, terms)).join(F.broadcast(own), "term").groupBy("query_id", key).agg(F.round(F.sum("weight"), 6).alias("score"))
 
 
 def top_k(scores: DataFrame, key: str, k: int, score: str = "score") -> DataFrame:

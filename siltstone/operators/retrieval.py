@@ -51,9 +51,9 @@ def config_boost(scored: DataFrame, query: str, role: str = "role", score: str =
     return scored.crossJoin(F.broadcast(best)).withColumn(score, lifted).drop("least")
 
 
-def path_boost(path: Column, query: str) -> Column:
+def path_boost(path: Column, query: str | Column) -> Column:
     """What query tokens in the stem, the parent and the earlier segments of a path add."""
-    tokens = F.array_distinct(identifier_tokens(F.lit(query)))
+    tokens = F.array_distinct(identifier_tokens(F.lit(query) if isinstance(query, str) else query))
     parts = F.split(path, "/")
     parent = F.when(F.size(parts) > 1, F.element_at(parts, -2)).otherwise("")
     earlier = F.when(F.size(parts) > 2, F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 2, F.lit(0))), "/")).otherwise("")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import hashing, paths, text
 from ..functions.porter import porter_sql
 from ..functions.text import STOPWORDS, identifier_tokens
-from ..operators import analytics, fts, graph, retrieval, timeline
+from ..operators import analytics, batch_retrieval, evaluation, fts, graph, retrieval, timeline
 from ..operators.text_index import TextIndex
 from ..session import load, spread
 from ..sources import code
@@ -214,6 +214,78 @@ def hybrid_retrieve_central(spark: SparkSession, sf: str) -> DataFrame:
     return result.files.select("path", F.round("score", 6).alias("score"))
 
 
+# Queries of a batch: (text, mode). Each stage has a case: a trigger of the config boost, a word that asks for documentation, both modes, stop-words alone, nothing found.
+_BATCH = {
+    "q0": (_QUERY, "navigate"), "q1": (_QUERY, "edit"), "q2": ("error table src3", "navigate"), "q3": ("scum src11 en license", "edit"), "q4": ("apache readme src2 src2", "navigate"), "q5": ("the of", "navigate"), "q6": ("zzzz", "edit"),
+    "q7": ("src5", "edit"),
+}
+
+
+def _retrieve_sql(query_id: str, asked: str, mode: str) -> str:
+    """One query of the batch: the stages without centrality; vectors for all queries are those of the first vector."""
+    terms = list(dict.fromkeys(asked.split()))
+    telling = [t for t in asked.split() if t not in STOPWORDS]
+    weights = retrieval.ROLE_WEIGHTS[mode] | ({"docs": retrieval.DOCS_WEIGHT} if any(w in asked for w in retrieval.DOCS_WORDS) else {})
+    role = "CASE role " + " ".join(f"WHEN '{r}' THEN {w}" for r, w in weights.items() if r != "other") + f" ELSE {weights['other']} END"
+    config = "CASE WHEN role = 'config' AND score > 0 THEN greatest(score, 0.5 * (SELECT max(score) FROM s2)) ELSE score END" if set(asked.split()) & set(retrieval.CONFIG_WORDS) else "score"
+    hops = 3 if mode == "edit" else 2
+    walks = "".join(f", {w}{k} AS (SELECT DISTINCT e.dst AS path, f.score * 0.7 AS score FROM {w}{k - 1} f JOIN {source} e ON e.src = f.path)" for w, source in (("f", "open_edges"), ("b", "back")) for k in range(1, hops + 1))
+    reached = " UNION ALL ".join(f"SELECT * FROM {w}{k}" for w in "fb" for k in range(1, hops + 1))
+    points = f"list_sum(list_transform({telling!r}, lambda t: CASE WHEN list_contains({_TOKENS.format('name')}, t) THEN 2 WHEN list_contains({_TOKENS.format('fq_name')}, t) THEN 1 ELSE 0 END))" if telling else "0"
+    symbol = f"(lower(name) = '{asked}')::INT * 10 + contains(lower(fq_name), '{asked}')::INT * 3 + {points}" if telling else "0"
+    return _bm25_sql(terms, f""", {_FILES},
+found AS (SELECT path, fq_name, CAST({symbol} AS DOUBLE) AS score FROM files WHERE score > 0 ORDER BY score DESC, fq_name, path LIMIT 20),
+texts AS (SELECT path, score FROM scored JOIN files USING (doc_id) ORDER BY score DESC, path LIMIT 20),
+s1 AS (SELECT path, sum(score) AS score FROM (SELECT path, 3 * max(score) AS score FROM found GROUP BY path UNION ALL SELECT path, score FROM texts) GROUP BY path),
+seeds AS (SELECT path, score FROM s1 ORDER BY score DESC, path LIMIT 5), open_edges AS (SELECT src, dst FROM edges WHERE dst NOT IN (SELECT path FROM seeds)), back AS (SELECT dst AS src, src AS dst FROM edges WHERE src NOT IN (SELECT path FROM seeds)),
+f0 AS (SELECT * FROM seeds), b0 AS (SELECT * FROM seeds){walks},
+mixed AS (SELECT e.dst AS path, s.score * 0.49 AS score FROM seeds s JOIN edges e ON e.src = s.path),
+s2 AS (SELECT path, max(score) AS score FROM (SELECT path, score FROM s1 UNION ALL SELECT path, {1.0 if mode == "edit" else 0.5} * round(score, 6) FROM ({reached} UNION ALL SELECT * FROM mixed)) GROUP BY path),
+s3 AS (SELECT path, role, churn, age, {config} + 0.75 * (('d' || doc_id) IN {tuple([*terms, ''])!r})::INT + 0.25 * (string_split(path, '/')[2] IN {tuple([*terms, ''])!r})::INT + 0.15 * (string_split(path, '/')[1] IN {tuple([*terms, ''])!r})::INT AS score FROM s2 JOIN files USING (path)),
+s4 AS (SELECT path, score * {role} * CASE WHEN churn > 0 THEN 1.10 ELSE 1.0 END * CASE WHEN age < 30 THEN 1.05 ELSE 1.0 END AS score FROM s3),
+near AS (SELECT path, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)), 6) AS score FROM embeddings JOIN files ON doc_id = vec_id),
+w AS (SELECT greatest(0, least(1, ((SELECT max(score) FROM near) - 0.45) / 0.25)) * greatest(0, least(1, ((SELECT count(*) FROM files) - 100) / 400.0)) AS w),
+ranks AS (SELECT path, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, path)) AS part FROM s4 UNION ALL SELECT path, w / (60 + row_number() OVER (ORDER BY score DESC, path)) FROM near, w WHERE w > 0),
+fused AS (SELECT path, round(sum(part), 9) AS f FROM ranks GROUP BY path),
+s5 AS (SELECT path, f * coalesce((SELECT max(score) FROM s4), 1.0) / (SELECT max(f) FROM fused) AS score FROM fused WHERE (SELECT w FROM w) > 0 UNION ALL SELECT path, score FROM s4 WHERE (SELECT w FROM w) <= 0)
+SELECT '{query_id}' AS query_id, path, score, row_number() OVER (ORDER BY s5.score DESC, path) AS rank FROM s5 WHERE score >= 0.4 * (SELECT max(score) FROM s5) ORDER BY s5.score DESC, path LIMIT 10""")
+
+
+_BATCH_SQL = " UNION ALL ".join(f"SELECT * FROM ({_retrieve_sql(q, text, mode)})" for q, (text, mode) in _BATCH.items())
+
+
+def _batch(spark: SparkSession, sf: str) -> tuple[DataFrame, batch_retrieval.Answers]:
+    files, symbols, edges, _, near = _bound(spark, sf)
+    queries = spark.createDataFrame([(q, text, mode) for q, (text, mode) in _BATCH.items()], "query_id string, text string, mode string")
+    docs = spread(load(spark, sf, "documents"))
+    texts = fts.bm25_many(docs, "doc_id", F.coalesce("text", F.lit("")), {q: asked.split() for q, (asked, _) in _BATCH.items()}).join(files.select("doc_id", "path"), "doc_id").select("query_id", "path", "score")
+    vectors = near.join(F.broadcast(queries.select("query_id")))  # eight queries, each with the same vector
+    return queries, batch_retrieval.retrieve_many(files, symbols, texts, queries, edges=edges, git=files, vectors=vectors, centrality=False)
+
+
+@query(f"SELECT query_id, path, round(score, 6) AS score, rank FROM ({_BATCH_SQL})")
+def retrieve_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """Eight queries through all stages in one plan."""
+    _, answers = _batch(spark, sf)
+    return answers.files.select("query_id", "path", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"""WITH r AS MATERIALIZED ({_BATCH_SQL}), wanted AS (SELECT coalesce(source, 'none') || '/' || coalesce(lang, 'xx') || '/d' || doc_id || '.py' AS path FROM documents WHERE contains(text, 'Apache License')),
+q AS (SELECT unnest({list(_BATCH)!r}) AS query_id), n AS (SELECT count(*) AS n FROM wanted), h AS (SELECT q.query_id, count(*) FILTER (WHERE r.rank <= 5 AND w.path IS NOT NULL) AS hits5, count(*) FILTER (WHERE r.rank <= 3 AND w.path IS NOT NULL) AS hits3, count(*) FILTER (WHERE r.rank <= 3) AS top3, min(r.rank) FILTER (WHERE w.path IS NOT NULL) AS first
+FROM q LEFT JOIN r USING (query_id) LEFT JOIN wanted w ON w.path = r.path GROUP BY q.query_id)
+SELECT query_id, round(CASE WHEN n = 0 THEN 1.0 ELSE hits5 / n END, 6) AS recall_at_5_files, round(CASE WHEN top3 = 0 THEN 0.0 ELSE hits3 / top3 END, 6) AS precision_at_3_files, round(coalesce(1.0 / first, 0.0), 6) AS rr_files FROM h, n""")
+def eval_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """The metrics of the batch: of every query, files that hold `Apache License` are expected."""
+    queries, answers = _batch(spark, sf)
+    docs = load(spark, sf, "documents").where(F.contains("text", F.lit("Apache License")))
+    path = F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), F.coalesce("lang", F.lit("xx")), F.lit("/d"), F.col("doc_id").cast("string"), F.lit(".py"))
+    wanted = docs.select(path.alias("path"))
+    # Expected files are looked at by those that were retrieved, so that no list grows with the table: the metrics need their number and the hits.
+    n = wanted.agg(F.count("*").alias("expected"))
+    hits = answers.files.join(wanted.withColumn("hit", F.lit(True)), "path", "left")
+    return evaluation.from_hits(queries, hits, n.crossJoin(F.broadcast(queries.select("query_id"))))
+
+
 def _index_sql(docs: str = "documents") -> str:
     """terms (doc_id, term, n): Porter stems of words and of their normalised forms; corpus (total, mean_n)."""
     norm = "CASE WHEN len(w) < 5 THEN w WHEN regexp_matches(w, '[а-яё]') THEN regexp_replace(w, '^(.{3,}?)(?:' || ru || ')$', '\\1') ELSE regexp_replace(w, '^(.{3,}?)(?:' || en || ')$', '\\1') END"

@@ -117,8 +117,8 @@ def test_odd_documents(spark, tmp_path):
 
 def test_many_queries_get_the_answers_of_single_ones(spark, tmp_path, monkeypatch):
     index = TextIndex.build(table(spark, list(corpus(80).items())), "path", F.col("text"), f"file://{tmp_path}/i", F.col("path"))
-    single = {q: [(r["path"], round(r["score"], 4), r["mode"]) for r in index.search(q, 15).collect()] for q in QUERIES}
-    queries = table(spark, [(q, q) for q in [*QUERIES, ""]] + [("none", None)], "query_id string, text string")
+    single = {q: [(r["path"], round(r["score"], 4), r["mode"]) for r in index.search(q, 15).collect()] for q in QUERIES[:1] + QUERIES[4:5]}
+    queries = table(spark, [(q, q) for q in [*single, "nowhere at all", ""]] + [("none", None)], "query_id string, text string")
 
     def many():
         got = {}
