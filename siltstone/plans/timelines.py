@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import timeline
+from ..operators import graph, timeline
 from ..session import load
 from ..streaming import streams
 from .bindings import table
@@ -211,9 +213,33 @@ def stream_session(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT DISTINCT user_id, event_type FROM events""")
 def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    """Within the watermark a key is written once; later repeats may appear again, so the keys are made distinct at the end."""
-    out = streams.drain(streams.deduplicated(streams.event_stream(spark, f"{sf}/events.parquet"), "ts", "user_id", "event_type"), name="dedup")
-    return out.select("user_id", "event_type").distinct()
+    """Each user and kind once, as the sink writes them: days of events in six files, a batch each."""
+    root = f"{graph.shared_folder(spark)}/dedup-{uuid.uuid4().hex}"
+    load(spark, sf, "events").repartition(6, "event_id").write.parquet(f"{root}/in")
+    streams.write_once(streams.event_stream(spark, f"{root}/in", 1), f"{root}/out", f"{root}/mark", "user_id", "event_type").awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("user_id", "event_type")
+
+
+@query("""WITH o AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL '2 hours' THEN 0 ELSE 1 END AS starts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+b AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS burst FROM o)
+SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, epoch_us(max(ts)) AS last_us, count(*) AS changes FROM b GROUP BY user_id, burst HAVING max(ts) + INTERVAL '2 hours' <= (SELECT max(ts) - INTERVAL '1 day' FROM events)""")
+def stream_debounce(spark: SparkSession, sf: str) -> DataFrame:
+    """Bursts of a user's events that ended by a pause of two hours, each with its last operation."""
+    out = streams.drain(streams.debounced(streams.event_stream(spark, f"{sf}/events.parquet"), ("user_id",), "event_type", "ts", "event_id", "2 hours"), name="debounce")
+    return out.select("user_id", "event_type", F.unix_micros("ts").alias("last_us"), "changes")
+
+
+@query("""WITH p AS (SELECT poll, CAST(c_nationkey % 3 AS VARCHAR) AS project, c_nationkey AS tag, CAST(max(c_custkey) AS VARCHAR) AS sha FROM customer, (VALUES (0), (1), (2)) v(poll) WHERE c_custkey % 3 <= poll AND (c_nationkey + poll) % 5 <> 0 GROUP BY poll, c_nationkey),
+l AS (SELECT *, lag(sha) OVER w AS before, lag(poll) OVER w AS last FROM p WINDOW w AS (PARTITION BY project, tag ORDER BY poll))
+SELECT project, CAST(tag AS VARCHAR) AS tag, CASE WHEN last IS NULL OR poll > last + 1 THEN 'created' ELSE 'moved' END AS kind, sha, CASE WHEN poll = last + 1 THEN before END AS previous, CAST(poll AS BIGINT) AS poll FROM l WHERE last IS NULL OR poll > last + 1 OR sha <> before""")
+def stream_tags(spark: SparkSession, sf: str) -> DataFrame:
+    """Three polls of tags (nations, at the newest customer a poll knows), a file and a batch each; some vanish and come back."""
+    root = f"{graph.shared_folder(spark)}/tags-{uuid.uuid4().hex}"
+    for poll in range(3):
+        seen = load(spark, sf, "customer").where(f"c_custkey % 3 <= {poll} and (c_nationkey + {poll}) % 5 <> 0").groupBy("c_nationkey").agg(F.max("c_custkey").cast("string").alias("sha"))
+        rows = seen.select((F.col("c_nationkey") % 3).cast("string").alias("project"), F.lit(poll).cast("long").alias("poll"), F.col("c_nationkey").cast("string").alias("tag"), "sha")
+        rows.coalesce(1).write.mode("append").parquet(f"{root}/in")
+    return streams.drain(streams.tag_events(streams.event_stream(spark, f"{root}/in", 1)), name="tags")
 
 
 @query("""SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, epoch_us(max(ts)) AS last_us FROM events GROUP BY user_id""")

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.graph import shared_folder
 
@@ -81,10 +84,72 @@ def last_operations(changes: DataFrame, keys: tuple[str, ...], op: str, ts: str,
     return changes.groupBy(*keys).agg(F.max_by(op, F.struct(ts, id_)).alias(op), F.max(ts).alias(ts))
 
 
-def tag_state(known: DataFrame, seen: DataFrame) -> DataFrame:
-    """The tag table after a poll, as a handler of micro-batches keeps it: new tags, moved tags, unchanged tags."""
-    both = known.select("tag", F.col("sha").alias("s0")).join(seen.select("tag", F.col("sha").alias("s1")), "tag", "full")
-    return both.select("tag", F.coalesce("s1", "s0").alias("sha"), F.when(F.col("s0").isNull(), "created").when(F.col("s1").isNotNull() & (F.col("s0") != F.col("s1")), "moved").otherwise("known").alias("state"))
+def debounced(changes: DataFrame, keys: tuple[str, ...], op: str, ts: str, id_: str, pause: str) -> DataFrame:
+    """keys, op, ts, changes: bursts of changes of one key, each with its last operation, once nothing has come for `pause`.
+
+    A burst is a session: every change pushes its end by the pause. On a stream it is held in state until the watermark
+    passes that end, which is the timer; it is then written once and its state is dropped. Changes may come in any order
+    and in any batches, as long as they are not later than the lateness.
+    """
+    source = changes.withWatermark(ts, LATENESS) if changes.isStreaming else changes
+    last = F.max(F.struct(ts, id_, op)).alias("last")
+    bursts = source.groupBy(*keys, F.session_window(ts, pause).alias("burst")).agg(last, F.count("*").alias("changes"))
+    return bursts.select(*keys, F.col(f"last.{op}").alias(op), F.col(f"last.{ts}").alias(ts), "changes")
+
+
+TAG_EVENTS = "project string, tag string, kind string, sha string, previous string, poll long"
+
+
+def tag_events(polls: DataFrame) -> DataFrame:
+    """project, tag, kind, sha, previous, poll: tags that a poll shows for the first time (created) or at another commit (moved).
+
+    polls: a stream of (project, poll, tag, sha), the tags of a project at its polls, which are numbered without gaps and come
+    in order. The state of a tag is the commit and the poll it was last seen at; a tag that a poll did not show is created
+    when it comes back. Vanished tags are no events: what was recorded under them stays valid.
+    """
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        sha, last = state.get if state.exists else (None, None)
+        out = []
+        rows = pd.concat(list(frames))[["poll", "sha"]].drop_duplicates().sort_values(["poll", "sha"])  # one tag's polls of a batch
+        for poll, now in rows.itertuples(index=False):
+            kind = "created" if last is None or poll > last + 1 else "moved" if now != sha else None
+            if kind:
+                out.append((*key, kind, now, sha if kind == "moved" else None, int(poll)))
+            sha, last = now, int(poll)
+        state.update((sha, last))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in TAG_EVENTS.split(", ")])
+
+    return polls.groupBy("project", "tag").applyInPandasWithState(run, TAG_EVENTS, "sha string, poll long", "append", GroupStateTimeout.NoTimeout)
+
+
+def write_once(stream: DataFrame, path: str, checkpoint: str, *keys: str) -> StreamingQuery:
+    """Starts a sink that writes each key once, however often it comes and however often a batch is run.
+
+    A batch writes the rows whose key no batch before it has written (of equal keys in a batch any one), into a partition of
+    its own that a rerun overwrites: a batch that was written but not committed leaves no duplicates. The keys are looked up
+    in the table itself, so nothing is forgotten as state behind a watermark is. Ends when all that is there is written.
+    """
+    columns = [f for f in stream.schema if f.name != "batch"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns) + ", batch long"
+
+    def handle(rows: DataFrame, number: int) -> None:
+        before = written(rows.sparkSession, path, schema).where(F.col("batch") < number).select(*keys)
+        new = rows.dropDuplicates(list(keys))
+        met = new.join(before.select(*(F.col(k).alias(f"old_{k}") for k in keys)), reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"old_{k}")) for k in keys)), "left_anti")
+        met.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
+    return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def written(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table that streams write, empty before the first batch."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except Exception as error:  # noqa: BLE001 - Spark has one class for all analysis errors
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return spark.createDataFrame([], schema)
 
 
 # --- the change loop ----------------------------------------------------------------------------------------------
@@ -143,6 +208,6 @@ def watched(query: StreamingQuery, seconds: float, interval: float = 1.0, sleep:
         sleep(interval)
 
 
-def timeline_stream(events: DataFrame, ts: str = "ts") -> DataFrame:
-    """Timeline events written once for each symbol, commit and kind, whatever repeats within the lateness."""
-    return deduplicated(events, ts, "symbol_id", "commit_sha", "event_type")
+def timeline_sink(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Timeline events, each symbol, commit and kind once."""
+    return write_once(events, path, checkpoint, "symbol_id", "commit_sha", "event_type")
