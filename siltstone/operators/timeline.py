@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -84,35 +85,56 @@ def name_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() if x is not None and y is not None else 0.0 for x, y in zip(a, b)])
 
 
-def _least_shared(a: Column, b: Column, threshold: float) -> tuple[Column, Column]:
-    """(length of a common run, number of common trigrams) that two names of these lengths have at least if their ratio reaches the threshold.
+GRAM = 2
+BROADCAST_GRAMS = 100_000  # rows of gram frequencies that may be broadcast
 
-    The matching characters, threshold (a + b) / 2 of them, lie in at most one run more than there are others.
+
+def least_shared(total: int, threshold: float) -> int:
+    """How many bigrams two names of together `total` letters have in common at least if their ratio reaches the threshold.
+
+    The matching characters, threshold / 2 of all, lie in at most one run more than there are others; each run of n has n - 1 bigrams.
     """
-    matched = F.ceil(F.lit(threshold / 2) * (a + b) - 1e-9)
-    runs = a + b - 2 * matched + 1
-    return F.ceil(matched / runs), matched - 2 * runs
+    matched = math.ceil(threshold / 2 * total - 1e-9)
+    return matched - (total - 2 * matched + 1)
+
+
+def _shared(total: Column, threshold: float) -> Column:
+    matched = F.ceil(F.lit(threshold / 2) * total - 1e-9)
+    return matched - (total - 2 * matched + 1)
 
 
 def _near_names(removed: DataFrame, added: DataFrame, threshold: float) -> DataFrame:
     """removed_id, added_id, ratio of pairs whose last names are different and have a ratio of the threshold or more.
 
-    Names meet by common trigrams (by bigrams where names are so short that a run of two may be all they share), as many
-    as the threshold implies; what is left is measured.
+    A name's bigrams (repeats numbered) are ordered by rarity over all names. Two names that must share at least s of them
+    share one among the first n - s + 1 of either, so only those are keys: what most names begin with is none. Pairs meet if
+    their lengths allow the ratio and the places of the common bigram leave room for s; what is left is measured.
     """
-    def grams(df: DataFrame, side: str) -> DataFrame:
-        leaf, n = F.col(f"{side}_leaf"), F.length(f"{side}_leaf")
-        cut = lambda k: F.transform(F.filter(F.sequence(F.lit(1), n), lambda i: i <= n - (k - 1)), lambda i: F.substring(leaf, i, F.lit(k)))
-        short = F.when(n <= 9, cut(2)).otherwise(F.array().cast("array<string>"))
-        return df.where(n > 0).select("block", f"{side}_id", f"{side}_leaf", F.explode(F.array_distinct(F.concat(cut(3), short))).alias("gram"))
+    if any(least_shared(t, threshold) < 1 for t in range(2, 200) if 2 * math.ceil(threshold / 2 * t - 1e-9) < t):  # others are equal names
+        raise ValueError("names below this threshold may share no bigram")
 
-    left, right = grams(removed, "removed"), grams(added, "added")
-    met = left.join(right, ["block", "gram"]).where("removed_leaf <> added_leaf").groupBy("removed_id", "added_id", "removed_leaf", "added_leaf").agg(F.count_if(F.length("gram") == 3).alias("shared"))
+    def grams(df: DataFrame, side: str) -> DataFrame:
+        leaf = F.col(f"{side}_leaf")
+        cut = F.transform(F.sequence(F.lit(1), F.greatest(F.length(leaf) - 1, F.lit(1))), lambda i: F.substring(leaf, i, F.lit(GRAM)))
+        named = df.where(F.length(leaf) >= GRAM).select("block", F.col(f"{side}_id").alias("id"), leaf.alias("leaf"), F.posexplode(cut).alias("at", "gram"))
+        place = Window.partitionBy("block", "id", "gram").orderBy("at")  # within one name
+        return named.withColumn("gram", F.concat("gram", F.row_number().over(place).cast("string"))).drop("at").withColumn("side", F.lit(side))
+
+    rows = grams(removed, "removed").unionByName(grams(added, "added"))
+    counts = rows.groupBy("gram").agg(F.count("*").alias("names"))
+    counts = F.broadcast(counts) if counts.count() <= BROADCAST_GRAMS else counts
+    n = F.length("leaf")
+    partners = F.sequence(F.ceil(n * threshold / (2 - threshold) - 1e-9), F.floor(n * (2 - threshold) / threshold + 1e-9))
+    least = F.array_min(F.transform(partners, lambda m: _shared(n + m, threshold)))
+    placed = rows.join(counts, "gram").withColumn("place", F.row_number().over(Window.partitionBy("side", "block", "id").orderBy("names", "gram")))
+    keys = placed.where(F.col("place") <= n - 1 - F.greatest(least, F.lit(1)) + 1)
+    side = lambda name: keys.where(F.col("side") == name).select("block", "gram", F.col("id").alias(f"{name}_id"), F.col("leaf").alias(f"{name}_leaf"), F.col("place").alias(f"{name}_place"))
     a, b = F.length("removed_leaf"), F.length("added_leaf")
-    run, trigrams = _least_shared(a, b, threshold)
-    open_ = met.where((F.least(a, b) * 2 >= F.lit(threshold) * (a + b)) & ((run < 3) | (F.col("shared") >= 1)))
-    # Repeated trigrams of a name count once here, so their number bounds only names that repeat none; one is asked of all.
-    return open_.withColumn("ratio", name_ratio("removed_leaf", "added_leaf")).where(F.col("ratio") >= threshold).select("removed_id", "added_id", "ratio")
+    fits = F.least(a, b) >= F.ceil(F.lit(threshold / 2) * (a + b) - 1e-9)
+    room = 1 + F.least(a - 1 - F.col("removed_place"), b - 1 - F.col("added_place")) >= _shared(a + b, threshold)
+    met = side("removed").join(side("added"), ["block", "gram"]).where((F.col("removed_leaf") != F.col("added_leaf")) & fits & room)
+    pairs = met.select("removed_id", "added_id", "removed_leaf", "added_leaf").distinct()
+    return pairs.withColumn("ratio", name_ratio("removed_leaf", "added_leaf")).where(F.col("ratio") >= threshold).select("removed_id", "added_id", "ratio")
 
 
 def rename_pairs(events: DataFrame, block: str, threshold: float = RENAME_THRESHOLD) -> DataFrame:

@@ -131,6 +131,17 @@ def rename_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return timeline.rename_pairs(parts, "block")
 
 
+@query("""WITH p AS (SELECT p_brand AS block, p_partkey AS id, 'dispatch_' || (p_partkey * 7 % 90 + 10) AS leaf, p_partkey % 2 = 1 AS gone FROM part),
+m AS (SELECT r.id AS removed_id, a.id AS added_id, CASE WHEN r.leaf = a.leaf THEN 0.9::DOUBLE ELSE 20::DOUBLE / 22 END AS ratio FROM p r JOIN p a ON a.block = r.block AND r.gone AND NOT a.gone
+ AND (r.leaf[10] IN (a.leaf[10], a.leaf[11]) OR r.leaf[11] IN (a.leaf[10], a.leaf[11])))
+SELECT removed_id, round(max(ratio), 6) AS confidence, true AS is_candidate, arg_min(added_id, (-ratio, added_id)) AS added_id FROM m GROUP BY removed_id""")
+def rename_near(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as symbols `dispatch_NN` of their brands: names of one long common beginning. Two of them have 9 letters and a digit of 11 in common, or no ratio that counts."""
+    leaf = F.concat(F.lit("app.dispatch_"), (F.col("p_partkey") * 7 % 90 + 10).cast("string"))
+    parts = load(spark, sf, "part").select(F.col("p_brand").alias("block"), F.when(F.col("p_partkey") % 2 == 1, "removed").otherwise("added").alias("event_type"), F.col("p_partkey").alias("symbol_id"), F.lit(None).cast("string").alias("content_hash"), leaf.alias("qualified_name"))
+    return timeline.rename_pairs(parts, "block").withColumn("confidence", F.round("confidence", 6))
+
+
 @query(r"""WITH q AS (SELECT doc_id AS id, CASE doc_id % 6 WHEN 0 THEN 'what was removed since v1.2.0 in app.core.run' WHEN 1 THEN 'Changed between HEAD~3 and 0a1b2c3d' WHEN 2 THEN 'когда был добавлен app.user' WHEN 3 THEN 'что изменилось МЕЖДУ v1 и v2' WHEN 4 THEN 'where is the parser gone' ELSE 'history of a.b.c.d deletion of x.y' END AS q FROM documents),
 m AS (SELECT id, q, list_filter([CASE WHEN regexp_matches(lower(q), '\b(removed|removal|deleted|deletion)\b|\bgone\s+since\b|\bmissing\s+since\b|(^|\s)удал|(^|\s)пропа[лд]') THEN 'removed_since' END,
  CASE WHEN regexp_matches(lower(q), '\bbetween\s+\S+\s+and\s+\S+\b|\bdiff\b|(^|\s)регресс|(^|\s)между\s+\S+\s+и\s+\S+') THEN 'diff' END, CASE WHEN regexp_matches(lower(q), '\bwhen\s+was\b|\bhistory\s+of\b|(^|\s)когда\s+(был|добавил|удалил)') THEN 'symbol_history' END], lambda x: x IS NOT NULL) AS kinds FROM q)

@@ -260,7 +260,13 @@ def test_git_as_a_source(spark, tmp_path):
     assert rows(gitlog.changed_files(spark, root)) == [("b.py",)]
     assert gitlog.resolve(root, "v1") != gitlog.head_sha(root) == gitlog.resolve(root, "HEAD") and gitlog.resolve(root, "nope") is None
     assert gitlog.commits(spark, root).where("parent is null").count() == 1 and rows(gitlog.tags(spark, root)) == [("v1", gitlog.resolve(root, "v1"))]
-    history = gitlog.changes(gitlog.log_lines(spark, root, "r"))
+    history = gitlog.history(spark, root, "r", per_partition=1)
+    assert history.rdd.getNumPartitions() == 2 and rows(history) == rows(gitlog.history(spark, root, "r"))
+    plain = subprocess.run(["git", "-C", root, "log", f"--pretty=format:{gitlog.LOG_FORMAT}", "--name-only"], capture_output=True, text=True, check=True).stdout.splitlines()
+    stored = gitlog.changes(spark.createDataFrame([("r", i, line) for i, line in enumerate(plain)], "repository string, n long, value string"))
+    assert rows(stored.drop("seq", "subject")) == rows(history.drop("seq", "subject")) and len(plain) > 4
+    with pytest.raises(Exception, match="failed"):
+        gitlog.history(spark, f"{root}/lib/none").count()
     assert [(r["subject"].split("\x1f")[0], r["files"]) for r in gitlog.recent(history).collect()] == [("second", ["lib/a.py"]), ("first", ["b.py", "lib/a.py"])]
     assert [r["subject"] for r in gitlog.recent(history, path="b.py").collect()] == ["first"]
     assert gitlog.recent(history, since=F.unix_timestamp(F.lit("2024-01-01 12:00:00"))).count() == 1

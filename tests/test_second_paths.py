@@ -98,6 +98,26 @@ def test_renames_against_all_pairs(spark):
     assert got == want and any(0.85 <= c < 0.9 or 0.9 < c < 1 for _, _, c, _ in want)
 
 
+@pytest.mark.parametrize("threshold", [0.85, 0.92])
+def test_near_names_of_one_beginning_against_all_pairs(spark, threshold):
+    """Names of one block that begin alike, of repeated letters, and short ones: the pairs of a comparison of all with all."""
+    rng = random.Random(4)
+    made = lambda: "get_user_" + "".join(rng.choices("abst_", k=rng.randrange(0, 12)))
+    names = [made() for _ in range(150)] + ["".join(rng.choices("ab", k=rng.randrange(0, 8))) for _ in range(80)] + ["aaaaaaaa", "aaaaaaaaa", "ab", "abc", "é", ""]
+    ids = {side: [(f"{side}{i}", rng.choice(names)) for i in range(160)] for side in ("removed", "added")}
+    frame = lambda side: spark.createDataFrame([("b", i, n) for i, n in ids[side]], f"block string, {side}_id string, {side}_leaf string")
+    got = {(r["removed_id"], r["added_id"], round(r["ratio"], 9)) for r in timeline._near_names(frame("removed"), frame("added"), threshold).collect()}
+    ratio = lambda x, y: difflib.SequenceMatcher(None, x, y).ratio()
+    want = {(i, j, round(ratio(x, y), 9)) for i, x in ids["removed"] for j, y in ids["added"] if x != y and x and y and ratio(x, y) >= threshold}
+    assert got == want and len(want) > 100
+
+
+def test_thresholds_without_common_bigrams_are_refused(spark):
+    none = spark.createDataFrame([], "block string, removed_id string, removed_leaf string")
+    with pytest.raises(ValueError, match="threshold"):
+        timeline._near_names(none, none.withColumnsRenamed({"removed_id": "added_id", "removed_leaf": "added_leaf"}), 0.5)
+
+
 def test_renames_of_the_query_have_no_near_names(sf):
     leaves = sorted({n.split()[-1] for n in pd.read_parquet(f"{sf}/part.parquet").p_name})
     assert all(difflib.SequenceMatcher(None, a, b).ratio() < 0.85 for a in leaves for b in leaves if a != b)
