@@ -69,18 +69,36 @@ PRECISION, LEAST_SUPPORT, FOLDS = 0.97, 20, 5
 _SPAN = "array<struct<s:int,e:int,m:string>>"
 
 
+RUN = 256  # matches whose offsets are summed in one go
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value computed once, however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def find_all(text: Column, pattern: str) -> Column:
-    """All matches of a pattern with their offsets: the parts between them are what split() leaves."""
+    """All matches of a pattern with their offsets: the parts between them are what split() leaves.
+
+    Appending to an array copies it, so offsets are summed run by run: first where each run begins, then within it.
+    """
     parts, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     both = F.zip_with(parts, hits, lambda a, b: F.struct(F.length(a).alias("gap"), b.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         s = acc["at"] + x["gap"]
         e = s + F.length(x["m"])
         return F.when(x["m"].isNull(), acc).otherwise(F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m")))).alias("out")))
 
-    return F.aggregate(both, start, step, lambda acc: acc["out"])
+    def spans(pairs: Column) -> Column:
+        runs = F.sequence(F.lit(0), ((F.size(pairs) - 1) / RUN).cast("int"))
+        own = lambda j: F.slice(pairs, j * RUN + 1, F.lit(RUN))
+        length = lambda j: F.aggregate(own(j), F.lit(0), lambda total, x: total + x["gap"] + F.coalesce(F.length(x["m"]), F.lit(0)))
+        begins = F.aggregate(F.transform(runs, length), F.array(F.lit(0)), lambda at, n: F.concat(at, F.array(F.element_at(at, -1) + n)))
+        within = lambda at: lambda j: F.aggregate(own(j), F.struct(F.element_at(at, j + 1).alias("at"), F.array().cast(_SPAN).alias("out")), step, lambda acc: acc["out"])
+        return _let(begins, lambda at: F.flatten(F.transform(runs, within(at))))
+
+    return F.when(text.isNotNull(), _let(both, spans))
 
 
 def _none() -> Column:

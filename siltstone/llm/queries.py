@@ -82,8 +82,8 @@ FROM s LEFT JOIN class ON class.whole = array_to_string(list_sort(s.ss), chr(31)
 _WARC_SQL = """WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages), h AS MATERIALIZED (SELECT page_id, octet_length(b) AS n, lower(sha1(b)) AS hex FROM p),
 bits AS (SELECT page_id, n, array_to_string(list_transform(string_split(hex, ''), lambda c: ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'][strpos('0123456789abcdef', c)]), '') AS x FROM h),
 d AS MATERIALIZED (SELECT page_id, n, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * substr(x, 5 * i + 1, 1)::INT + 8 * substr(x, 5 * i + 2, 1)::INT + 4 * substr(x, 5 * i + 3, 1)::INT + 2 * substr(x, 5 * i + 4, 1)::INT + substr(x, 5 * i + 5, 1)::INT, 1)), '') AS digest FROM bits),
-f AS (SELECT *, min(page_id) OVER (PARTITION BY digest, n) AS first FROM d)
-SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f"""
+f AS (SELECT *, min(page_id) OVER (PARTITION BY digest, n) AS first, row_number() OVER (PARTITION BY digest, n ORDER BY page_id NULLS LAST) AS place FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN place > 1 THEN first END AS refers_to FROM f"""
 
 # A control string inside a text costs a character more: the backslash that keeps it from being one.
 _CHAT_SQL = r"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, k, r, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(k, r)),

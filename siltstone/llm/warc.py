@@ -85,7 +85,9 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFra
     """Writes the archives; returns (path, size) of each file."""
     made = common.stored(members(pages).withColumn("payload", F.xxhash64("digest", "n")), "warc-members")
     heads = made.select("payload", "digest", "n", "page_id", "copy").where(F.col("n") >= min_bytes)
-    first = heads.groupBy("digest", "n").agg(F.min(F.struct("page_id", "copy")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    # A page without an id is a response only where no page of the payload has one.
+    smallest = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "copy"))
+    first = heads.groupBy("digest", "n").agg(smallest.alias("first"), F.count("*").alias("copies")).where("copies > 1")
     first = common.stored(first.select("digest", "n", F.col("first.page_id").alias("refers_to"), F.col("first.copy").alias("first_copy")), "warc-first")
     again = common.bit_map(first.select(F.xxhash64("digest", "n")))
     # Heads alone meet by digest; what is decided goes back to the records by their own numbers, so copies of a page spread evenly.
