@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import identifier_tokens, without_stopwords
 from .batch_retrieval import Answers
-from .graph import nodes, pagerank
+from .graph import kept, nodes, pagerank
 
 RESULTS = "project string, query_id string, mode string, impact boolean, retrieved_files array<string>, retrieved_symbols array<string>, expected_files array<string>, expected_symbols array<string>"
 
@@ -131,6 +131,20 @@ def reranked(candidates: DataFrame, judge: Callable[[list[str]], list[float]] |
 
 
 def sticky(lines: DataFrame, order: str, value: Column, *by: str) -> DataFrame:
-    """Adds header: the last value that is not null up to each row, in order."""
-    window = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn("header", F.last(value, ignorenulls=True).over(window))
+    """Adds header: the last value that is not null up to each row, in order, within each group `by`.
+
+    No task sees a whole group: rows are sorted in ranges, each range fills its own rows, and what was last known before a
+    range is carried over from one row for each range and group.
+    """
+    keys = [*by, order]
+    ranged = lines.withColumn("siltstone_value", value).repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("siltstone_part", F.spark_partition_id())
+    ranged = kept(ranged, "sticky")
+    own = Window.partitionBy(*by, "siltstone_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    filled = ranged.withColumn("siltstone_own", F.last("siltstone_value", ignorenulls=True).over(own))
+    last = ranged.groupBy(*by, "siltstone_part").agg(F.max_by("siltstone_value", F.when(F.col("siltstone_value").isNotNull(), F.col(order))).alias("siltstone_last"))
+    before = Window.partitionBy(*by).orderBy("siltstone_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select(*(F.col(c).alias(f"siltstone_{c}") for c in by), F.col("siltstone_part").alias("siltstone_at"), F.last("siltstone_last", ignorenulls=True).over(before).alias("siltstone_carried"))
+    cond = F.col("siltstone_part") == F.col("siltstone_at")
+    for c in by:
+        cond = cond & F.col(c).eqNullSafe(F.col(f"siltstone_{c}"))
+    return filled.join(carried, cond).select(*lines.columns, F.coalesce("siltstone_own", "siltstone_carried").alias("header"))

@@ -57,13 +57,13 @@ def timeline_section(facts: DataFrame | None) -> list[str]:
     """Lines about history (kind, name, path, timestamp), the most recent first, within TIMELINE_BYTES; says how many are left out."""
     if facts is None:
         return []
-    rows = facts.orderBy(F.desc("timestamp"), "name").limit(1000).collect()  # more never fit
+    rows = facts.orderBy(F.desc("timestamp"), "name").limit(TIMELINE_BYTES).collect()  # more never fit
     lines, size = [], 0
     for r in rows:
         line = f"- {r['kind']}: `{r['name']}` in `{r['path']}`"
         size += len(line.encode()) + 1
         if size > TIMELINE_BYTES:
-            lines.append(f"- and {len(rows) - len(lines)} more")
+            lines.append(f"- and {facts.count() - len(lines)} more")
             break
         lines.append(line)
     return ["## Timeline", "", *lines, ""] if lines else []

@@ -81,8 +81,7 @@ class TextIndex:
 
     def _write(self, name: str, rows: DataFrame, segment: int, *parts: str) -> None:
         """A segment's rows of a table; what a cut-off write may have left of the same number is overwritten."""
-        out = rows.withColumn("segment", F.lit(segment).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        out.partitionBy("segment", *parts).parquet(f"{self.folder}/{name}")
+        rows.write.mode("overwrite").partitionBy(*parts).parquet(f"{self.folder}/{name}/segment={segment}")
 
     def _alive(self, rows: DataFrame, segments: list) -> DataFrame:
         """The rows (segment, key) of live segments whose documents no later segment has deleted."""

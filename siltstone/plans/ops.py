@@ -181,3 +181,25 @@ def insert_ignore(spark: SparkSession, sf: str) -> DataFrame:
 def upsert_latest(spark: SparkSession, sf: str) -> DataFrame:
     customers = load(spark, sf, "customer").select("c_custkey")
     return code.upsert(customers.where("c_custkey % 3 = 0").withColumn("version", F.lit("old")), customers.where("c_custkey % 2 = 0").withColumn("version", F.lit("new")), "c_custkey")
+
+
+_PATHS = """p AS (SELECT doc_id, coalesce(source, 'none') AS s, doc_id % 3 AS kind, CASE doc_id % 3 WHEN 0 THEN 'pkg/' || coalesce(source, 'none') || '/d' || doc_id || '.py' WHEN 1 THEN 'pkg/' || coalesce(source, 'none') || '/d' || doc_id || '/__init__.py' ELSE 'web/' || coalesce(source, 'none') || '/d' || doc_id || '.ts' END AS path FROM documents),
+x AS (SELECT a.path AS src, a.kind AS own, b.* FROM p a JOIN p b ON b.doc_id = (a.doc_id * 7 + 3) % (SELECT max(doc_id) + 1 FROM documents) AND b.doc_id <> a.doc_id)"""
+
+
+@query(f"""WITH {_PATHS}, r AS (SELECT src, 'pkg.' || s || '.d' || doc_id AS ref, CASE WHEN kind < 2 THEN path END AS dst FROM x UNION ALL SELECT src, 'pkg.' || s || '.d' || doc_id || '.run', CASE WHEN kind = 0 THEN path END FROM x
+ UNION ALL SELECT src, '../' || s || '/d' || doc_id, CASE WHEN kind = 2 THEN path END FROM x WHERE own = 2 UNION ALL SELECT src, s || '/d' || doc_id || '.ts', CASE WHEN kind = 2 THEN path END FROM x)
+SELECT src, ref, dst FROM r WHERE dst IS NOT NULL""")
+def resolved_imports(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as modules, packages and scripts; each names another one as a module, by something in it, by a relative path and by the end of its path."""
+    source, number, kind = F.coalesce("source", F.lit("none")), F.col("doc_id").cast("string"), F.col("doc_id") % 3
+    place = lambda root, end: F.concat(F.lit(f"{root}/"), source, F.lit("/d"), number, F.lit(end))
+    files = load(spark, sf, "documents").select("doc_id", source.alias("s"), kind.alias("kind"), F.when(kind == 0, place("pkg", ".py")).when(kind == 1, place("pkg", "/__init__.py")).otherwise(place("web", ".ts")).alias("path"))
+    size = files.agg(F.max("doc_id") + 1).first()[0]
+    asked = files.select(F.col("path").alias("src"), F.col("kind").alias("own"), F.col("doc_id").alias("from"), ((F.col("doc_id") * 7 + 3) % F.lit(size)).alias("doc_id"))
+    met = asked.join(files.select("doc_id", "s"), "doc_id").where(F.col("doc_id") != F.col("from"))
+    name = F.concat("s", F.lit("/d"), F.col("doc_id").cast("string"))
+    module = F.concat(F.lit("pkg."), F.translate(name, "/", "."))
+    refs = F.array(module, F.concat(module, F.lit(".run")), F.when(F.col("own") == 2, F.concat(F.lit("../"), name)), F.concat(name, F.lit(".ts")))
+    imports = met.select("src", F.explode(refs).alias("ref")).where("ref is not null")
+    return code_graph.resolve_imports(imports, files.select("path"))

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths, terms, text
 from ..operators import analytics, evaluation, modules, packs, retrieval, timeline
+from ..operators.graph import shared_folder
+from ..operators.vector_index import VectorIndex
 from ..session import load
 from ..sources import code, gitlog, sinks, stores
+from ..sources.project_store import ProjectStore, Schema
 from .bindings import table
 
 QUERIES, ORACLES, query = table()
@@ -119,11 +124,11 @@ def module_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return modules.rollup(parts.select(path(key).alias("path")), parts.select(F.col("p_name").alias("fq_name"), path(key).alias("file_path")), edges)
 
 
-@query(r"""WITH a AS (SELECT coalesce(source, 'none') AS project, 'd' || doc_id AS name, CASE WHEN doc_id % 3 = 0 THEN 'x' ELSE trim(regexp_extract(trim(split_part(regexp_replace(substr(coalesce(text, ''), 1, 200), '[\n#]', ' ', 'g') || ' end', '~~', 1)), '^(.*?[.!?](?:\s|$)|.*)', 1)) END AS p, doc_id FROM documents)
+@query(r"""WITH a AS (SELECT coalesce(source, 'none') AS project, 'd' || doc_id AS name, CASE WHEN doc_id % 3 = 0 THEN 'x' ELSE trim(regexp_extract(trim(split_part(regexp_replace(coalesce(text, ''), '[\n#]', ' ', 'g') || ' end', '~~', 1)), '^(.*?[.!?](?:\s|$)|.*)', 1)) END AS p, doc_id FROM documents)
 SELECT project, '- [' || name || '](' || name || '.md)' || CASE WHEN doc_id % 3 <> 0 AND len(p) > 0 THEN ': ' || p ELSE '' END AS line FROM a""")
 def article_index(spark: SparkSession, sf: str) -> DataFrame:
     """The lines of an index of articles by project: their purpose's first sentence."""
-    first = F.trim(F.concat(F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, 200), "[\n#]", " "), F.lit(" end")))
+    first = F.trim(F.concat(F.regexp_replace(F.coalesce("text", F.lit("")), "[\n#]", " "), F.lit(" end")))
     body = F.when(F.col("doc_id") % 3 == 0, F.lit("# T\n\nno such heading")).otherwise(F.concat(F.lit("# T\n\n## Purpose\n\n"), first, F.lit("\n\n## Rest\n\nmore")))
     articles = load(spark, sf, "documents").select(F.coalesce("source", F.lit("none")).alias("project"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"), body.alias("text"))
     return modules.article_index(articles, "project").select("project", "line")
@@ -138,12 +143,12 @@ def article_states(spark: SparkSession, sf: str) -> DataFrame:
     return modules.article_states(state, hashed(orders)).select("name", "status")
 
 
-_MARKDOWN = "'# Doc ' || doc_id || chr(10) || coalesce(substr(text, 1, 60), '') || chr(10) || '## See lib/m' || (doc_id % 9) || '.py and apps.core.m' || (doc_id % 5) || chr(10) || '#no heading' || chr(10)"
+_MARKDOWN = "'# Doc ' || doc_id || chr(10) || coalesce(text, '') || chr(10) || '## See lib/m' || (doc_id % 9) || '.py and apps.core.m' || (doc_id % 5) || chr(10) || '#no heading' || chr(10)"
 
 
 def _markdown(spark: SparkSession, sf: str) -> DataFrame:
     number = F.col("doc_id").cast("string")
-    body = F.concat(F.lit("# Doc "), number, F.lit("\n"), F.coalesce(F.substring("text", 1, 60), F.lit("")), F.lit("\n## See lib/m"), (F.col("doc_id") % 9).cast("string"), F.lit(".py and apps.core.m"), (F.col("doc_id") % 5).cast("string"), F.lit("\n#no heading\n"))
+    body = F.concat(F.lit("# Doc "), number, F.lit("\n"), F.coalesce("text", F.lit("")), F.lit("\n## See lib/m"), (F.col("doc_id") % 9).cast("string"), F.lit(".py and apps.core.m"), (F.col("doc_id") % 5).cast("string"), F.lit("\n#no heading\n"))
     return load(spark, sf, "documents").select(F.concat(F.lit("docs/d"), number, F.lit(".md")).alias("path"), body.alias("text"), F.lit("markdown").alias("language"))
 
 
@@ -302,3 +307,28 @@ def hash_embeddings(spark: SparkSession, sf: str) -> DataFrame:
     """The stand-in for an embedding model: first and last of eight numbers."""
     v = analytics.hash_embedding(F.coalesce("text", F.lit("")), 8)
     return load(spark, sf, "documents").select("doc_id", F.round(v[0], 9).alias("first"), F.round(v[7], 9).alias("last"))
+
+
+_STORED = {
+    1: Schema("dependency string", lambda rows: rows.withColumn("kind", F.lit("imports"))),
+    2: Schema("dependency string, kind string"),
+}
+
+
+@query("""WITH c AS (SELECT DISTINCT p_brand, string_split(p_type, ' ')[-1] AS pattern FROM part) SELECT pattern, count(*) AS projects, round(count(*) / (SELECT count(DISTINCT p_brand) FROM part), 6) AS confidence FROM c GROUP BY pattern HAVING count(*) >= 2""")
+def stored_patterns(spark: SparkSession, sf: str) -> DataFrame:
+    """What brands have in common, read across their stores: all were written in an old schema, half of them again in the new one."""
+    root = f"{shared_folder(spark)}/stores-{uuid.uuid4().hex}"
+    store = ProjectStore(spark, root, {"imports": _STORED})
+    parts = load(spark, sf, "part").select(F.col("p_brand").alias("project"), F.element_at(F.split("p_type", " "), -1).alias("dependency"))
+    store.write("imports", parts, 1)
+    store.write("imports", parts.where(F.pmod(F.xxhash64("project"), F.lit(2)) == 0).withColumn("kind", F.lit("from")), 2)
+    return analytics.shared_patterns(store.read("imports"), "project", F.col("dependency"), 2)
+
+
+@query()
+def vector_index_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten nearest of every hundredth vector by an inverted file; tests hold its recall against a scan."""
+    vectors = load(spark, sf, "embeddings").select(F.col("vec_id").alias("key"), F.col("label").cast("string").alias("project"), "embedding")
+    index = VectorIndex.build(vectors, f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}")
+    return index.search(vectors.where("key % 100 = 0").select(F.col("key").alias("query_id"), "embedding"))

@@ -101,7 +101,7 @@ def test_a_write_that_was_cut_off_does_not_count(spark, tmp_path, monkeypatch):
     monkeypatch.undo()
     assert answers(index, ["login", "session"]) == want
     index.change(table(spark, [("d", "login")]), F.col("text"))
-    assert [p for p, *_ in answers(index, ["login"])["login"]] == ["a", "d"]
+    assert [p for p, *_ in answers(index, ["login"])["login"]] == ["a", "d"] and answers(index, ["gone"])["gone"] == []  # nothing of the lost one is left
 
 
 def test_odd_documents(spark, tmp_path):
