@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import hashing
+from .graph import kept
 
 RENAME_THRESHOLD = 0.85
 
@@ -104,7 +105,7 @@ def _shared(total: Column, threshold: float) -> Column:
 
 
 def _near_names(removed: DataFrame, added: DataFrame, threshold: float) -> DataFrame:
-    """removed_id, added_id, ratio of pairs whose last names are different and have a ratio of the threshold or more.
+    """block, removed_id, added_id, ratio of pairs whose last names are different and have a ratio of the threshold or more.
 
     A name's bigrams (repeats numbered) are ordered by rarity over all names. Two names that must share at least s of them
     share one among the first n - s + 1 of either, so only those are keys: what most names begin with is none. Pairs meet if
@@ -133,8 +134,41 @@ def _near_names(removed: DataFrame, added: DataFrame, threshold: float) -> DataF
     fits = F.least(a, b) >= F.ceil(F.lit(threshold / 2) * (a + b) - 1e-9)
     room = 1 + F.least(a - 1 - F.col("removed_place"), b - 1 - F.col("added_place")) >= _shared(a + b, threshold)
     met = side("removed").join(side("added"), ["block", "gram"]).where((F.col("removed_leaf") != F.col("added_leaf")) & fits & room)
-    pairs = met.select("removed_id", "added_id", "removed_leaf", "added_leaf").distinct()
-    return pairs.withColumn("ratio", name_ratio("removed_leaf", "added_leaf")).where(F.col("ratio") >= threshold).select("removed_id", "added_id", "ratio")
+    pairs = met.select("block", "removed_id", "added_id", "removed_leaf", "added_leaf").distinct()
+    return pairs.withColumn("ratio", name_ratio("removed_leaf", "added_leaf")).where(F.col("ratio") >= threshold).select("block", "removed_id", "added_id", "ratio")
+
+
+def _candidates(removed: DataFrame, added: DataFrame, threshold: float) -> DataFrame:
+    """removed_id, ratio, added_id: for each removed symbol the best added one that is not consumed, and the best of the consumed ones.
+
+    removed: block, removed_id, removed_leaf; added: block, added_id, added_leaf, consumed_by. Only names meet, each once in
+    a block, however many symbols bear it. An added symbol that is not consumed suits all removed ones of a name alike, so the
+    smallest stands for all. One that is consumed suits those of smaller ids than its consumer's: sorted by id with the removed
+    ones, the best of what comes later is a running minimum, made in ranges, so that no task sees a whole name.
+    """
+    added = added.where("added_id is not null")
+    old = removed.where("removed_leaf is not null").select("block", "removed_leaf").distinct()
+    new = added.where("added_leaf is not null").select("block", "added_leaf").distinct()
+    equal = old.join(new.withColumnRenamed("added_leaf", "removed_leaf"), ["block", "removed_leaf"]).select("block", "removed_leaf", F.col("removed_leaf").alias("added_leaf"), F.lit(0.9).alias("ratio"))
+    near = _near_names(old.withColumn("removed_id", F.col("removed_leaf")), new.withColumn("added_id", F.col("added_leaf")), threshold)
+    near = near.select("block", F.col("removed_id").alias("removed_leaf"), F.col("added_id").alias("added_leaf"), "ratio")
+    names = kept(equal.unionByName(near).where(F.col("ratio") >= threshold), "rename-names")
+    best = F.min(F.struct((-F.col("ratio")).alias("less"), "added_id"))
+    free = added.where("consumed_by is null").groupBy("block", "added_leaf").agg(F.min("added_id").alias("added_id"))
+    firsts = free.join(names, ["block", "added_leaf"]).groupBy("block", "removed_leaf").agg(best.alias("best"))
+    open_ = removed.join(firsts, ["block", "removed_leaf"]).select("removed_id", "best")
+    taken = added.where("consumed_by is not null").join(names, ["block", "added_leaf"]).groupBy("block", "removed_leaf", F.col("consumed_by").alias("place")).agg(best.alias("own"))
+    taken = kept(taken, "rename-taken")
+    asking = removed.join(taken.select("block", "removed_leaf").distinct(), ["block", "removed_leaf"], "left_semi").where("removed_id is not null")
+    rows = taken.withColumn("asks", F.lit(False)).unionByName(asking.select("block", "removed_leaf", F.col("removed_id").alias("place"), F.lit(True).alias("asks")), allowMissingColumns=True)
+    order = [F.col("block"), F.col("removed_leaf"), F.desc("place"), F.desc("asks")]  # who asks comes before what its own id consumed
+    ranged = kept(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "rename-ranges")
+    running = Window.partitionBy("block", "removed_leaf", "part").orderBy(F.desc("place"), F.desc("asks")).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("block", "removed_leaf").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ranged.groupBy("block", "removed_leaf", "part").agg(F.min("own").alias("own")).select("block", "removed_leaf", "part", F.min("own").over(before).alias("carried"))
+    met = ranged.withColumn("so_far", F.min("own").over(running)).where("asks").join(carried, ["block", "removed_leaf", "part"])
+    consumed = met.select(F.col("place").alias("removed_id"), F.least("so_far", "carried").alias("best")).where("best is not null")
+    return open_.unionByName(consumed).select("removed_id", (-F.col("best.less")).alias("ratio"), "best.added_id")
 
 
 def rename_pairs(events: DataFrame, block: str, threshold: float = RENAME_THRESHOLD) -> DataFrame:
@@ -152,12 +186,9 @@ def rename_pairs(events: DataFrame, block: str, threshold: float = RENAME_THRESH
     removed, added = side("removed", "removed"), side("added", "added")
     place = lambda df, x: df.where(F.col(f"{x}_hash").isNotNull()).withColumn("place", F.row_number().over(Window.partitionBy("block", f"{x}_hash").orderBy(f"{x}_id"))).withColumnRenamed(f"{x}_hash", "hash")
     one = place(removed, "removed").join(place(added, "added"), ["block", "hash", "place"]).select("removed_id", "added_id")
-    left = removed.join(one.select("removed_id"), "removed_id", "left_anti")
-    right = added.join(one.select("added_id", F.col("removed_id").alias("consumed_by")), "added_id", "left")
-    same = left.join(right.withColumnRenamed("added_leaf", "removed_leaf"), ["block", "removed_leaf"]).select("removed_id", "added_id", F.lit(0.9).alias("ratio"))
-    near = same.unionByName(_near_names(left, right, threshold)).where(F.col("ratio") >= threshold).join(right.select("added_id", "consumed_by"), "added_id")
-    free = near.where("consumed_by is null or removed_id < consumed_by")
-    best = free.groupBy("removed_id").agg(F.max("ratio").alias("confidence"), F.min_by("added_id", F.struct(-F.col("ratio"), F.col("added_id"))).alias("added_id"))
+    left = kept(removed.join(one.select("removed_id"), "removed_id", "left_anti").select("block", "removed_id", "removed_leaf"), "rename-left")
+    right = kept(added.join(one.select("added_id", F.col("removed_id").alias("consumed_by")), "added_id", "left").select("block", "added_id", "added_leaf", "consumed_by"), "rename-right")
+    best = _candidates(left, right, threshold).groupBy("removed_id").agg(F.max("ratio").alias("confidence"), F.min_by("added_id", F.struct(-F.col("ratio"), F.col("added_id"))).alias("added_id"))
     return one.select("removed_id", "added_id", F.lit(1.0).alias("confidence"), F.lit(False).alias("is_candidate")).unionByName(best.select("removed_id", "added_id", "confidence", F.lit(True).alias("is_candidate")))
 
 

@@ -98,6 +98,25 @@ def test_renames_against_all_pairs(spark):
     assert got == want and any(0.85 <= c < 0.9 or 0.9 < c < 1 for _, _, c, _ in want)
 
 
+def test_renames_measure_each_name_once(spark, monkeypatch):
+    """Many symbols of few names: the names meet, not the symbols, and consumed ones still suit the smaller ids alone."""
+    rng = random.Random(3)
+    rows = [("b", rng.choice(["removed", "added"]), i, rng.choice([f"h{i % 90}", None]), f"m.dispatch_{rng.randrange(10, 22)}") for i in range(700)]
+    events = spark.createDataFrame(rows, "block string, event_type string, symbol_id long, content_hash string, qualified_name string").repartition(5)
+    side = {k: sorted((r[2], r[3], r[4]) for r in rows if r[1] == k) for k in ("removed", "added")}
+    want, gone = set(), set()
+    for a in side["removed"]:
+        best = max(((similarity(a, b), -b[0]) for b in side["added"] if b[0] not in gone), default=(0.0, 0))
+        if best[0] >= 0.85:
+            want.add((a[0], -best[1], round(best[0], 9), best[0] < 1))
+            gone |= {-best[1]} if best[0] == 1 else set()
+    measured, near = [], timeline._near_names
+    monkeypatch.setattr(timeline, "_near_names", lambda a, b, t: measured.append((a.count(), b.count())) or near(a, b, t))
+    got = {(r["removed_id"], r["added_id"], round(r["confidence"], 9), r["is_candidate"]) for r in timeline.rename_pairs(events, "block").collect()}
+    assert got == want and len(gone) > 50 and len(want) - len(gone) > 50
+    assert measured == [(12, 12)]
+
+
 @pytest.mark.parametrize("threshold", [0.85, 0.92])
 def test_near_names_of_one_beginning_against_all_pairs(spark, threshold):
     """Names of one block that begin alike, of repeated letters, and short ones: the pairs of a comparison of all with all."""
