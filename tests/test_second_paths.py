@@ -62,6 +62,35 @@ def test_ranks_on_the_driver_and_by_joins(spark, edges, monkeypatch, limit, pers
     assert np.abs(np.array([got[x] for x in nodes]) - rank).sum() < (1e-2 if limit == 0 else 1e-6)
 
 
+@pytest.mark.parametrize("personalized", [False, True])
+@pytest.mark.parametrize("tolerance", [1e-8, 1e-3, None])
+def test_ranks_of_graphs_without_cycles_are_sums_over_walks(spark, monkeypatch, personalized, tolerance):
+    """The rounds of a power iteration, with its end, without a join for each of them."""
+    rng = random.Random(6)
+    rows = sorted({(f"{a}{rng.randrange(30)}", f"{b}{rng.randrange(12)}") for a, b in ("pq", "pq", "qs", "ps", "st") for _ in range(30)})
+    df = spark.createDataFrame(rows, "src string, dst string").repartition(3)
+    teleport = spark.createDataFrame([("s1", 2.0), ("q2", 1.0), ("q2", 0.5), ("absent", 5.0), ("p3", None)], "node string, weight double") if personalized else None
+    want = {r["node"]: r["rank"] for r in graph.pagerank(df, teleport=teleport, tolerance=tolerance, iterations=23).collect()}
+    monkeypatch.setattr(graph, "SMALL_EDGES", 0)
+    by_joins = {r["node"]: r["rank"] for r in graph._joined_ranks(*_base(graph, df, teleport), 23, tolerance, 5).collect()}
+    monkeypatch.setattr(graph, "_joined_ranks", None)
+    got = {r["node"]: r["rank"] for r in graph.pagerank(df, teleport=teleport, tolerance=tolerance, iterations=23).collect()}
+    assert got == pytest.approx(want, rel=1e-12, abs=1e-15) and by_joins == pytest.approx(want, rel=1e-12, abs=1e-15)
+
+
+def _base(graph, edges, teleport):
+    """What the loop of joins starts from: (nodes with outs and jumps, edges, first rank)."""
+    rows = [(r["src"], r["dst"]) for r in edges.collect()]
+    names = sorted({x for e in rows for x in e})
+    outs = {x: sum(a == x for a, _ in rows) or None for x in names}
+    weight = dict.fromkeys(names, 1.0 if teleport is None else 0.0)
+    for r in teleport.collect() if teleport is not None else []:
+        if r["node"] in weight:
+            weight[r["node"]] += r["weight"] or 0.0
+    total = sum(weight.values())
+    return edges.sparkSession.createDataFrame([(x, outs[x], weight[x] / total) for x in names], "node string, outs long, jump double"), edges, 1.0 / len(names)
+
+
 def test_ranks_in_order_of_ranges(spark):
     rng = random.Random(1)
     rows = [(i, rng.randrange(50)) for i in range(500)]
