@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.operators import evaluation
+from siltstone.operators import batch_retrieval, code_graph, evaluation, graph, retrieval
 from siltstone.operators.batch_retrieval import retrieve_many, symbol_hits
 from siltstone.operators.retrieval import retrieve, symbol_scores
 
@@ -68,3 +69,43 @@ def test_results_of_a_batch(spark):
     rows = {r["query_id"]: r for r in evaluation.scored(evaluation.results(answers, expected)).collect()}
     assert len(rows) == len(ASKED) and rows["a"]["recall_at_5_files"] == 1.0 and rows["a"]["rr_files"] == 1.0 and rows["g"]["retrieved_files"] == []
     assert evaluation.means(evaluation.results(answers, expected)).first()["queries"] == len(ASKED)
+
+
+def test_no_join_broadcasts_a_table_of_all_files(spark, tmp_path, monkeypatch):
+    """Queries and what they reach are broadcast, not files, symbols or edges, though these are below the threshold."""
+    n = 2000
+    path = F.concat(F.lit("app/m"), (F.col("id") % 7).cast("string"), F.lit("/parser_"), F.col("id").cast("string"), F.lit(".py"))
+    names = {"name": F.concat(F.lit("parser"), F.col("id").cast("string")), "fq_name": F.concat(F.lit("app.parser"), F.col("id").cast("string"))}
+    ids = spark.range(n).withColumns({"path": path, "file_path": path, "role": F.lit("source"), "churn_30d": F.lit(1), "age_days": F.lit(5), **names})
+    ids.write.parquet(f"{tmp_path}/large-files")
+    files = spark.read.parquet(f"{tmp_path}/large-files")
+    to = files.select(F.col("path").alias("dst"), (F.col("id") * 3 % n).alias("to"))
+    files.select(F.col("path").alias("src"), F.col("id").alias("to")).join(to, "to").select("src", "dst").write.parquet(f"{tmp_path}/large-edges")
+    edges = spark.read.parquet(f"{tmp_path}/large-edges")
+    queries = spark.createDataFrame([("a", "parser7 m3", "navigate"), ("b", "where is parser1900", "edit")], "query_id string, text string, mode string")
+    texts = files.where("id % 400 = 1").select(F.lit("a").alias("query_id"), "path", (F.col("id") / 10).alias("score"))
+    vectors = files.select(F.lit("b").alias("query_id"), "path", (F.col("id") / n).alias("score"))
+    plans, write = [], graph.kept
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    for module in (batch_retrieval, retrieval, code_graph):
+        monkeypatch.setattr(module, "kept", seen)
+    monkeypatch.setattr(batch_retrieval, "pagerank", lambda edges, teleport: edges.select(F.col("src").alias("node"), F.lit(0.5).alias("rank")).distinct())
+    before = spark.conf.get("spark.sql.maxMetadataStringLength")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    try:
+        answers = batch_retrieval.retrieve_many(files, files, texts, queries, edges=edges, git=files, vectors=vectors)
+        assert answers.files.count() > 4
+    finally:
+        spark.conf.set("spark.sql.maxMetadataStringLength", before)
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*(0123456789)"))
+    whole = 0
+    for lines in (plan.splitlines() for plan in plans):
+        for i, line in enumerate(lines):
+            if "BroadcastExchange" in line:
+                below = list(itertools.takewhile(lambda x: depth(x) > depth(line), lines[i + 1 :]))
+                whole += any("/large-" in x for x in below) and not any("Join" in x or "Aggregate" in x and "count" in x for x in below)
+    assert plans and not whole
