@@ -79,6 +79,14 @@ def test_changed_indexes_answer_like_new_ones(spark, tmp_path):
     assert len(index.live(index.segments())) == 1 and answers(index, QUERIES) == want
 
 
+def test_a_bucket_of_many_documents_is_written_by_many_tasks(spark):
+    """No task gets more than the postings of a bucket in some 2^17 documents, however many there are."""
+    index = TextIndex(spark, "file:///none", "key", "long")
+    dealt = index._dealt(spark.range(20_000).select(F.col("id").alias("key"), F.lit(3).alias("bucket")), 3_000_000)
+    counts = [r["count"] for r in dealt.groupBy("bucket", "slice").count().collect()]
+    assert sum(counts) == 20_000 and len(counts) >= 20 and max(counts) < 1500
+
+
 def test_no_file_of_an_old_segment_is_touched(spark, tmp_path):
     files = lambda: {r["path"]: r["modificationTime"] for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(f"file://{tmp_path}/i").select("path", "modificationTime").collect()}
     index = TextIndex.build(table(spark, list(corpus(100).items())), "path", F.col("text"), f"file://{tmp_path}/i")
