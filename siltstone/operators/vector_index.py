@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 SAMPLE_ROWS, ROUNDS = 20_000, 12
 MOST_CELLS = 4096
+BLOCK_ROWS = 512  # so many rows at a time are compared with all cells
 SLICES = 16  # a cell with a large share of the rows is joined in so many parts
 RECALL, MARGIN, TRIALS, NEIGHBOURS = 0.95, 0.02, 400, 10
 
@@ -58,6 +59,15 @@ def probes_for(sample: np.ndarray, centres: np.ndarray) -> int:
     return int(needed[min(len(needed) - 1, int(np.ceil((RECALL + MARGIN) * len(needed))) - 1)]) + 1
 
 
+def nearest_cells(units: pd.Series, centres: np.ndarray, probes: int) -> list[np.ndarray]:
+    """The nearest cells of each row, in blocks: similarities to all cells take memory by the block, not by the batch."""
+    out: list[np.ndarray] = []
+    for at in range(0, len(units), BLOCK_ROWS):
+        near = np.stack(units.iloc[at : at + BLOCK_ROWS].to_numpy()) @ centres.T
+        out.extend(np.argsort(-near, axis=1, kind="stable")[:, :probes].astype(np.int32))
+    return out
+
+
 class VectorIndex:
     """An index in a folder. kind: the SQL type of the keys."""
 
@@ -96,8 +106,7 @@ class VectorIndex:
                 if not len(centres.value):
                     yield pd.Series([[0]] * len(batch))
                     continue
-                near = np.stack(batch.to_numpy()) @ centres.value.T if len(batch) else np.zeros((0, 1))
-                yield pd.Series(list(np.argsort(-near, axis=1, kind="stable")[:, :probes].astype(np.int32)))
+                yield pd.Series(nearest_cells(batch, centres.value, probes))
 
         run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
         return rows.withColumn("cell", F.explode(F.pandas_udf(run, "array<int>")("unit")))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.operators import evaluation
+from siltstone.operators import evaluation, vector_index
 from siltstone.operators.vector_index import VectorIndex
 
 ROWS = "key long, project string, embedding array<float>"
@@ -81,3 +84,20 @@ def test_values_are_carried_across_ranges(spark, ranges):
         last[repo] = v or last.get(repo)
         want[n] = last[repo]
     assert got == want
+
+
+def test_cells_of_a_batch_are_found_in_bounded_memory():
+    """A batch of 10,000 rows against 1,800 cells; the same cells as by one product."""
+    rng = np.random.default_rng(2)
+    rows, centres = rng.normal(size=(10_000, 16)), rng.normal(size=(1_800, 16))
+    units = pd.Series(list(rows))
+    tracemalloc.start()
+    got = vector_index.nearest_cells(units, centres, 12)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    near = rows[:700] @ centres.T
+    places = np.take_along_axis(near, np.stack(got[:700]), axis=1)
+    assert len(got) == 10_000 and np.allclose(places, -np.sort(-near, axis=1)[:, :12])
+    assert peak < 60e6
+    print("peak MB", peak / 1e6)
+    assert not vector_index.nearest_cells(units[:0], centres, 12)
