@@ -6,7 +6,9 @@ A module is what rows of one value of the module column make up. Its fingerprint
 digest of key and text, so it needs no order and no list of a module's rows. A run compares the fingerprints with those of
 the published articles: modules that are new or changed are dirty and get a new article (files, bytes, files with secrets,
 languages, most frequent words), modules without rows any more keep a row that says `gone`, all others are not touched. An
-article is made of its module's rows alone, so a refresh gives what a whole run would give.
+article is made of its module's rows alone, so a refresh gives what a whole run would give. Texts never move: they are
+counted where they are read, and only numbers of words meet by module. Up to MOST_SENT dirty modules are sent to the readers,
+which leave other modules out; if more are dirty, all rows are counted and the counts of other modules are left out.
 
 Output is partitioned by module, and a run overwrites the partitions of dirty and gone modules only; running it again
 changes nothing. A null or empty module is `none`, a null text counts as empty.
@@ -24,6 +26,8 @@ from siltstone.functions import hashing, paths
 from siltstone.functions.text import STOPWORDS, strings, word_tokens
 from siltstone.operators.modules import article_states
 
+MOST_SENT = 10_000  # names of modules that are broadcast
+
 
 @dataclass(frozen=True)
 class Config:
@@ -61,10 +65,12 @@ def best(rows: DataFrame, item: str, k: int, name: str) -> DataFrame:
     return top.groupBy("name").agg(F.array_join(listed, ", ").alias(name))
 
 
-def articles(rows: DataFrame, dirty: DataFrame, config: Config) -> DataFrame:
-    """The articles of the dirty modules (name, hash)."""
+def articles(rows: DataFrame, dirty: DataFrame, config: Config, number: int) -> DataFrame:
+    """The articles of the dirty modules (name, hash); number: how many there are."""
     text = F.coalesce(F.col(config.text), F.lit(""))
-    own = rows.withColumn("name", _named(config.module)).join(dirty.select("name"), "name", "left_semi")
+    own = rows.withColumn("name", _named(config.module))
+    if number <= MOST_SENT:  # else what is counted of other modules goes where the counts meet the dirty ones
+        own = own.join(F.broadcast(dirty.select("name")), "name", "left_semi")
     sizes = own.groupBy("name").agg(F.count("*").alias("files"), F.sum(F.octet_length(text)).cast("long").alias("bytes"), F.count_if(paths.has_secret(text)).alias("secrets"))
     telling = F.filter(word_tokens(text), lambda w: (F.length(w) >= config.least_letters) & ~F.array_contains(strings(STOPWORDS), w))
     words = best(own.select("name", F.explode_outer(telling).alias("word")).where("word is not null"), "word", config.words, "words")
@@ -91,7 +97,7 @@ def refresh(spark: SparkSession, source: str, output: str, config: Config) -> di
         columns = [c.split()[0] for c in ARTICLES.split(", ")]
         gone = due.where("status = 'gone'").select("name", "status", F.lit("").alias("hash"), F.lit(0).cast("long").alias("files"), F.lit(0).cast("long").alias("bytes"), F.lit(0).cast("long").alias("secrets"), F.lit("").alias("languages"), F.lit("").alias("words"), F.lit("").alias("text"), F.col("name").alias("module"))
         if counts["dirty"] or counts["gone"]:
-            out = articles(rows, due.where("status = 'dirty'").select("name", "hash"), config).select(*columns).unionByName(gone.select(*columns))
+            out = articles(rows, due.where("status = 'dirty'").select("name", "hash"), config, counts["dirty"]).select(*columns).unionByName(gone.select(*columns))
             out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("module").parquet(output)
     finally:
         modules.unpersist()

@@ -120,6 +120,21 @@ def test_articles_are_refreshed_where_modules_changed(spark, tmp_path):
     assert rows_of(read_or_empty(spark, f"file://{tmp_path}/fresh", module_articles.ARTICLES)) == rows
 
 
+def test_texts_are_not_dealt_out_by_module(spark, tmp_path, monkeypatch):
+    """A module may be a large part of the table: only counts of its words are shuffled. Sending no names gives the same articles."""
+    rows = spark.createDataFrame([(i, f"word{i % 7} common", "ab"[i % 2], "en") for i in range(40)] + [(99, "other", "c", "de")], DOCS)
+    dirty = spark.createDataFrame([("a", "1"), ("b", "2")], "name string, hash string").repartition(2)
+    seen = []
+    for most in (module_articles.MOST_SENT, 0):
+        monkeypatch.setattr(module_articles, "MOST_SENT", most)
+        out = module_articles.articles(rows, dirty, module_articles.Config(), 2)
+        plan = out._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        moved = [part for part in plan.split("\n\n") if " Exchange" in part.split("\n")[0]]
+        assert moved and not [part for part in moved if "text#" in part]
+        seen.append(rows_of(out))
+    assert seen[0] == seen[1] and [dict(zip(sorted(out.columns), r))["files"] for r in seen[0]] == [20, 20]
+
+
 def test_articles_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"file://{tmp_path}/in")
     assert module_articles.refresh(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out", module_articles.Config()) == {"read": 0, "modules": 0, "dirty": 0, "gone": 0}
