@@ -83,27 +83,36 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(flat: np.ndarray, ends: np.ndarray, labels: np.ndarray, seed: int = 7) -> Model:
-    """Fits the machine on bucket sets (text i has flat[ends[i]:ends[i + 1]]) and their 0/1 labels."""
-    rng = np.random.default_rng(seed)
-    n = len(labels)
-    # Large arrays stay 32 bits wide: this runs on the driver.
-    hit = np.bincount(flat[np.repeat(labels > 0, np.diff(ends))], minlength=BUCKETS).astype(np.float32)
-    seen = np.zeros(BUCKETS, np.float32)
-    for part in np.array_split(flat, max(1, len(flat) >> 20)):
-        seen += np.bincount(part, minlength=BUCKETS)
+def feature_rows(terms: np.ndarray, seen: np.ndarray, hit: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """For each bucket its row in the model, or -1. terms: buckets, ascending, with the texts and the toxic texts that have them."""
+    seen, hit = seen.astype(np.float32), hit.astype(np.float32)
     positive, negative = max(1, labels.sum()), max(1, (1 - labels).sum())
     lift = np.abs(hit / positive - (seen - hit) / negative) / np.sqrt(np.maximum(seen, 1))
     lift[seen < LEAST_ROWS] = 0
     chosen = np.argsort(-lift, kind="stable")[:FEATURES]
-    chosen = chosen[lift[chosen] > 0]
+    chosen = terms[chosen[lift[chosen] > 0]]
     feature = np.full(BUCKETS, -1, np.int32)
     feature[chosen] = np.arange(len(chosen))
+    return feature
+
+
+def known_terms(feature: np.ndarray, flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of the model that the texts have, and where each text begins."""
     known = feature[flat]
-    doc = np.repeat(np.arange(n, dtype=np.int32), np.diff(ends))[known >= 0]
-    flat = known[known >= 0]
-    at = np.searchsorted(doc, np.arange(n + 1))
-    del known, doc
+    return known[known >= 0].astype(np.int16), np.append(0, np.cumsum(known >= 0))[ends]
+
+
+def fit(flat: np.ndarray, ends: np.ndarray, labels: np.ndarray, seed: int = 7) -> Model:
+    """Fits the machine on bucket sets (text i has flat[ends[i]:ends[i + 1]]) and their 0/1 labels."""
+    seen, hit = np.bincount(flat, minlength=BUCKETS), np.bincount(flat[np.repeat(labels > 0, np.diff(ends))], minlength=BUCKETS)
+    feature = feature_rows(np.arange(BUCKETS), seen, hit, labels)
+    return machine(feature, *known_terms(feature, flat, ends), labels, seed)
+
+
+def machine(feature: np.ndarray, flat: np.ndarray, at: np.ndarray, labels: np.ndarray, seed: int = 7) -> Model:
+    """Fits the machine on the features of texts (text i has flat[at[i]:at[i + 1]]) and their 0/1 labels."""
+    rng, n = np.random.default_rng(seed), len(labels)
+    chosen = np.arange(feature.max() + 1)
     w, v = np.zeros(len(chosen)), rng.normal(0, 0.02, (len(chosen), FACTORS))
     rate = (labels.sum() + 0.5) / (len(labels) + 1)
     bias = float(np.log(rate / (1 - rate)))
@@ -146,12 +155,24 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
                 ends = np.searchsorted(doc, np.arange(block.num_rows + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(terms.astype(np.int32)))], ["doc_id", "terms"])
 
-    # Texts become term sets before the join with the labels; the sample's term sets are what goes to the driver.
-    rows = texts.mapInArrow(run, "doc_id long, terms array<int>").join(marked.where(sampled), "doc_id")
-    got = rows.select("doc_id", "terms", "y").toArrow().combine_chunks().sort_by("doc_id")
-    y, terms = got.column("y").to_numpy(), got.column("terms").combine_chunks()
-    flat, ends = terms.flatten().to_numpy(), np.append(0, np.cumsum(np.asarray(pc.list_value_length(terms))))
-    return fit(flat, ends, y)
+    with common.scratch(docs.sparkSession):
+        # Texts become term sets before the join with the labels; numbers of the terms, then the sample's features are what goes to the driver.
+        rows = common.stored(texts.mapInArrow(run, "doc_id long, terms array<int>").join(marked.where(sampled), "doc_id").select("doc_id", "terms", "y"), "toxicity-terms")
+        seen = rows.select(F.explode("terms").alias("term"), "y").groupBy("term").agg(F.count("*").cast("int").alias("seen"), F.count_if(F.col("y") > 0).cast("int").alias("hit"))
+        labelled = rows.select("doc_id", "y").toArrow().sort_by("doc_id")
+        counted = seen.where(F.col("seen") >= LEAST_ROWS).toArrow().sort_by("term")
+        feature = feature_rows(*(counted.column(c).to_numpy() for c in ("term", "seen", "hit")), labelled.column("y").to_numpy())
+        del counted
+
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                terms = batch.column("terms")
+                known, at = known_terms(feature, terms.flatten().to_numpy(), np.append(0, np.cumsum(np.asarray(pc.list_value_length(terms)))))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(known)), batch.column("y")], ["doc_id", "terms", "y"])
+
+        got = rows.mapInArrow(keep, "doc_id long, terms array<short>, y double").toArrow().combine_chunks().sort_by("doc_id")
+        terms = got.column("terms").combine_chunks()
+        return machine(feature, terms.flatten().to_numpy(), np.append(0, np.cumsum(np.asarray(pc.list_value_length(terms)))), got.column("y").to_numpy())
 
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"

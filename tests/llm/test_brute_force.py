@@ -344,6 +344,26 @@ def test_toxicity_of_held_out_documents(spark, docs):
     assert (clean.predicted == 0).mean() > 0.99 and (toxic.predicted == 1).mean() > 0.75
 
 
+def test_toxicity_sends_only_features_to_the_driver(spark, sf, monkeypatch):
+    """Terms are counted by Spark; the model is that of a fit on all term sets of the sample."""
+    import numpy as np
+
+    monkeypatch.setattr(toxicity, "FEATURES", 40)
+    labels, docs = table(spark, sf, "labels"), table(spark, sf, "documents")
+    sent, send = [], type(docs).toArrow
+    monkeypatch.setattr(type(docs), "toArrow", lambda self: sent.append(send(self)) or sent[-1])
+    model = toxicity.train(docs, labels)
+    lists = [x.column("terms").combine_chunks().flatten().to_pylist() for x in sent if "terms" in x.column_names]
+    assert lists and all(0 <= t < 40 for x in lists for t in x)
+    y = {r["doc_id"]: float(r["toxic"]) for r in labels.collect()}
+    rows = sorted((r["doc_id"], r["text"] or "") for r in docs.where(toxicity.fold(docs.doc_id, 4) != 2).collect() if r["doc_id"] in y)
+    texts = [t.lower().encode() for _, t in rows]
+    off = np.cumsum([0, *map(len, texts)])
+    terms, doc = toxicity._distinct(*toxicity.buckets(np.frombuffer(b"".join(texts), np.uint8), off), toxicity.BUCKETS)
+    whole = toxicity.fit(terms, np.searchsorted(doc, np.arange(len(rows) + 1)), np.array([y[d] for d, _ in rows]))
+    assert (model.feature == whole.feature).all() and (model.w == whole.w).all() and (model.v == whole.v).all() and model.bias == whole.bias
+
+
 def test_factorization_learns_a_pair():
     """Term 1 or term 2 alone is harmless, both together are not."""
     import numpy as np
