@@ -121,16 +121,23 @@ def _simple_code(*symbols: int) -> Code:
     return Code(lengths)
 
 
+@functools.lru_cache(512)
+def _length_code(n: int, packed: int) -> Code:
+    """The code of code lengths from its first n lengths of three bits each; most images have the same one."""
+    sizes = np.zeros(len(CODE_LENGTH_ORDER), np.uint8)
+    for k, i in enumerate(CODE_LENGTH_ORDER[:n]):
+        sizes[i] = packed >> (3 * k) & 7
+    return Code(sizes)
+
+
 def read_code(bits: Bits, alphabet: int) -> Code:
     if bits.read(1):
         two = bits.read(1)
         first = bits.read(8 if bits.read(1) else 1)
         return _simple_code(first, bits.read(8)) if two else _simple_code(first)
     lengths = np.zeros(max(alphabet, LITERALS), np.uint8)
-    sizes = np.zeros(len(CODE_LENGTH_ORDER), np.uint8)
-    for k in CODE_LENGTH_ORDER[: 4 + bits.read(4)]:
-        sizes[k] = bits.read(3)
-    code = Code(sizes)
+    n = 4 + bits.read(4)
+    code = _length_code(n, bits.read(3 * n))
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
     if code.single is None and code.length.min() == code.length.max() and code.symbol.max() < 16:
         # All lengths take the same number of bits and none repeats: they lie side by side.
@@ -180,25 +187,35 @@ def _windows(data: bytes, first: int) -> np.ndarray:
     return out
 
 
+def _index_type(n: int) -> type:
+    """Of arrays of places: that of numpy's indexes, which needs no conversion, or half as wide where it would take much memory."""
+    return np.intp if n < 1 << 20 else np.int32
+
+
 def _walk(one: np.ndarray, at: int, end: int, most: int) -> np.ndarray:
     """The places below `end` that jumps lead to from `at`, at most `most`; the loop goes eight jumps at a time."""
-    two = one[one]
-    four = two[two]
-    step, p = memoryview(four[four]), []
-    while at < end and 8 * len(p) < most:
+    two = one.take(one)
+    four = two.take(two)
+    step, p = memoryview(four.take(four)), []
+    for _ in range(-(-most // 8)):
+        if at >= end:
+            break
         p.append(at)
         at = step[at]
-    here = np.empty((len(p), 8), np.int32)
+    here = np.empty((len(p), 8), one.dtype)
     here[:, 0] = p
-    here[:, 1] = one[here[:, 0]]
-    here[:, 2:4] = two[here[:, 0:2]]
-    here[:, 4:8] = four[here[:, 0:4]]
+    here[:, 1] = one.take(here[:, 0])
+    here[:, 2:4] = two.take(here[:, 0:2])
+    here[:, 4:8] = four.take(here[:, 0:4])
     here = here.ravel()
     return here[here < end][:most]
 
 
+_EXTRA = np.array([0, 0, 0, 0, *((s - 2) >> 1 for s in range(4, LITERALS))])  # broken files have any symbol of eight bits
+
+
 def _extra(symbol: np.ndarray) -> np.ndarray:
-    return np.where(symbol < 4, 0, (symbol - 2) >> 1)
+    return _EXTRA.take(symbol)
 
 
 def _values(symbol: np.ndarray, extra: np.ndarray, more: np.ndarray) -> np.ndarray:
@@ -211,10 +228,11 @@ def _one_code(bits: Bits, green: Code, distance: Code, n: int, width: int) -> np
     first, total = bits.pos >> 3, 8 * len(bits.data)
     window = _windows(bits.data, first)
     size = len(window) - 1
-    key = window & np.uint16((1 << green.bits) - 1)
-    symbol = green.symbol[key]
-    one = np.arange(size + 1, dtype=np.int32)
-    one += green.length[key]
+    kind = _index_type(size)
+    key = (window & np.uint16((1 << green.bits) - 1)).astype(kind)
+    symbol = green.symbol.take(key)
+    one = np.arange(size + 1, dtype=kind)
+    one += green.length.take(key)
     np.minimum(one, size, out=one)
 
     def behind(at: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -271,7 +289,7 @@ def _one_code(bits: Bits, green: Code, distance: Code, n: int, width: int) -> np
     copied = np.flatnonzero(~np.repeat(literal, count))
     pointer[copied] -= np.repeat(back, count[refers])
     while True:
-        further = pointer[pointer]
+        further = pointer.take(pointer)
         if (further == pointer).all():
             return out[pointer]
         pointer = further
@@ -537,10 +555,13 @@ def _written_code(counts: np.ndarray) -> tuple[tuple[int, int], np.ndarray, np.n
     return _bit_string(_FOUR_BITS, (symbols - 2, 10), (table, 4 * symbols)), words, lengths
 
 
+_HIGH = np.frexp(np.maximum(np.arange(1 << 16), 1).astype(np.float64))[1].astype(np.int64) - 1  # place of the highest bit
+
+
 def _parts(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(prefix symbol, extra bits, what they hold) of numbers from 1 on."""
     v = values - 1
-    high = np.frexp(np.maximum(v, 1).astype(np.float64))[1] - 1
+    high = _HIGH.take(v) if len(v) and v.max() < len(_HIGH) else np.frexp(np.maximum(v, 1).astype(np.float64))[1] - 1
     extra = np.where(v < 4, 0, high - 1)
     return np.where(v < 4, v, 2 * high + (v >> np.maximum(high - 1, 0) & 1)), extra, v & ((1 << extra) - 1)
 
@@ -559,7 +580,7 @@ def matches(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     place = np.arange(n)
     length = np.minimum(np.repeat(change, np.diff(change, prepend=-1)) - place + LEAST_MATCH, MOST_MATCH)
     good = (distance > 0) & (length >= LEAST_MATCH + (distance >= 200) + (distance >= 3000))
-    one = np.append(place + np.where(good, length, 1), n).astype(np.int32)
+    one = np.append(place + np.where(good, length, 1), n).astype(_index_type(n), copy=False)
     start = _walk(one, 0, n, n)
     return start, np.where(good[start], length[start], 1), np.where(good[start], distance[start], 0)
 

@@ -317,3 +317,23 @@ def test_broken_files_are_refused(cut):
     data = webp.store(np.frombuffer(b"some text to keep " * 32, np.uint8)[:384])
     with pytest.raises((ValueError, struct.error)):
         webp.decode(data[:cut])
+
+
+def test_headers_are_read_in_few_steps(monkeypatch):
+    """The code of code lengths is one field, and made once: a short text costs little more than its samples."""
+    text = bytes(range(32, 127)) * 8
+    media = webp.store(np.frombuffer(webp.payload_of(text), np.uint8))
+    reads, read = [], webp.Bits.read
+    monkeypatch.setattr(webp.Bits, "read", lambda self, n: reads.append(n) or read(self, n))
+    grey, _ = webp.describe(webp.load(media))
+    assert grey == webp.payload_of(text) and len(reads) < 45
+    webp.load(media)
+    assert webp._length_code.cache_info().hits > 0
+
+
+@pytest.mark.parametrize("n", [webp.WIDTH, 1 << 18])
+def test_small_and_large_arrays_of_places_give_the_same(monkeypatch, n):
+    samples = np.frombuffer(webp.payload_of(bytes(random.Random(n).choices(range(97, 123), k=n))), np.uint8)
+    media = webp.store(samples)
+    monkeypatch.setattr(webp, "_index_type", lambda n: np.int32)
+    assert webp.store(samples) == media and webp.describe(webp.load(media))[0] == samples.tobytes()
