@@ -162,6 +162,10 @@ def laid_out(counts: dict[int, int], most: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def parts_of(places: list[tuple[int, int, int]]) -> int:
+    return max((part + cuts for _, part, cuts in places), default=1)
+
+
 class VectorIndex:
     """An index in a folder. kind: the SQL type of the keys."""
 
@@ -209,7 +213,7 @@ class VectorIndex:
         for cell, part, n in places:
             first[cell], cuts[cell] = part, n
         shared = self.spark.sparkContext.broadcast((self._centroids(), first, cuts))  # MOST_CELLS rows at most
-        step = max(1, min(BLOCK_ROWS, PART_ROWS // (1 + sum(p[2] for p in places))))
+        step = max(1, min(BLOCK_ROWS, PART_ROWS // parts_of(places)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             centres, first, cuts = shared.value
@@ -261,13 +265,16 @@ class VectorIndex:
         """The rows that make a batch count; without them its vectors are not read."""
         deletes.write.mode("overwrite").parquet(f"{self.folder}/deletes/batch={batch}")
 
-    def _written(self) -> DataFrame:
-        """The rows of batches that were entered."""
-        return self.spark.read.schema(f"key {self.kind}, project string, unit array<double>, batch int, cell int").parquet(f"{self.folder}/vectors").where(F.col("batch").isin(*self._batches()))
+    def _written(self, batches: list[int]) -> DataFrame:
+        """The rows of these batches."""
+        return self.spark.read.schema(f"key {self.kind}, project string, unit array<double>, batch int, cell int").parquet(f"{self.folder}/vectors").where(F.col("batch").isin(*batches))
 
     def _vectors(self) -> DataFrame:
         """All rows that count: of batches that were entered, not deleted by a later one."""
-        rows = self._written()
+        batches = self._batches()
+        rows = self._written(batches)
+        if batches == [0]:
+            return rows  # nothing was deleted, so there is nothing to deal out by key for
         deletes = self._deletes()
         by_key = deletes.where("key is not null").select(F.col("key").alias("dead_key"), F.col("batch").alias("dead_from"))
         by_project = deletes.where("key is null").select(F.col("project").alias("dead_project"), F.col("batch").alias("dead_from"))
@@ -284,9 +291,8 @@ class VectorIndex:
         """
         probes = self.probes() if probes is None else probes
         own = [c for c in ("project",) if c in queries.columns]
-        counts = {r["cell"]: r["count"] for r in self._written().groupBy("cell").count().collect()}  # MOST_CELLS rows at most
-        tasks = 4 * self.spark.sparkContext.defaultParallelism
-        most = min(PART_ROWS, max(LEAST_ROWS, -(-sum(counts.values()) // tasks)))
+        counts = {r["cell"]: r["count"] for r in self._written(self._batches()).groupBy("cell").count().collect()}  # MOST_CELLS rows at most
+        most = min(PART_ROWS, max(LEAST_ROWS, -(-sum(counts.values()) // (4 * self.spark.sparkContext.defaultParallelism))))
         places = laid_out(counts, most)
         blocks = max(1, -(-queries.count() // min(PART_ROWS, max(1, KEPT // max(1, min(k, most))))))
         asked = queries.where("embedding is not null").select("query_id", *(F.col(c).cast("string").alias("own_project") for c in own), unit(F.col("embedding")).alias("asked"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"))
@@ -308,8 +314,8 @@ class VectorIndex:
                 query, row, score = nearest_rows(_matrix(rows["unit"]), rows["cell"].to_numpy(), places, _matrix(asked["asked"]), askers, cells.flatten().to_numpy(), k, groups)
             return pa.table({"query_id": asked["query_id"].take(pa.array(query)), "key": rows["key"].take(pa.array(row)), "score": pa.array(score)})
 
-        met = max(1, blocks * sum(p[2] for p in places))
-        dealt = [df.repartition(min(met, 4096), "part", "block").groupBy("part", "block") for df in (rows, self._sent(asked, probes, places))]
+        tasks = min(4096, blocks * parts_of(places))
+        dealt = [df.repartition(tasks, "part", "block").groupBy("part", "block") for df in (rows, self._sent(asked, probes, places))]
         best = dealt[0].cogroup(dealt[1]).applyInArrow(meet, kind)
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "key")
         return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

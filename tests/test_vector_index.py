@@ -131,6 +131,7 @@ def test_pairs_of_queries_and_rows_never_become_rows(spark, tmp_path):
     found = index.scan(queries, 5)
     got = sorted((r["query_id"], r["rank"], r["key"], r["score"]) for r in found.collect())
     assert plan_rows(found) <= 20_000  # not 900,000
+    assert "hashpartitioning(key" not in found._jdf.queryExecution().executedPlan().toString()  # the index is not dealt out for deletions that are not there
     units = np.array([v for _, _, v in rows], np.float32).astype(float)
     units /= np.linalg.norm(units, axis=1, keepdims=True)
     scores = np.round(units[::10] @ units.T, 6)
@@ -183,6 +184,12 @@ def test_the_length_of_a_vector_is_taken_once(spark):
     assert [r["u"] for r in odd.select(vector_index.unit(F.col("v")).alias("u")).collect()] == [[0.0, 0.0], [0.0, 0.0], []]
 
 
+def test_parts_hold_neighbouring_cells_or_a_piece_of_one():
+    places = vector_index.laid_out({0: 3, 1: 4, 2: 4, 4: 25, 5: 1}, 10)
+    assert places == [(0, 0, 1), (1, 0, 1), (2, 1, 1), (4, 2, 3), (5, 5, 1)]
+    assert vector_index.parts_of(places) == 6 and vector_index.parts_of([]) == 1
+
+
 def test_nearest_rows_against_all_pairs():
     rng = np.random.default_rng(8)
     units, asked = rng.integers(-2, 3, size=(500, 3)) / 4.0, rng.integers(-2, 3, size=(60, 3)) / 4.0
